@@ -179,7 +179,7 @@ def escape_html(text: Column) -> Column:
 
 def fixed(value: Column, digits: int) -> Column:
     """Number as text with a fixed count of decimals."""
-    return F.format_string(f"%.{digits}f", value)
+    return F.format_string(f"%.{digits}f", F.round(value, digits))
 
 
 def is_fx(symbol: Column) -> Column:

@@ -73,7 +73,7 @@ ACCOUNT = Account(capital=100_000.0, slippage=0.0003, fees="forex_saxo")
 STRICT = Account(capital=10_000.0, slippage=0.0003, fees="us_stocks_usd_account", whole_shares=True)
 
 
-def query(name: str, sql: str | None = None, round: dict[str, int] | None = None):
+def query(name: str, sql: str | None = None, round: dict[str, int] | None = None, ints: tuple[str, ...] = ()):
     """Register a query and, where SQL can say the same, its check.
 
     Both sides get the same finish: rounding of the named doubles (never minus zero),
@@ -88,7 +88,8 @@ def query(name: str, sql: str | None = None, round: dict[str, int] | None = None
         QUERIES[name] = run
         if sql is not None:
             rep = ", ".join(f"round(CASE WHEN isfinite(CAST({c} AS DOUBLE)) THEN CAST({c} AS DOUBLE) END, {d}) + 0.0 AS {c}" for c, d in digits.items())
-            ORACLES[name] = f"SELECT * REPLACE ({rep}) FROM ({sql})" if digits else sql
+            rep = ", ".join(filter(None, [rep, *[f"CAST({c} AS BIGINT) AS {c}" for c in ints]]))
+            ORACLES[name] = f"SELECT * REPLACE ({rep}) FROM ({sql})" if rep else sql
         return fn
 
     return deco
@@ -178,7 +179,7 @@ def ibs_ctes(p: str, thr=0.2, xthr=0.8, sma=200, where="true", frac=0.2, cap=100
     cte(f"{p}_raw", f"""
      SELECT e.symbol, e.bar_ix AS entry_ix, e.date AS entry_date, e.open * (1 + CAST(0.0003 AS DOUBLE)) AS entry_price,
        x.bar_ix AS exit_ix, x.date AS exit_date, coalesce(x.close, m.mark_price) AS exit_price, x.reason AS exit_reason,
-       x.bar_ix IS NOT NULL AS closed, coalesce(x.bar_ix, m.mark_ix) - e.bar_ix AS holding_days, 1 AS direction
+       x.bar_ix IS NOT NULL AS closed, coalesce(x.bar_ix, m.mark_ix) - e.bar_ix AS holding_days, CAST(1 AS BIGINT) AS direction
      FROM (SELECT symbol, xix, min(bar_ix) AS eix FROM {p}_nx WHERE entry GROUP BY symbol, xix) g
      JOIN {p}_sig e ON e.symbol = g.symbol AND e.bar_ix = g.eix
      LEFT JOIN {p}_sig x ON x.symbol = g.symbol AND x.bar_ix = g.xix

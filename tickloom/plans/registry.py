@@ -1,5 +1,5 @@
 """Imports every plan module so that its queries are registered."""
 
-from . import base, inputs, trading
+from . import base, inputs, reports, trading
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES

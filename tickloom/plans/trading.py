@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import equity as E
 from ..operators.indicators import home_rows
-from ..operators.ledger import Account, candidates, first_of, frame_for, ledger, pair, variant, with_mark
-from ..operators.metrics import calendar_sharpe, only_closed
+from ..operators.ledger import candidates, first_of, frame_for, ledger, pair, variant, with_mark
 from ..operators.rules import DONCHIAN, IBS, IBS_TOM, LONG, RSI2, RULES, SHORT, TOM
-from ..presets import FEE_FIELDS, FEES, GRIDS
+from ..presets import FEE_FIELDS, FEES
 from .base import ACCOUNT, AS_OF, MID, SPLIT, STRICT, cte, ibs_ctes, query, walk_cte, with_
 
 TRADE_DIGITS = {"entry_price": 6, "exit_price": 6, "quantity": 6, "pnl": 4, "return_pct": 8, "capital_after": 4}
@@ -172,15 +171,11 @@ def led9(t):
 
 @query("STR6_signal", trend_machine("tm_sig", "f1 > s1 AND f2 <= s2", 52, "signal", 6.0, 2.0, 0.0003, 3, back="f1 < s1 AND f2 >= s2"), round=_TREND_DIGITS)
 def str6_signal(t):
-    return trend_trades(t, {**TREND, "entry_mode": "ema_cross", "exit_mode": "signal"})
+    return trend_trades(t, {**TREND, "entry_mode": "ema_cross", "exit_mode": "signal", "position_fraction": 0.01})
 
 
-_W = [("rsi2", RSI2.warmup(RSI2.params())), ("ibs", IBS.warmup(IBS.params())), ("tom", 30), ("ibs_tom", 210), ("donchian", DONCHIAN.warmup(DONCHIAN.params()))]
-
-
-@query("STR7", with_("bars", body=f"""SELECT symbol, k AS strategy, w AS warmup, count(*) FILTER (bar_ix >= w) AS n_usable FROM bars, (VALUES {', '.join(f"('{k}', {w})" for k, w in [("rsi2", 210), ("ibs", 210), ("tom", 30), ("ibs_tom", 210), ("donchian", 52)])}) v(k, w) GROUP BY ALL"""))
+@query("STR7", with_("bars", body=f"""SELECT symbol, k AS strategy, w AS warmup, count(*) FILTER (bar_ix >= w) AS n_usable FROM bars, (VALUES {', '.join(f"('{k}', {w})" for k, w in [("rsi2", 210), ("ibs", 210), ("tom", 30), ("ibs_tom", 210), ("donchian", 52)])}) v(k, w) GROUP BY ALL"""), ints=("warmup",))
 def str7(t):
-    rows = F.array(*[F.struct(F.lit(k).alias("strategy"), F.lit(r.warmup(r.params())).alias("warmup")) for k, r in RULES.items()])
     b = t.bars().groupBy("symbol").agg(*[F.count_if(F.col("bar_ix") >= r.warmup(r.params())).alias(k) for k, r in RULES.items()])
     long = b.unpivot(["symbol"], list(RULES), "strategy", "n_usable")
     w = F.create_map(*[F.lit(x) for k, r in RULES.items() for x in (k, r.warmup(r.params()))])
@@ -192,7 +187,7 @@ def _grid_values(g):
 
 
 @query("STR8", with_("bars", body=f"""SELECT b.symbol, a.v AS rsi_entry_threshold, s.v AS sma_trend_period, x.v AS sma_exit_period, count(*) FILTER (b.bar_ix >= greatest(s.v, x.v) + 10) AS n_usable
-  FROM bars b, (VALUES (5), (10), (15), (20)) a(v), (VALUES (150), (200), (250)) s(v), (VALUES (3), (5), (7), (10)) x(v) GROUP BY ALL"""))
+  FROM bars b, (VALUES (5), (10), (15), (20)) a(v), (VALUES (150), (200), (250)) s(v), (VALUES (3), (5), (7), (10)) x(v) GROUP BY ALL"""), ints=("rsi_entry_threshold", "sma_trend_period", "sma_exit_period"))
 def str8(t):
     combos = RSI2.combos()
     n = t.bars().groupBy("symbol").agg(*[F.count_if(F.col("bar_ix") >= w).alias(f"w{w}") for w in sorted({RSI2.warmup(p) for p in combos})])
@@ -262,14 +257,14 @@ def sca3(t):
 
 
 @query("SCA4", with_("tr", body=f"""SELECT symbol, entry_ix, d AS direction, d * (exit_price - entry_price) * quantity - (10 + {_N} * (0.001 + 0.0005 + 0.003)) - (10 + {_X} * (0.001 + 0.0005)) AS pnl
-  FROM tr t, (VALUES (1), (-1)) v(d)"""), round={"pnl": 4})
+  FROM tr t, (VALUES (1), (-1)) v(d)"""), round={"pnl": 4}, ints=("direction",))
 def sca4(t):
     tr = t.ibs_trades().drop("direction").withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1))))
     pnl = S.net_pnl(F.col("direction"), F.col("entry_price"), F.col("exit_price"), F.col("quantity"), F.col("holding_days"), S.fee_literals("eu_stocks"))
     return tr.select("symbol", "entry_ix", "direction", pnl.alias("pnl"))
 
 
-@query("SCA5", with_("bars", body="SELECT symbol, bar_ix, d AS direction, open * (1 + d * 0.0003) AS buy, close * (1 - d * 0.0003) AS sell FROM bars, (VALUES (1), (-1)) v(d)"), round={"buy": 6, "sell": 6})
+@query("SCA5", with_("bars", body="SELECT symbol, bar_ix, d AS direction, open * (1 + d * 0.0003) AS buy, close * (1 - d * 0.0003) AS sell FROM bars, (VALUES (1), (-1)) v(d)"), round={"buy": 6, "sell": 6}, ints=("direction",))
 def sca5(t):
     b = t.bars().withColumn("direction", F.explode(F.array(F.lit(1), F.lit(-1))))
     d = F.col("direction")
@@ -326,7 +321,7 @@ def prox_sql(v: str, thr: str, zone: str) -> str:
     return f"round_even(CASE WHEN {v} <= {thr} THEN 100 WHEN {v} >= {zone} THEN 0 ELSE ({zone} - {v}) / ({zone} - {thr}) * 100 END, 1)"
 
 
-@query("SCA11", with_("ind", body=f"""SELECT symbol, bar_ix, {prox_sql('ibs', '0.2', '0.4')} AS ibs_pct, coalesce(ibs < 0.4 AND ibs > 0.2 AND close > sma_200, false) AS ibs_near, 'IBS=' || printf('%.3f', ibs) AS ibs_label,
+@query("SCA11", with_("ind", body=f"""SELECT symbol, bar_ix, {prox_sql('ibs', '0.2', '0.4')} AS ibs_pct, coalesce(ibs < 0.4 AND ibs > 0.2 AND close > sma_200, false) AS ibs_near, 'IBS=' || printf('%.3f', round(ibs, 3)) AS ibs_label,
   round_even(CASE WHEN days_left <= 5 THEN 100 WHEN days_left > 8 THEN 0 ELSE (8 - days_left) / 3.0 * 100 END, 1) AS tom_pct, days_left <= 8 AND days_left > 5 AS tom_near, days_left || 'd left' AS tom_label
   FROM ind WHERE ibs IS NOT NULL AND sma_200 IS NOT NULL"""), round={"ibs_pct": 1, "tom_pct": 1})
 def sca11(t):
@@ -376,7 +371,7 @@ def sca20(t):
                                   F.to_json(F.struct(F.col("event_id").alias("id"), F.col("event_type").alias("type"))).alias("encoded"))
 
 
-@query("SCA21", with_("ind", body="""SELECT symbol, bar_ix, 'Close (' || printf('%.2f', close) || CASE WHEN close > sma_200 THEN ') &gt; SMA200 (' ELSE ') &lt; SMA200 (' END || printf('%.2f', sma_200) || ') &amp; IBS=' || coalesce(printf('%.4f', ibs), 'n/a') AS note
+@query("SCA21", with_("ind", body="""SELECT symbol, bar_ix, 'Close (' || printf('%.2f', round(close, 2)) || CASE WHEN close > sma_200 THEN ') &gt; SMA200 (' ELSE ') &lt; SMA200 (' END || printf('%.2f', round(sma_200, 2)) || ') &amp; IBS=' || coalesce(printf('%.4f', round(ibs, 4)), 'n/a') AS note
   FROM ind WHERE sma_200 IS NOT NULL"""))
 def sca21(t):
     from ..operators.indicators import Needs, indicator_frame
@@ -402,7 +397,7 @@ cte("icand", """SELECT symbol, combo_id, bar_ix AS entry_ix, open * (1 + CAST(0.
   ON p_ibs < g.thr AND p_close > CASE g.per WHEN 150 THEN p_sma_150 WHEN 200 THEN p_sma_200 ELSE p_sma_250 END AND bar_ix >= g.per + 10""", "ind", "igrid")
 
 
-@query("LED1", with_("icand", body="SELECT symbol, combo_id, entry_ix, entry_price FROM icand"), round={"entry_price": 6})
+@query("LED1", with_("icand", body="SELECT symbol, combo_id, entry_ix, entry_price FROM icand"), round={"entry_price": 6}, ints=("combo_id",))
 def led1(t):
     combos = IBS.combos()
     c = candidates(frame_for(t.bars(), IBS, combos), IBS, combos)
@@ -535,7 +530,7 @@ def led16(t):
 # ---------------------------------------------------------------- joins that feed the ledgers
 
 
-@query("JON1", with_("bars", "igrid", body="SELECT combo_id, count(*) AS n_bars, sum(volume) AS volume FROM bars, igrid WHERE bar_ix >= per + 10 GROUP BY combo_id"))
+@query("JON1", with_("bars", "igrid", body="SELECT combo_id, count(*) AS n_bars, sum(volume) AS volume FROM bars, igrid WHERE bar_ix >= per + 10 GROUP BY combo_id"), ints=("combo_id",))
 def jon1(t):
     combos = IBS.combos()
     by_warm = t.bars().groupBy("symbol").agg(*[x for w in sorted({IBS.warmup(p) for p in combos}) for x in (
