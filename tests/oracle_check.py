@@ -97,7 +97,7 @@ def main():
             if len(a) == len(b):
                 diff = [(c, int((a[c] != b[c]).sum())) for c in a.columns if not a[c].equals(b[c])]
                 print("   cols", diff)
-            ex = pd.merge(a, b, how="outer", indicator=True)
+            ex = pd.merge(a.astype(object).astype(str), b.astype(object).astype(str), how="outer", indicator=True)
             for side in ("left_only", "right_only"):
                 for r in ex[ex._merge == side].drop(columns="_merge").head(2).to_dict("records"):
                     print("  ", side, r)

@@ -61,15 +61,23 @@ def reprice_at_next_open(trades: DataFrame, bars: DataFrame, fees: str) -> DataF
     return t.withColumn("new_pnl", F.coalesce(pnl, F.col("pnl")))
 
 
-def running_total(df: DataFrame, keys: Sequence[str], order: str, part: Column, values: dict[str, str]) -> DataFrame:
-    """Running sums per key in two steps: inside a part, plus the totals of the parts before it."""
+_STEPS = {"sum": (F.sum, lambda a, b: a + F.coalesce(b, F.lit(0.0))), "max": (F.max, F.greatest), "min": (F.min, F.least)}
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], part: Column, values: dict[str, tuple[str, str]]) -> DataFrame:
+    """Running sums, maxima and minima per key in two steps.
+
+    First inside a part (a span of bars, a month of dates), then with the totals of the parts
+    before it. Only one row per part is ever ordered over the whole key.
+    """
     p = df.withColumn("_p", part)
-    inside = Window.partitionBy(*keys, "_p").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*keys, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    local = p.withColumns({f"_l_{o}": F.sum(v).over(inside) for o, v in values.items()})
-    totals = p.groupBy(*keys, "_p").agg(*[F.sum(v).alias(f"_t_{o}") for o, v in values.items()])
-    totals = totals.select(*keys, "_p", *[F.coalesce(F.sum(f"_t_{o}").over(before), F.lit(0.0)).alias(f"_c_{o}") for o in values])
-    out = local.join(totals, [*keys, "_p"]).withColumns({o: F.col(f"_l_{o}") + F.col(f"_c_{o}") for o in values})
+    local = p.withColumns({f"_l_{o}": _STEPS[k][0](v).over(inside) for o, (k, v) in values.items()})
+    totals = p.groupBy(*keys, "_p").agg(*[_STEPS[k][0](v).alias(f"_t_{o}") for o, (k, v) in values.items()])
+    totals = totals.select(*keys, "_p", *[_STEPS[k][0](f"_t_{o}").over(before).alias(f"_c_{o}") for o, (k, v) in values.items()])
+    out = local.join(totals, [*keys, "_p"]).withColumns(
+        {o: _STEPS[k][1](F.col(f"_l_{o}"), F.col(f"_c_{o}")) for o, (k, v) in values.items()})
     return out.drop("_p", *[f"_{x}_{o}" for o in values for x in "lc"])
 
 
@@ -85,10 +93,58 @@ def daily_equity(trades: DataFrame, bars: DataFrame, capital: float) -> DataFram
     moves = opened.unionByName(shut).groupBy("symbol", "bar_ix").agg(*[F.sum(c).alias(c) for c in ("_q", "_cost", "_pnl")])
     b = bars.join(moves, ["symbol", "bar_ix"], "left").fillna(0.0, ["_q", "_cost", "_pnl"])
     part = F.floor(F.col("bar_ix") / F.lit(SPAN))
-    run = running_total(b, ["symbol"], "bar_ix", part, {"_held": "_q", "_paid": "_cost", "_made": "_pnl"})
+    run = running(b, ["symbol"], ["bar_ix"], part, {"_held": ("sum", "_q"), "_paid": ("sum", "_cost"), "_made": ("sum", "_pnl")})
     return run.withColumn("equity", F.lit(capital) + F.col("_made") + F.col("_held") * F.col("close") - F.col("_paid")).drop("_q", "_cost", "_pnl", "_held", "_paid", "_made")
 
 
 def buy_and_hold(bars: DataFrame, capital: float) -> DataFrame:
     first = bars.groupBy("symbol").agg(F.min_by("close", "date").alias("_first"))
     return bars.join(first, "symbol").withColumn("equity", F.col("close") / F.col("_first") * capital).drop("_first")
+
+
+def trade_curve(trades: DataFrame, capital: float, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Equity after each closed trade with its drawdown from the peak, in percent."""
+    part = F.floor(F.col("exit_ix") / F.lit(SPAN))
+    run = running(trades, list(keys), ["exit_ix"], part, {"_made": ("sum", "pnl")})
+    run = run.withColumn("equity", F.lit(capital) + F.col("_made"))
+    run = running(run, list(keys), ["exit_ix"], part, {"_top": ("max", "equity")})
+    peak = F.greatest(F.col("_top"), F.lit(capital))
+    return run.withColumn("drawdown_pct", (F.col("equity") - peak) / peak * 100).drop("_made", "_top")
+
+
+def max_drawdown(equity: DataFrame, keys: Sequence[str], order: str, part: Column, value: str = "equity") -> DataFrame:
+    """Largest fall from a running peak, in percent of the peak."""
+    run = running(equity, list(keys), [order], part, {"_top": ("max", value)})
+    fall = F.when(F.col("_top") > 0, (F.col("_top") - F.col(value)) / F.col("_top")).otherwise(F.lit(0.0))
+    return run.groupBy(*keys).agg((F.max(fall) * 100).alias("max_drawdown_pct"))
+
+
+def portfolio_equity(equity: DataFrame) -> DataFrame:
+    """Sum of all symbols' equity on every date, gaps filled forward and leading gaps backward.
+
+    With every symbol worth its first value until it starts, the total is the sum of first
+    values plus a running sum of daily changes, so no date-by-symbol grid is built.
+    """
+    w = span_order(["symbol"])
+    steps = home_rows(spread(equity, before=1).withColumn("_d", F.col("equity") - F.lag("equity").over(w)))
+    firsts = equity.groupBy("symbol").agg(F.min_by("equity", "bar_ix").alias("_f")).agg(F.sum("_f").alias("_base"), F.lit(1).alias("_one"))
+    days = steps.groupBy("date").agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("_d"), F.lit(1).alias("_one"))
+    run = running(days, [], ["date"], F.trunc("date", "MM"), {"_run": ("sum", "_d")})
+    return run.join(F.broadcast(firsts), "_one").select("date", (F.col("_base") + F.col("_run")).alias("equity"))
+
+
+def fill(df: DataFrame, col: str, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("bar_ix",), part: Column | None = None,
+         backward: bool = True) -> DataFrame:
+    """Last known value up to each row; optionally the first one ahead where nothing came before."""
+    keys, order = list(keys), list(order)
+    d = df.withColumn("_part", part if part is not None else F.floor(F.col(order[0]) / F.lit(SPAN)))
+    up = Window.partitionBy(*keys, "_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = d.withColumn("_l", F.last(col, ignorenulls=True).over(up))
+    at = F.when(F.col(col).isNotNull(), F.struct(*order))
+    ends = d.groupBy(*keys, "_part").agg(F.max_by(col, at).alias("_e"), F.min_by(col, at).alias("_s"))
+    past = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select(*keys, "_part", F.last("_e", ignorenulls=True).over(past).alias("_p"), F.first("_s", ignorenulls=True).over(whole).alias("_n"))
+    out = local.join(ends, [*keys, "_part"])
+    picks = ["_l", "_p", "_n"] if backward else ["_l", "_p"]
+    return out.withColumn(f"{col}_filled", F.coalesce(*picks)).drop("_l", "_p", "_n", "_part")

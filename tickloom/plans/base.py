@@ -7,7 +7,11 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..functions import scalars as S
+from ..operators.equity import daily_equity
+from ..operators.indicators import Needs, home_rows, indicator_frame
 from ..operators.ledger import Account, ledger
+from ..operators.metrics import trade_metrics
 from ..operators.rules import IBS
 from ..session import materialise
 from ..sources import bars as B
@@ -52,7 +56,77 @@ class Tables:
 
     def ibs_trades(self) -> DataFrame:
         """Trades of the default range-position rule on a fractional account."""
-        return ledger(self.bars(), IBS, account=ACCOUNT).drop("combo_id")
+        return self._kept("ibs-trades", lambda: ledger(self.bars(), IBS, account=ACCOUNT).drop("combo_id"))
+
+    def equity(self) -> DataFrame:
+        """Daily equity per symbol of those trades."""
+        return self._kept("daily-equity", lambda: daily_equity(self.ibs_trades(), self.bars(), ACCOUNT.capital))
+
+    def all_trades(self) -> DataFrame:
+        """Trades of three settings of the range-position rule, as strategies."""
+        def build():
+            combos = [IBS.params(ibs_entry_threshold=a, ibs_exit_threshold=b) for a, b in STRATEGIES.values()]
+            name = F.array(*[F.lit(k) for k in STRATEGIES])
+            return ledger(self.bars(), IBS, combos, ACCOUNT).withColumn("strategy", name[F.col("combo_id")]).drop("combo_id")
+        return self._kept("all-trades", build)
+
+    def screens(self) -> DataFrame:
+        """Two screening runs: one on trades closed before 2000, one on all."""
+        def build():
+            tr = self.all_trades().filter("closed").withColumn("universe", F.when(F.col("symbol").isin("AMERICA", "EUROPE"), "north").otherwise("south"))
+            stamps = [F.lit(r).cast("timestamp") for r in RUNS]
+            runs = F.when(F.col("exit_date") < F.lit(MID).cast("date"), F.array(*stamps)).otherwise(F.array(stamps[1]))
+            tr = tr.withColumn("timestamp", F.explode(runs))
+            return trade_metrics(tr, ["timestamp", "strategy", "universe", "symbol"]).drop("final_capital")
+        return self._kept("screens", build)
+
+    def validations(self) -> DataFrame:
+        """Screening rows with test figures and a verdict."""
+        def build():
+            s = self.screens().withColumns({"robustness_pct": F.col("win_rate") * 150, "stable": F.col("profit_factor") > 0.7,
+                                            "ttest_p": F.when(F.col("sharpe") > 0, F.lit(0.04)).otherwise(F.lit(0.5))})
+            return s.withColumn("verdict", S.verdict(F.col("robustness_pct") >= 65, F.col("stable"), F.col("ttest_p") < 0.1))
+        return self._kept("validations", build)
+
+    def paper(self) -> DataFrame:
+        """Paper positions as of the book date: whole shares for 5000 per trade, closes booked 8 days late."""
+        def build():
+            d = F.lit(BOOK).cast("date")
+            p = self.all_trades().filter((F.col("entry_date") <= d) & (F.col("strategy") != "ibs_tight"))
+            shut = F.coalesce(F.col("closed") & (F.col("exit_date") <= F.date_sub(d, 8)), F.lit(False))
+            p = p.withColumns({
+                "id": F.concat_ws("-", "strategy", "symbol", "entry_ix"), "shares": F.floor(5000 / F.col("entry_price")).cast("double"),
+                "status": F.when(shut, "closed").otherwise("open"), "exit_date": F.when(shut, F.col("exit_date")), "exit_price": F.when(shut, F.col("exit_price"))})
+            gain = F.col("exit_price") - F.col("entry_price")
+            return p.select("id", "strategy", "symbol", "entry_date", "entry_price", "shares", "status", "exit_date", "exit_price",
+                            (gain * F.col("shares")).alias("pnl_dollars"), (gain / F.col("entry_price") * 100).alias("pnl_pct"),
+                            F.concat(F.lit("entry "), "symbol").alias("notes"), F.when(F.month("entry_date") == 12, F.lit("december")).alias("tags"))
+        return self._kept("paper", build)
+
+    def live(self) -> DataFrame:
+        """Live trades that follow every second paper position at slightly worse prices."""
+        def build():
+            p = self.paper().filter(F.substring_index("id", "-", -1).cast("int") % 2 == 0)
+            ep, xp = F.col("entry_price") * 1.001, F.col("exit_price") * 0.999
+            pnl = (xp - ep) * F.col("shares") - 2.0
+            return p.select(F.concat(F.lit("L"), "id").alias("id"), "strategy", "symbol", "entry_date", ep.alias("entry_price"), "shares", "status", "exit_date",
+                            xp.alias("exit_price"), F.lit(1.0).alias("fees_entry"), F.when(F.col("status") == "closed", F.lit(1.0)).alias("fees_exit"), pnl.alias("pnl_dollars"),
+                            (pnl / (ep * F.col("shares")) * 100).alias("pnl_pct"), F.lit("filled").alias("notes"), F.col("id").alias("paper_position_id"))
+        return self._kept("live", build)
+
+    def signal_log(self) -> DataFrame:
+        """Signals of two strategies on each of the last 60 days before the book date."""
+        def build():
+            f = home_rows(indicator_frame(self.bars(), Needs(sma={200})))
+            d = F.lit(BOOK).cast("date")
+            f = f.filter((F.col("date") > F.date_sub(d, 60)) & (F.col("date") <= d))
+            ok = F.coalesce(F.col("close") > F.col("sma_200"), F.lit(False))
+            ibs_row = F.struct(F.lit("ibs").alias("strategy"), F.when((F.col("ibs") < 0.2) & ok, "BUY").otherwise("NO_SIGNAL").alias("signal"), F.col("ibs").alias("indicator_value"),
+                               F.to_json(F.struct(F.round("ibs", 4).alias("ibs"), ok.alias("trend_ok"))).alias("details_json"))
+            tom_row = F.struct(F.lit("ibs_loose").alias("strategy"), F.when(F.col("days_left") <= 5, "BUY").otherwise("NO_SIGNAL").alias("signal"), F.col("days_left").cast("double").alias("indicator_value"),
+                               F.to_json(F.struct(F.col("days_left").alias("days_left"))).alias("details_json"))
+            return f.select(F.col("date").cast("timestamp").alias("timestamp"), "symbol", F.col("close").alias("close_price"), F.inline(F.array(ibs_row, tom_row)))
+        return self._kept("signal-log", build)
 
     def raw_history(self) -> DataFrame:
         """Bars as a provider would deliver them: a 4:1 split in one symbol, a few bad rows."""
@@ -69,6 +143,9 @@ class Tables:
         )
 
 
+STRATEGIES = {"ibs": (0.2, 0.8), "ibs_loose": (0.25, 0.7), "ibs_tight": (0.15, 0.9)}
+RUNS = ("2000-01-01 18:00:00", "2001-11-05 18:00:00")
+BOOK = "2000-03-17"
 ACCOUNT = Account(capital=100_000.0, slippage=0.0003, fees="forex_saxo")
 STRICT = Account(capital=10_000.0, slippage=0.0003, fees="us_stocks_usd_account", whole_shares=True)
 
@@ -262,3 +339,23 @@ def walk_cte(name: str, cands: str, capital: float, fraction: float, slip: float
     cte(f"{name}_state", f"SELECT {keys}, w.skip AS n_skipped, w.cap AS final_capital FROM {name}_walk", f"{name}_walk")
     cte(name, f"SELECT {keys}, unnest(w.out, recursive := true) FROM {name}_walk", f"{name}_walk")
     return name
+
+
+# ---------------------------------------------------------------- stored tables
+
+for _k, (_a, _b) in STRATEGIES.items():
+    ibs_ctes(f"st_{_k}", thr=_a, xthr=_b)
+cte("all_trades", " UNION ALL ".join(f"SELECT '{k}' AS strategy, * FROM st_{k}" for k in STRATEGIES), *[f"st_{k}" for k in STRATEGIES])
+cte("screen_src", f"""SELECT *, CASE WHEN symbol IN ('AMERICA', 'EUROPE') THEN 'north' ELSE 'south' END AS universe,
+  CAST(unnest(CASE WHEN exit_date < DATE '{MID}' THEN ['{RUNS[0]}', '{RUNS[1]}'] ELSE ['{RUNS[1]}'] END) AS TIMESTAMP) AS timestamp FROM all_trades WHERE closed""", "all_trades")
+cte("screens", f"SELECT * EXCLUDE (final_capital) FROM ({metrics_sql('screen_src', 'timestamp, strategy, universe, symbol')})", "screen_src")
+cte("validations", """SELECT *, CASE WHEN robustness_pct >= 65 AND stable AND ttest_p < 0.1 THEN 'VALIDATED' WHEN robustness_pct >= 65 AND (stable OR ttest_p < 0.1) THEN 'CONDITIONAL' ELSE 'REJECTED' END AS verdict
+  FROM (SELECT *, win_rate * 150 AS robustness_pct, profit_factor > 0.7 AS stable, CASE WHEN sharpe > 0 THEN 0.04 ELSE 0.5 END AS ttest_p FROM screens)""", "screens")
+cte("paper", f"""SELECT id, strategy, symbol, entry_date, entry_price, shares, CASE WHEN shut THEN 'closed' ELSE 'open' END AS status, CASE WHEN shut THEN exit_date END AS exit_date, CASE WHEN shut THEN exit_price END AS exit_price,
+   CASE WHEN shut THEN (exit_price - entry_price) * shares END AS pnl_dollars, CASE WHEN shut THEN (exit_price - entry_price) / entry_price * 100 END AS pnl_pct, 'entry ' || symbol AS notes, CASE WHEN month(entry_date) = 12 THEN 'december' END AS tags
+  FROM (SELECT *, strategy || '-' || symbol || '-' || entry_ix AS id, floor(5000 / entry_price) AS shares, coalesce(closed AND exit_date <= DATE '{BOOK}' - 8, false) AS shut FROM all_trades WHERE entry_date <= DATE '{BOOK}' AND strategy <> 'ibs_tight')""", "all_trades")
+cte("live", """SELECT 'L' || id AS id, strategy, symbol, entry_date, ep AS entry_price, shares, status, exit_date, xp AS exit_price, 1.0 AS fees_entry, CASE WHEN status = 'closed' THEN 1.0 END AS fees_exit,
+   (xp - ep) * shares - 2.0 AS pnl_dollars, ((xp - ep) * shares - 2.0) / (ep * shares) * 100 AS pnl_pct, 'filled' AS notes, id AS paper_position_id
+  FROM (SELECT *, entry_price * CAST(1.001 AS DOUBLE) AS ep, exit_price * CAST(0.999 AS DOUBLE) AS xp FROM paper WHERE CAST(split_part(id, '-', -1) AS INT) % 2 = 0)""", "paper")
+cte("signal_log", f"""SELECT CAST(date AS TIMESTAMP) AS timestamp, symbol, close AS close_price, 'ibs' AS strategy, CASE WHEN ibs < 0.2 AND close > sma_200 THEN 'BUY' ELSE 'NO_SIGNAL' END AS signal, ibs AS indicator_value, coalesce(close > sma_200, false) AS trend_ok, NULL AS left_days FROM ind WHERE date > DATE '{BOOK}' - 60 AND date <= DATE '{BOOK}'
+  UNION ALL SELECT CAST(date AS TIMESTAMP), symbol, close, 'ibs_loose', CASE WHEN days_left <= 5 THEN 'BUY' ELSE 'NO_SIGNAL' END, days_left, NULL, days_left FROM ind WHERE date > DATE '{BOOK}' - 60 AND date <= DATE '{BOOK}'""", "ind")

@@ -1,5 +1,6 @@
-"""Imports every plan module so that its queries are registered."""
+"""Imports every plan module, in the order their shared CTEs build on each other."""
 
-from . import base, inputs, reports, trading
+from . import base
+from . import inputs, trading, reports, dashboard  # noqa: F401,I001
 
 QUERIES, ORACLES = base.QUERIES, base.ORACLES

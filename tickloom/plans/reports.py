@@ -25,7 +25,7 @@ cte("trc", "SELECT * FROM tr WHERE closed", "tr")
 
 @query("AGG1", with_("tr", body=metrics_sql("tr")), round=METRIC_DIGITS)
 def agg1(t):
-    return M.trade_metrics(t.ibs_trades(), ["symbol"])
+    return M.trade_metrics(ledger(t.bars(), IBS, account=ACCOUNT), ["symbol"])
 
 
 cte("rsi_post", """SELECT *, before * 0.2 * r AS pnl, 0.2 * r / (1 + 0.2 * r) AS return_pct FROM (
@@ -123,7 +123,7 @@ def agg7(t):
 
 
 @query("AGG7_best", with_("gm", body="""SELECT symbol, arg_max(combo_id, {'a': profit_factor, 'b': -combo_id}) AS best_combo, max(profit_factor) AS best_pf, arg_min(combo_id, {'a': profit_factor, 'b': combo_id}) AS worst_combo, min(profit_factor) AS worst_pf
-   FROM gm WHERE profit_factor IS NOT NULL GROUP BY symbol"""), round={"best_pf": 6, "worst_pf": 6}, ints=("best_combo", "worst_combo"))
+   FROM (SELECT symbol, combo_id, round(profit_factor, 9) AS profit_factor FROM gm) WHERE profit_factor IS NOT NULL GROUP BY symbol"""), round={"best_pf": 6, "worst_pf": 6}, ints=("best_combo", "worst_combo"))
 def agg7_best(t):
     _, _, m = grid_runs(t)
     m = m.filter(F.abs("profit_factor") < float("inf")).withColumn("profit_factor", F.round("profit_factor", 9))

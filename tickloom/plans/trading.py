@@ -450,7 +450,7 @@ def led5_skips(t):
 
 @query("LED6", with_("tr", body=f"SELECT {_TCOLS} FROM tr"), round=TRADE_DIGITS)
 def led6(t):
-    return trades_out(t.ibs_trades().withColumn("combo_id", F.lit(0)))
+    return trades_out(ledger(t.bars(), IBS, account=ACCOUNT))
 
 
 @query("LED7", with_("tr", body="""SELECT symbol, count(*) FILTER (NOT closed) AS n_open, sum(pnl) FILTER (NOT closed) AS open_pnl, 100000 + sum(pnl) AS final_capital FROM tr GROUP BY symbol"""),
