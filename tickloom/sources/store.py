@@ -69,11 +69,19 @@ def validation_documents(rows: DataFrame, symbols_per_document: int = 5000) -> D
     )
 
 
+def write_documents(docs: DataFrame, name: str) -> str:
+    """One file per document, in a folder per strategy, universe and part."""
+    where = ["strategy", "universe", "part"]
+    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    docs.repartition(*where).write.partitionBy(*where).json(path)
+    return path
+
+
 def read_validation_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per asset of every JSON document in a folder, with the file it came from."""
     schema = (
-        "strategy string, universe string, assets array<struct<symbol:string,n_trades:bigint,win_rate:double,profit_factor:double,"
-        "sharpe:double,net_return_pct:double,robustness_pct:double,stable:boolean,ttest_p:double,verdict:string>>"
+        "assets array<struct<symbol:string,n_trades:bigint,win_rate:double,profit_factor:double,sharpe:double,net_return_pct:double,"
+        "robustness_pct:double,stable:boolean,ttest_p:double,verdict:string>>, strategy string, universe string, part int"
     )
     docs = spark.read.schema(schema).option("multiLine", True).json(path)
     return docs.select("strategy", "universe", F.col("_metadata.file_name").alias("file_name"), F.inline("assets"))
