@@ -198,8 +198,8 @@ cte("bt_shape", "SELECT symbol, max(block) + 1 AS nb, count(*) AS n, round(least
 cte("bt_dist", """SELECT d.symbol, d.sim, round(least(100.0, avg(b.r) / stddev_pop(b.r)), 9) AS sharpe FROM (
    SELECT s.symbol, sim, (((sim * 104729 + slot * 1299709 + 42 * 7919) % 2147483648 * 1103515245 + 12345) % 2147483648) % s.nb AS block FROM bt_shape s, range(1000) x(sim), range(100000) y(slot) WHERE slot < s.nb AND s.n >= 30) d
   JOIN bt_blocks b ON b.symbol = d.symbol AND b.block = d.block GROUP BY ALL""", "bt_blocks", "bt_shape")
-cte("boot", """SELECT s.symbol, s.n AS n_trades, s.real_sharpe, CASE WHEN s.n < 5 THEN 1.0 WHEN s.n < 30 THEN 0.5 ELSE avg(CASE WHEN d.sharpe >= s.real_sharpe THEN 1.0 ELSE 0.0 END) END AS p_value,
-   quantile_cont(d.sharpe, 0.05) AS ci_low, quantile_cont(d.sharpe, 0.95) AS ci_high, s.n < 30 AS underpowered FROM bt_shape s LEFT JOIN bt_dist d USING (symbol) GROUP BY ALL""", "bt_shape", "bt_dist")
+cte("boot", """SELECT s.symbol, s.n AS n_trades, s.real_sharpe, CASE WHEN s.n < 5 THEN 1.0 WHEN s.n < 30 THEN 0.5 ELSE d.p END AS p_value, d.ci_low, d.ci_high, s.n < 30 AS underpowered FROM bt_shape s LEFT JOIN (
+   SELECT symbol, avg(CASE WHEN d.sharpe >= x.real_sharpe THEN 1.0 ELSE 0.0 END) AS p, quantile_cont(d.sharpe, 0.05) AS ci_low, quantile_cont(d.sharpe, 0.95) AS ci_high FROM bt_dist d JOIN bt_shape x USING (symbol) GROUP BY symbol) d USING (symbol)""", "bt_shape", "bt_dist")
 
 
 def closed(t):
