@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialise
 from .spans import Affine, affine_scan, span_order, spread
 
 FIXED_POINT = 1_000_000.0  # prices are summed as whole millionths: exact and order-free
@@ -93,17 +94,19 @@ def _since(ix: int, value: Column) -> Column:
 def indicator_frame(bars: DataFrame, needs: Needs, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Bars with every column in ``needs``; rows are partitioned by ``(keys, span)``.
 
-    Rolling columns share one exchange and one sort. Recurrences add one small join, and a
-    second exchange only when a rule also looks back on them.
+    Recurrences come first, by blocks; rolling columns and look-backs then share one
+    exchange and one sort.
     """
     keys = list(keys)
-    need_prev = needs.rsi or needs.atr or needs.adx
+    if needs.recursive:
+        bars = _recurrences(with_previous(bars, keys), needs, keys)
     f = spread(bars, before=needs.reach, after=needs.ahead)
     w = span_order(keys)
-    f = f.withColumn("ibs", ibs())
+    first = {"ibs": ibs()}
     if needs.sma:
         fixed = F.round(F.col("close") * FIXED_POINT).cast("long")
-        f = f.withColumn("_cum", F.sum(fixed).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        first["_cum"] = F.sum(fixed).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    f = f.withColumns(first)
     cols: dict[str, Column] = {}
     for p in sorted(needs.sma):
         total = F.col("_cum") - F.coalesce(F.lag("_cum", p).over(w), F.lit(0))
@@ -112,26 +115,27 @@ def indicator_frame(bars: DataFrame, needs: Needs, keys: Sequence[str] = ("symbo
         cols[f"high_{p}"] = _since(p, F.max("high").over(w.rowsBetween(-p, -1)))
     for p in sorted(needs.low):
         cols[f"low_{p}"] = _since(p, F.min("low").over(w.rowsBetween(-p, -1)))
-    if need_prev:
-        cols |= {"_pc": F.lag("close").over(w), "_ph": F.lag("high").over(w), "_pl": F.lag("low").over(w)}
     if cols:
-        f = f.withColumns(cols)
-    f = f.drop("_cum")
-    if needs.recursive:
-        f = _recurrences(f.filter("home").drop("span", "home"), needs, keys)
-        f = spread(f, before=max((n for ns in needs.lags.values() for n in ns), default=0), after=needs.ahead)
+        f = f.withColumns(cols).drop("_cum")
     lags = {lag_name(c, n): F.lag(c, n).over(w) for c, ns in needs.lags.items() for n in sorted(ns)}
-    if lags:
-        f = f.withColumns(lags)
-    return f
+    return f.withColumns(lags) if lags else f
+
+
+def with_previous(bars: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Yesterday's close, high and low; taken as they are when the bar table has them."""
+    if "prev_close" in bars.columns:
+        return bars
+    w = span_order(list(keys))
+    f = spread(bars, before=1).withColumns({f"prev_{c}": F.lag(c).over(w) for c in ("close", "high", "low")})
+    return f.filter("home").drop("span", "home")
 
 
 def home_rows(frame: DataFrame) -> DataFrame:
-    return frame.filter("home").drop("home")
+    return frame.filter("home").drop("home") if "home" in frame.columns else frame
 
 
 def _recurrences(f: DataFrame, needs: Needs, keys: list[str]) -> DataFrame:
-    pc, ph, pl = F.col("_pc"), F.col("_ph"), F.col("_pl")
+    pc, ph, pl = F.col("prev_close"), F.col("prev_high"), F.col("prev_low")
     specs = [_ema(p) for p in sorted(needs.ema)]
     delta = F.coalesce(F.col("close") - pc, F.lit(0.0)) if needs.rsi else None
     for p in sorted(needs.rsi):
@@ -159,6 +163,7 @@ def _recurrences(f: DataFrame, needs: Needs, keys: list[str]) -> DataFrame:
             done[f"{out}_{p}"] = F.when(tr > 0, 100 * F.try_divide(F.col(num), tr)).otherwise(F.lit(0.0))
     f = f.withColumns(done) if done else f
     if needs.adx:
+        f = materialise(f, "directional")  # read by both halves of the next scan
         second = []
         for p in sorted(needs.adx):
             a, b = F.col(f"di_plus_{p}"), F.col(f"di_minus_{p}")

@@ -40,8 +40,12 @@ def needs_of(rule: RuleSpec, combos: Sequence[dict]) -> Needs:
     return reduce(lambda a, b: a.merge(b), [rule.needs(p) for p in combos], Needs())
 
 
-def frame_for(bars: DataFrame, rule: RuleSpec, combos: Sequence[dict], keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    return indicator_frame(bars, needs_of(rule, combos), keys)
+def frame_for(bars: DataFrame, rule: RuleSpec, combos: Sequence[dict], keys: Sequence[str] = ("symbol",), store: bool | None = None) -> DataFrame:
+    """Indicators for a rule. Stored as a table when they are costly, since pairing reads them twice."""
+    needs = needs_of(rule, combos)
+    frame = indicator_frame(bars, needs, keys)
+    keep = (needs.recursive and not rule.ahead_exits) if store is None else store
+    return materialise(home_rows(frame), f"indicators-{rule.key}") if keep else frame
 
 
 def _exit_struct(e: Exit, ix, date, prio: int = 3) -> Column:
@@ -475,12 +479,17 @@ def ledger(
     bars: DataFrame, rule: RuleSpec, combos: Sequence[dict] | None = None, account: Account = Account(),
     keys: Sequence[str] = ("symbol",), start: Column | None = None, end: Column | None = None,
     sides: Sequence[int] = (LONG,), frame: DataFrame | None = None, accounts: Sequence[Account] | None = None,
-    legacy: bool = False,
+    legacy: bool = False, only: Column | None = None,
 ) -> DataFrame:
-    """Bars to settled trades; picks the closed form wherever it is exact."""
+    """Bars to settled trades; picks the closed form wherever it is exact.
+
+    ``only`` limits the (key, combination) pairs that are run.
+    """
     combos = [rule.params()] if combos is None else list(combos)
     frame = frame_for(bars, rule, combos, keys) if frame is None else frame
     found = candidates(frame, rule, combos, keys, start, end, sides)
+    if only is not None:
+        found = found.filter(only)
     fractions = {account.fraction or p.get("position_fraction", 1.0) for p in combos}
     stops = {float(p.get("sl_percent", 0.0)) for p in combos}
     plain = rule.exits is not None and len(sides) == 1 and stops == {0.0} and not any(p.get("cooldown_candles") for p in combos)

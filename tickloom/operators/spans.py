@@ -54,54 +54,50 @@ def affine_scan(df: DataFrame, specs: Sequence[Affine], keys: Sequence[str], ix:
     """Solve linear recurrences by blocks.
 
     Inside a block the closed form ``decay**t * sum(step * decay**-t)`` is one window sum.
-    The value a block starts from is folded from the ends of the blocks before it; the
-    number of blocks looked at reaches down to the smallest double, so nothing is cut off.
+    The value a block starts from is folded from the ends of the blocks before it, which are
+    plain sums that combine on the map side; the number of blocks looked at reaches down to
+    the smallest double, so nothing is cut off. ``step`` may only read columns of ``df``.
     """
     pos = F.col(ix) % F.lit(BLOCK)
+    blk = F.floor(F.col(ix) / F.lit(BLOCK))
     w = Window.partitionBy(*keys, "_blk").orderBy(ix).rowsBetween(Window.unboundedPreceding, 0)
-    cols, ends, carries, reach = {}, [], {}, 1
-    for s in specs:
-        if s.decay <= 0.0:
-            cols[f"_loc_{s.out}"] = s.step
-            continue
+    scans = [s for s in specs if s.decay > 0.0]
+    cols, ends, carries, done, reach = {}, [], {}, {}, 1
+    for s in scans:
         if BLOCK * -math.log(s.decay) > 700:
             raise ValueError(f"decay {s.decay} is too fast for blocks of {BLOCK}")
         grow = F.pow(F.lit(1.0 / s.decay), pos)
-        cols[f"_loc_{s.out}"] = F.sum(F.coalesce(s.step, F.lit(0.0)) * grow).over(w) / grow
-    local = df.withColumn("_blk", F.floor(F.col(ix) / F.lit(BLOCK))).withColumns(cols)
-    scans = [s for s in specs if s.decay > 0.0]
-    for s in scans:
-        ends.append(F.max_by(f"_loc_{s.out}", ix).alias(f"_end_{s.out}"))
+        lifted = F.coalesce(s.step, F.lit(0.0)) * grow
+        cols[f"_loc_{s.out}"] = F.sum(lifted).over(w) / grow
+        ends.append((F.sum(lifted) * F.lit(s.decay ** (BLOCK - 1))).alias(f"_end_{s.out}"))
         reach = max(reach, math.ceil(_LN_TINY / (BLOCK * -math.log(s.decay))))
-    block_ends = local.groupBy(*keys, "_blk").agg(*ends)
+    for s in specs:
+        done[s.out] = s.step
+    if not scans:
+        return df.withColumns(done)
+    block_ends = df.withColumn("_blk", blk).groupBy(*keys, "_blk").agg(*ends)
     block_ends = spread(block_ends, before=reach, size=max(SPAN, reach), ix="_blk")
     back = span_order(keys, "_blk").rowsBetween(-reach, -1)
     for s in scans:
         carries[f"_in_{s.out}"] = _folded(F.collect_list(f"_end_{s.out}").over(back), s.decay**BLOCK)
+        lead_in = F.pow(F.lit(s.decay), pos + 1) * F.coalesce(F.col(f"_in_{s.out}"), F.lit(0.0))
+        done[s.out] = F.col(f"_loc_{s.out}") + lead_in
     carry = block_ends.withColumns(carries).filter("home").select(*keys, "_blk", *carries)
-    joined = local.join(carry, [*keys, "_blk"], "left")
-    done = {
-        s.out: (
-            F.col(f"_loc_{s.out}") + F.pow(F.lit(s.decay), pos + 1) * F.coalesce(F.col(f"_in_{s.out}"), F.lit(0.0))
-            if s.decay > 0.0
-            else F.col(f"_loc_{s.out}")
-        )
-        for s in specs
-    }
-    return joined.withColumns(done).drop("_blk", *cols, *carries)
+    local = df.withColumn("_blk", blk).withColumns(cols)
+    return local.join(carry, [*keys, "_blk"], "left").withColumns(done).drop("_blk", *cols, *carries)
 
 
 def next_hit(df: DataFrame, hits: dict[str, Column], keys: Sequence[str], ix: str = "bar_ix") -> DataFrame:
     """For every row the first non-null hit at or after it, across span borders.
 
     ``hits`` maps an output name to a struct column that starts with the bar index and is
-    NULL where there is no hit. ``df`` carries ``span`` and only home rows, and every span
-    starts with a row, so the value on its first row is what the spans before it look for.
+    NULL where there is no hit. ``df`` carries ``span`` and only home rows. The first hit of
+    each span is a map-side minimum; only those minima are ordered over a whole key.
     """
     back = Window.partitionBy(*keys, "span").orderBy(F.col(ix).desc()).rowsBetween(Window.unboundedPreceding, 0)
     marked = df.withColumns({f"_h_{k}": v for k, v in hits.items()})
     local = marked.withColumns({f"_l_{k}": F.last(f"_h_{k}", ignorenulls=True).over(back) for k in hits})
-    heads = local.filter(F.col(ix) % SPAN == 0).select(*keys, "span", *[f"_l_{k}" for k in hits])
+    heads = marked.groupBy(*keys, "span").agg(*[F.min(f"_h_{k}").alias(f"_l_{k}") for k in hits])
     later = Window.partitionBy(*keys).orderBy(F.col("span").desc()).rowsBetween(Window.unboundedPreceding, -1)
     heads = heads.select(*keys, "span", *[F.last(f"_l_{k}", ignorenulls=True).over(later).alias(f"_n_{k}") for k in hits])
     joined = local.join(heads, [*keys, "span"], "left")

@@ -8,8 +8,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import scalars as S
+from ..session import materialise
 from . import metrics as M
-from .ledger import Account, ledger
+from .indicators import home_rows
+from .ledger import Account, frame_for, ledger
 from .rules import RuleSpec
 
 
@@ -54,18 +56,43 @@ def halves(bars: DataFrame, rule: RuleSpec, params: dict, account: Account, peri
     return out.groupBy("symbol").agg(*wide).withColumn("stable", (F.col("pf_a") > 1) & (F.col("pf_b") > 1))
 
 
+def period_frame(frame: DataFrame, periods: Periods) -> DataFrame:
+    """Indicator rows once per period they belong to: ``oos``, and its halves ``a`` and ``b``.
+
+    Indicators keep their full history; a period only decides which bars a rule may see.
+    """
+    lo, hi = periods.within(periods.start, periods.end)
+    half = F.when(F.col("date") < F.lit(periods.mid).cast("date"), F.lit("a")).otherwise(F.lit("b"))
+    return home_rows(frame).filter(lo & hi).withColumn("period", F.explode(F.array(F.lit("oos"), half)))
+
+
 def validate(bars: DataFrame, rule: RuleSpec, account: Account, periods: Periods, params: dict | None = None,
              grid: dict | None = None, alpha: float = 0.10, min_pct: float = 80.0) -> DataFrame:
-    """All four tests per symbol and the verdict."""
+    """All four tests per symbol and the verdict, from one pass over the bars.
+
+    The default set and the grid run side by side (combination 0 and the rest) over the
+    period and its halves; the ledger is stored once and every test is an aggregate of it.
+    """
     params = rule.params() if params is None else params
     combos = rule.combos(grid, **{k: v for k, v in params.items() if k not in (grid or rule.grid)})
-    start, end = periods.within(periods.start, periods.end)
+    every = [params, *combos]
+    keys = ["symbol", "period"]
+    frame = period_frame(frame_for(bars, rule, every), periods)
+    keep = (F.col("combo_id") == 0) | (F.col("period") == "oos")
+    trades = materialise(ledger(frame, rule, every, account, keys=keys, frame=frame, only=keep), "validation-trades")
+    start, _ = periods.within(periods.start, periods.end)
     symbols = usable_symbols(bars, start, rule.warmup(params))
-    trades = ledger(bars, rule, [params], account, start=start, end=end)
-    base = M.trade_metrics(trades, ["symbol"], account.capital)
-    rob = M.robustness(grid_metrics(bars, rule, combos, account, start, end, symbols), len(combos), symbols, min_pct=min_pct)
-    sub = halves(bars, rule, params, account, periods)
-    tt = M.t_test(trades, ["symbol"], alpha).select("symbol", "t_stat", "p_value", "significant", "label")
+    m = M.trade_metrics(trades, [*keys, "combo_id"], account.capital)
+    base = m.filter("period = 'oos' AND combo_id = 0").drop("period", "combo_id")
+    warm = F.array(*[F.lit(rule.warmup(p)) for p in combos])
+    runs = m.filter("period = 'oos' AND combo_id > 0").withColumn("combo_id", F.col("combo_id") - 1)
+    runs = runs.join(symbols, "symbol").filter(F.col("start_ix") >= warm[F.col("combo_id")])
+    rob = M.robustness(runs, len(combos), symbols, min_pct=min_pct)
+    pick = lambda h, c: F.coalesce(F.max(F.when(F.col("period") == h, F.col(c))), F.lit(0))
+    wide = [pick(h, c).alias(f"{n}_{h}") for h in "ab" for c, n in (("n_trades", "n_trades"), ("profit_factor", "pf"), ("sharpe", "sharpe"))]
+    sub = m.filter("period <> 'oos' AND combo_id = 0").groupBy("symbol").agg(*wide).withColumn("stable", (F.col("pf_a") > 1) & (F.col("pf_b") > 1))
+    tt = M.t_test(trades.filter("period = 'oos' AND combo_id = 0"), ["symbol"], alpha).select("symbol", "t_stat", "p_value", "significant", "label")
     out = symbols.select("symbol").join(base, "symbol", "left").join(rob, "symbol").join(sub, "symbol", "left").join(tt, "symbol", "left")
-    out = out.fillna(0, ["n_trades", "win_rate", "profit_factor", "sharpe", "net_return_pct"]).fillna(False, ["stable", "significant"]).fillna(1.0, ["p_value"])
+    out = out.fillna(0, ["n_trades", "win_rate", "profit_factor", "sharpe", "net_return_pct", "pf_a", "pf_b"])
+    out = out.fillna(False, ["stable", "significant"]).fillna(1.0, ["p_value"])
     return out.withColumn("verdict", S.verdict(F.col("robust"), F.col("stable"), F.col("significant")))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
 from ..presets import WALK_FORWARD
+from ..session import materialise
 from . import metrics as M
 from .ledger import Account, ledger
 from .rules import RuleSpec
@@ -64,13 +65,15 @@ def segments(bars: DataFrame, plan: Plan = Plan()) -> DataFrame:
 
     every = F.concat(part("is", 0, plan.is_bars), part("oos", plan.oos_offset, plan.oos_bars))
     out = bars.join(last, "symbol").select(*bars.columns, F.inline(every))
-    return out.withColumn("bar_ix", F.col("_ix")).drop("_ix")
+    fresh = {c: F.when(F.col("_ix") > 0, F.col(c)) for c in out.columns if c.startswith("prev_")}
+    return out.withColumns({"bar_ix": F.col("_ix"), **fresh}).drop("_ix")
 
 
 def segment_metrics(seg: DataFrame, rule: RuleSpec, combos: Sequence[dict], account: Account) -> DataFrame:
     """Older metric set per (segment, combination); combinations without trades are rows of zeros.
 
     Returns are measured on the capital after the trade and annualised by calendar length.
+    The result is stored: every step of a search reads it.
     """
     tr = ledger(seg, rule, combos, account, keys=SEGMENT).filter("closed").withColumn("_r", F.col("pnl") / F.col("capital_after"))
     pnl = F.col("pnl")
@@ -82,9 +85,9 @@ def segment_metrics(seg: DataFrame, rule: RuleSpec, combos: Sequence[dict], acco
     j = grid.join(m, [*SEGMENT, "combo_id"], "left")
     sh = F.least(F.lit(100.0), F.try_divide(F.col("_m"), F.col("_s")) * F.sqrt(F.col("n") / F.greatest(F.col("_days"), F.lit(1.0)) * 365))
     ok = (F.col("n") >= 3) & (F.col("_s") > 1e-10)
-    return j.select(
+    return materialise(j.select(
         *SEGMENT, "combo_id", F.coalesce(F.when(ok, sh), F.lit(0.0)).alias("sharpe"), F.coalesce("ret", F.lit(0.0)).alias("net_return_pct"),
-        F.coalesce("pf", F.lit(0.0)).alias("profit_factor"), F.coalesce("n", F.lit(0)).alias("n_trades"))
+        F.coalesce("pf", F.lit(0.0)).alias("profit_factor"), F.coalesce("n", F.lit(0)).alias("n_trades")), "segment-metrics")
 
 
 def sample_key(i: int, seed: int = 42) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators.indicators import Needs, home_rows, indicator_frame, lag_name, periods_of
+from ..operators.indicators import Needs, home_rows, indicator_frame, lag_name, periods_of, true_range
 from ..operators.rules import RSI2
 from ..presets import ALIASES, FALLBACK_MARKET, MARKETS
 from ..sources import bars as B, store
@@ -296,12 +296,7 @@ cte("trange", """SELECT *, CASE WHEN pc IS NULL THEN high - low ELSE greatest(hi
 
 @query("IND3", with_("trange", body="SELECT symbol, bar_ix, tr FROM trange"), round={"tr": 6})
 def ind3(t):
-    from ..operators.indicators import true_range
-    from ..operators.spans import span_order, spread
-
-    f = spread(t.bars(), before=1)
-    f = f.withColumn("tr", true_range(F.lag("close").over(span_order(["symbol"]))))
-    return home_rows(f).select("symbol", "bar_ix", "tr")
+    return t.bars().select("symbol", "bar_ix", true_range(F.col("prev_close")).alias("tr"))
 
 
 unrolled("atr14", "trange", "tr", 1, 14, 13 / 14, 1 / 14, "list_avg", "trange")

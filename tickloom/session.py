@@ -15,6 +15,8 @@ def build_session(app: str = "tickloom", master: str | None = None, cores: int =
     if master:
         b = b.master(master).config("spark.driver.memory", os.environ.get("TICKLOOM_DRIVER_MEMORY", "12g"))
         b = b.config("spark.sql.shuffle.partitions", str(cores)).config("spark.ui.enabled", "false")
+        # small test data: keep all local cores busy instead of merging into one task
+        b = b.config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     return (
         b.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")

@@ -75,23 +75,30 @@ def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PREVIOUS = ("close", "high", "low")
+
+
 def index_bars(bars: DataFrame, keys: Sequence[str] = ("symbol",), bucket: Column | None = None) -> DataFrame:
-    """Add ``month``, ``dom``, ``days_left`` and the per-key position ``bar_ix``.
+    """Add ``month``, ``dom``, ``days_left``, the per-key position ``bar_ix`` and yesterday's prices.
 
-    Ranks are taken inside one month; months are offset by a running count over the month
-    totals. No task ever orders all bars of a key.
+    Ranks and lags are taken inside one month; the offset of a month and the prices before
+    it come from one row per month. No task ever orders all bars of a key.
     """
     by_month = bars.withColumn("month", bucket if bucket is not None else F.trunc("date", "MM"))
-    inside = Window.partitionBy(*keys, "month")
-    totals = by_month.groupBy(*keys, "month").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.partitionBy(*keys).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, "month", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"))
+    inside = Window.partitionBy(*keys, "month").orderBy("date")
+    totals = by_month.groupBy(*keys, "month").agg(F.count(F.lit(1)).alias("_n"), *[F.max_by(c, "date").alias(f"_e_{c}") for c in PREVIOUS])
+    months = Window.partitionBy(*keys).orderBy("month")
+    earlier = months.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, "month", "_n", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_off"),
+        *[F.lag(f"_e_{c}").over(months).alias(f"_e_{c}") for c in PREVIOUS])
+    ranked = by_month.withColumns({"dom": F.row_number().over(inside), **{f"_p_{c}": F.lag(c).over(inside) for c in PREVIOUS}})
     return (
-        by_month.withColumn("dom", F.row_number().over(inside.orderBy("date")))
-        .join(offsets, [*keys, "month"])
-        .withColumn("days_left", (F.col("_n") - F.col("dom") + 1).cast("int"))
-        .withColumn("bar_ix", (F.col("_off") + F.col("dom") - 1).cast("int"))
-        .drop("_n", "_off")
+        ranked.join(offsets, [*keys, "month"])
+        .withColumns({
+            "days_left": (F.col("_n") - F.col("dom") + 1).cast("int"), "bar_ix": (F.col("_off") + F.col("dom") - 1).cast("int"),
+            **{f"prev_{c}": F.coalesce(f"_p_{c}", f"_e_{c}") for c in PREVIOUS}})
+        .drop("_n", "_off", *[f"_{x}_{c}" for c in PREVIOUS for x in "pe"])
     )
 
 
