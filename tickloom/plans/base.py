@@ -277,11 +277,11 @@ def ibs_ctes(p: str, thr=0.2, xthr=0.8, sma=200, where="true", frac=0.2, cap=100
 ibs_ctes("tr")
 
 
-def pf_sql(pnl: str = "pnl", cond: str = "true") -> str:
-    """Profit factor with infinity already NULL."""
+def pf_sql(pnl: str = "pnl", cond: str = "true", inf: str = "NULL") -> str:
+    """Profit factor; infinity is NULL unless asked for."""
     win = f"coalesce(sum(CASE WHEN {cond} AND {pnl} > 0 THEN {pnl} END), 0)"
     loss = f"abs(coalesce(sum(CASE WHEN {cond} AND {pnl} <= 0 THEN {pnl} END), 0))"
-    return f"CASE WHEN {loss} = 0 THEN (CASE WHEN {win} > 0 THEN NULL ELSE 0 END) ELSE {win} / {loss} END"
+    return f"CASE WHEN {loss} = 0 THEN (CASE WHEN {win} > 0 THEN {inf} ELSE 0 END) ELSE {win} / {loss} END"
 
 
 def sharpe_sql(cond: str = "true") -> str:
@@ -291,10 +291,13 @@ def sharpe_sql(cond: str = "true") -> str:
     return f"CASE WHEN {n} >= 2 AND {sd} > 0 THEN avg({c('return_pct')}) / {sd} * sqrt({n} / ({span} / 252.0)) ELSE 0 END"
 
 
-def metrics_sql(table: str, keys: str = "symbol", capital: float = 100000.0) -> str:
+INF = "'infinity'::DOUBLE"
+
+
+def metrics_sql(table: str, keys: str = "symbol", capital: float = 100000.0, inf: str = "NULL") -> str:
     return f"""SELECT {keys}, count(CASE WHEN closed THEN 1 END) AS n_trades,
       CASE WHEN count(CASE WHEN closed THEN 1 END) > 0 THEN count(CASE WHEN closed AND pnl > 0 THEN 1 END) / count(CASE WHEN closed THEN 1 END) ELSE 0 END AS win_rate,
-      {pf_sql(cond='closed')} AS profit_factor, {sharpe_sql('closed')} AS sharpe,
+      {pf_sql(cond='closed', inf=inf)} AS profit_factor, {sharpe_sql('closed')} AS sharpe,
       coalesce(sum(pnl), 0) / {capital} * 100 AS net_return_pct, coalesce(sum(pnl), 0) + {capital} AS final_capital
       FROM {table} GROUP BY {keys}"""
 

@@ -9,7 +9,7 @@ from ..operators.ledger import ledger, variant
 from ..operators.rules import IBS, RSI2, TOM
 from ..operators.validation import Periods, grid_metrics, halves, usable_symbols, validate
 from ..presets import FEES, STOP_LEVELS
-from .base import ACCOUNT, METRIC_DIGITS, MID, SPLIT, STRICT, cte, ibs_ctes, metrics_sql, pf_sql, query, sharpe_sql, walk_cte, with_
+from .base import ACCOUNT, INF, METRIC_DIGITS, MID, SPLIT, STRICT, cte, ibs_ctes, metrics_sql, pf_sql, query, sharpe_sql, walk_cte, with_
 from .inputs import trend_context
 from .trading import ITOM, _US, old_rsi_trades, tail_sql
 
@@ -83,7 +83,9 @@ cte("gtr1", """SELECT t.symbol, t.combo_id, t.entry_ix, t.exit_ix, t.exit_ix IS
 cte("gtr", """SELECT *, before * 0.2 * return_pct AS pnl FROM (SELECT *, 100000 * coalesce(product(1 + 0.2 * return_pct) OVER (PARTITION BY symbol, combo_id ORDER BY entry_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before
    FROM (SELECT *, (xp - ep) / ep - 0.000075 - xp / ep * 0.000075 AS return_pct FROM gtr1))""", "gtr1")
 cte("gm", f"SELECT symbol, combo_id, count(*) FILTER (closed) AS n_trades, {pf_sql(cond='closed')} AS profit_factor, {sharpe_sql('closed')} AS sharpe FROM gtr GROUP BY ALL", "gtr")
-cte("gpf", "SELECT s.symbol, g.*, CASE WHEN m.n_trades >= 3 THEN m.profit_factor ELSE 0 END AS pf0, CASE WHEN m.n_trades >= 3 AND m.profit_factor IS NULL THEN 'infinity'::DOUBLE WHEN m.n_trades >= 3 THEN m.profit_factor ELSE 0 END AS pf FROM (SELECT DISTINCT symbol FROM bars) s CROSS JOIN igrid g LEFT JOIN gm m ON m.symbol = s.symbol AND m.combo_id = g.combo_id", "bars", "igrid", "gm")
+cte("usable", f"""SELECT symbol, start_ix FROM (SELECT symbol, count(*) AS n, greatest(coalesce(min(bar_ix) FILTER (date >= DATE '{SPLIT}'), count(*)), 210) AS start_ix FROM bars GROUP BY symbol) WHERE n - start_ix >= 50""", "bars")
+cte("gpf", f"""SELECT s.symbol, g.*, CASE WHEN m.n_trades >= 3 AND s.start_ix >= g.per + 10 THEN coalesce(m.profit_factor, {INF}) ELSE 0 END AS pf
+  FROM usable s CROSS JOIN igrid g LEFT JOIN gm m ON m.symbol = s.symbol AND m.combo_id = g.combo_id""", "usable", "igrid", "gm")
 cte("rob", """SELECT symbol, count(*) AS n_combos, count(*) FILTER (pf > 1) AS n_profitable, count(*) FILTER (pf > 1) / count(*) * 100 AS pct_profitable, max(pf) AS best_pf, min(pf) AS worst_pf,
   quantile_cont(pf, 0.5) AS median_pf, count(*) FILTER (pf > 1) / count(*) * 100 >= 80 AS robust FROM gpf GROUP BY symbol""", "gpf")
 PER = Periods(SPLIT, MID)
@@ -160,7 +162,7 @@ def agg9(t):
 ibs_ctes("ha", where=f"date >= DATE '{SPLIT}' AND date < DATE '{MID}'")
 ibs_ctes("hb", where=f"date >= DATE '{MID}'")
 cte("half", f"""SELECT symbol, coalesce(a.n_trades, 0) AS n_trades_a, coalesce(a.profit_factor, 0) AS pf_a, coalesce(a.sharpe, 0) AS sharpe_a, coalesce(b.n_trades, 0) AS n_trades_b, coalesce(b.profit_factor, 0) AS pf_b, coalesce(b.sharpe, 0) AS sharpe_b,
-  coalesce(a.profit_factor > 1 AND b.profit_factor > 1, false) AS stable FROM ({metrics_sql('ha')}) a FULL JOIN ({metrics_sql('hb')}) b USING (symbol)""", "ha", "hb")
+  coalesce(a.profit_factor > 1 AND b.profit_factor > 1, false) AS stable FROM ({metrics_sql('ha', inf=INF)}) a FULL JOIN ({metrics_sql('hb', inf=INF)}) b USING (symbol)""", "ha", "hb")
 _HALF = {"pf_a": 6, "sharpe_a": 6, "pf_b": 6, "sharpe_b": 6}
 
 
