@@ -82,3 +82,19 @@ def test_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(ValueError):
         session.shared_dir(Fake())
+
+
+def test_ranks_and_percentiles_of_a_large_group(spark):
+    import numpy as np
+
+    from tickloom.operators.ranks import percentiles, ranked
+
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0, 1, 4000), rng.standard_cauchy(500), np.zeros(300)]).round(4)
+    df = spark.createDataFrame(pd.DataFrame({"k": ["a"] * len(x) + ["b"] * 3 + ["c"], "i": range(len(x) + 4), "v": [*x, 1.0, 1.0, 1.0, 5.0]}))
+    got = percentiles(df, ["k"], "v", {"p1": 0.01, "p50": 0.5, "p99": 0.99}).toPandas().set_index("k")
+    np.testing.assert_allclose(got.loc["a"].astype(float), np.percentile(x, [1, 50, 99]), atol=1e-12)
+    assert list(got.loc["b"]) == [1.0] * 3 and list(got.loc["c"]) == [5.0] * 3
+    r = ranked(df.filter("k = 'a'"), ["k"], "v", "i").orderBy("rank").toPandas()
+    want = pd.DataFrame({"v": x, "i": range(len(x))}).sort_values(["v", "i"], ascending=[False, True])
+    assert list(r.i) == list(want.i) and list(r["rank"]) == list(range(1, len(x) + 1))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import scalars as S
 from ..presets import STOP_LEVELS
 from . import metrics as M
+from .ranks import percentiles
 
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 
@@ -18,36 +19,42 @@ def distribution(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     r = F.col("return_pct") * 100
     n, sd = F.count(r), F.stddev_pop(r)
     flat = (n < 3) | (sd == 0)
-    q = F.percentile(r, F.array(*[F.lit(p / 100) for p in PERCENTS]))
     g = trades.groupBy(*keys).agg(
         n.alias("n_trades"), F.avg(r).alias("mean"), sd.alias("std"), F.when(flat, 0.0).otherwise(F.skewness(r)).alias("skew"),
         F.when(flat, 0.0).otherwise(F.kurtosis(r)).alias("excess_kurtosis"), F.min(r).alias("min"), F.max(r).alias("max"),
-        F.coalesce(F.avg(F.when(r > 0, r)), F.lit(0.0)).alias("avg_win"), F.coalesce(F.avg(F.when(r <= 0, r)), F.lit(0.0)).alias("avg_loss"), q.alias("_q"),
+        F.coalesce(F.avg(F.when(r > 0, r)), F.lit(0.0)).alias("avg_win"), F.coalesce(F.avg(F.when(r <= 0, r)), F.lit(0.0)).alias("avg_loss"),
     )
+    q = percentiles(trades.withColumn("_r", r), keys, "_r", {f"p{p}": p / 100 for p in PERCENTS})
     ratio = F.when(F.col("avg_loss") != 0, F.abs(F.try_divide(F.col("avg_win"), F.col("avg_loss")))).otherwise(F.lit(float("inf")))
-    cols = {f"p{p}": F.col("_q")[i] for i, p in enumerate(PERCENTS)}
-    return g.withColumns({**cols, "wl_ratio": ratio}).drop("_q")
-
-
-def ranked(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Trades ranked by profit, best first."""
-    w = Window.partitionBy(*keys).orderBy(F.col("pnl").desc(), F.col("entry_ix"))
-    return trades.withColumn("rank", F.row_number().over(w))
+    return g.join(q, list(keys)).withColumn("wl_ratio", ratio)
 
 
 def concentration(trades: DataFrame, keys: Sequence[str], tops: Sequence[int] = (5, 10, 20)) -> DataFrame:
-    """Share of profit in the top N trades, and profit factor and win rate without them."""
-    pnl, aggs = F.col("pnl"), []
-    for n in tops:
-        rest = F.when(F.col("rank") > n, pnl)
-        aggs += [
-            F.sum(F.when(F.col("rank") <= n, pnl)).alias(f"top_{n}_pnl"),
-            F.when(F.count(pnl) > n, M.profit_factor(rest)).alias(f"pf_without_{n}"),
-            F.when(F.count(pnl) > n, M.win_rate(rest)).alias(f"wr_without_{n}"),
-        ]
-    g = ranked(trades, keys).groupBy(*keys).agg(F.sum(pnl).alias("total_pnl"), *aggs)
-    share = {f"top_{n}_pct": F.when(F.col("total_pnl") != 0, F.try_divide(F.col(f"top_{n}_pnl"), F.col("total_pnl")) * 100).otherwise(0.0) for n in tops}
-    return g.withColumns(share).drop(*[f"top_{n}_pnl" for n in tops])
+    """Share of profit in the top N trades, and profit factor and win rate without them.
+
+    Only the best ``max(tops)`` trades of a group are ranked (the limit is applied before the
+    shuffle); what is left without them is the group's sums less theirs.
+    """
+    pnl = F.col("pnl")
+    sums = {"n": F.count(pnl), "w": F.count_if(pnl > 0), "gp": M.gross_profit(pnl), "gl": M.gross_loss(pnl)}
+    total = trades.groupBy(*keys).agg(F.sum(pnl).alias("total_pnl"), *[c.alias(f"_{k}") for k, c in sums.items()])
+    w = Window.partitionBy(*keys).orderBy(pnl.desc(), F.col("entry_ix"))
+    best = trades.select(*keys, "pnl", "entry_ix").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= max(tops))
+    aggs = []
+    for t in tops:
+        own = F.when(F.col("rank") <= t, pnl)
+        aggs += [F.sum(own).alias(f"_s{t}"), F.count(own).alias(f"_n{t}"), F.count_if(own > 0).alias(f"_w{t}"), M.gross_profit(own).alias(f"_gp{t}"), M.gross_loss(own).alias(f"_gl{t}")]
+    g = total.join(best.groupBy(*keys).agg(*aggs), list(keys))
+    out = {}
+    for t in tops:
+        left = {k: F.col(f"_{k}") - F.col(f"_{k}{t}") for k in sums}
+        more = F.col("_n") > t
+        # nothing but rounding dust may remain of losses that are all gone
+        gl = F.when(F.abs(left["gl"]) < 1e-9 * F.greatest(F.col("_gl"), F.lit(1.0)), 0.0).otherwise(left["gl"])
+        out[f"top_{t}_pct"] = F.when(F.col("total_pnl") != 0, F.try_divide(F.col(f"_s{t}"), F.col("total_pnl")) * 100).otherwise(0.0)
+        out[f"pf_without_{t}"] = F.when(more, M.ratio_or_inf(left["gp"], gl))
+        out[f"wr_without_{t}"] = F.when(more, F.try_divide(left["w"], left["n"]))
+    return g.select(*keys, "total_pnl", *[c.alias(k) for k, c in out.items()])
 
 
 def duration_bucket(days: Column) -> Column:

@@ -168,8 +168,18 @@ def with_mark(cands: DataFrame, bars: DataFrame, keys: Sequence[str] = ("symbol"
     return cands.join(last, list(keys), "left")
 
 
+SETTLE_SPAN = 4096
+
+
 def settle(trades: DataFrame, account: Account, fraction: float, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Closed form of the account: capital is a running product of ``1 + fraction * return``."""
+    """Closed form of the account: capital is a running product of ``1 + fraction * return``.
+
+    The trades are stored, then the product is taken in two steps: inside a span of bars,
+    times the products of the spans before it. The drawdown stop is the first trade that
+    leaves too little, one number per account.
+    """
+    keys = list(keys)
+    group = [*keys, "combo_id"]
     fee = S.fee_literals(account.fees)
     d, closed = F.col("direction"), F.col("exit").isNotNull()
     slip = F.when(F.col("exit.slip"), F.lit(account.slippage)).otherwise(F.lit(0.0))
@@ -184,22 +194,29 @@ def settle(trades: DataFrame, account: Account, fraction: float, keys: Sequence[
     })
     one = F.lit(1.0) / F.col("entry_price")
     r = S.net_pnl(d, F.col("entry_price"), F.col("exit_price"), one, F.col("holding_days"), fee)
-    t = t.withColumn("return_pct", r)
-    order = Window.partitionBy(*keys, "combo_id").orderBy("entry_ix")
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    t = t.withColumns({"return_pct": r, "_part": F.floor(F.col("entry_ix") / F.lit(SETTLE_SPAN))})
+    t = materialise(t.drop("exit", "mark_ix", "mark_price", "entry_open"), "trades")
     f = F.lit(fraction)
-    t = t.withColumn("_before", F.coalesce(F.product(1 + f * F.col("return_pct")).over(before), F.lit(1.0)) * account.capital)
-    t = t.withColumns({
-        "capital_after": F.col("_before") * (1 + f * F.col("return_pct")),
+    grow = 1 + f * F.col("return_pct")
+    inside = Window.partitionBy(*group, "_part").orderBy("entry_ix")
+    parts = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    local = t.withColumns({
+        "_rel": F.coalesce(F.product(grow).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(1.0)), "_grow": grow})
+    local = local.withColumn("_top", F.max(F.col("_rel") * F.col("_grow")).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = local.groupBy(*group, "_part").agg(F.product("_grow").alias("_all"), F.max("_top").alias("_high"))
+    totals = totals.withColumn("_start", F.coalesce(F.product("_all").over(parts), F.lit(1.0)) * account.capital)
+    totals = totals.withColumn("_peak", F.coalesce(F.max(F.col("_start") * F.col("_high")).over(parts), F.lit(account.capital)))
+    t = local.join(totals.select(*group, "_part", "_start", "_peak"), [*group, "_part"])
+    t = t.withColumn("_before", F.col("_start") * F.col("_rel")).withColumns({
+        "capital_after": F.col("_before") * F.col("_grow"),
         "quantity": F.col("_before") * f / F.col("entry_price"),
         "pnl": F.col("_before") * f * F.col("return_pct"),
     })
     floor = F.lit(1 - account.max_drawdown_pct / 100)
-    peak = F.greatest(F.max("capital_after").over(upto), F.lit(account.capital))
-    t = t.withColumn("_broke", (F.col("capital_after") < peak * floor).cast("int"))
-    stopped = F.coalesce(F.max("_broke").over(before), F.lit(0)) == 1
-    t = t.withColumn("_stopped", stopped).filter("NOT _stopped")
+    peak = F.greatest(F.lit(account.capital), "_peak", F.col("_start") * F.col("_top"))
+    broke = F.when(F.col("capital_after") < peak * floor, F.col("entry_ix"))
+    halted = t.groupBy(*group).agg(F.min(broke).alias("_halt")).filter("_halt IS NOT NULL")
+    t = t.join(halted, group, "left").filter("_halt IS NULL OR entry_ix <= _halt")
     qty = F.col("quantity")
     return t.withColumns({
         "entry_fee": S.entry_cost(F.col("entry_price") * qty, fee),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..operators.indicators import Needs, home_rows, indicator_frame, lag_name, periods_of, true_range
+from ..operators.indicators import Needs, home_rows, indicator_frame, periods_of, true_range
 from ..operators.rules import RSI2
 from ..presets import ALIASES, FALLBACK_MARKET, MARKETS
 from ..sources import bars as B, store
@@ -367,13 +367,13 @@ def ind11(t):
 
 def snapshot(t, end=None):
     """Latest bar per symbol with what the daily rules read."""
-    needs = Needs(sma={5, 200}, rsi={2}).lag("high")
+    needs = Needs(sma={5, 200}, rsi={2})
     b = t.bars() if end is None else t.bars().filter(F.col("date") <= F.lit(end).cast("date"))
     f = home_rows(indicator_frame(b, needs)).withColumn("ibs", F.coalesce("ibs", F.lit(0.5)))
-    cols = ["bar_ix", "date", "open", "high", "low", "close", lag_name("high"), "rsi_2", "sma_5", "sma_200", "ibs", "dom", "days_left"]
+    cols = ["bar_ix", "date", "open", "high", "low", "close", "prev_high", "rsi_2", "sma_5", "sma_200", "ibs", "dom", "days_left"]
     left = F.col("days_left") if end is None else None
     last = f.groupBy("symbol").agg(F.max_by(F.struct(*cols), "bar_ix").alias("r"))
-    out = last.select("symbol", "r.*").withColumnRenamed(lag_name("high"), "prev_high")
+    out = last.select("symbol", "r.*")
     # the newest bar always counts as the last one of the bars present in its month
     return out.withColumn("days_left", F.lit(1)) if left is None else out
 

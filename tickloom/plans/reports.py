@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import equity as E, forensics as X, metrics as M
 from ..operators.ledger import ledger, variant
+from ..operators.ranks import percentiles, ranked
 from ..operators.rules import IBS, RSI2, TOM
 from ..operators.validation import Periods, grid_metrics, halves, usable_symbols, validate
 from ..presets import FEES, STOP_LEVELS
@@ -231,7 +232,7 @@ def agg15(t):
 
 @query("WIN7", with_("trk", body="SELECT symbol, entry_ix, rank FROM trk"))
 def win7(t):
-    return X.ranked(closed(t), ["symbol"]).select("symbol", "entry_ix", "rank")
+    return ranked(closed(t), ["symbol"], "pnl", "entry_ix").select("symbol", "entry_ix", "rank")
 
 
 _BK = "CASE WHEN holding_days = 1 THEN 'Short (1d)' WHEN holding_days BETWEEN 2 AND 3 THEN 'Medium (2-3d)' WHEN holding_days BETWEEN 4 AND 7 THEN 'Long (4-7d)' WHEN holding_days >= 8 THEN 'Very long (8+d)' END"
@@ -295,7 +296,9 @@ def agg20(t):
     pnl = F.col("pnl")
     g = closed(t).filter(F.col("symbol").isin("EUROPE", "AFRICA")).groupBy("symbol").agg(
         F.count(F.lit(1)).cast("double").alias("n_trades"), M.win_rate(pnl).alias("win_rate"), M.profit_factor(pnl).alias("profit_factor"),
-        (F.avg("return_pct") * 100).alias("mean_return"), F.percentile(F.col("return_pct") * 100, F.lit(0.5)).alias("median_return"))
+        (F.avg("return_pct") * 100).alias("mean_return"))
+    mid = percentiles(closed(t).withColumn("r", F.col("return_pct") * 100), ["symbol"], "r", {"median_return": 0.5})
+    g = g.join(mid, "symbol")
     long = g.unpivot(["symbol"], ["n_trades", "win_rate", "profit_factor", "mean_return", "median_return"], "metric", "value")
     return long.groupBy("metric").pivot("symbol", ["EUROPE", "AFRICA"]).agg(F.max("value")).withColumnsRenamed({"EUROPE": "reference", "AFRICA": "other"})
 
@@ -317,9 +320,9 @@ def agg21(t):
 @query("AGG21_mae", with_("mae", body="SELECT symbol, " + ", ".join(f"quantile_cont(mae_pct, {p / 100}) AS q{p}" for p in (50, 25, 10, 5, 1)) + ", min(mae_pct) AS worst FROM mae GROUP BY symbol"),
        round={**{f"q{p}": 8 for p in (50, 25, 10, 5, 1)}, "worst": 8})
 def agg21_mae(t):
-    ps = (50, 25, 10, 5, 1)
-    g = excursions(t).groupBy("symbol").agg(F.percentile("mae_pct", F.array(*[F.lit(p / 100) for p in ps])).alias("q"), F.min("mae_pct").alias("worst"))
-    return g.select("symbol", *[F.col("q")[i].alias(f"q{p}") for i, p in enumerate(ps)], "worst")
+    ex = excursions(t)
+    q = percentiles(ex, ["symbol"], "mae_pct", {f"q{p}": p / 100 for p in (50, 25, 10, 5, 1)})
+    return q.join(ex.groupBy("symbol").agg(F.min("mae_pct").alias("worst")), "symbol")
 
 
 @query("AGG21_level", with_("slw", body="SELECT coalesce(symbol, 'ALL') AS symbol, max(level) FILTER (n_stopped / n_trades * 100 < 3 AND (n_stopped = 0 OR n_winners / n_stopped * 100 < 50)) AS recommended FROM slw GROUP BY ALL"), round={"recommended": 2})

@@ -288,9 +288,9 @@ cte("sig_in", """SELECT i.*, r.rsi_2, CASE WHEN i.bar_ix % 4 = 0 THEN 'open' WHE
 
 def every_bar(t):
     """All bars with what the daily rules read, and a position state that cycles through the cases."""
-    f = home_rows(indicator_frame(t.bars(), Needs(sma={5, 200}, rsi={2}).lag("high"))).filter("sma_200 IS NOT NULL AND rsi_2 IS NOT NULL")
+    f = home_rows(indicator_frame(t.bars(), Needs(sma={5, 200}, rsi={2}))).filter("sma_200 IS NOT NULL AND rsi_2 IS NOT NULL")
     k = F.col("bar_ix") % 4
-    return f.withColumnRenamed("high_lag1", "prev_high").withColumns({
+    return f.withColumns({
         "status": F.when(k == 0, "open").when(k == 1, "pending").otherwise("none"), "watch": F.col("bar_ix") % 7 == 0})
 
 
