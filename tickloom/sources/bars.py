@@ -30,7 +30,7 @@ def ohlcv(ticks: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
 
 
 def lineitem_ticks(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
-    """One tick per order line; the symbol is the supplier's region or nation.
+    """One tick per order line; the symbol is the supplier, or its nation or region.
 
     Prices are whole cents. The order key packs (order, line, cents), so equal keys mean
     equal prices and open/close do not depend on row order.
@@ -39,6 +39,16 @@ def lineitem_ticks(spark: SparkSession, sf_dir: str, grain: str = "region") -> D
         "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_shipdate"
     )
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_retailprice")
+    cents = F.floor(F.col("p_retailprice") * (1 - F.col("l_discount")) * 100 + 0.5).cast("long")
+    tick = [
+        F.to_date("l_shipdate").alias("date"),
+        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * F.lit(CENT_SLOTS) + cents).alias("seq"),
+        (cents / F.lit(100.0)).alias("price"),
+        F.col("l_quantity").alias("qty"),
+    ]
+    priced = li.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    if grain == "supplier":
+        return priced.select(F.concat(F.lit("S"), F.col("l_suppkey")).alias("symbol"), *tick)
     nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey")
     place = read_table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey").join(
         nation, F.col("s_nationkey") == F.col("n_nationkey")
@@ -49,18 +59,7 @@ def lineitem_ticks(spark: SparkSession, sf_dir: str, grain: str = "region") -> D
         place = place.select("s_suppkey", F.col("r_name").alias("symbol"))
     else:
         place = place.select("s_suppkey", F.col("n_name").alias("symbol"))
-    cents = F.floor(F.col("p_retailprice") * (1 - F.col("l_discount")) * 100 + 0.5).cast("long")
-    return (
-        li.join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .join(place, F.col("l_suppkey") == F.col("s_suppkey"))
-        .select(
-            "symbol",
-            F.to_date("l_shipdate").alias("date"),
-            ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * F.lit(CENT_SLOTS) + cents).alias("seq"),
-            (cents / F.lit(100.0)).alias("price"),
-            F.col("l_quantity").alias("qty"),
-        )
-    )
+    return priced.join(place, F.col("l_suppkey") == F.col("s_suppkey")).select("symbol", *tick)
 
 
 def event_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
