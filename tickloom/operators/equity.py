@@ -103,13 +103,22 @@ def buy_and_hold(bars: DataFrame, capital: float) -> DataFrame:
 
 
 def trade_curve(trades: DataFrame, capital: float, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Equity after each closed trade with its drawdown from the peak, in percent."""
-    part = F.floor(F.col("exit_ix") / F.lit(SPAN))
-    run = running(trades, list(keys), ["exit_ix"], part, {"_made": ("sum", "pnl")})
-    run = run.withColumn("equity", F.lit(capital) + F.col("_made"))
-    run = running(run, list(keys), ["exit_ix"], part, {"_top": ("max", "equity")})
-    peak = F.greatest(F.col("_top"), F.lit(capital))
-    return run.withColumn("drawdown_pct", (F.col("equity") - peak) / peak * 100).drop("_made", "_top")
+    """Equity after each closed trade with its drawdown from the peak, in percent.
+
+    Sum and peak are taken inside a span of bars; the capital and peak a span starts from
+    come from one row per span.
+    """
+    keys = list(keys)
+    t = trades.withColumn("_p", F.floor(F.col("exit_ix") / F.lit(SPAN)))
+    upto = Window.partitionBy(*keys, "_p").orderBy("exit_ix").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    local = t.withColumn("_rel", F.sum("pnl").over(upto)).withColumn("_top", F.max("_rel").over(upto))
+    parts = local.groupBy(*keys, "_p").agg(F.sum("pnl").alias("_all"), F.max("_rel").alias("_high"))
+    parts = parts.withColumn("_start", F.lit(capital) + F.coalesce(F.sum("_all").over(before), F.lit(0.0)))
+    parts = parts.withColumn("_peak", F.max(F.col("_start") + F.col("_high")).over(before)).select(*keys, "_p", "_start", "_peak")
+    out = local.join(parts, [*keys, "_p"]).withColumn("equity", F.col("_start") + F.col("_rel"))
+    peak = F.greatest(F.lit(capital), F.col("_peak"), F.col("_start") + F.col("_top"))
+    return out.withColumn("drawdown_pct", (F.col("equity") - peak) / peak * 100).drop("_p", "_rel", "_top", "_start", "_peak")
 
 
 def max_drawdown(equity: DataFrame, keys: Sequence[str], order: str, part: Column, value: str = "equity") -> DataFrame:
@@ -123,14 +132,17 @@ def portfolio_equity(equity: DataFrame) -> DataFrame:
     """Sum of all symbols' equity on every date, gaps filled forward and leading gaps backward.
 
     With every symbol worth its first value until it starts, the total is the sum of first
-    values plus a running sum of daily changes, so no date-by-symbol grid is built.
+    values (booked before all dates) plus a running sum of daily changes, so no
+    date-by-symbol grid is built.
     """
     w = span_order(["symbol"])
     steps = home_rows(spread(equity, before=1).withColumn("_d", F.col("equity") - F.lag("equity").over(w)))
-    firsts = equity.groupBy("symbol").agg(F.min_by("equity", "bar_ix").alias("_f")).agg(F.sum("_f").alias("_base"), F.lit(1).alias("_one"))
-    days = steps.groupBy("date").agg(F.coalesce(F.sum("_d"), F.lit(0.0)).alias("_d"), F.lit(1).alias("_one"))
-    run = running(days, [], ["date"], F.trunc("date", "MM"), {"_run": ("sum", "_d")})
-    return run.join(F.broadcast(firsts), "_one").select("date", (F.col("_base") + F.col("_run")).alias("equity"))
+    origin = F.lit("0001-01-01").cast("date")
+    opening = equity.groupBy("symbol").agg(F.min_by("equity", "bar_ix").alias("_d")).select(origin.alias("date"), "_d")
+    moves = steps.select("date", F.coalesce("_d", F.lit(0.0)).alias("_d")).unionByName(opening)
+    days = moves.groupBy("date").agg(F.sum("_d").alias("_d"))
+    run = running(days, [], ["date"], F.trunc("date", "MM"), {"equity": ("sum", "_d")})
+    return run.filter(F.col("date") > origin).select("date", "equity")
 
 
 def fill(df: DataFrame, col: str, keys: Sequence[str] = ("symbol",), order: Sequence[str] = ("bar_ix",), part: Column | None = None,

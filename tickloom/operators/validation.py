@@ -45,15 +45,16 @@ def grid_metrics(bars: DataFrame, rule: RuleSpec, combos: Sequence[dict], accoun
 
 def halves(bars: DataFrame, rule: RuleSpec, params: dict, account: Account, periods: Periods) -> DataFrame:
     """Profit factor and Sharpe in both halves; each half starts from a fresh account."""
-    out = None
-    for tag, lo, hi in (("a", periods.start, periods.mid), ("b", periods.mid, periods.end)):
-        a, b = periods.within(lo, hi)
-        m = M.trade_metrics(ledger(bars, rule, [params], account, start=a, end=b), ["symbol"], account.capital)
-        m = m.select("symbol", F.lit(tag).alias("half"), "n_trades", "profit_factor", "sharpe")
-        out = m if out is None else out.unionByName(m)
-    pick = lambda h, c: F.coalesce(F.max(F.when(F.col("half") == h, F.col(c))), F.lit(0))
+    frame = period_frame(frame_for(bars, rule, [params]), periods).filter("period <> 'oos'")
+    trades = ledger(frame, rule, [params], account, keys=["symbol", "period"], frame=frame)
+    return side_by_side(M.trade_metrics(trades, ["symbol", "period"], account.capital))
+
+
+def side_by_side(m: DataFrame) -> DataFrame:
+    """Half metrics in columns; stable when both halves earn."""
+    pick = lambda h, c: F.coalesce(F.max(F.when(F.col("period") == h, F.col(c))), F.lit(0))
     wide = [pick(h, c).alias(f"{n}_{h}") for h in "ab" for c, n in (("n_trades", "n_trades"), ("profit_factor", "pf"), ("sharpe", "sharpe"))]
-    return out.groupBy("symbol").agg(*wide).withColumn("stable", (F.col("pf_a") > 1) & (F.col("pf_b") > 1))
+    return m.groupBy("symbol").agg(*wide).withColumn("stable", (F.col("pf_a") > 1) & (F.col("pf_b") > 1))
 
 
 def period_frame(frame: DataFrame, periods: Periods) -> DataFrame:
@@ -88,9 +89,7 @@ def validate(bars: DataFrame, rule: RuleSpec, account: Account, periods: Periods
     runs = m.filter("period = 'oos' AND combo_id > 0").withColumn("combo_id", F.col("combo_id") - 1)
     runs = runs.join(symbols, "symbol").filter(F.col("start_ix") >= warm[F.col("combo_id")])
     rob = M.robustness(runs, len(combos), symbols, min_pct=min_pct)
-    pick = lambda h, c: F.coalesce(F.max(F.when(F.col("period") == h, F.col(c))), F.lit(0))
-    wide = [pick(h, c).alias(f"{n}_{h}") for h in "ab" for c, n in (("n_trades", "n_trades"), ("profit_factor", "pf"), ("sharpe", "sharpe"))]
-    sub = m.filter("period <> 'oos' AND combo_id = 0").groupBy("symbol").agg(*wide).withColumn("stable", (F.col("pf_a") > 1) & (F.col("pf_b") > 1))
+    sub = side_by_side(m.filter("period <> 'oos' AND combo_id = 0"))
     tt = M.t_test(trades.filter("period = 'oos' AND combo_id = 0"), ["symbol"], alpha).select("symbol", "t_stat", "p_value", "significant", "label")
     out = symbols.select("symbol").join(base, "symbol", "left").join(rob, "symbol").join(sub, "symbol", "left").join(tt, "symbol", "left")
     out = out.fillna(0, ["n_trades", "win_rate", "profit_factor", "sharpe", "net_return_pct", "pf_a", "pf_b"])

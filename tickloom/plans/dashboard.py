@@ -97,7 +97,7 @@ cte("curve", """SELECT *, equity - greatest(max(equity) OVER w, 10000) AS fall,
 
 
 def strict(t):
-    return ledger(t.bars(), IBS, [IBS.params(cooldown_candles=2)], STRICT).filter("closed")
+    return t._kept("strict-trades", lambda: ledger(t.bars(), IBS, [IBS.params(cooldown_candles=2)], STRICT)).filter("closed")
 
 
 @query("WIN3", with_("curve", body="SELECT symbol, exit_ix, equity, drawdown_pct FROM curve"), round={"equity": 4, "drawdown_pct": 6})
