@@ -75,7 +75,9 @@ def by_bucket(trades: DataFrame, keys: Sequence[str], bucket: Column) -> DataFra
 
 def correlation(trades: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Pearson r with its two-sided p-value; NULL for fewer than three trades."""
-    g = trades.groupBy(*keys).agg(F.corr(F.col(x).cast("double"), y).alias("r"), F.count(F.lit(1)).alias("n"))
+    a, b = F.col(x).cast("double"), F.col(y)
+    safe = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))  # NULL when one side is constant
+    g = trades.groupBy(*keys).agg(safe.alias("r"), F.count(F.lit(1)).alias("n"))
     r, n = F.col("r"), F.col("n")
     t = F.abs(r) * F.sqrt(F.try_divide(n - 2, 1 - r * r))
     p = F.when((n > 2) & (F.abs(r) < 1), 2 * S.student_tail(t, F.greatest(n - 2, F.lit(1))))

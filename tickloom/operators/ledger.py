@@ -368,17 +368,7 @@ def stop_exits(cands: DataFrame, bars: DataFrame, stop_pct: float, slippage: flo
     return own.unionByName(hits).groupBy(*rest).agg(F.min("_hit").alias("exit"))
 
 
-WALK_SPAN = 128
-
-
-@dataclass(frozen=True)
-class Trail:
-    """Per-combination settings of the trend exits."""
-
-    stop_pct: float
-    mult: float
-    exit_mode: str
-    params: dict
+WALK_SPAN = 512
 
 
 def trend_exits(

@@ -114,8 +114,8 @@ def agg6(t):
 _DIMS = {"thr": "ibs_entry_threshold", "xthr": "ibs_exit_threshold", "per": "sma_trend_period"}
 
 
-@query("AGG7", with_("gm", "igrid", body="""SELECT dim, value, avg(profit_factor) AS mean_pf, count(*) FILTER (profit_factor > 1) AS n_above_1, count(*) FILTER (profit_factor > 1.2) AS n_above_12 FROM (
-   SELECT profit_factor, unnest([{'dim': 'thr', 'value': CAST(thr AS DOUBLE)}, {'dim': 'xthr', 'value': CAST(xthr AS DOUBLE)}, {'dim': 'per', 'value': CAST(per AS DOUBLE)}], recursive := true) FROM gm JOIN igrid USING (combo_id)) GROUP BY ALL"""),
+@query("AGG7", with_("gm", "igrid", "usable", body="""SELECT dim, value, avg(profit_factor) AS mean_pf, count(*) FILTER (profit_factor > 1) AS n_above_1, count(*) FILTER (profit_factor > 1.2) AS n_above_12 FROM (
+   SELECT profit_factor, unnest([{'dim': 'thr', 'value': CAST(thr AS DOUBLE)}, {'dim': 'xthr', 'value': CAST(xthr AS DOUBLE)}, {'dim': 'per', 'value': CAST(per AS DOUBLE)}], recursive := true) FROM gm JOIN igrid USING (combo_id) JOIN usable USING (symbol) WHERE start_ix >= per + 10) GROUP BY ALL"""),
        round={"value": 4, "mean_pf": 6})
 def agg7(t):
     combos, _, m = grid_runs(t)
@@ -125,8 +125,8 @@ def agg7(t):
         F.avg(pf).alias("mean_pf"), F.count_if(pf > 1).alias("n_above_1"), F.count_if(pf > 1.2).alias("n_above_12"))
 
 
-@query("AGG7_best", with_("gm", body="""SELECT symbol, arg_max(combo_id, {'a': profit_factor, 'b': -combo_id}) AS best_combo, max(profit_factor) AS best_pf, arg_min(combo_id, {'a': profit_factor, 'b': combo_id}) AS worst_combo, min(profit_factor) AS worst_pf
-   FROM (SELECT symbol, combo_id, round(profit_factor, 9) AS profit_factor FROM gm) WHERE profit_factor IS NOT NULL GROUP BY symbol"""), round={"best_pf": 6, "worst_pf": 6}, ints=("best_combo", "worst_combo"))
+@query("AGG7_best", with_("gm", "igrid", "usable", body="""SELECT symbol, arg_max(combo_id, {'a': profit_factor, 'b': -combo_id}) AS best_combo, max(profit_factor) AS best_pf, arg_min(combo_id, {'a': profit_factor, 'b': combo_id}) AS worst_combo, min(profit_factor) AS worst_pf
+   FROM (SELECT symbol, combo_id, round(profit_factor, 9) AS profit_factor FROM gm JOIN igrid USING (combo_id) JOIN usable USING (symbol) WHERE start_ix >= per + 10) WHERE profit_factor IS NOT NULL GROUP BY symbol"""), round={"best_pf": 6, "worst_pf": 6}, ints=("best_combo", "worst_combo"))
 def agg7_best(t):
     _, _, m = grid_runs(t)
     m = m.filter(F.abs("profit_factor") < float("inf")).withColumn("profit_factor", F.round("profit_factor", 9))
@@ -212,7 +212,7 @@ _Q = ", ".join(f"quantile_cont(r, {p / 100}) AS p{p}" for p in X.PERCENTS)
 
 
 @query("AGG14", with_("trc", body=f"""SELECT symbol, count(*) AS n_trades, avg(r) AS mean, stddev_pop(r) AS std, sum(pow(r - m, 3)) / count(*) / pow(stddev_pop(r), 3) AS skew, sum(pow(r - m, 4)) / count(*) / pow(stddev_pop(r), 4) - 3 AS excess_kurtosis,
-   min(r) AS "min", max(r) AS "max", coalesce(avg(r) FILTER (r > 0), 0) AS avg_win, coalesce(avg(r) FILTER (r <= 0), 0) AS avg_loss, {_Q}, abs(avg(r) FILTER (r > 0) / avg(r) FILTER (r <= 0)) AS wl_ratio
+   min(r) AS "min", max(r) AS "max", coalesce(avg(r) FILTER (r > 0), 0) AS avg_win, coalesce(avg(r) FILTER (r <= 0), 0) AS avg_loss, {_Q}, abs(coalesce(avg(r) FILTER (r > 0), 0) / avg(r) FILTER (r <= 0)) AS wl_ratio
    FROM (SELECT *, return_pct * 100 AS r, avg(return_pct * 100) OVER (PARTITION BY symbol) AS m FROM trc) GROUP BY symbol"""),
        round={**{f"p{p}": 6 for p in X.PERCENTS}, "mean": 6, "std": 6, "skew": 6, "excess_kurtosis": 6, "min": 6, "max": 6, "avg_win": 6, "avg_loss": 6, "wl_ratio": 6})
 def agg14(t):
@@ -251,7 +251,7 @@ def agg16(t):
 
 def corr_sql(table: str, x: str) -> str:
     tt = "(abs(r) * sqrt((n - 2) / (1 - r * r)))"
-    return f"SELECT symbol, r, n, CASE WHEN n > 2 AND abs(r) < 1 THEN 2 * {tail_sql(tt, '(n - 2)')} END AS p_value FROM (SELECT symbol, corr({x}, return_pct) AS r, count(*) AS n FROM {table} GROUP BY symbol)"
+    return f"SELECT symbol, r, n, CASE WHEN n > 2 AND abs(r) < 1 THEN 2 * {tail_sql(tt, '(n - 2)')} END AS p_value FROM (SELECT symbol, CASE WHEN stddev_pop({x}) * stddev_pop(return_pct) > 0 AND count(*) > 2 THEN corr({x}, return_pct) END AS r, count(*) AS n FROM {table} GROUP BY symbol)"
 
 
 @query("AGG16_r", with_("trc", body=corr_sql("trc", "holding_days")), round={"r": 6, "p_value": 6})

@@ -221,7 +221,7 @@ def sta2(t):
 
 
 def dsr_cte(name: str, k: str) -> None:
-    cte(name, f"""SELECT symbol, n_trades, sharpe, top AS max_expected_sharpe, z, {cdf_sql('z')} AS dsr FROM (SELECT *, (sharpe - top) * sqrt(n_trades - 1) / sqrt(CASE WHEN d <= 0 THEN 1e-6 ELSE d END) AS z FROM (
+    cte(name, f"""SELECT symbol, n_trades, sharpe, top AS max_expected_sharpe, z, CASE WHEN n_trades < 5 THEN 0 ELSE {cdf_sql('z')} END AS dsr FROM (SELECT *, (sharpe - top) * sqrt(n_trades - 1) / sqrt(CASE WHEN d <= 0 THEN 1e-6 ELSE d END) AS z FROM (
        SELECT *, sqrt(2 * ln(24)) - (ln(pi()) + 0.5772156649) / (2 * sqrt(2 * ln(24))) AS top, 1 - skewness * sharpe + ({k}) / 4 * sharpe * sharpe AS d FROM mom))""", "mom")
 
 

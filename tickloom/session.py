@@ -9,6 +9,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def build_session(app: str = "tickloom", master: str | None = None, cores: int = 8) -> SparkSession:
     """A session with adaptive execution on and UTC time; a cluster sets its own master."""
     b = SparkSession.builder.appName(app)
@@ -38,9 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
         return named
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    own = tempfile.mkdtemp(prefix="tickloom-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = tempfile.mkdtemp(prefix="tickloom-")
+    return _OWN[app]
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
