@@ -25,7 +25,7 @@ def filtered(df: DataFrame, **equal) -> DataFrame:
 def latest_run(log: DataFrame, strategy: str | None = None) -> DataFrame:
     """Rows of the newest timestamp in the whole log, then the strategy filter."""
     newest = log.agg(F.max("timestamp").alias("timestamp"))
-    return filtered(log.join(newest, "timestamp", "left_semi"), strategy=strategy)
+    return filtered(log.join(F.broadcast(newest), "timestamp", "left_semi"), strategy=strategy)
 
 
 def latest_prices(log: DataFrame) -> DataFrame:

@@ -463,12 +463,12 @@ def pos5(t):
     return K.patched(p, patch, ["notes", "tags"]).select("id", "notes", "tags")
 
 
-@query("POS6", with_("signal_log", body="""SELECT strategy, CASE strategy WHEN 'ibs' THEN 'IBS' ELSE 'Days left' END AS label, count(*) AS n, string_agg(symbol || ':' || signal, ',' ORDER BY symbol) AS signals FROM signal_log WHERE timestamp = (SELECT max(timestamp) FROM signal_log) GROUP BY strategy"""))
+@query("POS6", with_("signal_log", body="""SELECT strategy, CASE strategy WHEN 'ibs' THEN 'IBS' ELSE 'Days left' END AS label, count(*) OVER (PARTITION BY strategy) AS n, symbol, signal, close_price FROM signal_log WHERE timestamp = (SELECT max(timestamp) FROM signal_log) ORDER BY strategy, symbol"""))
 def pos6(t):
     label = F.when(F.col("strategy") == "ibs", "IBS").otherwise("Days left")
     run = K.latest_run(t.signal_log())
-    items = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "symbol", "signal"))), ",")
-    return run.groupBy("strategy", label.alias("label")).agg(F.count(F.lit(1)).alias("n"), items.alias("signals"))
+    counts = run.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
+    return run.join(counts, "strategy").select("strategy", label.alias("label"), "n", "symbol", "signal", "close_price").orderBy("strategy", "symbol")
 
 
 @query("POS7", with_("validations", body=f"""SELECT strategy, universe, count(*) FILTER (timestamp = TIMESTAMP '{RUNS[1]}') AS n_assets, count(*) FILTER (timestamp = TIMESTAMP '{RUNS[1]}' AND changed) AS n_changed, 'done' AS status FROM (

@@ -7,8 +7,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..operators.book import latest
 from ..session import shared_dir
-from ..sources.store import upsert
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -51,24 +51,19 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
 def upsert_bars(stream: DataFrame, name: str, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
     """Bar updates into a table keyed by (symbol, date); replaying a batch changes nothing.
 
-    Each batch writes a new version of the table under its batch id, so a batch that is run
-    twice replaces its own result only.
+    A batch costs what it holds: it is written under its own id, overwriting only an earlier
+    try of itself, and readers take the newest batch per key.
     """
     spark = stream.sparkSession
     root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        s = batch.sparkSession
-        new = batch.groupBy(*keys).agg(*[F.last(c).alias(c) for c in batch.columns if c not in keys]).select(*batch.columns)
-        if batch_id > 0:
-            new = upsert(s.read.schema(batch.schema).parquet(f"{root}/v{batch_id - 1}"), new, list(keys))
-        new.write.mode("overwrite").parquet(f"{root}/v{batch_id}")
-        last.append(batch_id)
-
-    last: list[int] = []
+        batch.dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{root}/table/batch={batch_id}")
+
     q = stream.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/v{last[-1]}")
+    versions = spark.read.option("basePath", f"{root}/table").parquet(f"{root}/table")
+    return latest(versions, list(keys), ["batch"]).select(*stream.columns)
 
 
 def bar_stream(spark: SparkSession, path: str, schema) -> DataFrame:
