@@ -1,8 +1,6 @@
 import math
 
 import pandas as pd
-import pytest
-
 from conftest import walk
 from tickloom.operators import portfolio as P
 from tickloom.operators.rules import IBS, RSI2, TOM

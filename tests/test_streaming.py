@@ -1,7 +1,6 @@
 import pandas as pd
 
 from conftest import walk
-from tickloom.sources import store
 from tickloom.streaming import jobs as J
 
 

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import scalars as S
-from ..operators import book as K, equity as E, metrics as M, portfolio as P
-from ..operators.indicators import home_rows
+from ..operators import book as K, equity as E, portfolio as P
 from ..operators.ledger import Account, ledger
 from ..operators.rules import IBS, RSI2, TOM
 from ..operators.spans import SPAN
 from ..sources import store
-from .base import ACCOUNT, BOOK, RUNS, SPLIT, STRATEGIES, STRICT, cte, pf_sql, query, with_
+from .base import BOOK, RUNS, SPLIT, STRATEGIES, STRICT, cte, pf_sql, query, with_
 
 _SD = {"win_rate": 6, "profit_factor": 6, "sharpe": 6, "net_return_pct": 6}
 _S = "timestamp, strategy, universe, symbol, n_trades, win_rate, profit_factor, sharpe, net_return_pct"

@@ -12,7 +12,7 @@ from ..operators.validation import Periods, grid_metrics, halves, usable_symbols
 from ..presets import FEES, STOP_LEVELS
 from .base import ACCOUNT, INF, METRIC_DIGITS, MID, SPLIT, STRICT, cte, ibs_ctes, metrics_sql, pf_sql, query, sharpe_sql, walk_cte, with_
 from .inputs import trend_context
-from .trading import ITOM, _US, old_rsi_trades, tail_sql
+from .trading import ITOM, _US, tail_sql
 
 _M = ["symbol", "n_trades", "win_rate", "profit_factor", "sharpe", "net_return_pct", "final_capital"]
 

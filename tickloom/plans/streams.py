@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..sources import store
 from ..streaming import jobs as J
 from .base import query, with_
