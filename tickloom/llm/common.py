@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import uuid
 
-from tickloom.session import materialise
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from tickloom.session import shared_dir
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "\t\n\x0b\x0c\r"
@@ -16,9 +18,32 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_STORED: list[str] = []
+
+
 def store(df: DataFrame, name: str) -> DataFrame:
-    """Write an intermediate table to the folder in ``spark.checkpoint.dir`` and read it back."""
-    return materialise(df, f"llm-{name}")
+    """Write an intermediate table to the folder in ``spark.checkpoint.dir`` and read it back.
+
+    Lineage ends there: a lost executor costs no more than the tasks since. Tables stay until ``release``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    _STORED.append(path)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def stored() -> int:
+    """A mark for ``release``: how many tables have been stored."""
+    return len(_STORED)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the tables stored after a mark; what still reads them must have been written before."""
+    for path in _STORED[since:]:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del _STORED[since:]
 
 
 def words(text: Column) -> Column:

@@ -105,3 +105,15 @@ def mix(docs: DataFrame, most: int = 3) -> DataFrame:
     got = got.select("doc_id", "source", "size", "copy", "taken", "copies").unionByName(rows.where("size = 0").select("doc_id", "source", "size", "copy", F.lit(0).cast("long").alias("taken"), F.lit(0).cast("long").alias("copies")))
     goals = goals.select(F.col("source").alias("gs"), "source_size", "target")
     return got.join(goals, got.source.eqNullSafe(goals.gs)).select("doc_id", "source", "size", "copy", "source_size", "target", "taken", "copies")
+
+
+def mixed(docs: DataFrame, most: int = 3) -> DataFrame:
+    """The mix as whole documents: every row as often as the schedule takes its middle word (0 to ``most`` times).
+
+    Rows with equal id, source and size share their copies evenly, rounded.
+    """
+    per = mix(docs, most).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("m"))
+    per = per.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.round(F.col("c") / F.col("m")).cast("int").alias("_copies")).where("_copies > 0")
+    rows = docs.select("*", F.size(words(F.col("text"))).cast("long").alias("_words"))
+    same = rows["doc_id"].eqNullSafe(per["_id"]) & rows["source"].eqNullSafe(per["_source"]) & (rows["_words"] == per["_size"])
+    return rows.join(per, same).select("*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(docs.columns)

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, mixing, quality, sharding, simhash
-from .common import table
+from . import brown_lm, chat, decontaminate, html_extract, mixing, pii, quality, sharding, simhash, toxicity
+from .common import crc_text, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,12 @@ def op1_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+@query
+def op2_tag_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 @query
 def op4_golden_ratio_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -52,6 +58,13 @@ def op9_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op10_candidate_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.detect(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return got.select("doc_id", *[count(k) for k in pii.KINDS], F.sha2(pii.joined(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 ORACLES["op9_event_sourced_chat"] = r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -70,7 +83,7 @@ FROM sized GROUP BY conv_id"""
 #: The same rule in integers: the stream order is by md5, the schedule is the golden ratio modulo 2**32.
 ORACLES["op4_golden_ratio_mix"] = r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
 s2 AS (SELECT *, source_size * 3 AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total, CAST(sum(weight) OVER () AS BIGINT) AS weights FROM s),
 s3 AS (
@@ -97,3 +110,23 @@ got AS (
   FROM cut c LEFT JOIN taken t ON c.source IS NOT DISTINCT FROM t.source AND c.b = t.b GROUP BY row_id)
 SELECT p.doc_id, p.size, g.source_size, g.target, coalesce(taken, 0) AS taken
 FROM placed p JOIN goals g ON p.source IS NOT DISTINCT FROM g.source LEFT JOIN got USING (row_id)"""
+
+
+@query
+def op3_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model, ["doc_id"])
+    return out.select("doc_id", (crc_text(F.col("doc_id")) % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op6_latent_semantic_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contaminated documents only, one row per document and benchmark item."""
+    out = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.explode("_hits").alias("h")).select("doc_id", "h.item_id", "h.share", "h.cosine", "h.kind")
+
+
+@query
+def op7_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_documents(table(spark, sf_dir, "documents"))

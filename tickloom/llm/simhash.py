@@ -39,8 +39,8 @@ def _bits(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3, rows_per_batch: int = 512) -> DataFrame:
-    """(doc_id, fp long): XXH64 with seed 42 of every shingle of ``width`` words, majority per bit."""
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, h hash of the text, fp long): XXH64 with seed 42 of every shingle of ``width`` words, majority per bit."""
     w = words(lower_ascii(F.col("text")))
     n = F.size("_w")
     shingle = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get("_w", i + k) for k in range(width)]))
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame, width: int = 3, rows_per_batch: int = 512) ->
         for b in batches:
             yield pd.Series([_bits(h) for h in b], dtype="int64")
 
-    return docs.select("doc_id", w.alias("_w")).select("doc_id", majority(hashes).alias("fp"))
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), w.alias("_w")).select("doc_id", "h", majority(hashes).alias("fp"))
 
 
 def embed(half: Column) -> Column:
@@ -122,18 +122,22 @@ def links(fps: DataFrame, bits: int = 3, hot: int = 64, tile: int = 1024) -> Dat
 
 
 def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
-    """(doc_id, fp, component_id) of every row."""
+    """(doc_id, h, fp, root, component_id) of every row; root is the component's smallest fingerprint."""
     prints = store(fingerprints(docs, width), "fingerprints")
-    ids = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    distinct = store(ids, "distinct-fingerprints")
+    distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = store(components(links(distinct.select("fp"), bits)), "roots")
-    ids = roots.join(distinct, roots.node == distinct.fp).select("fp", "root", "least")
-    own = distinct.join(roots.select(F.col("root").alias("fp")).distinct(), "fp").select("fp", F.col("fp").alias("root"), "least")
-    member = ids.unionAll(own)
-    best = member.groupBy("root").agg(F.min("least").alias("component"))
-    linked = member.join(best, "root").select("fp", "component")
-    per = distinct.join(linked, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return prints.join(per, "fp").select("doc_id", "fp", "component_id")
+    named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    best = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return prints.join(named.select("fp", "root").join(best, "root"), "fp").select("doc_id", "h", "fp", "root", "component_id")
+
+
+def first_of_group(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
+    """One row of each component, all columns: the one with the smallest id (null last), then text hash."""
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best")
+    chosen = near_duplicates(docs, bits, width).groupBy("root").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.h").alias("_h")).distinct()
+    rows = docs.select("*", F.xxhash64("text").alias("_hash"))
+    same = rows["doc_id"].eqNullSafe(chosen["_id"]) & (rows["_hash"] == chosen["_h"])
+    return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
 
 
 def hex64(fp: Column) -> Column:
