@@ -41,9 +41,9 @@ class Rule:
 
 #: Rows without words are left to the base rule.
 RULES = [
-    Rule("mean_word", "word_chars / n_words", True, True, 0.35),
+    Rule("mean_word", "word_chars / n_words", True, True, 0.45),
     Rule("symbols", "n_symbols / n_words", False, True, 0.01),
-    Rule("repeats", "n_repeat_words / n_words", False, True, 0.02),
+    Rule("repeats", "n_repeat_words / n_words", False, True, 0.03),
     Rule("dup_lines", "n_dup_lines / n_lines", False, True, 0.06),
     Rule("capitals", "n_capital_words / n_words", False, True, 0.02),
     Rule("marks", "n_marks / n_words", False, True, 0.02),
