@@ -14,7 +14,6 @@ Null and empty texts have no words and fail the base rule. Null languages and so
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -22,7 +21,7 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import WORD, store
+from .common import BLANKS, store
 
 SYMBOLS = "#*$%&|<>"
 GAMMA = 1.02
@@ -50,11 +49,15 @@ RULES = [
 ]
 
 
-def measures(text: str, word=re.compile(WORD)) -> tuple[int, ...]:
-    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capital_words, n_marks."""
-    ws = word.findall(text)
+def measures(text: str) -> tuple[int, ...]:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_capital_words, n_marks.
+
+    Bytes split at the ASCII blanks only.
+    """
+    raw = text.encode()
+    ws = raw.split()
     n = len(ws)
-    lines = [x for x in text.split("\n") if word.search(x)]
+    lines = [x for x in raw.split(b"\n") if x.strip()]
     repeated = 0
     if n >= 5:
         windows = list(zip(ws, ws[1:], ws[2:], ws[3:], ws[4:]))
@@ -64,8 +67,8 @@ def measures(text: str, word=re.compile(WORD)) -> tuple[int, ...]:
                 if seen[w] > 1:
                     repeated += i + 5 - max(covered, i)
                     covered = i + 5
-    capitals = sum(map(str.isupper, ws))
-    return n, sum(map(len, ws)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), capitals, text.count("!") + text.count("?")
+    capitals = sum(map(bytes.isupper, ws))
+    return n, len(text) - sum(map(text.count, " " + BLANKS)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeated, len(lines), capitals, text.count("!") + text.count("?")
 
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capital_words", "n_marks"]
