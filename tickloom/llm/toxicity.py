@@ -7,9 +7,9 @@ people are swapped for another group's; the penalty is the squared change of the
 model gives such terms no weight of their own and neutral mentions stay below the threshold.
 
 The fit uses at most ``sample_rows`` labelled rows, drawn by a hash of the id (all of them where there are
-fewer), rows of a fold kept out; it runs on the driver on that bounded sample. Scoring covers every row and
-its whole text, row by row. Without labels of both classes the score is the share of label 1 (0 without
-labels). Null and empty texts have no features and get the intercept's score. Rows of documents with equal
+fewer), rows of a fold kept out; the driver runs it on the feature numbers of that bounded sample. Scoring
+covers every row and its whole text, row by row. With labels of one class only, every score is next to that
+class; without labels it is next to 0. Null and empty texts have no features and get the intercept's score. Rows of documents with equal
 ids are scored one by one; repeated labels of an id count once (the largest). An empty table gives no rows.
 """
 
@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_text
+from .common import crc_text, store
 
 #: Terms that name groups of people, by kind: fixed values. A term is swapped for another of its kind.
 IDENTITY = {
@@ -85,61 +85,74 @@ class Model:
         return out
 
 
-def fit(texts: list[str], labels: list[int], features: int = 8192, penalty: float = 5.0, l2: float = 1e-4, steps: int = 200) -> Model:
-    """Logistic loss + l2 |w|^2 / 2 + penalty * mean squared change of the logit under the swap, by Adam."""
-    y = np.array(labels, dtype=float)
-    n, pos = len(y), float(y.sum())
-    if not 0 < pos < n:
-        rate = pos / n if n else 0.0
-        return Model(float(np.log((rate * n + 1e-6) / ((1 - rate) * n + 1e-6))) if n else -30.0)
-    hit, miss = Counter(), Counter()
-    for t, v in zip(texts, labels):
-        (hit if v else miss).update(text_features(t))
-    neg = n - pos
-    z = {}
-    for f in hit.keys() | miss.keys():
-        a, b = hit[f], miss[f]
-        if a + b >= 3:
-            p = (a + b) / n
-            z[f] = abs(a / pos - b / neg) / np.sqrt(p * (1 - p) * (1 / pos + 1 / neg) + 1e-12)
-    chosen = sorted((f for f in z if z[f] > 3), key=lambda f: (-z[f], f))[:features]
-    chosen += [t for t in sorted(SWAP) if hit[t] + miss[t] and t not in set(chosen)]
-    at = {f: i for i, f in enumerate(chosen)}
-    if not at:
-        return Model(float(np.log(pos / neg)))
-
-    def sparse(sets: list[set]) -> tuple[np.ndarray, np.ndarray]:
-        cols = [sorted(at[f] for f in s if f in at) for s in sets]
-        return np.repeat(np.arange(len(cols)), [len(c) for c in cols]), np.array([i for c in cols for i in c], dtype=int)
-
-    rows, cols = sparse([text_features(t) for t in texts])
-    pairs = [(text_features(t), text_features(swapped(t))) for t in texts if any(m.lower() in SWAP for m in TERM.findall(t or ""))]
-    (r1, c1), (r2, c2) = sparse([a for a, _ in pairs]), sparse([b for _, b in pairs])
-    # terms of the swapped texts that no text has are not features; their weight is 0 anyway
+def fit(y: np.ndarray, texts: list[list[int]], twins: list[tuple[list[int], list[int]]], features: list[str], penalty: float = 5.0, l2: float = 1e-4, steps: int = 200) -> Model:
+    """Logistic loss + l2 |w|^2 / 2 + penalty * mean squared change of the logit from a text to its twin, by Adam."""
+    n, k, pos = len(y), len(features), float(y.sum())
+    sparse = lambda sets: (np.repeat(np.arange(len(sets)), [len(c) for c in sets]), np.array([i for c in sets for i in c], dtype=int))
+    rows, cols = sparse(texts)
+    (r1, c1), (r2, c2) = sparse([a for a, _ in twins]), sparse([b for _, b in twins])
     d_rows, d_cols, d_sign = np.concatenate([r1, r2]), np.concatenate([c1, c2]), np.concatenate([np.ones(len(r1)), -np.ones(len(r2))])
-    k, w, b = len(at), np.zeros(len(at)), float(np.log(pos / neg))
+    w, b = np.zeros(k), float(np.log(pos / (n - pos)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
         p = 1 / (1 + np.exp(-np.clip(b + np.bincount(rows, w[cols], n), -30, 30)))
         g = np.append(np.bincount(cols, (p - y)[rows], k) / n + l2 * w, (p - y).mean())
-        if pairs:
-            change = np.bincount(d_rows, d_sign * w[d_cols], len(pairs))
-            g[:-1] += 2 * penalty / len(pairs) * np.bincount(d_cols, d_sign * change[d_rows], k)
+        if twins:
+            change = np.bincount(d_rows, d_sign * w[d_cols], len(twins))
+            g[:-1] += 2 * penalty / len(twins) * np.bincount(d_cols, d_sign * change[d_rows], k)
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return Model(float(b), {f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-3})
-
-
-def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample_rows: int = 8192, **options) -> Model:
-    """The model of at most ``sample_rows`` labelled rows outside fold 0 (by crc32 of the id)."""
-    known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    part = docs.select("doc_id", "text").where(crc_text(F.col("doc_id")) % fold != 0)
-    # the labels are the small side of the ids; texts are looked up after the sample is drawn
-    ids = known.where(crc_text(F.col("doc_id")) % fold != 0).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(sample_rows)
-    rows = part.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id", "text").limit(sample_rows)
-    got = rows.select("text", "_toxic").toPandas()
-    return fit([t or "" for t in got.text], [int(x > 0) for x in got["_toxic"]], **options)
+    return Model(float(b), {f: float(w[i]) for i, f in enumerate(features) if abs(w[i]) > 1e-3})
+
+
+def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample_rows: int = 8192, features: int = 8192, **options) -> Model:
+    """The model of at most ``sample_rows`` labelled rows outside fold 0 (by crc32 of the id).
+
+    Features are counted and chosen by Spark; the driver gets at most ``features`` of them and their numbers
+    in each row of the sample, no texts.
+    """
+    outside = crc_text(F.col("doc_id")) % fold != 0
+    known = labels.where(F.col("toxic").isNotNull() & outside).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
+    draw = F.xxhash64("doc_id", F.lit(11))
+    ids = known.orderBy(draw, "doc_id").limit(sample_rows)
+    rows = docs.select("doc_id", "text").where(outside).join(F.broadcast(ids), "doc_id").orderBy(draw, "doc_id", "text").limit(sample_rows)
+    rows = rows.select("doc_id", "text", (F.col("_toxic") > 0).cast("int").alias("y")).repartition(16, "doc_id", "text")
+    sample = store(rows, "toxic-sample")
+    n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < pos < n:
+        return Model(30.0 if pos else -30.0)
+    neg = n - pos
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            seen: Counter = Counter()
+            hit: Counter = Counter()
+            for t, y in zip(b.text, b.y):
+                fs = text_features(t)
+                seen.update(fs)
+                if y:
+                    hit.update(fs)
+            yield pd.DataFrame({"f": list(seen), "n": list(seen.values()), "hit": [hit[f] for f in seen]})
+
+    per = sample.mapInPandas(count, "f string, n long, hit long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).where("n >= 3")
+    share = F.col("n") / n
+    z = F.abs(F.col("hit") / pos - (F.col("n") - F.col("hit")) / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
+    best = per.where(z > 3).select("f", z.alias("z")).orderBy(F.desc("z"), "f").limit(features).collect()
+    chosen = [r.f for r in best]
+    chosen += [t for t in sorted(SWAP) if t not in set(chosen)]
+    sent = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at = sent.value
+        ids = lambda t: sorted(at[f] for f in text_features(t) if f in at)
+        for b in batches:
+            named = [any(m.lower() in SWAP for m in TERM.findall(t or "")) for t in b.text]
+            yield pd.DataFrame({"doc_id": b.doc_id, "y": b.y, "own": [ids(t) for t in b.text], "twin": [ids(swapped(t)) if x else None for t, x in zip(b.text, named)]})
+
+    got = [(r.doc_id, r.y, r.own, r.twin) for r in sample.mapInPandas(number, "doc_id long, y int, own array<int>, twin array<int>").collect()]
+    got.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
+    return fit(np.array([r[1] for r in got], dtype=float), [r[2] for r in got], [(r[2], r[3]) for r in got if r[3] is not None], chosen, **options)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], column: str = "score") -> DataFrame:
