@@ -20,38 +20,37 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, lower_ascii, store, words
+from .common import components, store
 
 LOW_HALF, TWO_BITS = 0xFFFFFFFF, 0x55555555
 
 
-def _bits(hashes: np.ndarray) -> int:
-    """Majority of each bit over the hashes."""
-    h = np.ascontiguousarray(hashes, dtype="<i8")
-    n = len(h)
-    if not n:
+def fingerprint(text: str | None, width: int = 3) -> int:
+    """Majority of each bit over the shingles' hashes; bytes lower and split at ASCII letters and blanks only."""
+    w = text.encode().lower().split() if text else []
+    if not w:
         return 0
+    parts = zip(*(w[k:] for k in range(width))) if len(w) >= width else [w]
+    h = np.fromiter((xxhash.xxh64_intdigest(b" ".join(p), 42) for p in parts), dtype="<u8")
     votes = np.zeros(64, dtype=np.int64)
-    for i in range(0, n, 4096):
+    for i in range(0, len(h), 4096):
         votes += np.unpackbits(h[i : i + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0])
+    return int(np.packbits(2 * votes > len(h), bitorder="little").view("<i8")[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+def fingerprints(docs: DataFrame, width: int = 3, rows: int = 512) -> DataFrame:
     """(doc_id, h hash of the text, fp long): XXH64 with seed 42 of every shingle of ``width`` words, majority per bit."""
-    w = words(lower_ascii(F.col("text")))
-    n = F.size("_w")
-    shingle = lambda i: F.xxhash64(F.concat_ws(" ", *[F.get("_w", i + k) for k in range(width)]))
-    hashes = F.when(n >= width, F.transform(F.sequence(F.lit(0), n - width), shingle)).when(n > 0, F.array(F.xxhash64(F.array_join("_w", " ")))).otherwise(F.array().cast("array<bigint>"))
 
-    @F.pandas_udf("long")
-    def majority(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def majority(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pd.Series([_bits(h) for h in b], dtype="int64")
+            yield pa.array([fingerprint(t, width) for lo in range(0, len(b), rows) for t in b.slice(lo, rows).to_pylist()], pa.int64())
 
-    return docs.select("doc_id", F.xxhash64("text").alias("h"), w.alias("_w")).select("doc_id", "h", majority(hashes).alias("fp"))
+    return docs.select("doc_id", F.xxhash64("text").alias("h"), majority("text").alias("fp"))
 
 
 def embed(half: Column) -> Column:

@@ -22,6 +22,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import crc_text, store
@@ -35,6 +36,7 @@ IDENTITY = {
     "ability": "disabled deaf blind autistic paralyzed elderly old young teenage".split(),
 }
 SWAP = {t: (g, i) for g, ts in IDENTITY.items() for i, t in enumerate(ts)}
+ROWS = 512  # texts decoded at a time: bounds what a task holds
 TERM = re.compile(r"\w[\w'’-]*")
 
 
@@ -64,7 +66,7 @@ class Model:
     weights: dict[str, float] = field(default_factory=dict)
 
     def scores(self, texts, memo: dict | None = None) -> list[float]:
-        """``memo`` keeps the known features of words; it is emptied when it grows beyond 200,000 words."""
+        """``memo`` keeps the known features of words; it is emptied when it grows beyond 50,000 words."""
         memo = {} if memo is None else memo
         weights, get = self.weights, memo.get
         out = []
@@ -73,7 +75,7 @@ class Model:
             for w in set((t or "").lower().split()):
                 fs = get(w)
                 if fs is None:
-                    if len(memo) > 200_000:
+                    if len(memo) > 50_000:
                         memo.clear()
                     fs = memo[w] = tuple(f for f in word_features(w) if f in weights or f + "2" in weights or f + "3" in weights)
                 if fs:
@@ -159,11 +161,11 @@ def score(docs: DataFrame, model: Model, keep: list[str], column: str = "score")
     """The kept columns and the score of every row."""
     known = docs.sparkSession.sparkContext.broadcast((model.intercept, model.weights))  # at most ``features`` weights
 
-    @F.pandas_udf("double")
-    def probability(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo: dict = {}
         own = Model(*known.value)
         for b in batches:
-            yield pd.Series(own.scores(b, memo), dtype="float64")
+            yield pa.array([s for lo in range(0, len(b), ROWS) for s in own.scores(b.slice(lo, ROWS).to_pylist(), memo)], pa.float64())
 
     return docs.select(*keep, probability("text").alias(column))
