@@ -231,3 +231,21 @@ def test_window_is_half_open(bars):
     got = ledger(bars, IBS, [p], FREE, start=F.col("bar_ix") >= 300, end=F.col("bar_ix") < 600).toPandas()
     assert got.entry_ix.min() >= 300 and got.exit_ix.dropna().max() <= 599
     assert set(got[~got.closed].holding_days + got[~got.closed].entry_ix) <= {599, 179}
+
+
+def test_trend_grid_equals_single_runs(spark, sf_dir):
+    """Each combination of a grid with two EMA pairs and two ATR periods gives the trades it gives alone."""
+    from tickloom.operators.ledger import ledger
+    from tickloom.plans import registry  # noqa: F401
+    from tickloom.plans.base import Tables
+    from tickloom.plans.trading import ACCOUNT, TREND
+    from tickloom.operators.rules import DONCHIAN
+
+    bars = Tables(spark, sf_dir).bars()
+    signal = {**TREND, "entry_mode": "ema_cross", "exit_mode": "signal"}
+    grid = [{**signal, "ema_fast": 9, "ema_slow": 50}, {**signal, "ema_fast": 5, "ema_slow": 20}, {**TREND, "atr_period": 14}, {**TREND, "atr_period": 7}]
+    cols = ["symbol", "entry_ix", "exit_ix", "exit_reason"]
+    both = ledger(bars, DONCHIAN, grid, ACCOUNT).select("combo_id", *cols).collect()
+    for k, p in enumerate(grid):
+        alone = ledger(bars, DONCHIAN, [p], ACCOUNT).select(*cols).collect()
+        assert alone and sorted(tuple(map(str, r)) for r in alone) == sorted(tuple(str(r[c]) for c in cols) for r in both if r.combo_id == k)

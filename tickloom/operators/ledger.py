@@ -385,15 +385,14 @@ def trend_exits(
     bars = home_rows(frame)
     if end is not None:
         bars = bars.filter(end)
-    atr_names = sorted({f"atr_{p['atr_period']}_lag1" for p in combos})
-    if len(atr_names) != 1:
-        raise ValueError("one ATR period per call")
+    atrs = sorted({int(p["atr_period"]) for p in combos})
     chans = sorted({int(p["donchian_exit_period"]) for p in combos if _mode(p) == "channel"})
-    fields = [F.col(x) for x in ("bar_ix", "date", "open", "high", "low", "close")] + [F.col(atr_names[0]).alias("atr")]
+    fields = [F.col(x) for x in ("bar_ix", "date", "open", "high", "low", "close")] + [F.col(f"atr_{q}_lag1").alias(f"atr_{q}") for q in atrs]
     fields += [x for q in chans for x in (lag(f"low_{q}").alias(f"lo_{q}"), lag(f"high_{q}").alias(f"hi_{q}"))]
-    cross = [p for p in combos if _mode(p) == "signal"]
-    if cross:
-        fields += [F.coalesce(ema_cross(cross[0], SHORT), F.lit(False)).alias("bear"), F.coalesce(ema_cross(cross[0], LONG), F.lit(False)).alias("bull")]
+    pairs = {(p["ema_fast"], p["ema_slow"]): p for p in combos if _mode(p) == "signal"}
+    crosses = list(pairs)
+    for k, pair in enumerate(crosses):
+        fields += [F.coalesce(ema_cross(pairs[pair], side), F.lit(False)).alias(f"{name}_{k}") for name, side in (("bear", SHORT), ("bull", LONG))]
     arrays = (
         bars.withColumn("_sp", F.floor(F.col("bar_ix") / F.lit(WALK_SPAN)))
         .groupBy(*keys, "_sp").agg(F.sort_array(F.collect_list(F.struct(*fields))).alias("_bars"))
@@ -405,10 +404,12 @@ def trend_exits(
     mode = settings(_mode)
     trailing = mode == "trailing" if legacy else mode.isin("trailing", "channel")
     mult = settings(lambda p: float(p["trailing_atr_mult"]))
-    atr0 = F.coalesce(F.col(atr_names[0]), F.lit(0.0))
+    period = settings(lambda p: int(p["atr_period"]))
+    atr0 = F.coalesce(*[F.when(period == q, F.col(f"atr_{q}_lag1")) for q in atrs], F.lit(0.0))
     stop_pct = settings(lambda p: float(p["sl_percent"]))
     start = cands.drop("exit").withColumns({
         "_mode": mode, "_mult": mult, "_chan": settings(lambda p: int(p["donchian_exit_period"])),
+        "_atr": period, "_cross": settings(lambda p: crosses.index((p["ema_fast"], p["ema_slow"])) if _mode(p) == "signal" else -1),
         "_trail": trailing,
         "_stop": F.when(stop_pct > 0, d * price * (1 - d * stop_pct / 100)),
         "_state": F.struct(
@@ -419,7 +420,7 @@ def trend_exits(
         "_sp": F.floor(F.col("entry_ix") / F.lit(WALK_SPAN)),
     })
     keep = [c for c in cands.columns if c != "exit"]
-    step = _trail_step(chans, bool(cross), slippage, legacy)
+    step = _trail_step(chans, atrs, len(crosses), slippage, legacy)
     work, done = start, []
     while True:
         met = work.join(arrays, [*keys, "_sp"], "left")
@@ -438,7 +439,7 @@ def _mode(p: dict) -> str:
     return "trailing" if p["exit_mode"] == "channel" and p["entry_mode"] != "donchian" else p["exit_mode"]
 
 
-def _trail_step(chans: list[int], has_cross: bool, slippage: float, legacy: bool):
+def _trail_step(chans: list[int], atrs: list[int], crosses: int, slippage: float, legacy: bool):
     """One bar of the trend exits on prices mirrored for short trades."""
 
     def step(acc, b):
@@ -452,7 +453,7 @@ def _trail_step(chans: list[int], has_cross: bool, slippage: float, legacy: bool
             return level.isNotNull() & (~up | (level > 0))
 
         level = acc["level"]
-        atr = F.coalesce(b["atr"], F.lit(0.0))
+        atr = F.coalesce(*[F.when(F.col("_atr") == q, b[f"atr_{q}"]) for q in atrs], F.lit(0.0))
         fresh = F.col("_trail") & (atr > 0) & later & (hi > acc["hwm"])
         hwm = F.when(fresh, hi).otherwise(acc["hwm"])
         moved = F.when(fresh, hi - atr * F.col("_mult")).otherwise(level)
@@ -469,9 +470,9 @@ def _trail_step(chans: list[int], has_cross: bool, slippage: float, legacy: bool
             far = F.when(up, b[f"lo_{q}"]).otherwise(-b[f"hi_{q}"])
             hit = (F.col("_mode") == "channel") & (F.col("_chan") == q) & later & (cl < far)
             order.append((hit, out(b["close"], "channel", False)))
-        if has_cross:
-            back = F.when(up, b["bear"]).otherwise(b["bull"])
-            order.append(((F.col("_mode") == "signal") & back, out(b["open"], "signal_reverse", True)))
+        for k in range(crosses):
+            back = F.when(up, b[f"bear_{k}"]).otherwise(b[f"bull_{k}"])
+            order.append(((F.col("_cross") == k) & back, out(b["open"], "signal_reverse", True)))
         exit_ = F.lit(None).cast(EXIT)
         for cond, val in reversed(order):
             exit_ = F.when(cond, val).otherwise(exit_)

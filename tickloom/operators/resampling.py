@@ -12,13 +12,12 @@ from .equity import running
 from .spans import SPAN
 
 BLOCK_TRADES = 10
-MODULUS = 2_147_483_648
 
 
-def draw(sim: Column, slot: Column, seed: int = 42) -> Column:
-    """Pseudo-random whole number per (simulation, slot) from a linear congruence."""
-    start = (sim * 104_729 + slot * 1_299_709 + seed * 7_919) % MODULUS
-    return (start * 1_103_515_245 + 12_345) % MODULUS
+def uniform(*parts: Column, seed: int = 42) -> Column:
+    """A uniform number in [0, 1) from the leading 52 bits of an md5 of the parts."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def trade_blocks(trades: DataFrame, keys: Sequence[str], size: int = BLOCK_TRADES) -> DataFrame:
@@ -40,7 +39,7 @@ def block_bootstrap(trades: DataFrame, keys: Sequence[str], sims: int = 1000, si
     shape = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nb"), F.sum("n").alias("n_trades"))
     slots = blocks.select(*keys, F.col("block").alias("slot")).join(shape.filter("n_trades >= 30"), keys)
     runs = slots.withColumn("sim", F.explode(F.sequence(F.lit(0), F.lit(sims - 1))))
-    runs = runs.select(*keys, "sim", (draw(F.col("sim").cast("long"), F.col("slot"), seed) % F.col("_nb")).alias("block"))
+    runs = runs.select(*keys, "sim", F.floor(uniform(*[F.col(k) for k in keys], F.col("sim"), F.col("slot"), seed=seed) * F.col("_nb")).cast("long").alias("block"))
     sums = runs.join(blocks, [*keys, "block"]).groupBy(*keys, "sim").agg(*[F.sum(c).alias(c) for c in ("n", "s", "q")])
     mean = F.col("s") / F.col("n")
     sd = F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -90,9 +91,9 @@ def segment_metrics(seg: DataFrame, rule: RuleSpec, combos: Sequence[dict], acco
         F.coalesce("pf", F.lit(0.0)).alias("profit_factor"), F.coalesce("n", F.lit(0)).alias("n_trades")), "segment-metrics")
 
 
-def sample_key(i: int, seed: int = 42) -> int:
-    """Deterministic pseudo-random order of a grid."""
-    return ((i * 1_299_709 + seed * 7_919) % 2_147_483_648 * 1_103_515_245 + 12_345) % 2_147_483_648
+def sample_key(i: int, seed: int = 42) -> str:
+    """Deterministic random order of a grid: the leading 52 bits of an md5."""
+    return hashlib.md5(f"{seed}|{i}".encode()).hexdigest()[:13]
 
 
 def coarse_ids(n: int, limit: int = 200, seed: int = 42) -> list[int]:

@@ -481,12 +481,6 @@ def pos7(t):
 # ---------------------------------------------------------------- shared-pool portfolio
 
 
-@query("LED11")
-def led11(t):
-    """Three rules on one pool; a stateful fold, tested against a plain loop on a fixture."""
-    return P.shared_pool(portfolio_candidates(t), 5000.0, {"tom": 1, "rsi2": 1, "ibs": 1}, {"tom": 0.5, "rsi2": 0.5, "ibs": 0.5}, "us_stocks_usd_account")
-
-
 def portfolio_candidates(t):
     return P.pool_candidates(t.bars(), {"tom": (TOM, TOM.params()), "rsi2": (RSI2, RSI2.params(rsi_entry_threshold=20, sma_trend_buffer=1.0)), "ibs": (IBS, IBS.params())})
 

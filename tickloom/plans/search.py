@@ -88,7 +88,7 @@ def wfo2(t):
     return n.select("symbol", F.inline(merged))
 
 
-@query("WFO3", with_("wf_last", body=f"""SELECT symbol, combo_id, last + 1 AS n_windows FROM wf_last, (SELECT i AS combo_id FROM range(648) r(i) ORDER BY ((i * 1299709 + 42 * 7919) % 2147483648 * 1103515245 + 12345) % 2147483648 LIMIT 200)"""))
+@query("WFO3", with_("wf_last", body=f"""SELECT symbol, combo_id, last + 1 AS n_windows FROM wf_last, (SELECT i AS combo_id FROM range(648) r(i) ORDER BY substr(md5('42|' || i), 1, 13) LIMIT 200)"""))
 def wfo3(t):
     ids = W.coarse_ids(648, 200)
     w = W.windows(t.bars(), PLAN).groupBy("symbol").agg(F.count(F.lit(1)).alias("n_windows"))
@@ -196,7 +196,8 @@ def wfo11(t):
 cte("bt_blocks", "SELECT symbol, CAST((rn - 1) // 10 AS BIGINT) AS block, return_pct AS r FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY entry_ix) AS rn FROM trc)", "trc")
 cte("bt_shape", "SELECT symbol, max(block) + 1 AS nb, count(*) AS n, round(least(100.0, avg(r) / stddev_pop(r)), 9) AS real_sharpe FROM bt_blocks GROUP BY symbol", "bt_blocks")
 cte("bt_dist", """SELECT d.symbol, d.sim, round(least(100.0, avg(b.r) / stddev_pop(b.r)), 9) AS sharpe FROM (
-   SELECT s.symbol, sim, (((sim * 104729 + slot * 1299709 + 42 * 7919) % 2147483648 * 1103515245 + 12345) % 2147483648) % s.nb AS block FROM bt_shape s, range(1000) x(sim), range(100000) y(slot) WHERE slot < s.nb AND s.n >= 30) d
+   SELECT symbol, sim, CAST(floor(CAST('0x' || substr(md5('42|' || symbol || '|' || sim || '|' || slot), 1, 13) AS BIGINT) / 4503599627370496.0 * nb) AS BIGINT) AS block
+     FROM (SELECT *, unnest(range(nb)) AS slot FROM bt_shape WHERE n >= 30) s, range(1000) x(sim)) d
   JOIN bt_blocks b ON b.symbol = d.symbol AND b.block = d.block GROUP BY ALL""", "bt_blocks", "bt_shape")
 cte("boot", """SELECT s.symbol, s.n AS n_trades, s.real_sharpe, CASE WHEN s.n < 5 THEN 1.0 WHEN s.n < 30 THEN 0.5 ELSE d.p END AS p_value, d.ci_low, d.ci_high, s.n < 30 AS underpowered FROM bt_shape s LEFT JOIN (
    SELECT symbol, avg(CASE WHEN d.sharpe >= x.real_sharpe THEN 1.0 ELSE 0.0 END) AS p, quantile_cont(d.sharpe, 0.05) AS ci_low, quantile_cont(d.sharpe, 0.95) AS ci_high FROM bt_dist d JOIN bt_shape x USING (symbol) GROUP BY symbol) d USING (symbol)""", "bt_shape", "bt_dist")
