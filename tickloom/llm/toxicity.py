@@ -25,7 +25,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_text, store
+from .common import crc_text, drawn, store
 
 #: Terms that name groups of people, by kind: fixed values. A term is swapped for another of its kind.
 IDENTITY = {
@@ -116,9 +116,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample_rows: int =
     """
     outside = crc_text(F.col("doc_id")) % fold != 0
     known = labels.where(F.col("toxic").isNotNull() & outside).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    draw = F.xxhash64("doc_id", F.lit(11))
-    ids = known.orderBy(draw, "doc_id").limit(sample_rows)
-    rows = docs.select("doc_id", "text").where(outside).join(F.broadcast(ids), "doc_id").orderBy(draw, "doc_id", "text").limit(sample_rows)
+    ids = store(drawn(known, ["doc_id"], 11, sample_rows), "toxic-ids")
+    rows = drawn(docs.select("doc_id", "text").where(outside).join(F.broadcast(ids), "doc_id"), ["doc_id", "text"], 11, sample_rows)
     rows = rows.select("doc_id", "text", (F.col("_toxic") > 0).cast("int").alias("y")).repartition(16, "doc_id", "text")
     sample = store(rows, "toxic-sample")
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
