@@ -4,12 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
 
-MAX_MEMBERS = 10_000
-
 
 def rsi_signal(status: Column, watch: Column, threshold: float = 10.0, buffer: float = 1.01) -> Column:
     rsi_ok, trend_ok = F.col("rsi_2") < threshold, F.col("close") > F.col("sma_200") * buffer
@@ -72,25 +70,28 @@ def evaluate(members: DataFrame, snapshot: DataFrame, positions: DataFrame) -> D
 def guard(evaluated: DataFrame, open_counts: DataFrame, limits: Mapping[str, int], capital: float, fraction: float, as_of: Column) -> DataFrame:
     """Slot guard, then stale guard, in list order per strategy.
 
-    A BUY takes a slot when shares can be bought; a sell earlier in the list frees one. The
-    fold runs over one strategy's member list, which is configuration and size-checked.
+    A BUY takes a slot when shares can be bought; a sell earlier in the list frees one. The number of
+    open slots is a running sum held at the limit: the sum minus the most by which it has exceeded the limit so
+    far. A strategy that starts above its limit buys nothing until its sells have brought it down to it.
     """
-    lim = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])
-    shares = F.coalesce(S.whole_quantity(F.lit(capital * fraction), F.col("close")), F.lit(0.0))
-    stale = F.coalesce(S.stale(F.col("date"), as_of), F.lit(False))
-    item = F.struct("ord", "symbol", "is_watch", F.col("raw_signal").alias("sig"), shares.alias("shares"), stale.alias("stale"))
-    g = evaluated.groupBy("strategy").agg(F.collect_list(item).alias("_l")).join(open_counts, "strategy", "left").fillna(0, ["n_open"])
-    g = g.withColumn("_l", F.when(F.size("_l") <= MAX_MEMBERS, F.array_sort("_l")).otherwise(F.raise_error(F.lit("member list too long")).cast(g.schema["_l"].dataType)))
-    start = F.struct(F.col("n_open").cast("long").alias("n"), F.array().cast("array<struct<symbol:string,signal:string,shares:double>>").alias("out"))
-
-    def step(acc, x):
-        buy = (x["sig"] == "BUY") & ~x["is_watch"]
-        final = F.when(buy & (acc["n"] >= lim[F.col("strategy")]), "SKIP").when((x["sig"] == "BUY") & x["stale"], "SKIP").otherwise(x["sig"])
-        delta = F.when(buy & (final == "BUY") & (x["shares"] > 0), 1).when(x["sig"].isin("SELL", "SAFETY_EXIT"), -1).otherwise(0)
-        row = F.struct(x["symbol"].alias("symbol"), final.alias("signal"), F.when(final == "BUY", x["shares"]).alias("shares"))
-        return F.struct((acc["n"] + delta).cast("long").alias("n"), F.array_append(acc["out"], row).alias("out"))
-
-    return g.select("strategy", F.inline(F.aggregate("_l", start, step, lambda acc: acc["out"])))
+    lim = F.create_map(*[F.lit(x) for kv in limits.items() for x in kv])[F.col("strategy")]
+    w = Window.partitionBy("strategy").orderBy("ord", "symbol")
+    so_far, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    sell = F.col("raw_signal").isin("SELL", "SAFETY_EXIT")
+    g = evaluated.join(open_counts, "strategy", "left").fillna(0, ["n_open"]).select(
+        "strategy", "ord", "symbol", "raw_signal", F.col("n_open").cast("long").alias("_open"), lim.alias("_lim"),
+        F.coalesce(S.whole_quantity(F.lit(capital * fraction), F.col("close")), F.lit(0.0)).alias("_shares"),
+        yes(S.stale(F.col("date"), as_of)).alias("_stale"), yes((F.col("raw_signal") == "BUY") & ~F.col("is_watch")).alias("_buy"), yes(sell).cast("int").alias("_sell"))
+    g = g.withColumns({"_left": F.col("_open") - F.sum("_sell").over(so_far), "_held": F.col("_open") - F.coalesce(F.sum("_sell").over(before), F.lit(0))})
+    takes = F.col("_buy") & ~F.col("_stale") & (F.col("_shares") > 0) & yes(F.col("_held") <= F.coalesce("_lim", "_held"))
+    g = g.withColumn("_step", takes.cast("int") - F.col("_sell"))
+    g = g.withColumn("_sum", F.col("_open") + F.sum("_step").over(so_far))
+    above = F.max(F.when(F.col("_left") <= F.col("_lim"), F.col("_sum") - F.col("_lim"))).over(so_far)
+    g = g.withColumn("_n", F.col("_sum") - F.greatest(F.lit(0), above))
+    full = yes(F.coalesce(F.lag("_n").over(w), F.col("_open")) >= F.col("_lim"))
+    final = F.when(F.col("_buy") & full, "SKIP").when((F.col("raw_signal") == "BUY") & F.col("_stale"), "SKIP").otherwise(F.col("raw_signal"))
+    return g.select("strategy", "symbol", final.alias("signal"), F.when(final == "BUY", F.col("_shares")).alias("shares"))
 
 
 def approaching(evaluated: DataFrame) -> DataFrame:

@@ -45,7 +45,7 @@ def grid_metrics(bars: DataFrame, rule: RuleSpec, combos: Sequence[dict], accoun
 
 def halves(bars: DataFrame, rule: RuleSpec, params: dict, account: Account, periods: Periods) -> DataFrame:
     """Profit factor and Sharpe in both halves; each half starts from a fresh account."""
-    frame = period_frame(frame_for(bars, rule, [params]), periods).filter("period <> 'oos'")
+    frame = period_frame(frame_for(bars, rule, [params]), periods, rule.warmup(params)).filter("period <> 'oos'")
     trades = ledger(frame, rule, [params], account, keys=["symbol", "period"], frame=frame)
     return side_by_side(M.trade_metrics(trades, ["symbol", "period"], account.capital))
 
@@ -57,14 +57,19 @@ def side_by_side(m: DataFrame) -> DataFrame:
     return m.groupBy("symbol").agg(*wide).withColumn("stable", (F.col("pf_a") > 1) & (F.col("pf_b") > 1))
 
 
-def period_frame(frame: DataFrame, periods: Periods) -> DataFrame:
+def period_frame(frame: DataFrame, periods: Periods, warmup: int = 0) -> DataFrame:
     """Indicator rows once per period they belong to: ``oos``, and its halves ``a`` and ``b``.
 
-    Indicators keep their full history; a period only decides which bars a rule may see.
+    Indicators keep their full history; a period only decides which bars a rule may see. The halves meet at
+    ``periods.mid``; where that is not inside a symbol's own range, in the middle of its bars.
     """
     lo, hi = periods.within(periods.start, periods.end)
-    half = F.when(F.col("date") < F.lit(periods.mid).cast("date"), F.lit("a")).otherwise(F.lit("b"))
-    return home_rows(frame).filter(lo & hi).withColumn("period", F.explode(F.array(F.lit("oos"), half)))
+    rows = home_rows(frame).filter(lo & hi)
+    later = F.min(F.when(F.col("date") >= F.lit(periods.mid).cast("date"), F.col("bar_ix")))
+    edge = rows.groupBy("symbol").agg(F.greatest(F.min("bar_ix"), F.lit(warmup)).alias("_a"), (F.max("bar_ix") + 1).alias("_e"), later.alias("_m"))
+    mid = F.when((F.col("_m") > F.col("_a")) & (F.col("_m") < F.col("_e")), F.col("_m")).otherwise(F.col("_a") + F.floor((F.col("_e") - F.col("_a")) / 2))
+    half = F.when(F.col("bar_ix") < F.col("_mid"), F.lit("a")).otherwise(F.lit("b"))
+    return rows.join(edge.select("symbol", mid.alias("_mid")), "symbol").withColumn("period", F.explode(F.array(F.lit("oos"), half))).drop("_mid")
 
 
 def validate(bars: DataFrame, rule: RuleSpec, account: Account, periods: Periods, params: dict | None = None,
@@ -78,7 +83,7 @@ def validate(bars: DataFrame, rule: RuleSpec, account: Account, periods: Periods
     combos = rule.combos(grid, **{k: v for k, v in params.items() if k not in (grid or rule.grid)})
     every = [params, *combos]
     keys = ["symbol", "period"]
-    frame = period_frame(frame_for(bars, rule, every), periods)
+    frame = period_frame(frame_for(bars, rule, every), periods, rule.warmup(params))
     keep = (F.col("combo_id") == 0) | (F.col("period") == "oos")
     trades = materialise(ledger(frame, rule, every, account, keys=keys, frame=frame, only=keep), "validation-trades")
     start, _ = periods.within(periods.start, periods.end)

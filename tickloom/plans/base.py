@@ -210,14 +210,14 @@ def with_(*names: str, body: str) -> str:
 
 
 cte("ticks", """
- SELECT r_name AS symbol, CAST(l_shipdate AS DATE) AS date, l_orderkey * 8 + l_linenumber AS k,
+ SELECT r_name AS symbol, CAST(l_shipdate AS DATE) AS date, {'o': l_orderkey, 'l': l_linenumber} AS k,
         CAST(floor(p_retailprice * (1 - l_discount) * 100 + 0.5) AS BIGINT) AS cents, l_quantity AS qty
  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey
  JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 cte("bars0", """
- SELECT symbol, date, CAST(arg_min(cents, k * 1048576 + cents) AS DOUBLE) / CAST(100 AS DOUBLE) AS open,
+ SELECT symbol, date, CAST(arg_min(cents, {'k': k, 'c': cents}) AS DOUBLE) / CAST(100 AS DOUBLE) AS open,
         CAST(max(cents) AS DOUBLE) / CAST(100 AS DOUBLE) AS high, CAST(min(cents) AS DOUBLE) / CAST(100 AS DOUBLE) AS low,
-        CAST(arg_max(cents, k * 1048576 + cents) AS DOUBLE) / CAST(100 AS DOUBLE) AS close, sum(qty) AS volume
+        CAST(arg_max(cents, {'k': k, 'c': cents}) AS DOUBLE) / CAST(100 AS DOUBLE) AS close, sum(qty) AS volume
  FROM ticks GROUP BY symbol, date""", "ticks")
 cte("bars", """
  SELECT *, CAST(date_trunc('month', date) AS DATE) AS month,

@@ -59,22 +59,21 @@ _DOCD = {"win_rate": 4, "profit_factor": 4, "sharpe": 4, "net_return_pct": 2, "r
 
 def documents(t):
     rows = t.validations().filter(F.col("timestamp") == F.lit(RUNS[1]).cast("timestamp"))
-    return store.write_documents(store.validation_documents(rows), "validation-json")
+    return store.write_report(rows, "validation-json")
 
 
 @query("SRC4", with_("validations", body=_DOC), round=_DOCD)
 def src4(t):
     cols = ["symbol", "n_trades", "win_rate", "profit_factor", "sharpe", "net_return_pct", "robustness_pct", "stable", "ttest_p", "verdict"]
-    return store.read_validation_documents(t.spark, documents(t)).select("strategy", "universe", *cols)
+    return store.read_report(t.spark, documents(t)).select("strategy", "universe", *cols)
 
 
 @query("SNK4", with_("validations", body=f"""SELECT strategy, universe, count(*) AS n_assets, coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (verdict = 'VALIDATED'), '') AS validated,
   coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (verdict = 'CONDITIONAL'), '') AS conditional, coalesce(string_agg(symbol, ',' ORDER BY symbol) FILTER (verdict = 'REJECTED'), '') AS rejected
   FROM validations WHERE timestamp = TIMESTAMP '{RUNS[1]}' GROUP BY ALL"""))
 def snk4(t):
-    schema = "assets array<struct<symbol:string>>, summary struct<validated:array<string>,conditional:array<string>,rejected:array<string>>, strategy string, universe string"
-    docs = t.spark.read.schema(schema).option("multiLine", True).json(documents(t))
-    return docs.select("strategy", "universe", F.size("assets").alias("n_assets"), *[F.array_join(f"summary.{v}", ",").alias(v) for v in ("validated", "conditional", "rejected")])
+    docs = store.report_summary(store.read_report(t.spark, documents(t)))
+    return docs.select("strategy", "universe", "n_assets", *[F.array_join(v, ",").alias(v) for v in ("validated", "conditional", "rejected")])
 
 
 @query("SNK6", with_("signal_log", body="SELECT timestamp, strategy, symbol, signal, close_price, indicator_value, trend_ok, CAST(left_days AS BIGINT) AS days_left FROM signal_log"), round={"indicator_value": 6})

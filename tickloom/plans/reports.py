@@ -202,10 +202,22 @@ def sca15(t):
     return validate(t.bars(), IBS, ACCOUNT, PER).groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
 
 
+def screened(t):
+    """Metrics after the start date of symbols with at least 50 bars from there and from the warm-up on."""
+    start, end = PER.within(PER.start, PER.end)
+    bars, warmup = t.bars(), IBS.warmup(IBS.params())
+    m = M.trade_metrics(ledger(bars, IBS, account=ACCOUNT, start=start & (F.col("bar_ix") >= warmup), end=end), ["symbol"])
+    return m.join(usable_symbols(bars, start, warmup), "symbol", "left_semi")
+
+
 @query("AGG13", with_("oos", body=f"SELECT * FROM ({metrics_sql('oos')}) ORDER BY profit_factor DESC"), round=METRIC_DIGITS)
 def agg13(t):
-    start, end = PER.within(PER.start, PER.end)
-    return M.trade_metrics(ledger(t.bars(), IBS, account=ACCOUNT, start=start, end=end), ["symbol"]).orderBy(F.col("profit_factor").desc())
+    return screened(t).orderBy(F.col("profit_factor").desc())
+
+
+@query("AGG13_profitable", with_("oos", body=f"SELECT count(*) AS n_symbols, count(*) FILTER (profit_factor > 1) AS n_profitable FROM ({metrics_sql('oos')})"))
+def agg13_profitable(t):
+    return screened(t).agg(F.count(F.lit(1)).alias("n_symbols"), F.count_if(F.col("profit_factor") > 1).alias("n_profitable"))
 
 
 _Q = ", ".join(f"quantile_cont(r, {p / 100}) AS p{p}" for p in X.PERCENTS)

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 PRICES = ("open", "high", "low", "close", "adj_close")
-CENT_SLOTS = 1 << 20  # room for the price in cents inside the order key
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +16,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def ohlcv(ticks: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
     """Ticks (``seq``, ``price``, ``qty``) to one bar per key and bucket.
 
-    ``seq`` is a single long that orders the ticks; with fixed-width buffers the partial
-    aggregate is a hash aggregate on the map side, so only bars are shuffled.
+    ``seq`` orders the ticks, a number or a struct. Partial bars are made on the map side, so only bars
+    are shuffled.
     """
     return ticks.groupBy(*keys, bucket).agg(
         F.min_by("price", "seq").alias("open"),
@@ -32,7 +31,7 @@ def ohlcv(ticks: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
 def lineitem_ticks(spark: SparkSession, sf_dir: str, grain: str = "region") -> DataFrame:
     """One tick per order line; the symbol is the supplier, or its nation or region.
 
-    Prices are whole cents. The order key packs (order, line, cents), so equal keys mean
+    Prices are whole cents. Ticks are ordered by order, line and cents, so equal keys mean
     equal prices and open/close do not depend on row order.
     """
     li = read_table(spark, sf_dir, "lineitem").select(
@@ -42,7 +41,7 @@ def lineitem_ticks(spark: SparkSession, sf_dir: str, grain: str = "region") -> D
     cents = F.floor(F.col("p_retailprice") * (1 - F.col("l_discount")) * 100 + 0.5).cast("long")
     tick = [
         F.to_date("l_shipdate").alias("date"),
-        ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * F.lit(CENT_SLOTS) + cents).alias("seq"),
+        F.struct("l_orderkey", "l_linenumber", cents.alias("cents")).alias("seq"),
         (cents / F.lit(100.0)).alias("price"),
         F.col("l_quantity").alias("qty"),
     ]

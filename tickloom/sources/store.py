@@ -43,45 +43,28 @@ def written(df: DataFrame, name: str, fmt: str = "parquet", **options) -> str:
     return path
 
 
-def validation_documents(rows: DataFrame, symbols_per_document: int = 5000) -> DataFrame:
-    """One nested document per strategy and universe, figures rounded as published.
-
-    A document is a report for people, over a configured list of symbols. Its size is
-    checked: more symbols than the limit go to numbered further documents.
-    """
-    asset = F.struct(
-        "symbol", "n_trades", F.bround("win_rate", 4).alias("win_rate"), F.bround("profit_factor", 4).alias("profit_factor"),
-        F.bround("sharpe", 4).alias("sharpe"), F.bround("net_return_pct", 2).alias("net_return_pct"),
-        F.bround("robustness_pct", 1).alias("robustness_pct"), "stable", F.bround("ttest_p", 6).alias("ttest_p"), "verdict",
-    )
-    size = rows.groupBy("strategy", "universe").agg(F.count(F.lit(1)).alias("_n"))
-    part = F.when(F.col("_n") <= symbols_per_document, F.lit(0)).otherwise(
-        F.pmod(F.xxhash64("symbol"), F.ceil(F.col("_n") / F.lit(symbols_per_document)))
-    ).cast("int")
-    names = lambda v: F.sort_array(F.collect_list(F.when(F.col("verdict") == v, F.col("symbol"))))
-    return (
-        rows.join(size, ["strategy", "universe"]).withColumn("part", part).groupBy("strategy", "universe", "part").agg(
-            F.sort_array(F.collect_list(asset)).alias("assets"),
-            F.struct(
-                names("VALIDATED").alias("validated"), names("CONDITIONAL").alias("conditional"), names("REJECTED").alias("rejected")
-            ).alias("summary"),
-        )
-    )
-
-
-def write_documents(docs: DataFrame, name: str) -> str:
-    """One file per document, in a folder per strategy, universe and part."""
-    where = ["strategy", "universe", "part"]
-    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    docs.repartition(*where).write.partitionBy(*where).json(path)
+REPORTED = {"win_rate": 4, "profit_factor": 4, "sharpe": 4, "net_return_pct": 2, "robustness_pct": 1, "ttest_p": 6}
+REPORT_SCHEMA = (
+    "strategy string, universe string, symbol string, n_trades bigint, win_rate double, profit_factor double, sharpe double, "
+    "net_return_pct double, robustness_pct double, stable boolean, ttest_p double, verdict string"
+)
+
+
+def write_report(rows: DataFrame, name: str) -> str:
+    """One JSON line per asset, figures rounded as published, in a folder per strategy and universe."""
+    cols = ["strategy", "universe", "symbol", "n_trades", *REPORTED, "stable", "verdict"]
+    out = rows.select(*[F.bround(c, REPORTED[c]).alias(c) if c in REPORTED else F.col(c) for c in cols])
+    path = f"{shared_dir(rows.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    out.write.partitionBy("strategy", "universe").json(path)
     return path
 
 
-def read_validation_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per asset of every JSON document in a folder, with the file it came from."""
-    schema = (
-        "assets array<struct<symbol:string,n_trades:bigint,win_rate:double,profit_factor:double,sharpe:double,net_return_pct:double,"
-        "robustness_pct:double,stable:boolean,ttest_p:double,verdict:string>>, strategy string, universe string, part int"
-    )
-    docs = spark.read.schema(schema).option("multiLine", True).json(path)
-    return docs.select("strategy", "universe", F.col("_metadata.file_name").alias("file_name"), F.inline("assets"))
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The assets of all reports in a folder, with the file each came from."""
+    return spark.read.schema(REPORT_SCHEMA).json(path).select("*", F.col("_metadata.file_name").alias("file_name"))
+
+
+def report_summary(assets: DataFrame) -> DataFrame:
+    """Number of assets and the symbols of each verdict per strategy and universe, in symbol order."""
+    names = lambda v: F.sort_array(F.collect_list(F.when(F.col("verdict") == v, F.col("symbol")))).alias(v.lower())
+    return assets.groupBy("strategy", "universe").agg(F.count(F.lit(1)).alias("n_assets"), *[names(v) for v in ("VALIDATED", "CONDITIONAL", "REJECTED")])
