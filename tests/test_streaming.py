@@ -1,3 +1,7 @@
+import datetime
+import os
+import random
+
 import pandas as pd
 
 from conftest import walk
@@ -19,25 +23,47 @@ def loop(rows, entry=0.2, exit_=0.8):
     return out
 
 
-def test_positions_over_several_batches(spark, tmp_path):
-    """State survives from batch to batch: three files in date order, one per batch."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.STATE_PROVIDER)
-    src = pd.concat([walk(90, s, f"S{s}") for s in range(2)])[["symbol", "date", "high", "low", "close"]]
+def stream_of(spark, src, folder, parts, seed):
+    """Rows dealt over files at random within stretches of 40 days; one to three files per batch."""
+    folder.mkdir()
     days = sorted(src.date.unique())
-    for i in range(3):
-        part = src[src.date.isin(days[i * 30 : (i + 1) * 30])]
-        part.to_parquet(tmp_path / f"part{i}.parquet")
-        os_time = 1_700_000_000 + i * 1000
-        import os
-
-        os.utime(tmp_path / f"part{i}.parquet", (os_time, os_time))
-    schema = spark.createDataFrame(src).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
-    got = J.run_to_table(J.position_signals(stream), "positions").toPandas()
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    want = [x for _, g in src.groupby("symbol") for x in loop(g)]
-    assert sorted((r.symbol, r.date, r.signal, r.entry_date) for r in got.itertuples()) == sorted(want)
-    assert len(want) > 10
+    stretches, per = -(-len(days) // 40), max(1, parts // -(-len(days) // 40))
+    rng, k = random.Random(seed), 0
+    for s in range(stretches if parts > 1 else 1):
+        part = src[src.date.isin(days[s * 40 : (s + 1) * 40])] if parts > 1 else src
+        home = [rng.randrange(per) for _ in range(len(part))]
+        for f in range(per):
+            rows = part[[h == f for h in home]].sample(frac=1, random_state=seed + f)
+            rows.to_parquet(folder / f"part{k}.parquet")
+            os.utime(folder / f"part{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+            k += 1
+    return J.bar_stream(spark, str(folder), spark.createDataFrame(src).schema, 3 if parts > 10 else 1)
+
+
+def test_signals_and_gaps_do_not_depend_on_files(spark, tmp_path):
+    """The same rows in one, a few and 70 shuffled files: equal signals, equal to a plain loop up to the watermark."""
+    src = pd.concat([walk(200, s, f"S{s}") for s in range(2)])[["symbol", "date", "high", "low", "close"]]
+    src = src.sample(frac=0.9, random_state=3)
+    top = src.date.max() - datetime.timedelta(days=60)
+    ordered = src.sort_values(["symbol", "date"])
+    want = sorted(x for _, g in ordered.groupby("symbol") for x in loop(g) if x[1] <= top)
+    gaps = []
+    for name, g in ordered.groupby("symbol"):
+        days = list(g.date)
+        for a, b in zip(days, days[1:] + [None]):
+            if (b is None or b > a + datetime.timedelta(days=2)) and a + datetime.timedelta(days=2) <= top:
+                gaps.append((name, a))
+    assert len(want) > 10 and len(gaps) > 10
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", J.STATE_PROVIDER)
+    try:
+        for parts in (1, 3, 70):
+            bars = lambda k: stream_of(spark, src, tmp_path / f"{parts}-{k}", parts, parts)
+            got = J.run_to_table(J.position_signals(bars(0), delay="60 days"), "positions").toPandas()
+            assert sorted((r.symbol, r.date, r.signal, r.entry_date) for r in got.itertuples()) == want
+            got = J.run_to_table(J.stale_symbols(bars(1), delay="60 days"), "stale").toPandas()
+            assert sorted((r.symbol, r.last_date) for r in got.itertuples()) == sorted(gaps)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
 
 
 def test_replayed_batches_do_not_double(spark, tmp_path):

@@ -36,16 +36,16 @@ def with_state_store(t, build):
         t.spark.conf.unset(key) if before is None else t.spark.conf.set(key, before)
 
 
-def bar_files(t, keep="true"):
-    bars = t.bars().filter(keep).select("symbol", "date", "high", "low", "close")
+def bar_files(t):
+    bars = t.bars().select("symbol", "date", "high", "low", "close")
     return J.bar_stream(t.spark, store.written(bars, "bar-files"), bars.schema)
 
 
 _STEP = "{'since': %s, 'out': %s}"
-_STM3 = with_("bars", body=f"""SELECT symbol, unnest(w.out, recursive := true) FROM (SELECT symbol, list_reduce(list({{'d': date, 'w': (close - low) / (high - low), 'c': close}} ORDER BY date),
+_STM3 = with_("bars", body=f"""SELECT * FROM (SELECT symbol, unnest(w.out, recursive := true) FROM (SELECT symbol, list_reduce(list({{'d': date, 'w': (close - low) / (high - low), 'c': close}} ORDER BY date),
    lambda s, c: CASE WHEN s.since IS NULL AND c.w < 0.2 THEN {_STEP % ("c.d", "list_append(s.out, {'date': c.d, 'signal': 'BUY', 'entry_date': c.d, 'close': c.c})")}
      WHEN s.since IS NOT NULL AND c.w > 0.8 THEN {_STEP % ("CAST(NULL AS DATE)", "list_append(s.out, {'date': c.d, 'signal': 'SELL', 'entry_date': s.since, 'close': c.c})")} ELSE {_STEP % ("s.since", "s.out")} END,
-   {_STEP % ("CAST(NULL AS DATE)", "CAST([] AS STRUCT(date DATE, signal VARCHAR, entry_date DATE, close DOUBLE)[])")}) AS w FROM bars WHERE high > low GROUP BY symbol)""")
+   {_STEP % ("CAST(NULL AS DATE)", "CAST([] AS STRUCT(date DATE, signal VARCHAR, entry_date DATE, close DOUBLE)[])")}) AS w FROM bars WHERE high > low GROUP BY symbol)) WHERE date <= (SELECT max(date) - 10 FROM bars)""")
 
 
 @query("STM3", _STM3)
@@ -53,9 +53,10 @@ def stm3(t):
     return with_state_store(t, lambda: J.run_to_table(J.position_signals(bar_files(t)), "stream-signals"))
 
 
-_KEEP = "NOT (symbol = 'ASIA' AND date > DATE'2001-06-30') AND NOT (symbol = 'EUROPE' AND date > DATE'2001-11-01')"
+_STM4 = """SELECT symbol, date AS last_date FROM (SELECT symbol, date, lead(date) OVER (PARTITION BY symbol ORDER BY date) AS next, max(date) OVER () - 10 AS top FROM bars)
+WHERE (next IS NULL OR next > date + 1) AND date + 1 <= top"""
 
 
-@query("STM4", with_("bars", body=f"""SELECT symbol, last_date FROM (SELECT symbol, max(date) AS last_date, max(max(date)) OVER () AS top FROM bars WHERE {_KEEP.replace("DATE'", "DATE '")} GROUP BY symbol) WHERE last_date + INTERVAL 2 DAY <= top - INTERVAL 1 HOUR"""))
+@query("STM4", with_("bars", body=_STM4))
 def stm4(t):
-    return with_state_store(t, lambda: J.run_to_table(J.stale_symbols(bar_files(t, _KEEP)), "stream-stale"))
+    return with_state_store(t, lambda: J.run_to_table(J.stale_symbols(bar_files(t), max_days=1), "stream-stale"))

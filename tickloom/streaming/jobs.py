@@ -16,7 +16,7 @@ STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateSto
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 64).parquet(sf_dir)
+    files = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     return files.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -66,48 +66,73 @@ def upsert_bars(stream: DataFrame, name: str, keys: tuple[str, ...] = ("symbol",
     return latest(versions, list(keys), ["batch"]).select(*stream.columns)
 
 
-def bar_stream(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 64).parquet(path)
+def bar_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
+    """Bar files as a stream; without a number of files per trigger, all that are there make one batch."""
+    files = spark.readStream.schema(schema)
+    return (files.option("maxFilesPerTrigger", files_per_trigger) if files_per_trigger else files).parquet(path)
 
 
-def position_signals(bars: DataFrame, entry: float = 0.2, exit_: float = 0.8) -> DataFrame:
-    """Flat -> open -> closed per symbol; emits BUY and SELL as bars arrive.
+def _timed(bars: DataFrame, delay: str) -> DataFrame:
+    """Bars with their event time, as a timestamp under a watermark and in milliseconds (``at``)."""
+    return bars.withColumn("ts", F.col("date").cast("timestamp")).withColumn("at", F.unix_millis("ts")).withWatermark("ts", delay)
 
-    State per key: whether a position is open and since when. Bars of one batch are put in
-    date order before the walk.
+
+def position_signals(bars: DataFrame, entry: float = 0.2, exit_: float = 0.8, delay: str = "10 days") -> DataFrame:
+    """Flat -> open -> closed per symbol; emits BUY and SELL once the watermark has passed the bar.
+
+    State per key: the bars the watermark has not reached, and since when a position is open. A timer takes the
+    bars up to the watermark in date order, so files and batches may bring them in any order within the delay.
     """
-    return bars.groupBy("symbol").transformWithStateInPandas(
+    return _timed(bars, delay).groupBy("symbol").transformWithStateInPandas(
         statefulProcessor=_lifecycle(entry, exit_), outputStructType="symbol string, date date, signal string, entry_date date, close double",
-        outputMode="Append", timeMode="None",
+        outputMode="Append", timeMode="EventTime",
     )
 
 
+def _held(pending, watermark: int) -> tuple[list[tuple], list[tuple]]:
+    """Held rows (at first) up to the watermark, in order, and those beyond it."""
+    rows = sorted(pending.get()) if pending.exists() else []
+    cut = next((i for i, r in enumerate(rows) if r[0] > watermark), len(rows))
+    return rows[:cut], rows[cut:]
+
+
 def _lifecycle(entry: float, exit_: float):
     import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
     class Lifecycle(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
             self.position = handle.getValueState("position", "since date")
+            self.pending = handle.getListState("pending", "at long, date date, place double, close double")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            first = None
+            for r in rows:
+                r = r[r["high"] > r["low"]]
+                if len(r):
+                    place = (r["close"] - r["low"]) / (r["high"] - r["low"])
+                    self.pending.appendList(list(zip(r["at"].tolist(), r["date"], place.tolist(), r["close"].tolist())))
+                    first = min(int(r["at"].min()), first if first is not None else int(r["at"].min()))
+            if first is not None:
+                self.handle.registerTimer(first)
+            return iter([])
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            due, later = _held(self.pending, timerValues.getCurrentWatermarkInMs())
             since = self.position.get()[0] if self.position.exists() else None
             out = []
-            batch = pd.concat(list(rows)).sort_values("date")
-            for day, high, low, close in zip(batch["date"], batch["high"], batch["low"], batch["close"]):
-                if high <= low:
-                    continue
-                where = (close - low) / (high - low)
-                if since is None and where < entry:
+            for _, day, place, close in due:
+                if since is None and place < entry:
                     since = day
                     out.append((key[0], day, "BUY", day, close))
-                elif since is not None and where > exit_:
+                elif since is not None and place > exit_:
                     out.append((key[0], day, "SELL", since, close))
                     since = None
-            if since is None:
-                self.position.clear()
-            else:
-                self.position.update((since,))
+            _put(self.position, None if since is None else (since,))
+            _put(self.pending, later)
+            if later:
+                self.handle.registerTimer(later[0][0])
             yield pd.DataFrame(out, columns=["symbol", "date", "signal", "entry_date", "close"])
 
         def close(self) -> None:
@@ -116,39 +141,67 @@ def _lifecycle(entry: float, exit_: float):
     return Lifecycle()
 
 
-def stale_symbols(bars: DataFrame, max_days: int = 2) -> DataFrame:
-    """Symbols without a new bar for more than ``max_days``, by an event-time timer per symbol."""
-    timed = bars.withColumn("ts", F.col("date").cast("timestamp")).withWatermark("ts", "1 hour")
-    return timed.groupBy("symbol").transformWithStateInPandas(
+def _put(state, value) -> None:
+    """Replace a state, or remove it if there is nothing to keep."""
+    if not value:
+        state.clear()
+    elif isinstance(value, list):
+        state.put(value)
+    else:
+        state.update(value)
+
+
+def stale_symbols(bars: DataFrame, max_days: int = 2, delay: str = "10 days") -> DataFrame:
+    """Each bar after which its symbol had no other for ``max_days`` days of 24 hours, once the watermark has passed them.
+
+    Event-time timers per symbol; bars are taken in date order as in ``position_signals``, so what is emitted
+    does not depend on how they are spread over files and batches within the delay.
+    """
+    return _timed(bars, delay).groupBy("symbol").transformWithStateInPandas(
         statefulProcessor=_staleness(max_days), outputStructType="symbol string, last_date date", outputMode="Append", timeMode="EventTime")
 
 
 def _staleness(max_days: int):
-    import datetime
-
     import pandas as pd
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+    wait = max_days * 86_400_000
+
     class Staleness(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.last = handle.getValueState("last", "last date, timer long")
+            self.last = handle.getValueState("last", "at long, date date, told boolean")
+            self.pending = handle.getListState("pending", "at long, date date")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-            newest = max(max(r["date"]) for r in rows)
-            if self.last.exists():
-                seen, timer = self.last.get()
-                newest = max(newest, seen)
-                self.handle.deleteTimer(timer)
-            due = datetime.datetime.combine(newest, datetime.time(), datetime.timezone.utc) + datetime.timedelta(days=max_days)
-            timer = int(due.timestamp() * 1000)
-            self.handle.registerTimer(timer)
-            self.last.update((newest, timer))
+            first = None
+            for r in rows:
+                self.pending.appendList(list(zip(r["at"].tolist(), r["date"])))
+                first = min(int(r["at"].min()), first if first is not None else int(r["at"].min()))
+            if first is not None:
+                self.handle.registerTimer(first)
             return iter([])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            day, _ = self.last.get()
-            yield pd.DataFrame({"symbol": [key[0]], "last_date": [day]})
+            watermark = timerValues.getCurrentWatermarkInMs()
+            due, later = _held(self.pending, watermark)
+            at, day, told = self.last.get() if self.last.exists() else (None, None, True)
+            out = []
+            for next_at, next_day in due:
+                if not told and next_at > at + wait:
+                    out.append((key[0], day))
+                at, day, told = next_at, next_day, False
+            if not told and at + wait <= watermark:
+                out.append((key[0], day))
+                told = True
+            if at is not None:
+                self.last.update((at, day, told))
+            _put(self.pending, later)
+            if later:
+                self.handle.registerTimer(later[0][0])
+            if not told:
+                self.handle.registerTimer(at + wait)
+            yield pd.DataFrame(out, columns=["symbol", "last_date"])
 
         def close(self) -> None:
             pass
