@@ -11,7 +11,7 @@ from ..functions import scalars as S
 from ..operators.equity import daily_equity
 from ..operators.indicators import Needs, home_rows, indicator_frame
 from ..operators.ledger import Account, ledger
-from ..operators.metrics import trade_metrics
+from ..operators.metrics import profit_factor, t_test, trade_metrics
 from ..operators.rules import IBS
 from ..session import materialise
 from ..sources import bars as B
@@ -70,22 +70,37 @@ class Tables:
             return ledger(self.bars(), IBS, combos, ACCOUNT).withColumn("strategy", name[F.col("combo_id")]).drop("combo_id")
         return self._kept("all-trades", build)
 
+    def screened_trades(self) -> DataFrame:
+        """Closed trades once per screening run they belong to: the first run knows those closed before 2000, the second all."""
+        stamps = [F.lit(r).cast("timestamp") for r in RUNS]
+        runs = F.when(F.col("exit_date") < F.lit(MID).cast("date"), F.array(*stamps)).otherwise(F.array(stamps[1]))
+        universe = F.when(F.col("symbol").isin("AMERICA", "EUROPE"), "north").otherwise("south")
+        return self.all_trades().filter("closed").withColumn("universe", universe).withColumn("timestamp", F.explode(runs))
+
     def screens(self) -> DataFrame:
         """Two screening runs: one on trades closed before 2000, one on all."""
-        def build():
-            tr = self.all_trades().filter("closed").withColumn("universe", F.when(F.col("symbol").isin("AMERICA", "EUROPE"), "north").otherwise("south"))
-            stamps = [F.lit(r).cast("timestamp") for r in RUNS]
-            runs = F.when(F.col("exit_date") < F.lit(MID).cast("date"), F.array(*stamps)).otherwise(F.array(stamps[1]))
-            tr = tr.withColumn("timestamp", F.explode(runs))
-            return trade_metrics(tr, ["timestamp", "strategy", "universe", "symbol"]).drop("final_capital")
-        return self._kept("screens", build)
+        return self._kept("screens", lambda: trade_metrics(self.screened_trades(), SCREEN_KEYS).drop("final_capital"))
 
     def validations(self) -> DataFrame:
-        """Screening rows with test figures and a verdict."""
+        """Screening rows with their tests: grid, halves, significance, verdict.
+
+        ``robustness_pct`` is the share of the whole grid that earns on the symbol in the out-of-sample trades closed by
+        the run; the halves of a run meet at the start of the out-of-sample period (first run) or in its middle.
+        """
         def build():
-            s = self.screens().withColumns({"robustness_pct": F.col("win_rate") * 150, "stable": F.col("profit_factor") > 0.7,
-                                            "ttest_p": F.when(F.col("sharpe") > 0, F.lit(0.04)).otherwise(F.lit(0.5))})
-            return s.withColumn("verdict", S.verdict(F.col("robustness_pct") >= 65, F.col("stable"), F.col("ttest_p") < 0.1))
+            tr = self.screened_trades()
+            first = F.col("exit_date") < F.when(F.col("timestamp") == F.lit(RUNS[0]).cast("timestamp"), F.lit(SPLIT)).otherwise(F.lit(MID)).cast("date")
+            halves = tr.groupBy(*SCREEN_KEYS).agg(profit_factor(F.when(first, F.col("pnl"))).alias("_a"), profit_factor(F.when(~first, F.col("pnl"))).alias("_b"))
+            tests = t_test(tr, SCREEN_KEYS).select(*SCREEN_KEYS, F.col("p_value").alias("ttest_p"))
+            combos, start = IBS.combos(), F.col("date") >= F.lit(SPLIT).cast("date")
+            stamps = [F.lit(r).cast("timestamp") for r in RUNS]
+            runs = F.when(F.col("exit_date") < F.lit(MID).cast("date"), F.array(*stamps)).otherwise(F.array(stamps[1]))
+            grid = ledger(self.bars(), IBS, combos, ACCOUNT, start=start).filter("closed").withColumn("timestamp", F.explode(runs))
+            grid = trade_metrics(grid, ["timestamp", "symbol", "combo_id"]).groupBy("timestamp", "symbol")
+            grid = grid.agg((F.count_if((F.col("n_trades") >= 3) & (F.col("profit_factor") > 1)) / len(combos) * 100).alias("robustness_pct"))
+            v = self.screens().join(halves, SCREEN_KEYS).join(tests, SCREEN_KEYS).join(grid, ["timestamp", "symbol"], "left").fillna(0.0, ["robustness_pct"])
+            v = v.withColumn("stable", (F.col("_a") > 1) & (F.col("_b") > 1)).drop("_a", "_b")
+            return v.withColumn("verdict", S.verdict(F.col("robustness_pct") >= 80, F.col("stable"), F.col("ttest_p") < 0.1))
         return self._kept("validations", build)
 
     def paper(self) -> DataFrame:
@@ -145,6 +160,7 @@ class Tables:
 
 STRATEGIES = {"ibs": (0.2, 0.8), "ibs_loose": (0.25, 0.7), "ibs_tight": (0.15, 0.9)}
 RUNS = ("2000-01-01 18:00:00", "2001-11-05 18:00:00")
+SCREEN_KEYS = ["timestamp", "strategy", "universe", "symbol"]
 BOOK = "2000-03-17"
 ACCOUNT = Account(capital=100_000.0, slippage=0.0003, fees="forex_saxo")
 STRICT = Account(capital=10_000.0, slippage=0.0003, fees="us_stocks_usd_account", whole_shares=True)
@@ -352,8 +368,6 @@ cte("all_trades", " UNION ALL ".join(f"SELECT '{k}' AS strategy, * FROM st_{k}"
 cte("screen_src", f"""SELECT *, CASE WHEN symbol IN ('AMERICA', 'EUROPE') THEN 'north' ELSE 'south' END AS universe,
   CAST(unnest(CASE WHEN exit_date < DATE '{MID}' THEN ['{RUNS[0]}', '{RUNS[1]}'] ELSE ['{RUNS[1]}'] END) AS TIMESTAMP) AS timestamp FROM all_trades WHERE closed""", "all_trades")
 cte("screens", f"SELECT * EXCLUDE (final_capital) FROM ({metrics_sql('screen_src', 'timestamp, strategy, universe, symbol')})", "screen_src")
-cte("validations", """SELECT *, CASE WHEN robustness_pct >= 65 AND stable AND ttest_p < 0.1 THEN 'VALIDATED' WHEN robustness_pct >= 65 AND (stable OR ttest_p < 0.1) THEN 'CONDITIONAL' ELSE 'REJECTED' END AS verdict
-  FROM (SELECT *, win_rate * 150 AS robustness_pct, profit_factor > 0.7 AS stable, CASE WHEN sharpe > 0 THEN 0.04 ELSE 0.5 END AS ttest_p FROM screens)""", "screens")
 cte("paper", f"""SELECT id, strategy, symbol, entry_date, entry_price, shares, CASE WHEN shut THEN 'closed' ELSE 'open' END AS status, CASE WHEN shut THEN exit_date END AS exit_date, CASE WHEN shut THEN exit_price END AS exit_price,
    CASE WHEN shut THEN (exit_price - entry_price) * shares END AS pnl_dollars, CASE WHEN shut THEN (exit_price - entry_price) / entry_price * 100 END AS pnl_pct, 'entry ' || symbol AS notes, CASE WHEN month(entry_date) = 12 THEN 'december' END AS tags
   FROM (SELECT *, strategy || '-' || symbol || '-' || entry_ix AS id, floor(5000 / entry_price) AS shares, coalesce(closed AND exit_date <= DATE '{BOOK}' - 8, false) AS shut FROM all_trades WHERE entry_date <= DATE '{BOOK}' AND strategy <> 'ibs_tight')""", "all_trades")

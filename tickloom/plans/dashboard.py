@@ -320,12 +320,17 @@ def jon8(t):
     return m.join(run, ["symbol", "strategy"], "left").join(held, "symbol", "left").select("symbol", "strategy", "in_universe", "signal", "indicator_value", "close_price", F.coalesce("_o", F.lit(False)).alias("has_open"))
 
 
-@query("JON9", with_("validations", body=f"""SELECT strategy, universe, symbol, coalesce(b.verdict, 'NEW') AS old, coalesce(a.verdict, 'REMOVED') AS new FROM (SELECT * FROM validations WHERE timestamp = TIMESTAMP '{RUNS[0]}' AND symbol <> 'ASIA') b
-   FULL JOIN (SELECT * FROM validations WHERE timestamp = TIMESTAMP '{RUNS[1]}' AND symbol <> 'EUROPE') a USING (strategy, universe, symbol) WHERE coalesce(b.verdict, 'NEW') <> coalesce(a.verdict, 'REMOVED')"""))
+_TWIN = "SELECT * FROM validations WHERE timestamp = TIMESTAMP '{run}' UNION ALL SELECT * REPLACE ('{name}' AS symbol) FROM validations WHERE timestamp = TIMESTAMP '{run}' AND symbol = '{of}'"
+
+
+@query("JON9", with_("validations", body=f"""SELECT strategy, universe, symbol, coalesce(b.verdict, 'NEW') AS old, coalesce(a.verdict, 'REMOVED') AS new FROM ({_TWIN.format(run=RUNS[0], name='DELISTED', of='ASIA')}) b
+   FULL JOIN ({_TWIN.format(run=RUNS[1], name='LISTED', of='EUROPE')}) a USING (strategy, universe, symbol) WHERE coalesce(b.verdict, 'NEW') <> coalesce(a.verdict, 'REMOVED')"""))
 def jon9(t):
-    v = t.validations()
-    at = lambda r: v.filter(F.col("timestamp") == F.lit(r).cast("timestamp"))
-    return K.verdict_changes(at(RUNS[0]).filter("symbol <> 'ASIA'"), at(RUNS[1]).filter("symbol <> 'EUROPE'"))
+    """Both runs whole, with a symbol more in either one."""
+    def at(run, name, of):
+        v = t.validations().filter(F.col("timestamp") == F.lit(run).cast("timestamp"))
+        return v.unionByName(v.filter(F.col("symbol") == of).withColumn("symbol", F.lit(name)))
+    return K.verdict_changes(at(RUNS[0], "DELISTED", "ASIA"), at(RUNS[1], "LISTED", "EUROPE"))
 
 
 @query("JON10", with_("vlast", body="""SELECT a.symbol, a.profit_factor AS pf_a, b.profit_factor AS pf_b, b.symbol IS NULL AS only_a FROM (SELECT * FROM vlast WHERE strategy = 'ibs') a LEFT JOIN (SELECT * FROM vlast WHERE strategy = 'ibs_loose' AND profit_factor > 0.7) b USING (symbol)"""), round={"pf_a": 6, "pf_b": 6})

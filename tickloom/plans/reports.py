@@ -10,7 +10,7 @@ from ..operators.ranks import percentiles, ranked
 from ..operators.rules import IBS, RSI2, TOM
 from ..operators.validation import Periods, grid_metrics, halves, usable_symbols, validate
 from ..presets import FEES, STOP_LEVELS
-from .base import ACCOUNT, INF, METRIC_DIGITS, MID, SPLIT, STRICT, cte, ibs_ctes, metrics_sql, pf_sql, query, sharpe_sql, walk_cte, with_
+from .base import ACCOUNT, INF, METRIC_DIGITS, MID, RUNS, SPLIT, STRICT, cte, ibs_ctes, metrics_sql, pf_sql, query, sharpe_sql, walk_cte, with_
 from .inputs import trend_context
 from .trading import ITOM, _US, tail_sql
 
@@ -79,7 +79,7 @@ cte("gx", """SELECT i.*, e.xthr, e.per, min(CASE WHEN (ibs > e.xthr OR close > p
    OVER (PARTITION BY symbol, e.xthr, e.per ORDER BY bar_ix ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS xix FROM ind i, (SELECT DISTINCT xthr, per FROM igrid) e""" % SPLIT, "ind", "igrid")
 cte("gtr0", """SELECT g.symbol, c.combo_id, g.xix AS exit_ix, min(g.bar_ix) AS entry_ix FROM gx g JOIN icand c ON c.symbol = g.symbol AND c.entry_ix = g.bar_ix AND c.xthr = g.xthr AND c.per = g.per
    WHERE g.date >= DATE '%s' GROUP BY ALL""" % SPLIT, "gx", "icand")
-cte("gtr1", """SELECT t.symbol, t.combo_id, t.entry_ix, t.exit_ix, t.exit_ix IS NOT NULL AS closed, e.open * (1 + CAST(0.0003 AS DOUBLE)) AS ep, coalesce(x.close, m.mark_price) AS xp
+cte("gtr1", """SELECT t.symbol, t.combo_id, t.entry_ix, t.exit_ix, t.exit_ix IS NOT NULL AS closed, x.date AS exit_date, e.open * (1 + CAST(0.0003 AS DOUBLE)) AS ep, coalesce(x.close, m.mark_price) AS xp
    FROM gtr0 t JOIN bars e ON e.symbol = t.symbol AND e.bar_ix = t.entry_ix LEFT JOIN bars x ON x.symbol = t.symbol AND x.bar_ix = t.exit_ix JOIN last_bar m ON m.symbol = t.symbol""", "gtr0", "bars", "last_bar")
 cte("gtr", """SELECT *, before * 0.2 * return_pct AS pnl FROM (SELECT *, 100000 * coalesce(product(1 + 0.2 * return_pct) OVER (PARTITION BY symbol, combo_id ORDER BY entry_ix ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS before
    FROM (SELECT *, (xp - ep) / ep - 0.000075 - xp / ep * 0.000075 AS return_pct FROM gtr1))""", "gtr1")
@@ -184,6 +184,16 @@ def agg11(t):
     return M.t_test(tr, ["symbol"]).unionByName(M.t_test(tr.withColumn("symbol", F.lit("Po")), ["symbol"]))
 
 
+_KEYS = "timestamp, strategy, universe, symbol"
+_FIRST = f"(exit_date < CASE WHEN timestamp = TIMESTAMP '{RUNS[0]}' THEN DATE '{SPLIT}' ELSE DATE '{MID}' END)"
+cte("vgrid", f"""SELECT timestamp, symbol, count(*) FILTER (n >= 3 AND pf > 1) / (SELECT count(*) FROM igrid) * 100 AS robustness_pct FROM (
+   SELECT timestamp, symbol, combo_id, count(*) AS n, {pf_sql(inf=INF)} AS pf FROM (SELECT *, CAST(unnest(CASE WHEN exit_date < DATE '{MID}' THEN ['{RUNS[0]}', '{RUNS[1]}'] ELSE ['{RUNS[1]}'] END) AS TIMESTAMP) AS timestamp FROM gtr WHERE closed) GROUP BY ALL)
+   GROUP BY ALL""", "gtr", "igrid")
+cte("vhalf", f"SELECT {_KEYS}, ({pf_sql(cond=_FIRST, inf=INF)}) > 1 AND ({pf_sql(cond=f'NOT {_FIRST}', inf=INF)}) > 1 AS stable FROM screen_src GROUP BY {_KEYS}", "screen_src")
+cte("validations", f"""SELECT *, CASE WHEN robustness_pct >= 80 AND stable AND ttest_p < 0.1 THEN 'VALIDATED' WHEN robustness_pct >= 80 AND (stable OR ttest_p < 0.1) THEN 'CONDITIONAL' ELSE 'REJECTED' END AS verdict
+  FROM (SELECT s.*, coalesce(g.robustness_pct, 0) AS robustness_pct, h.stable, p.p_value AS ttest_p FROM screens s JOIN vhalf h USING ({_KEYS}) JOIN ({ttest_sql('screen_src', _KEYS)}) p USING ({_KEYS}) LEFT JOIN vgrid g USING (timestamp, symbol))""", "screens", "screen_src", "vhalf", "vgrid")
+
+
 ibs_ctes("oos", where=f"date >= DATE '{SPLIT}'")
 cte("oosc", "SELECT * FROM oos WHERE closed", "oos")
 _VAL = "symbol, n_trades, win_rate, profit_factor, sharpe, net_return_pct, pct_profitable, median_pf, pf_a, pf_b, stable, t_stat, p_value, significant, verdict"
