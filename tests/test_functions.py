@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -31,6 +32,14 @@ def test_student_tail(spark, t, nu):
     assert one(spark, S.student_tail(F.lit(t), F.lit(nu)))[0] == pytest.approx(t_tail(t, nu), abs=1e-10)
 
 
+@pytest.mark.parametrize("t", [0.01, 0.7, 1.96, 3.5, 7.0])
+def test_student_tail_with_many_degrees_of_freedom(spark, t):
+    """Beyond the finite sum: equal to it just there, next to the normal tail far out."""
+    both = one(spark, S.student_tail(F.lit(t), F.lit(401)), S._student_sum(F.lit(t), F.lit(401)), S.student_tail(F.lit(t), F.lit(100_000_000)))
+    assert both[0] == pytest.approx(both[1], abs=1e-12)
+    assert both[2] == pytest.approx(0.5 * math.erfc(t / math.sqrt(2)), abs=1e-8)
+
+
 def test_published_p_value(spark):
     assert round(one(spark, S.student_tail(F.lit(2.90), F.lit(3389)))[0], 4) == 0.0019
 
@@ -112,6 +121,11 @@ def test_text_helpers(spark):
     assert tuple(row) == ("EUR/USD", "ABC", None, "example.org", "a&lt;b &amp; c&gt;d")
 
 
+def drawn(key, sim, slot, n):
+    """The block a slot draws: a uniform number from the leading 52 bits of an md5, scaled."""
+    return int(int(hashlib.md5(f"42|{key}|{sim}|{slot}".encode()).hexdigest()[:13], 16) / 2**52 * n)
+
+
 def test_bootstrap_matches_direct_resampling(spark):
     import numpy as np
 
@@ -119,9 +133,20 @@ def test_bootstrap_matches_direct_resampling(spark):
     r = rng.normal(0.002, 0.02, 57).round(6).tolist()
     got = R.block_bootstrap(trades(spark, r), ["k"], sims=200).first()
     blocks = [r[i : i + 10] for i in range(0, 57, 10)]
-    step = lambda sim, slot: ((sim * 104_729 + slot * 1_299_709 + 42 * 7_919) % 2**31 * 1_103_515_245 + 12_345) % 2**31 % len(blocks)
     sharpe = lambda x: round(float(np.mean(x) / np.std(x)), 9)
-    dist = [sharpe(sum((blocks[step(s, k)] for k in range(len(blocks))), [])) for s in range(200)]
+    dist = [sharpe(sum((blocks[drawn(got.k, s, k, len(blocks))] for k in range(len(blocks))), [])) for s in range(200)]
     assert got.real_sharpe == pytest.approx(sharpe(r), abs=1e-9)
     assert got.p_value == pytest.approx(sum(d >= sharpe(r) for d in dist) / 200)
     assert got.ci_low == pytest.approx(np.percentile(dist, 5), abs=1e-8)
+
+
+@pytest.mark.parametrize("n", [8, 16])
+def test_blocks_are_drawn_with_replacement(spark, n):
+    """Distinct blocks per simulation and the spread of the number of draws of a block are those of uniform draws."""
+    draws = spark.range(1000).selectExpr("id AS sim", f"explode(sequence(0, {n - 1})) AS slot")
+    draws = draws.withColumn("b", F.floor(R.uniform(F.lit("a"), F.col("sim"), F.col("slot")) * n))
+    assert {tuple(r) for r in draws.limit(50).collect()} == {(s, k, drawn("a", s, k, n)) for s, k, _ in draws.limit(50).collect()}
+    distinct = draws.groupBy("sim").agg(F.count_distinct("b").alias("d")).agg(F.avg("d")).first()[0]
+    assert distinct / n == pytest.approx(1 - (1 - 1 / n) ** n, abs=0.015)
+    hits = draws.groupBy("sim").agg(F.count_if(F.col("b") == 0).alias("h")).agg(F.avg("h"), F.var_samp("h")).first()
+    assert hits[0] == pytest.approx(1, abs=0.12) and hits[1] == pytest.approx(1 - 1 / n, abs=0.17)

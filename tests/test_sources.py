@@ -98,3 +98,14 @@ def test_ranks_and_percentiles_of_a_large_group(spark):
     r = ranked(df.filter("k = 'a'"), ["k"], "v", "i").orderBy("rank").toPandas()
     want = pd.DataFrame({"v": x, "i": range(len(x))}).sort_values(["v", "i"], ascending=[False, True])
     assert list(r.i) == list(want.i) and list(r["rank"]) == list(range(1, len(x) + 1))
+
+
+def test_one_outlier_does_not_crowd_a_bucket(spark):
+    from tickloom.operators.ranks import percentiles, value_buckets
+
+    df = spark.range(50_000).selectExpr("'a' AS k", "id", "CASE WHEN id = 0 THEN 1e9 ELSE CAST((id * 7919) % 50000 AS DOUBLE) END AS v")
+    sizes = [r["count"] for r in value_buckets(df, ["k"], "v").groupBy("_bk").count().collect()]
+    assert sum(sizes) == 50_000 and max(sizes) <= 50_000 / 32
+    ties = df.selectExpr("k", "CASE WHEN id % 3 = 0 THEN v ELSE 5.0 END AS v")
+    got = percentiles(ties, ["k"], "v", {"p50": 0.5, "p100": 1.0}).first()
+    assert (got.p50, got.p100) == (5.0, 1e9)
