@@ -24,6 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from . import shingles
 from .common import components, store
 
 LOW_HALF, TWO_BITS = 0xFFFFFFFF, 0x55555555
@@ -130,10 +131,10 @@ def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame
     return prints.join(named.select("fp", "root").join(best, "root"), "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
-def first_of_group(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
-    """One row of each component, all columns: the one with the smallest id (null last), then text hash."""
+def first_of_group(docs: DataFrame) -> DataFrame:
+    """One row of each component of similar texts (see ``shingles``), all columns: the one with the smallest id (null last), then text hash."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best")
-    chosen = near_duplicates(docs, bits, width).groupBy("root").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.h").alias("_h")).distinct()
+    chosen = shingles.grouped(docs).groupBy("root").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.h").alias("_h")).distinct()
     rows = docs.select("*", F.xxhash64("text").alias("_hash"))
     same = rows["doc_id"].eqNullSafe(chosen["_id"]) & (rows["_hash"] == chosen["_h"])
     return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
