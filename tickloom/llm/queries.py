@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import brown_lm, chat, decontaminate, html_extract, mixing, pii, quality, sharding, simhash, toxicity
+from . import brown_lm, chat, decontaminate, exact, html_extract, mixing, pii, quality, repair, sharding, simhash, toxicity
 from .common import crc_text, table
 
 QUERIES: dict = {}
@@ -130,3 +130,71 @@ def op6_latent_semantic_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_brown_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_hash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.mark(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_hash_groups"] = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body FROM documents),
+r AS (SELECT *, first_value(doc_id) OVER w AS keep_id, row_number() OVER w AS place, count(*) OVER (PARTITION BY body) AS group_size FROM d
+  WINDOW w AS (PARTITION BY body ORDER BY n DESC, doc_id NULLS LAST))
+SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(body) AS text_sha256 FROM r"""
+
+
+@query
+def op12_edit_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(table(spark, sf_dir, "conversations"))
+
+
+#: crc32 of the texts in a table keys(key), by byte, for WITH RECURSIVE.
+CRC32 = r"""
+bits(b, v, k) AS (SELECT b, b, 0 FROM range(256) t(b) UNION ALL SELECT b, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc(key, i, c) AS (
+  SELECT key, 0, 4294967295::BIGINT FROM keys
+  UNION ALL SELECT key, i + 1, xor(c >> 8, v) FROM crc JOIN bits ON k = 8 AND b = xor(c & 255, ascii(substr(key, i + 1, 1))) WHERE i < length(key)),
+hashed AS (SELECT key, xor(c, 4294967295) AS h FROM crc WHERE i = length(key))"""
+
+#: The same lattice turn by turn: per state the cheapest audit so far, ties by the audit.
+ORACLES["op12_edit_lattice"] = r"""
+WITH RECURSIVE given AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+keys AS (SELECT DISTINCT key FROM given),""" + CRC32 + r""",
+convs AS (SELECT conv_id, row_number() OVER () AS c FROM (SELECT DISTINCT conv_id FROM conversations)),
+hurt AS (
+  SELECT c, turn, CASE WHEN h % 20 = 4 THEN 'user' ELSE role END AS role,
+    CASE h % 20 WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE h % 20 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM given JOIN hashed USING (key) JOIN convs ON convs.conv_id IS NOT DISTINCT FROM given.conv_id),
+placed AS (SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS place FROM hurt),
+turns AS (
+  SELECT *, CASE left(role, 1) WHEN 's' THEN 1 WHEN 'u' THEN 2 WHEN 'a' THEN 3 ELSE 0 END AS r,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'b' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY place) > 1 THEN 'd'
+      WHEN regexp_matches(text, '[^.!?\x20\x09-\x0D][\x20\x09-\x0D]*$') THEN 't' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY c ORDER BY place) || left(role, 1) AS pair
+  FROM placed),
+follows(s, n, name) AS (VALUES (0, 2, 'user'), (1, 2, 'user'), (2, 3, 'assistant'), (3, 2, 'user')),
+edits AS (
+  SELECT s, r, 'D' AS edit, s AS to_s, 2 AS cost, '' AS name FROM follows, range(4) t(r)
+  UNION ALL SELECT s, r, 'R', n, 1, name FROM follows, range(4) t(r)
+  UNION ALL SELECT s, r, 'K', r, 0, NULL FROM (VALUES (0, 1), (0, 2), (1, 2), (3, 2), (2, 3)) t(s, r)),
+inserts AS (
+  SELECT s, s AS to_s, 0 AS cost, '' AS audit, '' AS said FROM follows
+  UNION ALL SELECT s, n, 5, 'I', name || ':' || chr(10) FROM follows
+  UNION ALL SELECT a.s, b.n, 10, 'II', a.name || ':' || chr(10) || b.name || ':' || chr(10) FROM follows a JOIN follows b ON a.n = b.s),
+step(c, i, s, cost, audit, said) AS (
+  SELECT c, 0, to_s, cost, audit, said FROM convs, inserts WHERE s = 0
+  UNION ALL
+  SELECT c, i, s, cost, audit, said FROM (
+    SELECT t.c, t.i + 1 AS i, n.to_s AS s, t.cost + e.cost + n.cost + CASE WHEN e.edit <> 'D' AND fault = 't' THEN 5 ELSE 0 END AS cost, t.audit || e.edit || n.audit AS audit,
+      t.said || CASE WHEN e.edit = 'D' THEN '' ELSE coalesce(e.name, role) || ':' || text || chr(10) END || n.said AS said
+    FROM step t JOIN turns ON turns.c = t.c AND place = t.i + 1 JOIN edits e ON e.s = t.s AND e.r = turns.r AND (e.edit = 'D' OR fault IN ('', 't')) JOIN inserts n ON n.s = e.to_s)
+  QUALIFY row_number() OVER (PARTITION BY c, s ORDER BY cost, audit) = 1),
+facts AS (
+  SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+    count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (place > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM turns GROUP BY c),
+best AS (SELECT step.* FROM step LEFT JOIN facts USING (c) WHERE i = coalesce(n, 0) AND s IN (0, 3) QUALIFY row_number() OVER (PARTITION BY c ORDER BY cost, audit) = 1)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(cost AS BIGINT) AS cost, audit, sha256(left(said, greatest(length(said) - 1, 0))) AS repaired_sha256
+FROM convs JOIN best USING (c) LEFT JOIN facts USING (c)"""
