@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import brown_lm, chat, decontaminate, exact, html_extract, mixing, pii, quality, repair, sharding, simhash, toxicity
+from . import brown_lm, chat, decontaminate, exact, html_extract, mixing, pii, quality, repair, sharding, simhash, toxicity, trie
 from .common import crc_text, table
 
 QUERIES: dict = {}
@@ -198,3 +198,30 @@ best AS (SELECT step.* FROM step LEFT JOIN facts USING (c) WHERE i = coalesce(n,
 SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
   CAST(cost AS BIGINT) AS cost, audit, sha256(left(said, greatest(length(said) - 1, 0))) AS repaired_sha256
 FROM convs JOIN best USING (c) LEFT JOIN facts USING (c)"""
+
+
+@query
+def op13_radix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_radix_trie"] = r"""
+WITH RECURSIVE given AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, coalesce(CAST(conv_id AS VARCHAR), '') AS key FROM conversations),
+keys AS (SELECT DISTINCT key FROM given),""" + CRC32 + r""",
+said AS (SELECT DISTINCT role, text, left(sha256(strlen(role) || ':' || role || text), 32) AS sha FROM given),
+ids AS (SELECT role, text, sha, row_number() OVER (ORDER BY role, text) AS id, strlen(text) AS w FROM said),
+convs AS (SELECT conv_id, key, list(id ORDER BY turn NULLS FIRST, sha, w) AS seq FROM given JOIN ids USING (role, text) GROUP BY conv_id, key),
+members AS (
+  SELECT c.conv_id, list_concat(coalesce(b.seq[1:CAST(h % 9 AS INT)], []), c.seq[CAST(h % 9 AS INT) + 1:]) AS seq
+  FROM convs c JOIN hashed USING (key) LEFT JOIN convs b ON b.conv_id = c.conv_id - c.conv_id % 5),
+ways AS (SELECT conv_id, len(seq) AS n, unnest(range(len(seq) + 1)) AS d, seq FROM members),
+node AS (
+  SELECT seq[1:d] AS p, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (d = n), '')) AS ends_sha256
+  FROM ways GROUP BY 1, 2),
+kids AS (SELECT p[1:depth - 1] AS p, count(*) AS n_children FROM node WHERE depth > 0 GROUP BY 1),
+full_node AS (SELECT node.*, coalesce(n_children, 0) AS n_children, (n_convs - 1) * coalesce(w, 0) AS again FROM node LEFT JOIN kids USING (p) LEFT JOIN ids ON id = p[depth]),
+tops AS (SELECT n_children, again, p, unnest(range(depth + 1)) AS d FROM full_node),
+under AS (SELECT p[1:d] AS p, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(again) AS BIGINT) AS saved_tokens FROM tops GROUP BY 1)
+SELECT n.conv_id, n.depth, u.conv_id AS parent_conv_id, n.n_convs, n.n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM full_node n JOIN under USING (p) LEFT JOIN node u ON n.depth > 0 AND u.p = n.p[1:n.depth - 1]"""
