@@ -20,9 +20,10 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
+ROWS = 256  # pages read at a time
 #: HTML element names by kind: fixed values.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style textarea title noscript template iframe xmp svg math object select".split())
@@ -165,8 +166,9 @@ def main_text(page: str | None, share: float = 0.9) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url and text of every page."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            yield pd.DataFrame({"page_id": b.page_id, "url": b.url, "text": [main_text(h) for h in b.html]})
+            yield pa.array([main_text(h) for lo in range(0, len(b), ROWS) for h in b.slice(lo, ROWS).to_pylist()], pa.string())
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, text string")
+    return pages.select("page_id", "url", run("html").alias("text"))

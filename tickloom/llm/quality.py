@@ -18,13 +18,14 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import BLANKS, store
 
 SYMBOLS = "#*$%&|<>"
 GAMMA = 1.02
+ROWS = 512  # texts read at a time
 
 
 @dataclass(frozen=True)
@@ -77,12 +78,15 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def measured(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the counts of every row's whole text."""
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kind = pa.struct([(c, pa.int64()) for c in COUNTS])
+
+    @F.arrow_udf("struct<" + ",".join(f"{c}:long" for c in COUNTS) + ">")
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            rows = [measures(t or "") for t in b.text]
-            yield pd.concat([b[["doc_id", "lang", "source"]], pd.DataFrame(rows, columns=COUNTS, index=b.index, dtype="int64")], axis=1)
+            rows = zip(*[measures(t or "") for lo in range(0, len(b), ROWS) for t in b.slice(lo, ROWS).to_pylist()])
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in rows], fields=list(kind)) if len(b) else pa.array([], kind)
 
-    return docs.select("doc_id", "lang", "source", "text").mapInPandas(count, "doc_id long, lang string, source string, " + ", ".join(f"{c} long" for c in COUNTS))
+    return docs.select("doc_id", "lang", "source", count("text").alias("c")).select("doc_id", "lang", "source", "c.*")
 
 
 def bucket(x: Column) -> Column:
