@@ -28,8 +28,8 @@ EMAIL = rf"(?:\G|(?<![{LOCAL}]))[{LOCAL}]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++
 IP = r"[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9]++(?:[\x20-][0-9]++)*+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: Any run that can hold an ip, card or phone number; seven characters are the least (1.1.1.1).
-RUN = r"[0-9+(][0-9+\x20().-]{5,}[0-9]"
+#: Any run that can hold an ip, card or phone number, taken whole and once (possessive); seven characters are the least (1.1.1.1).
+RUN = r"[0-9+\x20().-]{7,}+"
 BARE_PHONE = r"\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[\x20.-][0-9]{4}"
 SPELLED = r"(?i)[a-z0-9._%+-]{1,64}(?:\x20|\x20?[(\[])at(?:\x20|[)\]]\x20?)[a-z0-9-]{1,63}(?:\x20|\x20?[(\[])dot(?:\x20|[)\]]\x20?)[a-z]{2,24}"
 #: Cue words before a span: fixed values.
