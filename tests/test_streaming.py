@@ -74,3 +74,17 @@ def test_replayed_batches_do_not_double(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
     got = J.upsert_bars(stream, "replay")
     assert got.count() == 20 and got.select("date").distinct().count() == 20
+
+
+def test_sessions_merge_and_late_rows_are_dropped(spark, tmp_path):
+    """Rows of later files close gaps inside the delay; a row before the watermark is not counted."""
+    at = lambda minute: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=minute)
+    files = [[(1, 0), (2, 50), (3, 200)], [(4, 25), (5, 210)], [(6, 600)], [(7, 20), (8, 610)], [(9, 2000)]]
+    for k, rows in enumerate(files):
+        pd.DataFrame([(e, "a", at(m), 1.0 * e) for e, m in rows], columns=["event_id", "event_type", "ts", "value"]).to_parquet(tmp_path / f"p{k}.parquet", coerce_timestamps="us", index=False)
+        os.utime(tmp_path / f"p{k}.parquet", (1_700_000_000 + k, 1_700_000_000 + k))
+    schema = "event_id long, event_type string, ts timestamp, value double"
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path))
+    got = J.run_to_table(J.activity_sessions(stream, "30 minutes", "3 hours"), "sessions").toPandas()
+    want = [(at(0), at(80), 3, 1.0, 4.0), (at(200), at(240), 2, 3.0, 5.0), (at(600), at(640), 2, 6.0, 8.0)]
+    assert sorted(map(tuple, got[["start", "end", "n_events", "low", "high"]].values.tolist())) == want

@@ -7,32 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
+from .blocks import bar_blocks, between
 from .indicators import home_rows
 from .spans import SPAN, span_order, spread
 
-REACH = 64
-
-
-def bars_inside(trades: DataFrame, bars: DataFrame, *cols: str) -> DataFrame:
-    """Trades joined with their bars from entry to exit, by (symbol, short bucket).
-
-    A trade is sent to the buckets it touches; the bar range is part of the join condition.
-    """
-    t = trades.withColumn("_b", F.explode(F.sequence(F.floor(F.col("entry_ix") / REACH), F.floor(F.col("exit_ix") / REACH))))
-    b = bars.select(F.col("symbol").alias("_s"), F.col("bar_ix").alias("_ix"), F.floor(F.col("bar_ix") / REACH).alias("_bb"), *cols)
-    on = [F.col("symbol") == F.col("_s"), F.col("_b") == F.col("_bb"), F.col("_ix").between(F.col("entry_ix"), F.col("exit_ix"))]
-    return t.join(b, on).drop("_s", "_ix", "_bb", "_b")
-
-
 def adverse_excursion(trades: DataFrame, bars: DataFrame) -> DataFrame:
     """Lowest low between entry and exit, both included, relative to the entry price.
 
-    The minimum is taken per bucket before trades meet their totals, so the shuffle carries
-    one row per trade and bucket.
+    A trade reads the blocks of its entry and exit and two rows of a sparse table, not the bars it spans.
     """
-    cols = [c for c in trades.columns]
-    pairs = bars_inside(trades, bars, "low")
-    return pairs.groupBy(*cols).agg(F.min("low").alias("_low")).withColumn("mae_pct", F.col("_low") / F.col("entry_price") - 1).drop("_low")
+    found = between(trades, bar_blocks(bars))
+    return found.withColumn("mae_pct", F.col("low") / F.col("entry_price") - 1).select(*trades.columns, "mae_pct")
 
 
 def bar_lookup(bars: DataFrame, ix: str, **cols: str) -> DataFrame:

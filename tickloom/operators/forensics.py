@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scalars as S
 from ..presets import STOP_LEVELS
+from ..session import materialise
 from . import metrics as M
 from .ranks import percentiles
 
@@ -89,7 +90,44 @@ def by_year(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
     return trades.groupBy(*keys, F.year("entry_date").alias("year")).agg(
         F.count(F.lit(1)).alias("n_trades"), M.win_rate(pnl).alias("win_rate"), M.profit_factor(pnl).alias("profit_factor"),
         (F.avg("return_pct") * 100).alias("avg_return"), F.sum(pnl).alias("total_pnl"),
-    )
+    ).withColumn("years_below_1", F.count_if(F.col("profit_factor") < 1).over(Window.partitionBy(*keys)))
+
+
+PROFILE = ("n_trades", "win_rate", "profit_factor", "mean_return", "median_return", "avg_win", "avg_loss", "wl_ratio", "skew", "excess_kurtosis", "top_10_pct", "avg_days")
+
+
+def profile(trades: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The comparison figures of each group, one column per entry of ``PROFILE``."""
+    pnl = F.col("pnl")
+    d = distribution(trades, keys).withColumnsRenamed({"mean": "mean_return", "p50": "median_return"}).drop("n_trades")
+    q = trades.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("n_trades"), M.win_rate(pnl).alias("win_rate"), M.profit_factor(pnl).alias("profit_factor"), F.avg("holding_days").alias("avg_days"))
+    return q.join(d, list(keys)).join(concentration(trades, keys, (10,)), list(keys)).select(*keys, *PROFILE)
+
+
+def best_against(trades: DataFrame, reference: str) -> DataFrame:
+    """The symbol with the highest profit factor of the others beside the reference, one row per figure."""
+    p = materialise(profile(trades, ["symbol"]), "profiles")
+    order = F.struct(F.col("profit_factor"), F.transform(F.split("symbol", ""), lambda c: -F.ascii(c)))
+    best = p.filter(F.col("symbol") != reference).agg(F.max_by("symbol", order).alias("best"))
+    long = p.join(F.broadcast(best), (F.col("symbol") == F.col("best")) | (F.col("symbol") == reference)).unpivot(["symbol", "best"], list(PROFILE), "metric", "value")
+    ours = F.col("symbol") == reference
+    return long.groupBy("metric", "best").agg(F.max(F.when(ours, F.col("value"))).alias("reference"), F.max(F.when(~ours, F.col("value"))).alias("other"))
+
+
+def synthesis(trades: DataFrame, reference: str) -> DataFrame:
+    """What the symbols other than the reference have in common: shape, concentration, years, and what follows from them."""
+    group = trades.filter(F.col("symbol") != reference)
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    shape = profile(group, ["symbol"]).agg(F.avg("skew").alias("avg_skew"), F.avg("wl_ratio").alias("avg_wl_ratio"))
+    top = concentration(one(group), ["_one"], (20,)).select("_one", "top_20_pct")
+    mid = percentiles(one(group).withColumn("_r", F.col("return_pct") * 100), ["_one"], "_r", {"median_return": 0.5})
+    below = F.count_if(F.col("profit_factor") < 1)
+    years = by_year(group, ["symbol"]).agg(F.count(F.lit(1)).alias("n_years"), below.alias("years_below_1"), ((F.count(F.lit(1)) - below) / F.count(F.lit(1)) * 100).alias("pct_years_ok"))
+    out = one(shape).join(top, "_one").join(mid, "_one").join(one(years), "_one").drop("_one")
+    narrow, stable = F.col("top_20_pct") > 50, F.col("pct_years_ok") > 70
+    advice = F.when(narrow & ~stable, "do not trade").when(narrow, "investigate, small size").when(stable, "trade with care").otherwise("investigate")
+    pattern = F.when((F.col("avg_skew") > 0.5) & (F.col("avg_wl_ratio") > 2.0), "momentum").otherwise("mean reversion")
+    return out.withColumns({"pattern": pattern, "recommendation": advice})
 
 
 def slope_class(slope: Column) -> Column:

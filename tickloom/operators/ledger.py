@@ -11,8 +11,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import scalars as S
 from ..presets import FEES
 from ..session import materialise
+from .blocks import bar_blocks, first_reach
 from .indicators import Needs, home_rows, indicator_frame
 from .rules import LONG, SHORT, Exit, RuleSpec, ema_cross, lag
+from .overlap import without_overlap
 from .spans import next_hit, span_order
 
 EXIT = "struct<bar_ix:int,prio:int,date:date,price:double,reason:string,slip:boolean>"
@@ -171,7 +173,7 @@ def with_mark(cands: DataFrame, bars: DataFrame, keys: Sequence[str] = ("symbol"
 SETTLE_SPAN = 4096
 
 
-def settle(trades: DataFrame, account: Account, fraction: float, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+def settle(trades: DataFrame, account: Account, fraction: float | Column, keys: Sequence[str] = ("symbol",)) -> DataFrame:
     """Closed form of the account: capital is a running product of ``1 + fraction * return``.
 
     The trades are stored, then the product is taken in two steps: inside a span of bars,
@@ -196,7 +198,7 @@ def settle(trades: DataFrame, account: Account, fraction: float, keys: Sequence[
     r = S.net_pnl(d, F.col("entry_price"), F.col("exit_price"), one, F.col("holding_days"), fee)
     t = t.withColumns({"return_pct": r, "_part": F.floor(F.col("entry_ix") / F.lit(SETTLE_SPAN))})
     t = materialise(t.drop("exit", "mark_ix", "mark_price", "entry_open"), "trades")
-    f = F.lit(fraction)
+    f = fraction if isinstance(fraction, Column) else F.lit(fraction)
     grow = 1 + f * F.col("return_pct")
     inside = Window.partitionBy(*group, "_part").orderBy("entry_ix")
     parts = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -338,34 +340,25 @@ def _walker(keys: list[str]):
     return walk
 
 
-def stop_exits(cands: DataFrame, bars: DataFrame, stop_pct: float, slippage: float, keys: Sequence[str] = ("symbol",)) -> DataFrame:
-    """Replace a candidate's exit by an earlier fixed stop.
+def stop_exits(cands: DataFrame, bars: DataFrame, stop_pct: float | Column, slippage: float, keys: Sequence[str] = ("symbol",)) -> DataFrame:
+    """Replace a candidate's exit by an earlier fixed stop; a stop of 0 % is none.
 
-    A forward range join: the candidate meets only the spans between its entry and its own
-    exit, the bar condition sits in the join, so only bars that trigger come out.
+    The first bar that reaches the stop is found by blocks of bars: a candidate reads a few rows, however far its stop is.
     """
     keys = list(keys)
-    size = F.lit(128)
-    c = cands.withColumn("_stop", S.entry_fill(F.col("entry_open"), F.col("direction"), slippage) * (1 - F.col("direction") * stop_pct / 100))
-    limit = F.coalesce(F.col("exit.bar_ix"), F.col("mark_ix"))
-    c = c.withColumn("_limit", limit)
-    whole = [x for x in c.columns]
-    spread_c = c.withColumn("_sp", F.explode(F.sequence(F.floor(F.col("entry_ix") / size), F.floor(F.col("_limit") / size))))
-    b = bars.select(
-        *[F.col(k).alias(f"_b_{k}") for k in keys], F.col("bar_ix").alias("_bix"), F.col("date").alias("_bdate"),
-        F.col("open").alias("_bo"), F.col("high").alias("_bh"), F.col("low").alias("_bl"),
-    ).withColumn("_bsp", F.floor(F.col("_bix") / size))
-    long = F.col("direction") == LONG
-    gap = (F.col("_bix") > F.col("entry_ix")) & F.when(long, F.col("_bo") <= F.col("_stop")).otherwise(F.col("_bo") >= F.col("_stop"))
-    touch = F.when(long, F.col("_bl") <= F.col("_stop")).otherwise(F.col("_bh") >= F.col("_stop"))
-    on = [F.col(k) == F.col(f"_b_{k}") for k in keys] + [F.col("_sp") == F.col("_bsp"), F.col("_bix").between(F.col("entry_ix"), F.col("_limit")), gap | touch]
-    hit = F.when(gap, _exit_struct(Exit(gap, F.col("_bo"), "gap_sl"), F.col("_bix"), F.col("_bdate"), 1)).otherwise(
-        _exit_struct(Exit(touch, F.col("_stop"), "intraday_sl", True), F.col("_bix"), F.col("_bdate"), 2)
-    )
-    hits = spread_c.join(b, on).select(*whole, hit.alias("_hit"))
-    own = c.select(*whole, F.col("exit").alias("_hit"))
-    rest = [x for x in whole if x not in ("exit", "_stop", "_limit")]
-    return own.unionByName(hits).groupBy(*rest).agg(F.min("_hit").alias("exit"))
+    d, long = F.col("direction"), F.col("direction") == LONG
+    pct = stop_pct if isinstance(stop_pct, Column) else F.lit(float(stop_pct))
+    c = materialise(cands.withColumn("_stop", F.when(pct > 0, S.entry_fill(F.col("entry_open"), d, slippage) * (1 - d * pct / 100))), "stop-candidates")
+    ident = ["combo_id", "entry_ix"]
+    asked = c.where("_stop IS NOT NULL").select(
+        *keys, *ident, "direction", F.col("_stop").alias("level"), F.col("entry_ix").alias("first"), F.coalesce(F.col("exit.bar_ix"), F.col("mark_ix")).alias("last"))
+    hits = first_reach(asked, bar_blocks(bars, keys), keys, [*ident, "direction"])
+    b = F.col("hit")
+    gap = (b["bar_ix"] > F.col("entry_ix")) & F.when(long, b["open"] <= F.col("_stop")).otherwise(b["open"] >= F.col("_stop"))
+    stopped = F.when(gap, _exit_struct(Exit(gap, b["open"], "gap_sl"), b["bar_ix"], b["date"], 1)).otherwise(
+        _exit_struct(Exit(gap, F.col("_stop"), "intraday_sl", True), b["bar_ix"], b["date"], 2))
+    out = c.join(hits, [*keys, *ident, "direction"], "left").withColumn("exit", F.when(b.isNotNull(), stopped).otherwise(F.col("exit")))
+    return out.select(*cands.columns)
 
 
 WALK_SPAN = 512
@@ -498,22 +491,33 @@ def ledger(
     found = candidates(frame, rule, combos, keys, start, end, sides)
     if only is not None:
         found = found.filter(only)
-    fractions = {account.fraction or p.get("position_fraction", 1.0) for p in combos}
-    stops = {float(p.get("sl_percent", 0.0)) for p in combos}
-    plain = rule.exits is not None and len(sides) == 1 and stops == {0.0} and not any(p.get("cooldown_candles") for p in combos)
-    if plain and account.closed_form and len(fractions) == 1 and accounts is None:
-        return settle(with_mark(pair(found, keys), bars, keys, end), account, fractions.pop(), keys)
+    stops = [float(p.get("sl_percent", 0.0)) for p in combos]
+    plain = rule.exits is not None and len(sides) == 1 and not any(stops) and not any(p.get("cooldown_candles") for p in combos)
+    if plain and account.closed_form and accounts is None:
+        return settle(with_mark(pair(found, keys), bars, keys, end), account, _fraction(account, combos), keys)
     cands = with_mark(found, bars, keys, end)
     if rule.key == "donchian":
         cands = trend_exits(cands, frame, combos, account.slippage, keys, legacy, end)
-    elif stops != {0.0}:
-        if len(stops) > 1:
-            raise ValueError("one stop setting per call")
-        seen = bars if end is None else bars.filter(end)
-        cands = stop_exits(cands, seen, stops.pop(), account.slippage, keys)
+    elif any(stops):
+        cands = stop_exits(cands, bars if end is None else bars.filter(end), _by_combo(stops), account.slippage, keys)
+    if account.closed_form and accounts is None:
+        wanted = cands.select(*keys, "combo_id", "direction", "entry_ix", "entry_date", "entry_open", "exit", "mark_ix", "mark_price")
+        taken = without_overlap(wanted, [*keys, "combo_id"], _by_combo([int(p.get("cooldown_candles", 0)) for p in combos]))
+        return settle(taken, account, _fraction(account, combos), keys)
     out = ordered_walk(cands, combos, accounts or [account], keys)
     return out if accounts else out.drop("scenario")
 
 
+def _by_combo(values: Sequence) -> Column:
+    """A setting per combination; one literal if all are equal."""
+    if len(set(values)) == 1:
+        return F.lit(values[0])
+    return F.array(*[F.lit(v) for v in values])[F.col("combo_id")]
+
+
+def _fraction(account: Account, combos: Sequence[dict]) -> Column:
+    return _by_combo([float(account.fraction or p.get("position_fraction", 1.0)) for p in combos])
+
+
 def variant(account: Account, **changes) -> Account:
     return replace(account, **changes)

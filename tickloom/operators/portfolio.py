@@ -141,6 +141,14 @@ def report(equity: DataFrame, trades: DataFrame, total_days: float) -> DataFrame
         "n_trades", "win_rate", "profit_factor", "sharpe")
 
 
+def beside_buy_and_hold(equity: DataFrame, held: DataFrame, trades: DataFrame, total_days: float) -> DataFrame:
+    """The report of a portfolio with the symbols that earned, beside the equity of holding every symbol."""
+    pnl = trades.groupBy("symbol").agg(F.sum("pnl").alias("_p")).agg(F.count(F.lit(1)).alias("n_symbols"), F.count_if(F.col("_p") > 0).alias("n_profitable_symbols"))
+    one = lambda df: df.withColumn("_one", F.lit(1))
+    bh = report(held, trades, total_days).select(*[F.col(c).alias(f"hold_{c}") for c in ("return_pct", "cagr_pct", "max_drawdown_pct")])
+    return one(report(equity, trades, total_days)).join(one(pnl), "_one").join(one(bh), "_one").drop("_one")
+
+
 def leave_one_out(trades: DataFrame) -> DataFrame:
     """Trade quality without each symbol in turn, from per-symbol sums: total minus own."""
     pnl = F.col("pnl")

@@ -104,3 +104,17 @@ def approaching(evaluated: DataFrame) -> DataFrame:
     pct = F.when(is_rsi, S.proximity_pct(rsi, F.lit(10.0), F.lit(20.0))).otherwise(S.proximity_pct(ibs, F.lit(0.2), F.lit(0.4)))
     label = F.when(is_rsi, F.concat(F.lit("RSI="), S.fixed(rsi, 1), F.lit("/10"))).otherwise(F.concat(F.lit("IBS="), S.fixed(ibs, 3), F.lit("/0.2")))
     return evaluated.filter(quiet & (near_rsi | near_ibs)).select("symbol", "strategy", label.alias("label"), pct.alias("pct"))
+
+
+def summary(signals: DataFrame, positions: DataFrame, prices: DataFrame) -> DataFrame:
+    """Per strategy: signals by kind, open positions with their unrealised P&L, and the line of the message."""
+    kinds = ("BUY", "SELL", "HOLD", "SKIP")
+    wide = signals.groupBy("strategy").pivot("kind", list(kinds)).agg(F.count(F.lit(1))).fillna(0)
+    wide = wide.select("strategy", *[F.col(k).alias(f"n_{k.lower()}") for k in kinds])
+    marked = positions.join(prices, "symbol", "left")
+    name = F.struct("symbol", "shares", F.concat("symbol", F.lit(" "), F.col("shares").cast("long").cast("string")).alias("text"))
+    gain = F.bround(F.sum((F.col("current_price") - F.col("entry_price")) * F.col("shares")), 2)
+    book = marked.groupBy("strategy").agg(
+        F.count(F.lit(1)).alias("n_open"), gain.alias("unrealized_pnl"), F.array_join(F.transform(F.array_sort(F.collect_list(name)), lambda x: x["text"]), ", ").alias("positions"))
+    out = wide.join(book, "strategy", "left").fillna(0, ["n_open", "unrealized_pnl"]).fillna("", ["positions"])
+    return out.withColumn("line", F.concat(F.upper("strategy"), F.lit(": "), F.col("n_buy").cast("string"), F.lit(" BUY, "), F.col("n_sell").cast("string"), F.lit(" SELL")))

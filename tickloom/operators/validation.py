@@ -73,11 +73,12 @@ def period_frame(frame: DataFrame, periods: Periods, warmup: int = 0) -> DataFra
 
 
 def validate(bars: DataFrame, rule: RuleSpec, account: Account, periods: Periods, params: dict | None = None,
-             grid: dict | None = None, alpha: float = 0.10, min_pct: float = 80.0) -> DataFrame:
+             grid: dict | None = None, alpha: float = 0.10, min_pct: float = 80.0, pooled: str | None = None) -> DataFrame:
     """All four tests per symbol and the verdict, from one pass over the bars.
 
     The default set and the grid run side by side (combination 0 and the rest) over the
-    period and its halves; the ledger is stored once and every test is an aggregate of it.
+    period and its halves; the ledger is stored once and every test is an aggregate of it. ``pooled`` names one
+    more row with the t-test over the trades of all symbols.
     """
     params = rule.params() if params is None else params
     combos = rule.combos(grid, **{k: v for k, v in params.items() if k not in (grid or rule.grid)})
@@ -99,4 +100,8 @@ def validate(bars: DataFrame, rule: RuleSpec, account: Account, periods: Periods
     out = symbols.select("symbol").join(base, "symbol", "left").join(rob, "symbol").join(sub, "symbol", "left").join(tt, "symbol", "left")
     out = out.fillna(0, ["n_trades", "win_rate", "profit_factor", "sharpe", "net_return_pct", "pf_a", "pf_b"])
     out = out.fillna(False, ["stable", "significant"]).fillna(1.0, ["p_value"])
-    return out.withColumn("verdict", S.verdict(F.col("robust"), F.col("stable"), F.col("significant")))
+    out = out.withColumn("verdict", S.verdict(F.col("robust"), F.col("stable"), F.col("significant")))
+    if pooled is None:
+        return out
+    every_one = trades.filter("period = 'oos' AND combo_id = 0").join(symbols.select("symbol"), "symbol", "left_semi").withColumn("symbol", F.lit(pooled))
+    return out.unionByName(M.t_test(every_one, ["symbol"], alpha).select("symbol", "n_trades", "t_stat", "p_value", "significant", "label"), allowMissingColumns=True)

@@ -104,43 +104,45 @@ class Tables:
         return self._kept("validations", build)
 
     def paper(self) -> DataFrame:
-        """Paper positions as of the book date: whole shares for 5000 per trade, closes booked 8 days late."""
+        """Paper positions of all strategies: whole shares for 5000 per trade; some closes are not booked yet."""
+        def build():
+            p = self.all_trades()
+            settled = (F.col("strategy") == "ibs") & F.col("symbol").isin("AFRICA", "EUROPE")
+            due = F.col("closed") & ((F.col("entry_ix") % 5 != 0) | settled)
+            return _positions(p, F.coalesce(due, F.lit(False)))
+        return self._kept("paper", build)
+
+    def desk(self) -> DataFrame:
+        """The paper positions known on the book date: closes booked 8 days late."""
         def build():
             d = F.lit(BOOK).cast("date")
             p = self.all_trades().filter((F.col("entry_date") <= d) & (F.col("strategy") != "ibs_tight"))
-            shut = F.coalesce(F.col("closed") & (F.col("exit_date") <= F.date_sub(d, 8)), F.lit(False))
-            p = p.withColumns({
-                "id": F.concat_ws("-", "strategy", "symbol", "entry_ix"), "shares": F.floor(5000 / F.col("entry_price")).cast("double"),
-                "status": F.when(shut, "closed").otherwise("open"), "exit_date": F.when(shut, F.col("exit_date")), "exit_price": F.when(shut, F.col("exit_price"))})
-            gain = F.col("exit_price") - F.col("entry_price")
-            return p.select("id", "strategy", "symbol", "entry_date", "entry_price", "shares", "status", "exit_date", "exit_price",
-                            (gain * F.col("shares")).alias("pnl_dollars"), (gain / F.col("entry_price") * 100).alias("pnl_pct"),
-                            F.concat(F.lit("entry "), "symbol").alias("notes"), F.when(F.month("entry_date") == 12, F.lit("december")).alias("tags"))
-        return self._kept("paper", build)
+            return _positions(p, F.coalesce(F.col("closed") & (F.col("exit_date") <= F.date_sub(d, 8)), F.lit(False)))
+        return self._kept("desk", build)
 
     def live(self) -> DataFrame:
-        """Live trades that follow every second paper position at slightly worse prices."""
+        """Live trades that follow the paper positions at slightly worse prices; every second one is not linked to its position."""
         def build():
-            p = self.paper().filter(F.substring_index("id", "-", -1).cast("int") % 2 == 0)
+            p = self.paper()
+            linked = F.substring_index("id", "-", -1).cast("int") % 2 == 0
             ep, xp = F.col("entry_price") * 1.001, F.col("exit_price") * 0.999
             pnl = (xp - ep) * F.col("shares") - 2.0
             return p.select(F.concat(F.lit("L"), "id").alias("id"), "strategy", "symbol", "entry_date", ep.alias("entry_price"), "shares", "status", "exit_date",
                             xp.alias("exit_price"), F.lit(1.0).alias("fees_entry"), F.when(F.col("status") == "closed", F.lit(1.0)).alias("fees_exit"), pnl.alias("pnl_dollars"),
-                            (pnl / (ep * F.col("shares")) * 100).alias("pnl_pct"), F.lit("filled").alias("notes"), F.col("id").alias("paper_position_id"))
+                            (pnl / (ep * F.col("shares")) * 100).alias("pnl_pct"), F.lit("filled").alias("notes"), F.when(linked, F.col("id")).alias("paper_position_id"))
         return self._kept("live", build)
 
     def signal_log(self) -> DataFrame:
-        """Signals of two strategies on each of the last 60 days before the book date."""
+        """Signals of all strategies on every date."""
         def build():
             f = home_rows(indicator_frame(self.bars(), Needs(sma={200})))
-            d = F.lit(BOOK).cast("date")
-            f = f.filter((F.col("date") > F.date_sub(d, 60)) & (F.col("date") <= d))
             ok = F.coalesce(F.col("close") > F.col("sma_200"), F.lit(False))
-            ibs_row = F.struct(F.lit("ibs").alias("strategy"), F.when((F.col("ibs") < 0.2) & ok, "BUY").otherwise("NO_SIGNAL").alias("signal"), F.col("ibs").alias("indicator_value"),
-                               F.to_json(F.struct(F.round("ibs", 4).alias("ibs"), ok.alias("trend_ok"))).alias("details_json"))
+            ibs_row = lambda name, entry: F.struct(
+                F.lit(name).alias("strategy"), F.when((F.col("ibs") < entry) & ok, "BUY").otherwise("NO_SIGNAL").alias("signal"), F.col("ibs").alias("indicator_value"),
+                F.to_json(F.struct(F.round("ibs", 4).alias("ibs"), ok.alias("trend_ok"))).alias("details_json"))
             tom_row = F.struct(F.lit("ibs_loose").alias("strategy"), F.when(F.col("days_left") <= 5, "BUY").otherwise("NO_SIGNAL").alias("signal"), F.col("days_left").cast("double").alias("indicator_value"),
                                F.to_json(F.struct(F.col("days_left").alias("days_left"))).alias("details_json"))
-            return f.select(F.col("date").cast("timestamp").alias("timestamp"), "symbol", F.col("close").alias("close_price"), F.inline(F.array(ibs_row, tom_row)))
+            return f.select(F.col("date").cast("timestamp").alias("timestamp"), "symbol", F.col("close").alias("close_price"), F.inline(F.array(ibs_row("ibs", 0.2), tom_row, ibs_row("ibs_tight", 0.15))))
         return self._kept("signal-log", build)
 
     def raw_history(self) -> DataFrame:
@@ -158,6 +160,17 @@ class Tables:
         )
 
 
+def _positions(trades: DataFrame, shut) -> DataFrame:
+    """Trades as paper positions; those not ``shut`` are open and have no exit."""
+    p = trades.withColumns({
+        "id": F.concat_ws("-", "strategy", "symbol", "entry_ix"), "shares": F.floor(5000 / F.col("entry_price")).cast("double"),
+        "status": F.when(shut, "closed").otherwise("open"), "exit_date": F.when(shut, F.col("exit_date")), "exit_price": F.when(shut, F.col("exit_price"))})
+    gain = F.col("exit_price") - F.col("entry_price")
+    return p.select("id", "strategy", "symbol", "entry_date", "entry_price", "shares", "status", "exit_date", "exit_price",
+                    (gain * F.col("shares")).alias("pnl_dollars"), (gain / F.col("entry_price") * 100).alias("pnl_pct"),
+                    F.concat(F.lit("entry "), "symbol").alias("notes"), F.when(F.month("entry_date") == 12, F.lit("december")).alias("tags"))
+
+
 STRATEGIES = {"ibs": (0.2, 0.8), "ibs_loose": (0.25, 0.7), "ibs_tight": (0.15, 0.9)}
 RUNS = ("2000-01-01 18:00:00", "2001-11-05 18:00:00")
 SCREEN_KEYS = ["timestamp", "strategy", "universe", "symbol"]
@@ -368,11 +381,16 @@ cte("all_trades", " UNION ALL ".join(f"SELECT '{k}' AS strategy, * FROM st_{k}"
 cte("screen_src", f"""SELECT *, CASE WHEN symbol IN ('AMERICA', 'EUROPE') THEN 'north' ELSE 'south' END AS universe,
   CAST(unnest(CASE WHEN exit_date < DATE '{MID}' THEN ['{RUNS[0]}', '{RUNS[1]}'] ELSE ['{RUNS[1]}'] END) AS TIMESTAMP) AS timestamp FROM all_trades WHERE closed""", "all_trades")
 cte("screens", f"SELECT * EXCLUDE (final_capital) FROM ({metrics_sql('screen_src', 'timestamp, strategy, universe, symbol')})", "screen_src")
-cte("paper", f"""SELECT id, strategy, symbol, entry_date, entry_price, shares, CASE WHEN shut THEN 'closed' ELSE 'open' END AS status, CASE WHEN shut THEN exit_date END AS exit_date, CASE WHEN shut THEN exit_price END AS exit_price,
+def _positions_sql(shut: str, where: str = "true") -> str:
+    return f"""SELECT id, strategy, symbol, entry_date, entry_price, shares, CASE WHEN shut THEN 'closed' ELSE 'open' END AS status, CASE WHEN shut THEN exit_date END AS exit_date, CASE WHEN shut THEN exit_price END AS exit_price,
    CASE WHEN shut THEN (exit_price - entry_price) * shares END AS pnl_dollars, CASE WHEN shut THEN (exit_price - entry_price) / entry_price * 100 END AS pnl_pct, 'entry ' || symbol AS notes, CASE WHEN month(entry_date) = 12 THEN 'december' END AS tags
-  FROM (SELECT *, strategy || '-' || symbol || '-' || entry_ix AS id, floor(5000 / entry_price) AS shares, coalesce(closed AND exit_date <= DATE '{BOOK}' - 8, false) AS shut FROM all_trades WHERE entry_date <= DATE '{BOOK}' AND strategy <> 'ibs_tight')""", "all_trades")
+  FROM (SELECT *, strategy || '-' || symbol || '-' || entry_ix AS id, floor(5000 / entry_price) AS shares, coalesce({shut}, false) AS shut FROM all_trades WHERE {where})"""
+
+
+cte("paper", _positions_sql("closed AND (entry_ix % 5 <> 0 OR strategy = 'ibs' AND symbol IN ('AFRICA', 'EUROPE'))"), "all_trades")
+cte("desk", _positions_sql(f"closed AND exit_date <= DATE '{BOOK}' - 8", f"entry_date <= DATE '{BOOK}' AND strategy <> 'ibs_tight'"), "all_trades")
 cte("live", """SELECT 'L' || id AS id, strategy, symbol, entry_date, ep AS entry_price, shares, status, exit_date, xp AS exit_price, 1.0 AS fees_entry, CASE WHEN status = 'closed' THEN 1.0 END AS fees_exit,
-   (xp - ep) * shares - 2.0 AS pnl_dollars, ((xp - ep) * shares - 2.0) / (ep * shares) * 100 AS pnl_pct, 'filled' AS notes, id AS paper_position_id
-  FROM (SELECT *, entry_price * CAST(1.001 AS DOUBLE) AS ep, exit_price * CAST(0.999 AS DOUBLE) AS xp FROM paper WHERE CAST(split_part(id, '-', -1) AS INT) % 2 = 0)""", "paper")
-cte("signal_log", f"""SELECT CAST(date AS TIMESTAMP) AS timestamp, symbol, close AS close_price, 'ibs' AS strategy, CASE WHEN ibs < 0.2 AND close > sma_200 THEN 'BUY' ELSE 'NO_SIGNAL' END AS signal, ibs AS indicator_value, coalesce(close > sma_200, false) AS trend_ok, NULL AS left_days FROM ind WHERE date > DATE '{BOOK}' - 60 AND date <= DATE '{BOOK}'
-  UNION ALL SELECT CAST(date AS TIMESTAMP), symbol, close, 'ibs_loose', CASE WHEN days_left <= 5 THEN 'BUY' ELSE 'NO_SIGNAL' END, days_left, NULL, days_left FROM ind WHERE date > DATE '{BOOK}' - 60 AND date <= DATE '{BOOK}'""", "ind")
+   (xp - ep) * shares - 2.0 AS pnl_dollars, ((xp - ep) * shares - 2.0) / (ep * shares) * 100 AS pnl_pct, 'filled' AS notes, CASE WHEN CAST(split_part(id, '-', -1) AS INT) % 2 = 0 THEN id END AS paper_position_id
+  FROM (SELECT *, entry_price * CAST(1.001 AS DOUBLE) AS ep, exit_price * CAST(0.999 AS DOUBLE) AS xp FROM paper)""", "paper")
+cte("signal_log", """SELECT CAST(date AS TIMESTAMP) AS timestamp, symbol, close AS close_price, v.name AS strategy, CASE WHEN ibs < v.entry AND close > sma_200 THEN 'BUY' ELSE 'NO_SIGNAL' END AS signal, ibs AS indicator_value, coalesce(close > sma_200, false) AS trend_ok, NULL AS left_days FROM ind, (VALUES ('ibs', 0.2), ('ibs_tight', 0.15)) v(name, entry)
+  UNION ALL SELECT CAST(date AS TIMESTAMP), symbol, close, 'ibs_loose', CASE WHEN days_left <= 5 THEN 'BUY' ELSE 'NO_SIGNAL' END, days_left, NULL, days_left FROM ind""", "ind")

@@ -9,7 +9,7 @@ from ..operators.ledger import Account, ledger
 from ..operators.rules import IBS, RSI2, TOM
 from ..operators.spans import SPAN
 from ..sources import store
-from .base import BOOK, RUNS, SPLIT, STRATEGIES, STRICT, cte, pf_sql, query, with_
+from .base import BOOK, CTES, RUNS, SPLIT, STRATEGIES, STRICT, cte, pf_sql, query, with_
 
 _SD = {"win_rate": 6, "profit_factor": 6, "sharpe": 6, "net_return_pct": 6}
 _S = "timestamp, strategy, universe, symbol, n_trades, win_rate, profit_factor, sharpe, net_return_pct"
@@ -183,13 +183,24 @@ def agg29(t):
     return E.portfolio_equity(t.equity())
 
 
-@query("AGG30", with_("peq", "trc", body=f"""SELECT (l / f - 1) * 100 AS return_pct, (pow(l / f, 1 / y) - 1) * 100 AS cagr_pct, dd AS max_drawdown_pct, n AS n_trades, w AS win_rate, p AS profit_factor, sh AS sharpe FROM
-   (SELECT arg_min(equity, date) AS f, arg_max(equity, date) AS l, (max(date) - min(date)) / 365.25 AS y FROM peq), (SELECT max(1 - equity / top) * 100 AS dd FROM (SELECT *, max(equity) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS top FROM peq)),
-   (SELECT count(*) AS n, count(*) FILTER (pnl > 0) / count(*) AS w, {pf_sql()} AS p, CASE WHEN stddev_pop(return_pct) > 0 THEN avg(return_pct) / stddev_pop(return_pct) * sqrt(count(*) / 2498.0 * 365) END AS sh FROM trc)"""),
-       round={"return_pct": 6, "cagr_pct": 6, "max_drawdown_pct": 6, "win_rate": 6, "profit_factor": 6, "sharpe": 6})
+cte("hold", "SELECT symbol, date, close / first_value(close) OVER (PARTITION BY symbol ORDER BY date) * 100000 AS equity FROM bars", "bars")
+cte("hgrid", "SELECT d.date, s.symbol, e.equity FROM (SELECT DISTINCT date FROM hold) d CROSS JOIN (SELECT DISTINCT symbol FROM hold) s LEFT JOIN hold e ON e.date = d.date AND e.symbol = s.symbol", "hold")
+cte("hfill", CTES["pfill"][1].replace("pgrid", "hgrid"), "hgrid")
+cte("heq", "SELECT date, sum(equity) AS equity FROM hfill GROUP BY date", "hfill")
+
+
+def _curve_sql(table: str, prefix: str = "") -> str:
+    return f"""(SELECT (l / f - 1) * 100 AS {prefix}return_pct, (pow(l / f, 1 / y) - 1) * 100 AS {prefix}cagr_pct FROM (SELECT arg_min(equity, date) AS f, arg_max(equity, date) AS l, (max(date) - min(date)) / 365.25 AS y FROM {table})),
+   (SELECT max(1 - equity / top) * 100 AS {prefix}max_drawdown_pct FROM (SELECT *, max(equity) OVER (ORDER BY date ROWS UNBOUNDED PRECEDING) AS top FROM {table}))"""
+
+
+@query("AGG30", with_("peq", "heq", "trc", body=f"""SELECT * FROM {_curve_sql("peq")}, {_curve_sql("heq", "hold_")},
+   (SELECT count(*) AS n_trades, count(*) FILTER (pnl > 0) / count(*) AS win_rate, {pf_sql()} AS profit_factor, CASE WHEN stddev_pop(return_pct) > 0 THEN avg(return_pct) / stddev_pop(return_pct) * sqrt(count(*) / 2498.0 * 365) END AS sharpe FROM trc),
+   (SELECT count(*) AS n_symbols, count(*) FILTER (p > 0) AS n_profitable_symbols FROM (SELECT sum(pnl) AS p FROM trc GROUP BY symbol))"""),
+       round={k: 6 for k in ("return_pct", "cagr_pct", "max_drawdown_pct", "win_rate", "profit_factor", "sharpe", "hold_return_pct", "hold_cagr_pct", "hold_max_drawdown_pct")})
 def agg30(t):
-    eq = E.portfolio_equity(t.equity())
-    return P.report(eq, t.ibs_trades().filter("closed"), 2498.0)
+    held = E.portfolio_equity(E.buy_and_hold(t.bars(), 100_000.0))
+    return P.beside_buy_and_hold(E.portfolio_equity(t.equity()), held, t.ibs_trades().filter("closed"), 2498.0)
 
 
 @query("AGG30_without", with_("trc", body=f"""SELECT s.symbol AS without, count(*) AS n_trades, count(*) FILTER (pnl > 0) / count(*) AS win_rate, {pf_sql()} AS profit_factor, sum(pnl) AS pnl FROM (SELECT DISTINCT symbol FROM trc) s JOIN trc t ON t.symbol <> s.symbol GROUP BY s.symbol"""),
@@ -254,13 +265,14 @@ def agg38(t):
     return g.join(F.broadcast(kinds), "one").select("symbol", "n_good", (F.col("n_good") >= F.least(F.col("k"), F.lit(2))).alias("in_two"))
 
 
-cte("prices", "SELECT symbol, arg_max(close_price, {'a': timestamp, 'b': strategy}) AS current_price FROM signal_log WHERE symbol <> 'ASIA' GROUP BY symbol", "signal_log")
+cte("prices", "SELECT symbol, arg_max(close_price, {'a': timestamp, 'b': strategy}) AS current_price FROM (SELECT * REPLACE (CASE WHEN symbol <> 'ASIA' THEN close_price END AS close_price) FROM signal_log) GROUP BY symbol", "signal_log")
 _POS = "p.id, p.strategy, p.symbol, p.entry_date, p.entry_price, p.shares, c.current_price"
 _POSD = {"entry_price": 6, "unrealized_pnl": 2, "unrealized_pct": 2}
 
 
 def prices(t):
-    return K.latest_prices(t.signal_log().filter("symbol <> 'ASIA'"))
+    """Latest prices; one symbol has none."""
+    return K.latest_prices(t.signal_log().withColumn("close_price", F.when(F.col("symbol") != "ASIA", F.col("close_price"))))
 
 
 @query("JON5", with_("paper", "prices", body=f"SELECT {_POS} FROM paper p LEFT JOIN prices c USING (symbol) WHERE status = 'open'"), round={"entry_price": 6})
@@ -374,10 +386,10 @@ def srt1(t):
     return t.paper().filter("status = 'closed' AND strategy = 'ibs'").select("id", "symbol", "exit_date", "pnl_dollars").orderBy(F.col("exit_date").desc(), "id").limit(50)
 
 
-@query("SRT2", with_("signal_log", body=f"SELECT timestamp, strategy, symbol, signal FROM signal_log WHERE timestamp >= TIMESTAMP '{BOOK}' - INTERVAL 30 DAY AND signal = 'BUY' ORDER BY timestamp DESC, strategy, symbol"))
+@query("SRT2", with_("signal_log", body=f"SELECT timestamp, strategy, symbol, signal FROM signal_log WHERE timestamp >= (SELECT max(timestamp) FROM signal_log) - INTERVAL 30 DAY AND signal = 'BUY' ORDER BY timestamp DESC, strategy, symbol"))
 def srt2(t):
-    since = F.lit(BOOK).cast("timestamp") - F.expr("INTERVAL 30 DAYS")
-    return K.filtered(t.signal_log().filter(F.col("timestamp") >= since), signal="BUY").select("timestamp", "strategy", "symbol", "signal").orderBy(F.col("timestamp").desc(), "strategy", "symbol")
+    since = t.signal_log().agg((F.max("timestamp") - F.expr("INTERVAL 30 DAYS")).alias("_since"))
+    return K.filtered(t.signal_log().join(F.broadcast(since), F.col("timestamp") >= F.col("_since")), signal="BUY").select("timestamp", "strategy", "symbol", "signal").orderBy(F.col("timestamp").desc(), "strategy", "symbol")
 
 
 @query("SET2", with_("screens", "validations", body="""SELECT strategy, source, profit_factor FROM (SELECT strategy, 'screens' AS source, profit_factor FROM screens WHERE symbol = 'AFRICA' QUALIFY row_number() OVER (PARTITION BY strategy ORDER BY timestamp DESC) = 1
@@ -425,12 +437,12 @@ def pos1(t):
     return K.open_positions(t.paper(), orders(t)).select("strategy", "symbol", "entry_date", "entry_price", "shares")
 
 
-_CL = f"(SELECT symbol, max(close) FILTER (date = DATE '{BOOK}') AS px FROM bars GROUP BY symbol)"
+_CL = "(SELECT symbol, arg_max(close, date) AS px FROM bars GROUP BY symbol)"
 
 
 def closing(t):
-    px = t.bars().filter(F.col("date") == F.lit(BOOK).cast("date")).select("symbol", F.col("close").alias("exit_price"))
-    return t.paper().filter("status = 'open'").select("strategy", "symbol").distinct().join(px, "symbol").select("strategy", "symbol", F.lit(BOOK).cast("date").alias("exit_date"), "exit_price", F.lit(1.5).alias("fees"))
+    px = t.bars().groupBy("symbol").agg(F.max_by("close", "date").alias("exit_price"), F.max("date").alias("exit_date"))
+    return t.paper().filter("status = 'open'").select("strategy", "symbol").distinct().join(px, "symbol").select("strategy", "symbol", "exit_date", "exit_price", F.lit(1.5).alias("fees"))
 
 
 @query("POS2", with_("paper", "bars", body=f"SELECT id, px AS exit_price, (px - entry_price) * shares AS pnl_dollars, (px / entry_price - 1) * 100 AS pnl_pct, 'closed' AS status FROM paper JOIN {_CL} USING (symbol) WHERE status = 'open' AND px IS NOT NULL"), round={"pnl_dollars": 4, "pnl_pct": 6})
@@ -465,9 +477,9 @@ def pos5(t):
     return K.patched(p, patch, ["notes", "tags"]).select("id", "notes", "tags")
 
 
-@query("POS6", with_("signal_log", body="""SELECT strategy, CASE strategy WHEN 'ibs' THEN 'IBS' ELSE 'Days left' END AS label, count(*) OVER (PARTITION BY strategy) AS n, symbol, signal, close_price FROM signal_log WHERE timestamp = (SELECT max(timestamp) FROM signal_log) ORDER BY strategy, symbol"""))
+@query("POS6", with_("signal_log", body="""SELECT strategy, CASE strategy WHEN 'ibs_loose' THEN 'Days left' ELSE 'IBS' END AS label, count(*) OVER (PARTITION BY strategy) AS n, symbol, signal, close_price FROM signal_log WHERE timestamp = (SELECT max(timestamp) FROM signal_log) ORDER BY strategy, symbol"""))
 def pos6(t):
-    label = F.when(F.col("strategy") == "ibs", "IBS").otherwise("Days left")
+    label = F.when(F.col("strategy") == "ibs_loose", "Days left").otherwise("IBS")
     run = K.latest_run(t.signal_log())
     counts = run.groupBy("strategy").agg(F.count(F.lit(1)).alias("n"))
     return run.join(counts, "strategy").select("strategy", label.alias("label"), "n", "symbol", "signal", "close_price").orderBy("strategy", "symbol")

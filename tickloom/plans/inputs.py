@@ -150,17 +150,17 @@ def cat4(t):
 cte("meta", "SELECT s AS symbol, n AS name FROM (VALUES ('ASIA', 'Asia Pacific'), ('EUROPE', 'Europe'), ('EURUSD=X', 'EUR/USD')) v(s, n)")
 
 
-@query("CAT5", with_("bars", "meta", body="""SELECT b.symbol, m.name, b.close FROM bars b LEFT JOIN meta m USING (symbol) WHERE date >= DATE '2001-01-01'"""))
+@query("CAT5", with_("bars", "meta", body="""SELECT b.symbol, b.date, m.name, b.close FROM bars b LEFT JOIN meta m USING (symbol)"""))
 def cat5(t):
     meta = t.spark.createDataFrame([("ASIA", "Asia Pacific"), ("EUROPE", "Europe"), ("EURUSD=X", "EUR/USD")], "symbol string, name string")
-    return t.bars().filter("date >= DATE'2001-01-01'").join(meta, "symbol", "left").select("symbol", "name", "close")
+    return t.bars().join(meta, "symbol", "left").select("symbol", "date", "name", "close")
 
 
 @query("SNK5", with_("bars", "meta", body="""SELECT symbol, coalesce(n.name, m.name) AS name FROM meta m FULL JOIN
-  (SELECT DISTINCT symbol, lower(symbol) AS name FROM bars WHERE symbol <> 'EUROPE') n USING (symbol)"""))
+  (SELECT DISTINCT symbol, lower(symbol) AS name FROM bars) n USING (symbol)"""))
 def snk5(t):
     meta = t.spark.createDataFrame([("ASIA", "Asia Pacific"), ("EUROPE", "Europe"), ("EURUSD=X", "EUR/USD")], "symbol string, name string")
-    fresh = t.bars().filter("symbol <> 'EUROPE'").select("symbol").distinct().withColumn("name", F.lower("symbol"))
+    fresh = t.bars().select("symbol").distinct().withColumn("name", F.lower("symbol"))
     return t.spark.read.parquet(store.written(store.upsert(meta, fresh, ["symbol"]), "metadata"))
 
 
@@ -172,10 +172,10 @@ def cat6(t):
     return t.raw("pages").select("page_id", "url", S.site_domain(F.col("url")).alias("domain"), S.display_name(ticker).alias("display"))
 
 
-@query("CAT7", with_("bars", "tr", body="SELECT symbol FROM bars WHERE volume > 100 UNION SELECT symbol FROM tr WHERE pnl > 0 UNION SELECT 'EURUSD=X' FROM bars"))
+@query("CAT7", with_("bars", "tr", body="SELECT symbol FROM bars UNION SELECT lower(symbol) FROM tr UNION SELECT 'EURUSD=X' FROM bars"))
 def cat7(t):
     extra = t.bars().select(F.lit("EURUSD=X").alias("symbol"))
-    return t.bars().filter("volume > 100").select("symbol").union(t.ibs_trades().filter("pnl > 0").select("symbol")).union(extra).distinct()
+    return t.bars().select("symbol").union(t.ibs_trades().select(F.lower("symbol"))).union(extra).distinct()
 
 
 @query("FLT5", with_("bars", body=f"""SELECT symbol, count(*) FILTER (date < DATE '{SPLIT}') AS n_in_sample, count(*) FILTER (date >= DATE '{SPLIT}') AS n_out_of_sample,

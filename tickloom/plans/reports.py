@@ -196,15 +196,16 @@ cte("validations", f"""SELECT *, CASE WHEN robustness_pct >= 80 AND stable AND t
 
 ibs_ctes("oos", where=f"date >= DATE '{SPLIT}'")
 cte("oosc", "SELECT * FROM oos WHERE closed", "oos")
+_POOLED = "(SELECT * REPLACE ('POOLED' AS symbol) FROM oosc)"
 _VAL = "symbol, n_trades, win_rate, profit_factor, sharpe, net_return_pct, pct_profitable, median_pf, pf_a, pf_b, stable, t_stat, p_value, significant, verdict"
 cte("validated", f"""SELECT symbol, m.n_trades, m.win_rate, m.profit_factor, m.sharpe, m.net_return_pct, r.pct_profitable, r.median_pf, h.pf_a, h.pf_b, h.stable, t.t_stat, t.p_value, t.significant,
    CASE WHEN r.robust AND h.stable AND t.significant THEN 'VALIDATED' WHEN r.robust AND (h.stable OR t.significant) THEN 'CONDITIONAL' ELSE 'REJECTED' END AS verdict
    FROM ({metrics_sql('oos')}) m JOIN rob r USING (symbol) JOIN half h USING (symbol) JOIN ({ttest_sql('oosc')}) t USING (symbol)""", "oos", "oosc", "rob", "half")
 
 
-@query("AGG12", with_("validated", body=f"SELECT {_VAL} FROM validated"), round={"win_rate": 6, "profit_factor": 6, "sharpe": 6, "net_return_pct": 6, "pct_profitable": 6, "median_pf": 6, "pf_a": 6, "pf_b": 6, "t_stat": 6, "p_value": 6})
+@query("AGG12", with_("validated", "oosc", body=f"SELECT {_VAL} FROM validated UNION ALL BY NAME SELECT symbol, n_trades, t_stat, p_value, significant FROM ({ttest_sql(_POOLED)})"), round={"win_rate": 6, "profit_factor": 6, "sharpe": 6, "net_return_pct": 6, "pct_profitable": 6, "median_pf": 6, "pf_a": 6, "pf_b": 6, "t_stat": 6, "p_value": 6})
 def agg12(t):
-    return validate(t.bars(), IBS, ACCOUNT, PER).select(*[c.strip() for c in _VAL.split(",")])
+    return validate(t.bars(), IBS, ACCOUNT, PER, pooled="POOLED").select(*[c.strip() for c in _VAL.split(",")])
 
 
 @query("SCA15", with_("validated", body="SELECT verdict, count(*) AS n FROM validated GROUP BY verdict"))
@@ -281,7 +282,7 @@ def agg16_r(t):
     return X.correlation(closed(t), ["symbol"], "holding_days", "return_pct")
 
 
-@query("AGG17", with_("trc", body=f"""SELECT symbol, year(entry_date) AS year, count(*) AS n_trades, count(*) FILTER (pnl > 0) / count(*) AS win_rate, {pf_sql()} AS profit_factor, avg(return_pct) * 100 AS avg_return, sum(pnl) AS total_pnl FROM trc GROUP BY ALL"""),
+@query("AGG17", with_("trc", body=f"""SELECT symbol, year(entry_date) AS year, count(*) AS n_trades, count(*) FILTER (pnl > 0) / count(*) AS win_rate, {pf_sql()} AS profit_factor, avg(return_pct) * 100 AS avg_return, sum(pnl) AS total_pnl, count(*) FILTER ({pf_sql(inf="'infinity'::DOUBLE")} < 1) OVER (PARTITION BY symbol) AS years_below_1 FROM trc GROUP BY symbol, year(entry_date)"""),
        round={"win_rate": 6, "profit_factor": 6, "avg_return": 6, "total_pnl": 4})
 def agg17(t):
     return X.by_year(closed(t), ["symbol"])
@@ -310,19 +311,28 @@ def agg19(t):
                                                           (F.avg("return_pct") * 100).alias("avg_return"), F.avg("holding_days").alias("avg_days"))
 
 
-@query("AGG20", with_("trc", body=f"""SELECT metric, max(value) FILTER (symbol = 'EUROPE') AS reference, max(value) FILTER (symbol = 'AFRICA') AS other FROM (
-   SELECT symbol, unnest([{{'metric': 'n_trades', 'value': CAST(n AS DOUBLE)}}, {{'metric': 'win_rate', 'value': w}}, {{'metric': 'profit_factor', 'value': p}}, {{'metric': 'mean_return', 'value': m}}, {{'metric': 'median_return', 'value': q}}], recursive := true)
-   FROM (SELECT symbol, count(*) AS n, count(*) FILTER (pnl > 0) / count(*) AS w, {pf_sql()} AS p, avg(return_pct) * 100 AS m, quantile_cont(return_pct * 100, 0.5) AS q FROM trc WHERE symbol IN ('EUROPE', 'AFRICA') GROUP BY symbol)) GROUP BY metric"""),
+cte("prof0", "SELECT *, return_pct * 100 AS r, avg(return_pct * 100) OVER (PARTITION BY symbol) AS m, row_number() OVER (PARTITION BY symbol ORDER BY pnl DESC, entry_ix) AS place FROM trc", "trc")
+cte("prof", f"""SELECT symbol, CAST(count(*) AS DOUBLE) AS n_trades, count(*) FILTER (pnl > 0) / count(*) AS win_rate, {pf_sql(inf=INF)} AS profit_factor, avg(r) AS mean_return, quantile_cont(r, 0.5) AS median_return,
+   coalesce(avg(r) FILTER (r > 0), 0) AS avg_win, coalesce(avg(r) FILTER (r <= 0), 0) AS avg_loss, CASE WHEN coalesce(avg(r) FILTER (r <= 0), 0) <> 0 THEN abs(coalesce(avg(r) FILTER (r > 0), 0) / avg(r) FILTER (r <= 0)) ELSE {INF} END AS wl_ratio,
+   CASE WHEN count(*) < 3 OR stddev_pop(r) = 0 THEN 0 ELSE sum(pow(r - m, 3)) / count(*) / pow(stddev_pop(r), 3) END AS skew, CASE WHEN count(*) < 3 OR stddev_pop(r) = 0 THEN 0 ELSE sum(pow(r - m, 4)) / count(*) / pow(stddev_pop(r), 4) - 3 END AS excess_kurtosis,
+   CASE WHEN sum(pnl) <> 0 THEN sum(pnl) FILTER (place <= 10) / sum(pnl) * 100 ELSE 0 END AS top_10_pct, avg(holding_days) AS avg_days FROM prof0 GROUP BY symbol""", "prof0")
+
+
+@query("AGG20", with_("prof", body=f"""SELECT metric, max(best) AS best, max(value) FILTER (symbol = 'EUROPE') AS reference, max(value) FILTER (symbol = best) AS other FROM (
+   SELECT *, (SELECT symbol FROM prof WHERE symbol <> 'EUROPE' ORDER BY profit_factor DESC, symbol LIMIT 1) AS best FROM (UNPIVOT prof ON {", ".join(X.PROFILE)} INTO NAME metric VALUE value)) WHERE symbol IN ('EUROPE', best) GROUP BY metric"""),
        round={"reference": 6, "other": 6})
 def agg20(t):
-    pnl = F.col("pnl")
-    g = closed(t).filter(F.col("symbol").isin("EUROPE", "AFRICA")).groupBy("symbol").agg(
-        F.count(F.lit(1)).cast("double").alias("n_trades"), M.win_rate(pnl).alias("win_rate"), M.profit_factor(pnl).alias("profit_factor"),
-        (F.avg("return_pct") * 100).alias("mean_return"))
-    mid = percentiles(closed(t).withColumn("r", F.col("return_pct") * 100), ["symbol"], "r", {"median_return": 0.5})
-    g = g.join(mid, "symbol")
-    long = g.unpivot(["symbol"], ["n_trades", "win_rate", "profit_factor", "mean_return", "median_return"], "metric", "value")
-    return long.groupBy("metric").pivot("symbol", ["EUROPE", "AFRICA"]).agg(F.max("value")).withColumnsRenamed({"EUROPE": "reference", "AFRICA": "other"})
+    return X.best_against(closed(t), "EUROPE")
+
+
+@query("AGG20_synthesis", with_("prof", "trc", body=f"""SELECT *, CASE WHEN avg_skew > 0.5 AND avg_wl_ratio > 2.0 THEN 'momentum' ELSE 'mean reversion' END AS pattern,
+   CASE WHEN top_20_pct > 50 AND pct_years_ok <= 70 THEN 'do not trade' WHEN top_20_pct > 50 THEN 'investigate, small size' WHEN pct_years_ok > 70 THEN 'trade with care' ELSE 'investigate' END AS recommendation
+  FROM (SELECT avg(skew) AS avg_skew, avg(wl_ratio) AS avg_wl_ratio FROM prof WHERE symbol <> 'EUROPE'),
+   (SELECT CASE WHEN sum(pnl) <> 0 THEN sum(pnl) FILTER (place <= 20) / sum(pnl) * 100 ELSE 0 END AS top_20_pct, quantile_cont(return_pct * 100, 0.5) AS median_return FROM (SELECT *, row_number() OVER (ORDER BY pnl DESC, entry_ix) AS place FROM trc WHERE symbol <> 'EUROPE')),
+   (SELECT count(*) AS n_years, count(*) FILTER (pf < 1) AS years_below_1, (count(*) - count(*) FILTER (pf < 1)) / count(*) * 100 AS pct_years_ok FROM (SELECT {pf_sql(inf=INF)} AS pf FROM trc WHERE symbol <> 'EUROPE' GROUP BY symbol, year(entry_date)))"""),
+       round={"avg_skew": 6, "avg_wl_ratio": 6, "top_20_pct": 6, "median_return": 6, "pct_years_ok": 6})
+def agg20_synthesis(t):
+    return X.synthesis(closed(t), "EUROPE")
 
 
 cte("slw", f"""SELECT symbol, level, count(*) AS n_trades, count(*) FILTER (mae_pct <= level) AS n_stopped, count(*) FILTER (mae_pct <= level AND pnl > 0) AS n_winners FROM mae, (VALUES {', '.join(f'({x})' for x in STOP_LEVELS)}) v(level) GROUP BY ROLLUP (symbol), level""", "mae")

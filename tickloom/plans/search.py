@@ -325,7 +325,7 @@ MEMBERS = [(s, sym, watch, i) for s in ("rsi2", "ibs", "tom") for i, (sym, watch
     [("MIDDLE EAST", False), ("AFRICA", False), ("EUROPE", False), ("EURUSD=X", False), ("ASIA", False), ("AMERICA", True)])]
 _MV = ", ".join(f"('{s}', '{y}', {str(w).lower()}, {i})" for s, y, w, i in MEMBERS)
 cte("members", f"SELECT * FROM (VALUES {_MV}) v(strategy, symbol, is_watch, ord)")
-cte("held", "SELECT strategy, symbol, min(entry_date) AS entry_date FROM (SELECT CASE strategy WHEN 'ibs_loose' THEN 'tom' ELSE strategy END AS strategy, symbol, entry_date FROM paper WHERE status = 'open') GROUP BY ALL", "paper")
+cte("held", "SELECT strategy, symbol, min(entry_date) AS entry_date FROM (SELECT CASE strategy WHEN 'ibs_loose' THEN 'tom' ELSE strategy END AS strategy, symbol, entry_date FROM desk WHERE status = 'open') GROUP BY ALL", "desk")
 
 
 def members(t):
@@ -334,7 +334,7 @@ def members(t):
 
 def held(t):
     kind = F.when(F.col("strategy") == "ibs_loose", "tom").otherwise(F.col("strategy"))
-    return t.paper().filter("status = 'open'").withColumn("strategy", kind)
+    return t.desk().filter("status = 'open'").withColumn("strategy", kind)
 
 
 @query("SIG4", with_("members", "bars", body="SELECT symbol, string_agg(DISTINCT strategy, ',' ORDER BY strategy) AS strategies, (SELECT count(*) FROM bars b WHERE b.symbol = m.symbol) AS n_bars FROM members m WHERE strategy <> 'rsi2' OR symbol = 'ASIA' GROUP BY symbol"))
@@ -403,13 +403,16 @@ def sig9(t):
     return G.approaching(f).select("symbol.symbol", "symbol.bar_ix", "strategy", "label", "pct")
 
 
-@query("SIG10", with_("slots", "paper", body="""SELECT s.strategy, count(*) FILTER (signal = 'BUY') AS n_buy, count(*) FILTER (signal IN ('SELL', 'SAFETY_EXIT')) AS n_sell, count(*) FILTER (signal = 'HOLD') AS n_hold, count(*) FILTER (signal = 'SKIP') AS n_skip,
-   upper(s.strategy) || ': ' || count(*) FILTER (signal = 'BUY') || ' BUY, ' || count(*) FILTER (signal IN ('SELL', 'SAFETY_EXIT')) || ' SELL' AS line FROM slots s GROUP BY s.strategy"""))
+cte("desk_marks", """SELECT CASE strategy WHEN 'ibs_loose' THEN 'tom' ELSE strategy END AS strategy, count(*) AS n_open, coalesce(round_even(sum((s.close - entry_price) * shares), 2), 0) AS unrealized_pnl,
+   coalesce(string_agg(symbol || ' ' || CAST(CAST(shares AS BIGINT) AS VARCHAR), ', ' ORDER BY symbol, shares), '') AS positions FROM desk LEFT JOIN snap_book s USING (symbol) WHERE status = 'open' GROUP BY 1""", "desk", "snap_book")
+
+
+@query("SIG10", with_("slots", "desk_marks", body="""SELECT s.strategy, count(*) FILTER (signal = 'BUY') AS n_buy, count(*) FILTER (signal IN ('SELL', 'SAFETY_EXIT')) AS n_sell, count(*) FILTER (signal = 'HOLD') AS n_hold, count(*) FILTER (signal = 'SKIP') AS n_skip,
+   coalesce(max(n_open), 0) AS n_open, coalesce(max(unrealized_pnl), 0.0) AS unrealized_pnl, coalesce(max(positions), '') AS positions,
+   upper(s.strategy) || ': ' || count(*) FILTER (signal = 'BUY') || ' BUY, ' || count(*) FILTER (signal IN ('SELL', 'SAFETY_EXIT')) || ' SELL' AS line FROM slots s LEFT JOIN desk_marks m ON m.strategy = s.strategy GROUP BY s.strategy"""), round={"unrealized_pnl": 2})
 def sig10(t):
     g = guarded(t).withColumn("kind", F.when(F.col("signal") == "SAFETY_EXIT", "SELL").otherwise(F.col("signal")))
-    wide = g.groupBy("strategy").pivot("kind", ["BUY", "SELL", "HOLD", "SKIP"]).agg(F.count(F.lit(1))).fillna(0)
-    wide = wide.select("strategy", *[F.col(k).alias(f"n_{k.lower()}") for k in ("BUY", "SELL", "HOLD", "SKIP")])
-    return wide.withColumn("line", F.concat(F.upper("strategy"), F.lit(": "), F.col("n_buy").cast("string"), F.lit(" BUY, "), F.col("n_sell").cast("string"), F.lit(" SELL")))
+    return G.summary(g, held(t), snapshot(t, BOOK).select("symbol", F.col("close").alias("current_price")))
 
 
 @query("SIG10_alerts", with_("sig_in", body="""SELECT symbol, bar_ix, pct FROM (SELECT symbol, bar_ix, round_even((0.4 - ibs) / (0.4 - 0.2) * 100, 1) AS pct FROM sig_in WHERE ibs > 0.2 AND ibs < 0.4 AND close > sma_200) ORDER BY pct DESC, symbol, bar_ix LIMIT 5"""), round={"pct": 1})

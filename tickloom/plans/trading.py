@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import equity as E
+from ..operators import blocks as K
 from ..operators.indicators import home_rows
 from ..operators.ledger import candidates, first_of, frame_for, ledger, pair, variant, with_mark
 from ..operators.rules import DONCHIAN, IBS, IBS_TOM, LONG, RSI2, RULES, SHORT, TOM
@@ -82,9 +83,11 @@ def str4(t):
     return trades_out(ledger(t.bars(), IBS_TOM, [ITOM], ACCOUNT))
 
 
-cte("trend", """SELECT b.*, lag(b.close) OVER s AS p_close, lag(a.adx) OVER s AS p_adx, lag(r.y) OVER s AS p_atr, lag(h20) OVER s AS p_h20, lag(l20) OVER s AS p_l20,
+cte("trend", """SELECT b.*, lag(b.close) OVER s AS p_close, lag(a.adx) OVER s AS p_adx, lag(r.y) OVER s AS p_atr, lag(h20) OVER s AS p_h20, lag(h50) OVER s AS p_h50, lag(h80) OVER s AS p_h80, lag(l20) OVER s AS p_l20,
    lag(h10) OVER s AS p_h10, lag(l10) OVER s AS p_l10, lag(f.y) OVER s AS f1, lag(f.y, 2) OVER s AS f2, lag(g.y) OVER s AS s1, lag(g.y, 2) OVER s AS s2
-  FROM (SELECT *, CASE WHEN bar_ix >= 20 THEN max(high) OVER (PARTITION BY symbol ORDER BY bar_ix ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS h20,
+  FROM (SELECT *, CASE WHEN bar_ix >= 50 THEN max(high) OVER (PARTITION BY symbol ORDER BY bar_ix ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) END AS h50,
+          CASE WHEN bar_ix >= 80 THEN max(high) OVER (PARTITION BY symbol ORDER BY bar_ix ROWS BETWEEN 80 PRECEDING AND 1 PRECEDING) END AS h80,
+          CASE WHEN bar_ix >= 20 THEN max(high) OVER (PARTITION BY symbol ORDER BY bar_ix ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS h20,
           CASE WHEN bar_ix >= 20 THEN min(low) OVER (PARTITION BY symbol ORDER BY bar_ix ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) END AS l20,
           CASE WHEN bar_ix >= 10 THEN max(high) OVER (PARTITION BY symbol ORDER BY bar_ix ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) END AS h10,
           CASE WHEN bar_ix >= 10 THEN min(low) OVER (PARTITION BY symbol ORDER BY bar_ix ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING) END AS l10 FROM bars) b
@@ -201,6 +204,51 @@ def str9(t):
     return trend_trades(t, DONCHIAN.params(donchian_entry_period=20, adx_threshold=10))
 
 
+@query("STR9_legacy", trend_machine("tm_leg", "p_close > p_h50 AND p_adx >= 20", DONCHIAN.warmup(DONCHIAN.params()), "trailing", 10.0, 4.0, 0.0003, 3, legacy=True), round=_TREND_DIGITS)
+def str9_legacy(t):
+    return trend_trades(t, DONCHIAN.params(), legacy=True)
+
+
+_CALENDAR_RUNS, _TREND_RUNS = [], []
+for _i, _p in enumerate(TOM.combos()):
+    ahead_cands(f"tomg{_i}_c", f"e.p_left <= {_p['entry_days_before_eom']} AND e.bar_ix >= {TOM.warmup(_p)}", f"b.bar_ix - e.bar_ix >= 10 OR ({_NEWM} AND b.dom >= {_p['exit_day_of_new_month']})", "'x'")
+    walk_cte(f"tomg{_i}", f"tomg{_i}_c", 100000.0, 1.0, 0.0003, _FX, False)
+    _CALENDAR_RUNS.append(("tom", _i, f"tomg{_i}"))
+for _i, _p in enumerate(IBS_TOM.combos()):
+    ahead_cands(f"itomg{_i}_c", f"e.p_left <= {_p['entry_days_before_eom']} AND e.p_ibs < {_p['ibs_entry_threshold']} AND e.p_close > e.p_sma_200 AND e.bar_ix >= {IBS_TOM.warmup(_p)}",
+                f"b.bar_ix - e.bar_ix >= 10 OR ({_NEWM} AND b.dom >= {_p['exit_day_of_new_month']}) OR ({_NEWM} AND b.ibs > 0.8)", "'x'")
+    walk_cte(f"itomg{_i}", f"itomg{_i}_c", 100000.0, 1.0, 0.0003, _FX, False)
+    _CALENDAR_RUNS.append(("ibs_tom", _i, f"itomg{_i}"))
+for _i, _p in enumerate(DONCHIAN.combos()):
+    trend_machine(f"tmg{_i}", f"p_close > p_h{_p['donchian_entry_period']} AND p_adx >= {_p['adx_threshold']}", DONCHIAN.warmup(_p), "trailing", _p["sl_percent"], _p["trailing_atr_mult"], 0.0003, _p["cooldown_candles"])
+    _TREND_RUNS.append(("donchian", _i, f"tmg{_i}"))
+
+
+def grid_runs(t, rules):
+    """Trades of every combination of the grids, counted by exit and holding time."""
+    out = None
+    for r in rules:
+        g = ledger(t.bars(), r, r.combos(), ACCOUNT).filter("closed").groupBy(F.lit(r.key).alias("rule"), "combo_id", "symbol").agg(
+            F.count(F.lit(1)).alias("n_trades"), F.sum(F.col("exit_ix") - F.col("entry_ix")).alias("days"), F.sum(F.col("exit_price") - F.col("entry_price")).alias("points"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+def grid_sql(runs, closed="WHERE closed"):
+    one = "SELECT '{}' AS rule, CAST({} AS BIGINT) AS combo_id, symbol, count(*) AS n_trades, CAST(sum(exit_ix - entry_ix) AS BIGINT) AS days, sum(exit_price - entry_price) AS points FROM {} {} GROUP BY symbol"
+    return with_(*[n for _, _, n in runs], body=" UNION ALL ".join(one.format(r, i, n, closed) for r, i, n in runs))
+
+
+@query("STR8_calendar", grid_sql(_CALENDAR_RUNS), round={"points": 4})
+def str8_calendar(t):
+    return grid_runs(t, [TOM, IBS_TOM])
+
+
+@query("STR8_trend", grid_sql(_TREND_RUNS, ""), round={"points": 4})
+def str8_trend(t):
+    return grid_runs(t, [DONCHIAN])
+
+
 ibs_ctes("own", thr=0.3, xthr=0.6, sma=100, where="true")
 
 
@@ -356,10 +404,12 @@ def sca18(t):
     return t.ibs_trades().filter("closed").select("symbol", "entry_ix", F.date_format("entry_date", "yyyy-MM").alias("entry_month"), changed.alias("new_month"))
 
 
-@query("SCA19", with_("bars", body=f"SELECT symbol, max(date) AS last_date, DATE '{AS_OF}' + 2 - max(date) AS age_days, DATE '{AS_OF}' + 2 - max(date) > 2 AS is_stale FROM bars WHERE NOT (symbol = 'ASIA' AND date > DATE '2001-10-20') GROUP BY symbol"))
+@query("SCA19", with_("bars", body=f"SELECT symbol, last_date, age_days, age_days > 2 AS is_stale FROM (SELECT symbol, last_date, DATE '{AS_OF}' + 2 - last_date AS age_days FROM (SELECT symbol, max(CASE WHEN symbol = 'ASIA' THEN date - 15 ELSE date END) AS last_date FROM bars GROUP BY symbol))"))
 def sca19(t):
+    """One symbol is delivered 15 days late."""
     as_of = F.date_add(F.lit(AS_OF).cast("date"), 2)
-    b = t.bars().filter("NOT (symbol = 'ASIA' AND date > DATE'2001-10-20')").groupBy("symbol").agg(F.max("date").alias("last_date"))
+    day = F.when(F.col("symbol") == "ASIA", F.date_sub("date", 15)).otherwise(F.col("date"))
+    b = t.bars().groupBy("symbol").agg(F.max(day).alias("last_date"))
     return b.select("symbol", "last_date", F.date_diff(as_of, "last_date").alias("age_days"), S.stale(F.col("last_date"), as_of).alias("is_stale"))
 
 
@@ -551,8 +601,8 @@ def jon2(t):
 
 @query("JON3", with_("tr", "bars", body="""SELECT t.symbol, t.entry_ix, count(*) AS n_bars, max(b.high) AS top, min(b.low) AS bottom, sum(b.volume) AS volume FROM tr t JOIN bars b ON b.symbol = t.symbol AND b.bar_ix BETWEEN t.entry_ix AND t.exit_ix WHERE t.closed GROUP BY t.symbol, t.entry_ix"""))
 def jon3(t):
-    pairs = E.bars_inside(t.ibs_trades().filter("closed").select("symbol", "entry_ix", "exit_ix"), t.bars(), "high", "low", "volume")
-    return pairs.groupBy("symbol", "entry_ix").agg(F.count(F.lit(1)).alias("n_bars"), F.max("high").alias("top"), F.min("low").alias("bottom"), F.sum("volume").alias("volume"))
+    found = K.between(t.ibs_trades().filter("closed").select("symbol", "entry_ix", "exit_ix"), K.bar_blocks(t.bars()), sums=True)
+    return found.select("symbol", "entry_ix", "n_bars", F.col("high").alias("top"), F.col("low").alias("bottom"), "volume")
 
 
 @query("JON4", with_("tr", "bars", body="""SELECT t.symbol, t.entry_ix, s.date AS signal_date, e.date AS entry_date, x.date AS exit_date, n.open AS next_open FROM tr t JOIN bars e ON e.symbol = t.symbol AND e.bar_ix = t.entry_ix

@@ -207,3 +207,16 @@ def _staleness(max_days: int):
             pass
 
     return Staleness()
+
+
+def activity_sessions(events: DataFrame, gap: str = "30 minutes", delay: str = "1 hour") -> DataFrame:
+    """Stretches of activity per event type: events less than ``gap`` apart belong together, and a session ends ``gap`` after its last event.
+
+    Sessions are merged in the state store as events arrive; one is emitted once the watermark has passed its end, and later rows are dropped.
+    """
+    return (
+        events.withWatermark("ts", delay)
+        .groupBy(F.col("event_type").alias("symbol"), F.session_window("ts", gap).alias("w"))
+        .agg(F.count(F.lit(1)).alias("n_events"), F.min("value").alias("low"), F.max("value").alias("high"))
+        .select("symbol", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_events", "low", "high")
+    )
