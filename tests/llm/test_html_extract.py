@@ -30,3 +30,15 @@ def test_query(spark, on_disk):
     assert sorted((-1 if r.page_id is None else r.page_id, r.text, r.n_chars) for r in got) == sorted(want)
     empty = on_disk(pages=spark.createDataFrame([], "page_id long, url string, html string"))
     assert queries.QUERIES["op2_tag_path_ratios"](spark, empty).collect() == []
+
+
+def test_ugly_pages_take_linear_time():
+    """A megabyte of tags without an end, of quotes, of open or closed elements and of markers takes seconds."""
+    import time
+
+    ugly = ["<a " * 350_000, "<a " * 350_000 + "'>", '<a "' * 250_000 + ">", "<![CDATA[" * 110_000, "<!x" * 300_000, "<!-" * 300_000, "<" * 1_000_000,
+            "<div>" * 100_000 + "</x>" * 100_000, "<i>" * 200_000, "<header>" * 100_000, "<div>" * 60_000 + "<p>x y.</p>" * 40_000]
+    began = time.time()
+    got = [html_extract.main_text(p) for p in ugly]
+    assert time.time() - began < 120
+    assert got[0] == ("<a " * 350_000).strip() and got[6] == "<" * 1_000_000 and got[10] == "\n".join(["x y."] * 40_000)

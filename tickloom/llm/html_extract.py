@@ -17,7 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,50 +37,138 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
 NOISE = re.compile(
     r"(?:^|[^a-z])(?:ads?|advert\w*|adsense|banner|promo\w*|sponsor\w*|sidebar|side-?bar|nav\w*|menu\w*|breadcrumb\w*|footer\w*|masthead|site-?header|page-?header|cookies?|consent|gdpr|notice\w*|alert|popup|modal|overlay|newsletter|subscri\w*|signup|login|share|sharing|social\w*|related|recommend\w*|comments?|commentlist|disqus|respon[ds]\w*|replies|reply|discussion|widget\w*|toolbar|pagination|pager|skip-?link|contentinfo|complementary|navigation|search|form|copyright|legal|disclaimer|taboola|outbrain)(?:$|[^a-z])"
 )
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile(r"[\"'>]")
 ATTRIBUTE = re.compile(r"(?:^|\s)(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 PUNCTUATION = re.compile(r"[.,;:!?…،。，、；：！？·¿¡]")
 
 
-def blocks(page: str) -> list[tuple[tuple, str]]:
-    """(open elements as (number, tag), text) of every block outside the dropped elements, in page order."""
-    stack: list[tuple[int, str, bool]] = []  # number, tag, dropped
-    out: list[tuple[tuple, str]] = []
+class Tags:
+    """Tags, comments and character data of a page, one after another, in time linear in the page.
+
+    A tag ends at the first ``>`` outside quotes. Where the quotes of a tag lead is remembered by the place of its
+    first quote or ``>``, so tags without an end do not scan the rest of the page again and again.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.data = page.rfind("]]>")
+        self.ends: dict[int, int] = {}
+        self.seen = (0, -1)  # from the first number on, the next quote or > is at the second
+
+    def next_stop(self, i: int) -> int:
+        lo, at = self.seen
+        if not lo <= i <= at:
+            m = STOP.search(self.page, i)
+            at = m.start() if m else len(self.page)
+            self.seen = (i, at)
+        return at
+
+    def end(self, i: int) -> int:
+        """Behind the ``>`` that ends a tag whose attributes begin at ``i``, or -1."""
+        way, out = [], -1
+        while (j := self.next_stop(i)) < len(self.page):
+            if j in self.ends:
+                out = self.ends[j]
+                break
+            way.append(j)
+            if self.page[j] == ">":
+                out = j + 1
+                break
+            k = self.page.find(self.page[j], j + 1)
+            if k < 0:
+                break
+            i = k + 1
+        self.ends.update(dict.fromkeys(way, out))
+        return out
+
+    def after(self, pos: int) -> tuple[int, int, str | None, bool, str, str] | None:
+        """(begin, end, character data, closing, name, attributes) of the next token from ``pos`` on; comments have neither data nor name."""
+        page = self.page
+        while (p := page.find("<", pos)) >= 0:
+            if page.startswith("<!--", p):
+                e = page.find("-->", p + 4)
+                return p, e + 3 if e >= 0 else len(page), None, False, "", ""
+            if p > self.last:  # only a comment needs no end
+                pos = page.find("<!--", p)
+                if pos < 0:
+                    return None
+                continue
+            if p + 9 <= self.data and page.startswith("<![CDATA[", p):
+                e = page.find("]]>", p + 9)
+                return p, e + 3, page[p + 9 : e], False, "", ""
+            if page.startswith(("<!", "<?"), p):
+                return p, page.find(">", p) + 1, None, False, "", ""
+            m = NAME.match(page, p)
+            if m and (e := self.end(m.end())) >= 0:
+                return p, e, None, bool(m[1]), m[2].lower(), page[m.end() : e - 1]
+            pos = p + 1
+        return None
+
+
+class Tree:
+    """The open elements of blocks as nodes with parents; inline elements are none. Node 0 is the page."""
+
+    def __init__(self):
+        self.parent, self.tag, self.path = [-1], [""], [0]
+        self.paths: dict[tuple[int, str], int] = {}
+
+    def add(self, parent: int, tag: str) -> int:
+        self.parent.append(parent)
+        self.tag.append(tag)
+        self.path.append(self.paths.setdefault((self.path[parent], tag), len(self.paths) + 1))
+        return len(self.tag) - 1
+
+
+def blocks(page: str) -> tuple[Tree, list[tuple[int, str]]]:
+    """The elements of a page, and (element, text) of every block outside the dropped ones, in page order."""
+    tree, tags = Tree(), Tags(page)
+    stack: list[tuple[int, str, bool]] = []  # element that holds what is said here, tag, dropped
+    opened: Counter = Counter()
+    out: list[tuple[int, str]] = []
     said: list[str] = []
-    made = pos = 0
+    pos = 0
+
+    def cut(k: int, n: int | None = None) -> None:
+        """Take ``n`` elements off the stack from place ``k`` on, all if it is None."""
+        upto = len(stack) if n is None else k + n
+        opened.subtract(t for _, t, _ in stack[k:upto])
+        del stack[k:upto]
 
     def end_block() -> None:
         text = " ".join("".join(said).split())
         said.clear()
         if text:
-            out.append((tuple((n, t) for n, t, _ in stack if t not in INLINE), text))
+            out.append((stack[-1][0] if stack else 0, text))
 
     def say(raw: str) -> None:
         if raw and not (stack and stack[-1][2]):
             said.append(html.unescape(raw))
 
     def close(tag: str, scope: set[str]) -> None:
+        if not opened[tag]:
+            return
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][1] == tag:
                 if tag not in INLINE:
                     end_block()
-                    del stack[k:]
+                    cut(k)
                 else:
-                    del stack[k]
+                    cut(k, 1)
                 return
             if stack[k][1] in scope:
                 return
 
-    while m := TOKEN.search(page, pos):
-        say(page[pos : m.start()])
-        pos = m.end()
-        if m[3] is None:
-            if m[1] and not (stack and stack[-1][2]):
-                said.append(m[1])
+    while token := tags.after(pos):
+        begin, end, data, closing, tag, attrs = token
+        say(page[pos:begin])
+        pos = end
+        if not tag:
+            if data and not (stack and stack[-1][2]):
+                said.append(data)
             continue
-        tag, attrs = m[3].lower(), m[4]
-        if m[2]:
+        if closing:
             if tag not in VOID:
                 close(tag, set() if tag not in INLINE else {"article", "body", "td", "th", "div", "section"})
             elif tag == "br":
@@ -101,13 +189,12 @@ def blocks(page: str) -> list[tuple[tuple, str]]:
                     break
                 if stack[k][1] in ended:
                     end_block()
-                    del stack[k:]
+                    cut(k)
         if tag not in INLINE:
             end_block()
-        within = {t for _, t, _ in stack}
         names = " ".join(x[0] or x[1] or x[2] for x in ATTRIBUTE.findall(attrs)).lower() if attrs else ""
         whole = tag in ("html", "body", "main", "article") or "article" in names.split() or "main" in names.split()
-        drop = bool(stack and stack[-1][2]) or tag in DROPPED or (tag == "header" and "article" not in within)
+        drop = bool(stack and stack[-1][2]) or tag in DROPPED or (tag == "header" and not opened["article"])
         drop = drop or (not whole and bool(names and NOISE.search(names))) or bool(attrs and not whole and HIDDEN.search(attrs))
         drop = drop or (tag == "article" and bool(re.search(r"comment|reply", names)))
         if tag in RAW or tag in ("script", "style"):
@@ -116,11 +203,12 @@ def blocks(page: str) -> list[tuple[tuple, str]]:
             continue
         if attrs.endswith("/") and tag in ("path", "rect"):
             continue
-        made += 1
-        stack.append((made, tag, drop))
+        holder = stack[-1][0] if stack else 0
+        stack.append((holder if tag in INLINE or drop else tree.add(holder, tag), tag, drop))
+        opened[tag] += 1
     say(page[pos:])
     end_block()
-    return out
+    return tree, out
 
 
 def smooth(v: list[float], sigma: float = 1.0) -> list[float]:
@@ -135,11 +223,11 @@ def smooth(v: list[float], sigma: float = 1.0) -> list[float]:
 
 def main_text(page: str | None, share: float = 0.9) -> str:
     """The article's blocks, joined by newlines."""
-    found = blocks(page or "")
+    tree, found = blocks(page or "")
     if not found:
         return ""
     chars, marks, count = defaultdict(int), defaultdict(int), defaultdict(int)
-    paths = ["/".join(t for _, t in path) for path, _ in found]
+    paths = [tree.path[node] for node, _ in found]
     for p, (_, text) in zip(paths, found):
         chars[p] += len(text)
         marks[p] += len(PUNCTUATION.findall(text))
@@ -150,17 +238,22 @@ def main_text(page: str | None, share: float = 0.9) -> str:
     mean = sum(fused) / len(fused)
     spread = math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused))
     limit = max(0.0, mean - spread) if spread < mean else mean / 4
-    chosen = [x >= limit for x in fused]
-    held: dict[tuple, int] = defaultdict(int)
-    total = sum(len(t) for (_, t), ok in zip(found, chosen) if ok)
-    for (path, text), ok in zip(found, chosen):
-        if ok:
-            for depth in range(len(path) + 1):
-                held[path[:depth]] += len(text)
-    boxes = [p for p, n in held.items() if n >= share * total and not (p and p[-1][1] in ("p", "li", "td", "h1", "h2", "h3"))]
-    articles = [p for p in boxes if p and p[-1][1] in ("article", "main")]
-    box = max(articles or boxes, key=len, default=())
-    return "\n".join(text for path, text in found if path[: len(box)] == box)
+    held, depth = [0] * len(tree.tag), [0] * len(tree.tag)
+    for (node, text), x in zip(found, fused):
+        if x >= limit:
+            held[node] += len(text)
+    total = sum(held)
+    for node in range(len(held) - 1, 0, -1):  # parents have smaller numbers
+        held[tree.parent[node]] += held[node]
+    for node in range(1, len(held)):
+        depth[node] = depth[tree.parent[node]] + 1
+    boxes = [n for n, h in enumerate(held) if h and h >= share * total and tree.tag[n] not in ("p", "li", "td", "h1", "h2", "h3")]
+    articles = [n for n in boxes if tree.tag[n] in ("article", "main")]
+    box = max(articles or boxes, key=depth.__getitem__, default=0)
+    inside = [False] * len(held)
+    for node in range(len(held)):
+        inside[node] = node == box or (node > 0 and inside[tree.parent[node]])
+    return "\n".join(text for node, text in found if inside[node])
 
 
 def extract(pages: DataFrame) -> DataFrame:
