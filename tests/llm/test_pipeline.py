@@ -6,6 +6,8 @@ from collections import Counter
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
 import corpus_pipeline  # noqa: E402
+from pyspark.sql.functions import lit as spark_lit  # noqa: E402
+
 from tickloom.llm import mixing, simhash  # noqa: E402
 
 RNG = random.Random(11)
@@ -62,3 +64,23 @@ def test_stages_of_nothing(spark, make, on_disk):
         benchmark=spark.createDataFrame([], "item_id long, text string"),
     )
     assert corpus_pipeline.run(spark, d).collect() == []
+
+
+CLASH = ("_key", "_id", "_size", "_score", "_words", "_copies", "_copy", "_hits", "_hash", "_h", "_source", "_carried", "row", "score", "size", "shard", "slot", "text_crc32", "h", "root", "node", "copies", "with space")
+
+
+def test_columns_with_clashing_names(spark, make, on_disk):
+    """Nulls, empty and repeated rows and a very long text, with extra columns named like every helper."""
+    long = " ".join(f"{RNG.choice(VOCAB)}{i % 977}" for i in range(60_000))
+    rows = [(i, prose(40 + i % 20), "en", f"s{i % 2}") for i in range(60)] + [(70, None), (71, ""), (71, ""), (None, prose(30)), (72, long)]
+    clash = [c for c in CLASH if " " not in c]
+    df = make(rows, clash=clash).withColumn("with space", spark_lit(1))
+    d = on_disk(
+        documents=df, labels=spark.createDataFrame([(i, 1, 0) for i in range(10)] + [(None, None, None)], "doc_id long, quality int, toxic int"),
+        benchmark=spark.createDataFrame([(1, prose(40)), (None, None), (2, "")], "item_id long, text string"),
+    )
+    got = corpus_pipeline.run(spark, d)
+    extra = [f"{c}_given" if c in ("size", "shard", "slot", "text_crc32") else c for c in CLASH]
+    assert sorted(got.columns) == sorted(["doc_id", "text", "lang", "source", "n_chars", "size", "shard", "slot", "text_crc32", *extra])
+    kept = got.collect()
+    assert kept and all(r[c] == (1 if c == "with space" else 7) for r in kept for c in extra)

@@ -19,17 +19,26 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
 
 
 _STORED: list[str] = []
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
+def store(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write an intermediate table to the folder in ``spark.checkpoint.dir`` and read it back.
 
-    Lineage ends there: a lost executor costs no more than the tasks since. Tables stay until ``release``.
+    Lineage ends there: a lost executor costs no more than the tasks since. Tables stay until ``release``. ``batch_rows`` bounds
+    the rows that Python functions get at a time while the table is written; the session's setting is put back.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
     _STORED.append(path)
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH, None)
+    if batch_rows:
+        spark.conf.set(BATCH, str(batch_rows))
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch_rows:
+            spark.conf.unset(BATCH) if before is None else spark.conf.set(BATCH, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,6 +55,11 @@ def release(spark: SparkSession, since: int = 0) -> None:
     del _STORED[since:]
 
 
+def packed(docs: DataFrame, *read: str) -> DataFrame:
+    """The columns an operator reads, and all columns in one struct ``row``: helper columns cannot meet given ones of the same name."""
+    return docs.select(*read, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
 def words(text: Column) -> Column:
     """The words of a text in order (a null text has none)."""
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS)), " "), "")
@@ -74,7 +88,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Alternates large-star and small-star steps: every step is a minimum per node (combined before
     the shuffle) and a join, so no node's neighbours are gathered in one place. The edges left after a
     step are written to the shared folder; the loop ends when a round changes nothing, which takes
-    about log(nodes) rounds.
+    about log(nodes) rounds: ``max_rounds`` of 60 are beyond any number of nodes that 64 bits can name.
     """
     cur = store(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
     mark = None

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import store, words
+from .common import packed, store, words
 
 GOLDEN = 2654435769  # 2**32 over the golden ratio, odd
 CIRCLE = 1 << 32
@@ -114,6 +114,6 @@ def mixed(docs: DataFrame, most: int = 3) -> DataFrame:
     """
     per = mix(docs, most).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("c"), F.count("*").alias("m"))
     per = per.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.round(F.col("c") / F.col("m")).cast("int").alias("_copies")).where("_copies > 0")
-    rows = docs.select("*", F.size(words(F.col("text"))).cast("long").alias("_words"))
+    rows = packed(docs, "doc_id", "source", "text").select("doc_id", "source", "row", F.size(words(F.col("text"))).cast("long").alias("_words"))
     same = rows["doc_id"].eqNullSafe(per["_id"]) & rows["source"].eqNullSafe(per["_source"]) & (rows["_words"] == per["_size"])
-    return rows.join(per, same).select("*", F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy")).select(docs.columns)
+    return rows.join(per, same).select("row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("row.*")

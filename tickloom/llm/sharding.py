@@ -48,9 +48,14 @@ def _ranged(keyed: DataFrame, splitters: list[str]) -> DataFrame:
     return keyed.withColumn("_range", range_of("_key"))
 
 
+DIGEST = ("size", "text_crc32", "shard", "slot")
+
+
 def assign_shards(docs: DataFrame, shards: int = 8, ranges_per_shard: int = 64, samples_per_range: int = 32, group_share: float = 0.02, carry: list[str] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, shard, slot (and the carried columns) of every row.
 
+    Carried columns keep their names; those named like a column of the digest get ``_given`` after it.
+
     The driver holds the key sample (about shards * ranges_per_shard * samples_per_range keys of 48
     characters) and one row per range; both are bounded by the parameters, not by the data.
     """
@@ -61,9 +66,9 @@ def assign_shards(docs: DataFrame, shards: int = 8, ranges_per_shard: int = 64,
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("_size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("_crc"),
         F.concat(h(F.xxhash64("text")), h(F.xxhash64("doc_id")), h(F.monotonically_increasing_id())).alias("_key"),
-        *[F.col(c) for c in carry],
+        F.struct(*[F.col(f"`{c}`") for c in carry]).alias("_carried") if carry else F.lit(None).alias("_carried"),
     )
-    full = store(keyed, "shard-keys")
+    full = store(keyed if carry else keyed.drop("_carried"), "shard-keys")
     keyed = full.select("_id", "_size", "_crc", "_key")
     total = keyed.agg(F.sum("_size")).first()[0] or 0
     ranges = shards * ranges_per_shard
@@ -108,5 +113,6 @@ def assign_shards(docs: DataFrame, shards: int = 8, ranges_per_shard: int = 64,
     digest = [F.col("_id").alias("doc_id"), F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot")]
     if not carry:
         return out.select(*digest)
-    extra = [c for c in carry if c not in ("doc_id", "size", "text_crc32", "shard", "slot")]
-    return out.join(full.select("_key", *extra), "_key").select(*digest, *extra)
+    named = {c: f"{c}_given" if c in DIGEST else c for c in carry if c != "doc_id"}
+    extra = [F.col("_carried")[c].alias(n) for c, n in named.items()]
+    return out.join(full.select("_key", "_carried"), "_key").select(*digest, *extra)

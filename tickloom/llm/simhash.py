@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import shingles
-from .common import components, store
+from .common import components, packed, store
 
 LOW_HALF, TWO_BITS = 0xFFFFFFFF, 0x55555555
 
@@ -135,9 +135,9 @@ def first_of_group(docs: DataFrame) -> DataFrame:
     """One row of each component of similar texts (see ``shingles``), all columns: the one with the smallest id (null last), then text hash."""
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best")
     chosen = shingles.grouped(docs).groupBy("root").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.h").alias("_h")).distinct()
-    rows = docs.select("*", F.xxhash64("text").alias("_hash"))
+    rows = packed(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("_hash"), "row")
     same = rows["doc_id"].eqNullSafe(chosen["_id"]) & (rows["_hash"] == chosen["_h"])
-    return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select(docs.columns)
+    return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select("row.*")
 
 
 def hex64(fp: Column) -> Column:
