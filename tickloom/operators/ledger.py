@@ -80,12 +80,14 @@ def candidates(
     start: Column | None = None,
     end: Column | None = None,
     sides: Sequence[int] = (LONG,),
+    wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Every (bar, combination) whose entry rule holds, with the exit the bars alone decide.
 
     Exits are resolved once per distinct exit setting on the bar table. Combinations are
     generated only for bars with an entry, so the grid multiplies signals and not bars.
-    ``start``/``end`` are conditions on a bar; bars outside them are not seen.
+    ``start``/``end`` are conditions on a bar; bars outside them are not seen. ``wanted`` lists the
+    (keys, combo_id) to generate: bars of other keys go before, and a bar generates its key's combinations only.
     """
     keys = list(keys)
     ix, date = F.col("bar_ix"), F.col("date")
@@ -106,7 +108,7 @@ def candidates(
                     exit_cols[name] = F.when(inside, first_of(rule.exits(p, side), ix, date))
                 exit_ref = exit_name[xkey]
             item = f"named_struct('combo_id', {cid}, 'direction', {side}, 'exit', {exit_ref})"
-            items.append(f"CASE WHEN {entry_name[ekey]} THEN {item} END")
+            items.append(f"CASE WHEN {entry_name[ekey]}{'' if wanted is None else f' AND array_contains(_wanted, {cid})'} THEN {item} END")
     if rule.ahead_exits:
         frame = _with_ahead(frame, rule, combos, keys, inside)
     f = home_rows(frame).withColumns(entry_cols)
@@ -115,6 +117,8 @@ def candidates(
     any_entry = reduce(lambda a, b: a | b, [F.col(n) for n in entry_cols])
     picked = F.inline(F.expr(f"filter(array({', '.join(items)}), x -> x IS NOT NULL)"))
     extra = ["month", "_ahead"] if rule.ahead_exits else []
+    if wanted is not None:
+        f = f.join(wanted.groupBy(*keys).agg(F.collect_set(F.col("combo_id").cast("int")).alias("_wanted")), keys)
     out = f.filter(any_entry).select(*keys, "bar_ix", "date", "open", *extra, *_carried(frame), picked)
     if rule.ahead_exits:
         out = _resolve_ahead(out, rule, combos)
@@ -480,15 +484,15 @@ def ledger(
     bars: DataFrame, rule: RuleSpec, combos: Sequence[dict] | None = None, account: Account = Account(),
     keys: Sequence[str] = ("symbol",), start: Column | None = None, end: Column | None = None,
     sides: Sequence[int] = (LONG,), frame: DataFrame | None = None, accounts: Sequence[Account] | None = None,
-    legacy: bool = False, only: Column | None = None,
+    legacy: bool = False, only: Column | None = None, wanted: DataFrame | None = None,
 ) -> DataFrame:
     """Bars to settled trades; picks the closed form wherever it is exact.
 
-    ``only`` limits the (key, combination) pairs that are run.
+    ``only`` limits the (key, combination) pairs that are run; ``wanted`` lists them as a table of (keys, combo_id).
     """
     combos = [rule.params()] if combos is None else list(combos)
     frame = frame_for(bars, rule, combos, keys) if frame is None else frame
-    found = candidates(frame, rule, combos, keys, start, end, sides)
+    found = candidates(frame, rule, combos, keys, start, end, sides, wanted)
     if only is not None:
         found = found.filter(only)
     stops = [float(p.get("sl_percent", 0.0)) for p in combos]

@@ -70,19 +70,19 @@ def segments(bars: DataFrame, plan: Plan = Plan()) -> DataFrame:
     return out.withColumns({"bar_ix": F.col("_ix"), **fresh}).drop("_ix")
 
 
-def segment_metrics(seg: DataFrame, rule: RuleSpec, combos: Sequence[dict], account: Account) -> DataFrame:
+def segment_metrics(seg: DataFrame, rule: RuleSpec, combos: Sequence[dict], account: Account, wanted: DataFrame | None = None) -> DataFrame:
     """Older metric set per (segment, combination); combinations without trades are rows of zeros.
 
-    Returns are measured on the capital after the trade and annualised by calendar length.
+    ``wanted`` lists the (segment, combination) pairs to run, all if it is None. Returns are measured on the capital after the trade and annualised by calendar length.
     The result is stored: every step of a search reads it.
     """
-    tr = ledger(seg, rule, combos, account, keys=SEGMENT).filter("closed").withColumn("_r", F.col("pnl") / F.col("capital_after"))
+    tr = ledger(seg, rule, combos, account, keys=SEGMENT, wanted=wanted).filter("closed").withColumn("_r", F.col("pnl") / F.col("capital_after"))
     pnl = F.col("pnl")
     m = tr.groupBy(*SEGMENT, "combo_id").agg(
         F.count(F.lit(1)).alias("n"), (F.sum(pnl) / account.capital * 100).alias("ret"), M.profit_factor(pnl).alias("pf"),
         F.avg("_r").alias("_m"), F.stddev_pop("_r").alias("_s"))
     sizes = seg.groupBy(*SEGMENT).agg((F.count(F.lit(1)) * 365.0 / 252.0).alias("_days"))
-    grid = sizes.withColumn("combo_id", F.explode(F.sequence(F.lit(0), F.lit(len(combos) - 1))))
+    grid = sizes.withColumn("combo_id", F.explode(F.sequence(F.lit(0), F.lit(len(combos) - 1)))) if wanted is None else sizes.join(wanted.select(*SEGMENT, "combo_id"), list(SEGMENT))
     j = grid.join(m, [*SEGMENT, "combo_id"], "left")
     sh = F.least(F.lit(100.0), F.try_divide(F.col("_m"), F.col("_s")) * F.sqrt(F.col("n") / F.greatest(F.col("_days"), F.lit(1.0)) * 365))
     ok = (F.col("n") >= 3) & (F.col("_s") > 1e-10)
@@ -115,6 +115,31 @@ def neighbours(combos: Sequence[dict], grid: dict) -> list[list[int]]:
     return out
 
 
+def two_stage_metrics(seg: DataFrame, rule: RuleSpec, combos: Sequence[dict], grid: dict, account: Account, coarse_max: int = 200, top: int = 20) -> DataFrame:
+    """Metrics of what a two-stage search looks at, and of nothing else: the coarse combinations in sample, the neighbours of
+    the best of them in sample, and all of these out of sample. Each stage's (segment, combination) table limits the candidates of its run."""
+    by = ["symbol", "window_ix"]
+    part = lambda s: seg.filter(F.col("segment") == s)
+    at = {s: part(s).select(*SEGMENT).distinct() for s in ("is", "oos")}
+    coarse = at["is"].withColumn("combo_id", F.explode(F.array(*[F.lit(i) for i in coarse_ids(len(combos), coarse_max)])))
+    first = segment_metrics(part("is"), rule, combos, account, coarse)
+    fine = _neighbourhood(_ranked(first.withColumn("sharpe", F.round("sharpe", 9)), top), combos, grid)
+    more = materialise(fine.distinct().join(coarse, [*by, "combo_id"], "left_anti").withColumn("segment", F.lit("is")), "fine-set")
+    second = segment_metrics(part("is"), rule, combos, account, more)
+    seen = coarse.select(*by, "combo_id").unionByName(more.select(*by, "combo_id")).join(at["oos"], by)
+    return first.unionByName(second).unionByName(segment_metrics(part("oos"), rule, combos, account, seen))
+
+
+def _ranked(coarse: DataFrame, top: int) -> DataFrame:
+    w = Window.partitionBy("symbol", "window_ix").orderBy(F.col("sharpe").desc(), "combo_id")
+    return coarse.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
+def _neighbourhood(ranked: DataFrame, combos: Sequence[dict], grid: dict) -> DataFrame:
+    near = F.array(*[F.array(*[F.lit(j) for j in ids]) for ids in neighbours(combos, grid)])
+    return ranked.select("symbol", "window_ix", F.explode(near[F.col("combo_id")]).alias("combo_id"))
+
+
 @dataclass
 class Search:
     """Result tables of a walk-forward search."""
@@ -128,17 +153,14 @@ class Search:
 def search(metrics: DataFrame, combos: Sequence[dict], grid: dict, coarse_max: int = 200, top: int = 20) -> Search:
     """Coarse pass, best ``top``, their neighbours, best of all, and its out-of-sample result.
 
-    Every combination was run in the same pass over the bars; this picks the ones the
-    two-stage search would have looked at.
+    ``metrics`` holds all combinations, or those of ``two_stage_metrics`` with the same settings.
     """
     by = ["symbol", "window_ix"]
     s = metrics.withColumn("sharpe", F.round("sharpe", 9))
     ins, oos = s.filter("segment = 'is'").drop("segment"), s.filter("segment = 'oos'").drop("segment")
     coarse = ins.filter(F.col("combo_id").isin(coarse_ids(len(combos), coarse_max)))
-    w = Window.partitionBy(*by).orderBy(F.col("sharpe").desc(), "combo_id")
-    ranked = coarse.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-    near = F.array(*[F.array(*[F.lit(j) for j in ids]) for ids in neighbours(combos, grid)])
-    fine = ranked.select(*by, F.explode(near[F.col("combo_id")]).alias("combo_id"))
+    ranked = _ranked(coarse, top)
+    fine = _neighbourhood(ranked, combos, grid)
     evaluated = coarse.select(*by, "combo_id").unionByName(fine).distinct()
     cols = ["sharpe", "net_return_pct", "profit_factor", "n_trades"]
     rename = lambda df, p: df.select(*by, "combo_id", *[F.col(c).alias(f"{p}_{c}") for c in cols])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators.indicators import Needs, home_rows, indicator_frame, periods_of, true_range
 from ..operators.rules import RSI2
 from ..presets import ALIASES, FALLBACK_MARKET, MARKETS
-from ..sources import bars as B, store
+from ..sources import bartable, bars as B, store
 from .base import AS_OF, SPLIT, cte, query, sma_sql, with_
 
 UNIVERSE = {"AFRICA": "1996-01-01", "AMERICA": None, "ASIA": "1997-06-15", "EUROPE": None, "MIDDLE EAST": None, "EURUSD=X": None}
@@ -112,6 +114,16 @@ def snk1(t):
     return t.spark.read.parquet(path)
 
 
+@query("SNK1_table", with_("bars", body="""SELECT symbol, date, open, high, low, CASE WHEN date >= DATE '2001-01-01' THEN close + 1 ELSE close END AS close, volume FROM bars WHERE symbol IN ('ASIA', 'EUROPE') AND date >= DATE '2000-06-15'"""))
+def snk1_table(t):
+    """All bars, then a correction of one year, into the partitioned table; read for two symbols from a date on."""
+    b = t.bars().select(*store.BAR_COLUMNS)
+    path = f"{store.written(b.limit(0), 'bar-table')}/table"
+    bartable.update(b, path)
+    bartable.update(b.filter(F.col("date") >= F.lit("2001-01-01").cast("date")).withColumn("close", F.col("close") + 1), path)
+    return bartable.read(t.spark, path, b.schema, ["ASIA", "EUROPE"], datetime.date(2000, 6, 15))
+
+
 @query("SNK7", with_("bars", body=f"SELECT {_BAR} FROM bars WHERE symbol <> 'ASIA'"))
 def snk7(t):
     b = t.bars().select(*store.BAR_COLUMNS)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import equity as E, forensics as X, metrics as M
+from ..functions import sqlnames
+from ..operators import equity as E, forensics as X, metrics as M, sketches as K
 from ..operators.ledger import ledger, variant
 from ..operators.ranks import percentiles, ranked
 from ..operators.rules import IBS, RSI2, TOM
@@ -203,6 +204,14 @@ cte("validated", f"""SELECT symbol, m.n_trades, m.win_rate, m.profit_factor, m.s
    FROM ({metrics_sql('oos')}) m JOIN rob r USING (symbol) JOIN half h USING (symbol) JOIN ({ttest_sql('oosc')}) t USING (symbol)""", "oos", "oosc", "rob", "half")
 
 
+@query("SQL_metrics", with_("trc", body=f"""SELECT symbol, n_trades, profit_factor, t_stat, p_value FROM ({ttest_sql('trc')}) JOIN (SELECT symbol, {pf_sql()} AS profit_factor FROM trc GROUP BY symbol) USING (symbol)"""),
+       round={"profit_factor": 6, "t_stat": 6, "p_value": 6})
+def sql_metrics(t):
+    """The table function, asked in SQL text."""
+    sqlnames.register_table(t.spark, t.ibs_trades())
+    return t.spark.sql("SELECT symbol, n_trades, profit_factor, t_stat, p_value FROM trade_metrics()")
+
+
 @query("AGG12", with_("validated", "oosc", body=f"SELECT {_VAL} FROM validated UNION ALL BY NAME SELECT symbol, n_trades, t_stat, p_value, significant FROM ({ttest_sql(_POOLED)})"), round={"win_rate": 6, "profit_factor": 6, "sharpe": 6, "net_return_pct": 6, "pct_profitable": 6, "median_pf": 6, "pf_a": 6, "pf_b": 6, "t_stat": 6, "p_value": 6})
 def agg12(t):
     return validate(t.bars(), IBS, ACCOUNT, PER, pooled="POOLED").select(*[c.strip() for c in _VAL.split(",")])
@@ -247,6 +256,18 @@ _TOP = ", ".join(f"CASE WHEN sum(pnl) <> 0 THEN sum(pnl) FILTER (rank <= {n}) /
                  f"CASE WHEN count(*) > {n} THEN count(*) FILTER (rank > {n} AND pnl > 0) / count(*) FILTER (rank > {n}) END AS wr_without_{n}" for n in (5, 10, 20))
 
 
+_SKP = (5, 25, 50, 75, 95)
+
+
+@query("AGG14_sketch", with_("trc", body="SELECT symbol, year, n, n_days, " + ", ".join(f"rs[CAST(greatest(1, ceil(round({p / 100} * n, 9))) AS BIGINT)] AS p{p}" for p in _SKP) + """ FROM (
+   SELECT symbol, year(exit_date) AS year, count(*) AS n, count(DISTINCT exit_date) AS n_days, list_sort(list(return_pct)) AS rs FROM trc GROUP BY ALL)"""), round={f"p{p}": 8 for p in _SKP})
+def agg14_sketch(t):
+    """Percentiles per year from stored monthly sketches; exact here, as no year has as many trades as the sketch keeps."""
+    months = t._kept("trade-sketches", lambda: K.monthly_sketches(closed(t)))
+    years = K.merged(months, ["symbol", F.year("month").cast("long").alias("year")])
+    return K.percentiles_of(years, ["symbol", "year"], "return_pct", _SKP)
+
+
 @query("AGG15", with_("trk", body=f"SELECT symbol, sum(pnl) AS total_pnl, {_TOP} FROM trk GROUP BY symbol"),
        round={"total_pnl": 4, **{f"{c}_{n}{s}": d for n in (5, 10, 20) for c, s, d in (("top", "_pct", 3), ("pf_without", "", 6), ("wr_without", "", 6))}})
 def agg15(t):

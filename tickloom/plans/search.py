@@ -68,7 +68,9 @@ def wf_metrics(t):
 
 
 def found(t):
-    return W.search(wf_metrics(t), COMBOS, GRID, COARSE, TOP)
+    """The two-stage search; only what a stage looks at is run."""
+    metrics = t._kept("two-stage", lambda: W.two_stage_metrics(W.segments(t.bars(), PLAN), IBS, COMBOS, GRID, ACCOUNT, COARSE, TOP))
+    return W.search(metrics, COMBOS, GRID, COARSE, TOP)
 
 
 @query("WFO1", with_("wf_seg", body="""SELECT symbol, window_ix, min(date) FILTER (segment = 'is') AS is_start, max(date) FILTER (segment = 'is') AS is_end, min(date) FILTER (segment = 'oos') AS oos_start, max(date) FILTER (segment = 'oos') AS oos_end FROM wf_seg GROUP BY ALL"""))

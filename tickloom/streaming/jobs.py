@@ -7,8 +7,8 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..operators.book import latest
 from ..session import shared_dir
+from ..sources import bartable
 
 STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -48,22 +48,20 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     return spark.read.schema(stream.schema).parquet(f"{root}/out")
 
 
-def upsert_bars(stream: DataFrame, name: str, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
+def upsert_bars(stream: DataFrame, name: str) -> DataFrame:
     """Bar updates into a table keyed by (symbol, date); replaying a batch changes nothing.
 
-    A batch costs what it holds: it is written under its own id, overwriting only an earlier
-    try of itself, and readers take the newest batch per key.
+    A batch rewrites the buckets and months it touches, so readers see one version of each bar and nothing piles up.
     """
     spark = stream.sparkSession
     root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        batch.dropDuplicates(list(keys)).write.mode("overwrite").parquet(f"{root}/table/batch={batch_id}")
+        bartable.update(batch, f"{root}/table")
 
     q = stream.writeStream.outputMode("update").foreachBatch(apply).option("checkpointLocation", f"{root}/progress").trigger(availableNow=True).start()
     q.awaitTermination()
-    versions = spark.read.option("basePath", f"{root}/table").parquet(f"{root}/table")
-    return latest(versions, list(keys), ["batch"]).select(*stream.columns)
+    return bartable.read(spark, f"{root}/table", stream.schema)
 
 
 def bar_stream(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
