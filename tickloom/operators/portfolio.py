@@ -1,123 +1,12 @@
-"""Several rules on one pool of money, and reports over a portfolio."""
+"""Trades at a fixed allocation, and reports over a portfolio."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import scalars as S
-from ..presets import FEE_FIELDS, FEES
 from . import metrics as M
 from .equity import max_drawdown
-from .ledger import candidates, frame_for
-from .rules import RuleSpec
-
-PRIORITY = ("tom", "rsi2", "ibs")
-
-
-def pool_candidates(bars: DataFrame, rules: Mapping[str, tuple[RuleSpec, dict]]) -> DataFrame:
-    """Entries of several rules with the exit each would get when the entry day itself is not checked.
-
-    A bar-only exit after the entry day is the exit seen from the next bar on; it is looked
-    up there, so no forward join is needed. Entry-dependent exits never fall on the entry day
-    for a holding period of at least one.
-    """
-    out = None
-    for name, (rule, params) in rules.items():
-        frame = frame_for(bars, rule, [params])
-        if rule.exits:
-            # every bar as a candidate gives the exit from that bar on; an entry takes the one of the bar after it
-            from dataclasses import replace
-
-            anyday = replace(rule, entry=lambda p, side: F.lit(True), warmup=lambda p: 0)
-            seen = candidates(frame, anyday, [params]).select("symbol", (F.col("entry_ix") - 1).alias("entry_ix"), F.col("exit").alias("_later"))
-            c = candidates(frame, rule, [params]).join(seen, ["symbol", "entry_ix"], "left").withColumn("exit", F.col("_later")).drop("_later")
-        else:
-            c = candidates(frame, rule, [params])
-        c = c.select("symbol", F.lit(name).alias("strategy"), "entry_date", "entry_open", F.col("exit.date").alias("exit_date"), F.col("exit.price").alias("exit_price"))
-        out = c if out is None else out.unionByName(c)
-    return out
-
-
-def shared_pool(cands: DataFrame, capital: float, max_positions: Mapping[str, int], fractions: Mapping[str, float], fees: str,
-                scenario: str = "base") -> DataFrame:
-    """One account walked in date order: exits first, no re-entry on the exit day, rules by priority.
-
-    Allocation is a share of the initial capital, cut to what the pool holds; P&L is not
-    reinvested. Rows arrive sorted by (scenario, date, priority, symbol) and are streamed;
-    the state is the open positions, at most ``max_positions`` per rule. Scenarios run in
-    parallel, one is a sequence by its nature.
-    """
-    rank = F.create_map(*[F.lit(x) for i, s in enumerate(PRIORITY) for x in (s, i)])
-    c = cands if "scenario" in cands.columns else cands.withColumn("scenario", F.lit(scenario))
-    c = c.withColumn("_rank", rank[F.col("strategy")]).select("scenario", "entry_date", "_rank", "symbol", "strategy", "entry_open", "exit_date", "exit_price")
-    tidy = c.repartition("scenario").sortWithinPartitions("scenario", "entry_date", "_rank", "symbol")
-    fee = dict(zip(FEE_FIELDS, FEES[fees]))
-    return tidy.mapInPandas(_pool_walker(capital, dict(max_positions), dict(fractions), fee), _POOL)
-
-
-_POOL = (
-    "scenario string, strategy string, symbol string, entry_date date, exit_date date, entry_price double, shares double, "
-    "pnl double, return_pct double, truncated boolean, status string"
-)
-
-
-def _pool_walker(capital: float, limits: dict, fractions: dict, fee: dict):
-    rate = fee["commission_pct"] + fee["spread_pct"] / 2 + fee["fx_conversion_pct"]
-
-    def walk(batches):
-        import math
-
-        import pandas as pd
-
-        names = [x.split()[0] for x in _POOL.split(", ")]
-        current, pool, held = None, capital, {}
-        for pdf in batches:
-            rows = []
-            for r in pdf.itertuples(index=False, name=None):
-                scenario, day, _, symbol, strat, price, xday, xprice = r
-                if scenario != current:
-                    current, pool, held = scenario, capital, {}
-                for key in [k for k, (x, cost) in held.items() if x is not None and x < day]:
-                    pool += held.pop(key)[1]
-                # positions that leave today free their money and slot, but not their own symbol
-                today = {k for k, (x, cost) in held.items() if x is not None and x == day}
-                free = pool + sum(held[k][1] for k in today)
-                if (strat, symbol) in held:
-                    continue
-                if sum(1 for k in held if k[0] == strat and k not in today) >= limits[strat] or price <= 0:
-                    continue
-                want = capital * fractions[strat]
-                cut = want > free
-                if cut and free < price:
-                    rows.append((scenario, strat, symbol, day, None, price, 0.0, None, None, True, "skipped"))
-                    continue
-                shares = math.floor((free if cut else want) / price)
-                if shares < 1:
-                    rows.append((scenario, strat, symbol, day, None, price, 0.0, None, None, cut, "skipped"))
-                    continue
-                cost = shares * price
-                pool -= cost
-                gone = pd.isna(xday)
-                held[(strat, symbol)] = (None if gone else xday, cost)
-                if gone:
-                    rows.append((scenario, strat, symbol, day, None, price, float(shares), None, None, cut, "open"))
-                    continue
-                fin = fee["commission_per_trade"] + cost * (rate + fee["tax_pct"])
-                fout = fee["commission_per_trade"] + shares * xprice * rate
-                pnl = (xprice - price) * shares - fin - fout
-                rows.append((scenario, strat, symbol, day, xday, price, float(shares), pnl, pnl / cost, cut, "closed"))
-            yield pd.DataFrame(rows, columns=names)
-
-    return walk
-
-
-def pool_summary(trades: DataFrame) -> DataFrame:
-    """Trades, skipped and truncated entries and net P&L per scenario."""
-    return trades.groupBy("scenario").agg(
-        F.count_if(F.col("status") == "closed").alias("n_trades"), F.count_if(F.col("status") == "skipped").alias("n_skipped"),
-        F.count_if(F.col("truncated") & (F.col("status") != "skipped")).alias("n_truncated"), F.bround(F.sum("pnl"), 2).alias("net_pnl"))
 
 
 def isolated_baseline(trades: DataFrame, allocation: float, fees: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import book as K, equity as E, portfolio as P
 from ..operators.ledger import Account, ledger
-from ..operators.rules import IBS, RSI2, TOM
+from ..operators.rules import IBS
 from ..operators.spans import SPAN
 from ..sources import store
 from .base import BOOK, CTES, RUNS, SPLIT, STRATEGIES, STRICT, cte, pf_sql, query, with_
@@ -494,11 +494,7 @@ def pos7(t):
     return at(RUNS[1]).groupBy("strategy", "universe").agg(F.count(F.lit(1)).alias("n_assets")).join(moved, ["strategy", "universe"], "left").fillna(0, ["n_changed"]).withColumn("status", F.lit("done"))
 
 
-# ---------------------------------------------------------------- shared-pool portfolio
-
-
-def portfolio_candidates(t):
-    return P.pool_candidates(t.bars(), {"tom": (TOM, TOM.params()), "rsi2": (RSI2, RSI2.params(rsi_entry_threshold=20, sma_trend_buffer=1.0)), "ibs": (IBS, IBS.params())})
+# ---------------------------------------------------------------- fixed allocation
 
 
 @query("LED12", with_("tr", "tom_cand", body="""SELECT symbol, entry_ix, floor(2500 / open0) AS shares, floor(2500 / open0) * (exit_price - open0) - (1 + floor(2500 / open0) * open0 * 0.00025) - (1 + floor(2500 / open0) * exit_price * 0.00025) AS pnl
