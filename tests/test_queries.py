@@ -40,3 +40,17 @@ def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
+
+
+def test_changed_files_give_new_answers(spark, sf_dir, tmp_path):
+    """Derived tables are kept per state of the folder, not per name."""
+    import shutil
+
+    for f in glob.glob(f"{sf_dir}/*.parquet"):
+        shutil.copy(f, tmp_path)
+    before = QUERIES["CAT1"](spark, str(tmp_path)).collect()
+    li = pd.read_parquet(tmp_path / "lineitem.parquet")
+    li.iloc[: len(li) // 2].to_parquet(tmp_path / "lineitem.parquet", index=False)
+    after = QUERIES["CAT1"](spark, str(tmp_path)).collect()
+    assert sum(r.n_rows for r in after) < sum(r.n_rows for r in before)
+    assert sorted(map(str, before)) == sorted(map(str, QUERIES["CAT1"](spark, sf_dir).collect()))

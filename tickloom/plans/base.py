@@ -34,8 +34,8 @@ class Tables:
         return B.read_table(self.spark, self.sf_dir, name)
 
     def _kept(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        """Built once per application and data folder, stored in the shared folder."""
-        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        """Built once per application and state of the data folder, stored in the shared folder."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, folder_state(self.spark, self.sf_dir), name)
         if key not in _BUILT:
             _BUILT[key] = materialise(build(), name)
         return _BUILT[key]
@@ -160,6 +160,13 @@ class Tables:
         )
 
 
+def folder_state(spark: SparkSession, path: str) -> tuple:
+    """Names, sizes and times of what a folder holds: tables derived from changed files are built anew."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = p.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(p)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in held))
+
+
 def _positions(trades: DataFrame, shut) -> DataFrame:
     """Trades as paper positions; those not ``shut`` are open and have no exit."""
     p = trades.withColumns({
