@@ -11,7 +11,8 @@ with which all control strings begin, out of the texts: a backslash becomes ``\\
 begins an escape, so reading it back is exact.
 
 Null texts and roles are empty. Rows with equal turn are ordered by role and text; repeated rows are turns
-of their own. A null conv_id is a conversation. An empty table gives no rows.
+of their own. A null conv_id is a conversation. An empty table gives no rows. Texts of any length are kept whole; columns beyond
+the four are not read.
 """
 
 from __future__ import annotations

@@ -9,7 +9,8 @@ Elements that by tag, role or class are menus, headers, footers, sidebars, notic
 styles or reader comments are left out before, with what lies in them.
 
 Pages are handled one by one, whole, inside the scan's partitions: no shuffle, and memory for one page. A null,
-empty or textless page gives an empty text; repeated rows give repeated results.
+empty or textless page gives an empty text; repeated rows give repeated results. Columns beyond ``page_id``, ``url`` and ``html``
+are not read, whatever their names. Very long pages are read whole, in linear time. An empty table gives no rows.
 """
 
 from __future__ import annotations

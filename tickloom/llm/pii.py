@@ -10,7 +10,8 @@ ranges), and the trees are fitted to those counts and returned as SQL expression
 lowest score at which the selected candidates of the calibration fifth reach ``precision``.
 
 Positions are code points. Null and empty texts have no spans. Rows are handled one by one: repeated rows
-give repeated results, an empty table gives none.
+give repeated results, an empty table gives none. Texts are searched whole, however long; columns beyond ``doc_id`` and ``text``
+are not read.
 """
 
 from __future__ import annotations

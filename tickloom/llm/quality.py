@@ -8,7 +8,9 @@ plus ``reach`` times the distance to the tenth percentile (at least ``least`` of
 what is usual for the pair and is not moved by less than half of the rows being junk. The limits are then
 joined to the rows.
 
-Null and empty texts have no words and fail the base rule. Null languages and sources are groups of their own.
+Null and empty texts have no words and fail the base rule. Null languages and sources are groups of their own. Texts of any length
+are measured whole. Repeated rows are judged one by one and count in the sketches each; equal values share a bucket, so ties
+need no order. Columns beyond ``doc_id``, ``text``, ``lang`` and ``source`` are not read. An empty table gives no rows.
 """
 
 from __future__ import annotations

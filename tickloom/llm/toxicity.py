@@ -10,7 +10,8 @@ The fit uses at most ``sample_rows`` labelled rows, drawn by a hash of the id (a
 fewer), rows of a fold kept out; the driver runs it on the feature numbers of that bounded sample. Scoring
 covers every row and its whole text, row by row. With labels of one class only, every score is next to that
 class; without labels it is next to 0. Null and empty texts have no features and get the intercept's score. Rows of documents with equal
-ids are scored one by one; repeated labels of an id count once (the largest). An empty table gives no rows.
+ids are scored one by one; repeated labels of an id count once (the largest). An empty table gives no rows. Columns beyond ``doc_id``,
+``text`` and the kept ones are not read.
 """
 
 from __future__ import annotations
@@ -134,7 +135,8 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample_rows: int =
                 seen.update(fs)
                 if y:
                     hit.update(fs)
-            yield pd.DataFrame({"f": list(seen), "n": list(seen.values()), "hit": [hit[f] for f in seen]})
+            if seen:  # texts without a word give no frame: one without rows has no Arrow type
+                yield pd.DataFrame({"f": list(seen), "n": list(seen.values()), "hit": [hit[f] for f in seen]})
 
     per = sample.mapInPandas(count, "f string, n long, hit long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).where("n >= 3")
     share = F.col("n") / n
