@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from tickloom.llm import decontaminate
 
 VOCAB = [f"w{i}" for i in range(20_000)]
@@ -38,3 +40,26 @@ def test_cut_off_items_count_at_either_end(spark, make):
     want = {(100 * i + j, i) for i in range(30) for j in range(3)}
     assert hits(bench.drop("answer")) == want
     assert hits(bench) == {x for x in want if x[1]}  # a given answer must be there
+
+
+def test_the_space_is_fitted_to_all_passages(spark, make):
+    """The passages' main directions lie behind the first thousand words of few documents: a space of a sample or of beginnings misses them."""
+    rng = random.Random(19)
+    topics = [prose(rng, 12) for _ in range(4)]
+    rows = [(i, " ".join(["plain"] * 1024)) for i in range(1500)]
+    rows += [(5000 + i, " ".join(["plain"] * 1024 + [w for _ in range(12) for w in rng.sample(topics[i % 4], 12) + prose(rng, 4)])) for i in range(40)] + [(9000, None), (9001, "")]
+    bench = spark.createDataFrame([(i, " ".join(prose(rng, 30))) for i in range(5)], "item_id long, text string")
+    _, words, _, idf, basis = decontaminate.build(make(rows), bench)
+    texts = [decontaminate.tokens(t) for _, t in rows]
+    passages = [np.unique(decontaminate.hashed(t[k : k + 32])) for t in [*texts, *words] for k in range(0, len(t), 32)]
+    n = sum(-(-len(t) // 32) for t in texts)
+    seen = np.bincount(np.concatenate([*passages[:n], *[np.unique(decontaminate.hashed(w)) for w in words]]), minlength=decontaminate.FEATURES)
+    assert np.allclose(idf, np.log((n + len(words) + 1) / (seen + 1)) + 0.1)
+    kinds, times = np.unique(np.array([",".join(map(str, p)) for p in passages]), return_counts=True)  # equal rows once, weighted
+    used = np.flatnonzero(seen)
+    a = np.zeros((len(kinds), len(used)))
+    for row, kind, k in zip(a, kinds, times):
+        ids = np.array(kind.split(","), dtype=int)
+        row[np.searchsorted(used, ids)] = idf[ids] / np.linalg.norm(idf[ids]) * np.sqrt(k)
+    main = np.linalg.svd(a, full_matrices=False)[2][:5]
+    assert (np.linalg.norm(main @ basis[used], axis=1) > 0.95).all()

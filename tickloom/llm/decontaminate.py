@@ -1,9 +1,9 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items and corpus passages are TF-IDF vectors over hashed words. A randomised SVD of the items
-and a bounded sample of passages gives a latent space; its products with the matrix are computed by Spark
-tasks over the sample and added up by feature range; words are weighted by how many passages of all documents hold
-them. Every passage of every document is then projected (sums of rows of the feature matrix) and compared with all
+Benchmark items and corpus passages are TF-IDF vectors over hashed words. A randomised SVD of all passages of all
+documents and of the items gives a latent space; its products with the matrix are computed by Spark
+tasks over the stored features of the passages and added up by feature range; words are weighted by how many passages
+hold them. Nothing is drawn or cut: 16 bits a word are stored once, read once for the weights and once per product. Every passage of every document is then projected (sums of rows of the feature matrix) and compared with all
 items by cosine. A space of fixed rank keeps less of each item the more items there are, so an exact search
 stands behind it: a text that holds a share of an item's words misses at most the others, hence holds some
 of any larger part of them. The item's rarest words are looked up, and every passage with enough of them around is a
@@ -33,10 +33,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import drawn, store
+from .common import batched, store
 
 BLOCK = 16
+WIDE = 2 * BLOCK  # words of a passage
 FEATURES = 1 << 15
+TEXT_ROWS, STORED_ROWS = 1024, 32  # texts, rows of stored passages a Python function gets at a time: bounds what a task holds
 MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -50,21 +52,36 @@ def hashed(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(crc32, words), dtype=np.int64, count=len(words)) & (FEATURES - 1)
 
 
-def blocked(texts: list[list[bytes]], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def blocked(texts: list[list[bytes]], ids: np.ndarray, width: int = BLOCK, empty: int = 1) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers in blocks, FEATURES where a block is not full, and the text each block is of.
 
-    Every text with words ends with an empty block, so that its last block starts a passage too.
+    Every text with words ends with an empty block (``empty``), so that its last block starts a passage too.
     """
-    sizes = [-(-len(t) // BLOCK) + 1 if t else 0 for t in texts]
-    flat = np.full((sum(sizes), BLOCK), FEATURES, dtype=np.int64)
+    sizes = [-(-len(t) // width) + empty if t else 0 for t in texts]
+    flat = np.full((sum(sizes), width), FEATURES, dtype=np.int64)
     line = flat.reshape(-1)
     at = src = 0
     for t, n in zip(texts, sizes):
         line[at : at + len(t)] = ids[src : src + len(t)]
-        at, src = at + n * BLOCK, src + len(t)
+        at, src = at + n * width, src + len(t)
     return flat, np.repeat(np.arange(len(texts)), sizes)
 
 
+def once(ids: np.ndarray) -> np.ndarray:
+    """The features of each row sorted, repeats replaced by FEATURES."""
+    part = np.sort(ids, axis=1)
+    part[:, 1:][part[:, 1:] == part[:, :-1]] = FEATURES
+    return part
+
+
+def added(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Sums of the table's rows named in each row of ``ids``."""
+    out = table[ids[:, 0]]
+    for k in range(1, ids.shape[1]):
+        out += table[ids[:, k]]
+    return out
+
+
 def lcs(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence, by bit vectors."""
     where: dict[bytes, int] = {}
@@ -164,9 +181,8 @@ class Index:
         start = np.zeros(len(texts), dtype=int)
         start[owner[first]] = first
         for lo in range(0, len(flat), chunk):
-            part = np.sort(flat[lo : lo + chunk + 1], axis=1)
-            part[:, 1:][part[:, 1:] == part[:, :-1]] = FEATURES  # a word counts once in a block
-            rows = self.table[part].sum(1)
+            part = once(flat[lo : lo + chunk + 1])  # a word counts once in a block
+            rows = added(self.table, part)
             power = np.square(self.weight[part]).sum(1)
             same = owner[lo : lo + chunk][: len(part) - 1] == owner[lo + 1 : lo + 1 + chunk][: len(part) - 1]
             x = (rows[:-1] + rows[1:])[same]
@@ -211,59 +227,81 @@ def search(index: Index, texts: list[str | None], least: float, copy: float, par
     return [(t, k, *v) for (t, k), v in best.items()]
 
 
-def _product(sample: DataFrame, basis: np.ndarray) -> np.ndarray:
-    """A^T (A basis) over the stored sample: partial sums per task, added up per range of features."""
-    sent = sample.sparkSession.sparkContext.broadcast(basis.astype(np.float32))
-    wide = 1024
+def _passages(texts: DataFrame, rows: int = 256) -> DataFrame:
+    """The distinct features of every passage of every text: WIDE 16-bit numbers a passage, a row for up to ``rows`` texts."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, rows):
+                words = [tokens(t) for t in b.column(0).slice(lo, rows).to_pylist()]
+                ids = blocked(words, hashed([w for t in words for w in t]), WIDE, 0)[0]
+                if len(ids):
+                    yield pa.RecordBatch.from_pydict({"ids": pa.array([once(ids.astype("<u2")).tobytes()], pa.binary())})
+
+    return texts.select("text").mapInArrow(part, "ids binary")
+
+
+def _read(batches: Iterator[pa.RecordBatch], passages: int = 4096) -> Iterator[np.ndarray]:
+    """Stored passages, a bounded number at a time."""
+    for b in batches:
+        for row in b.column(0):
+            ids = np.frombuffer(row.as_buffer(), dtype="<u2").reshape(-1, WIDE)
+            for lo in range(0, len(ids), passages):
+                yield ids[lo : lo + passages].astype(np.int64)
 
-    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        b, out = sent.value, None
-        for batch in batches:
-            out = np.zeros_like(b) if out is None else out
-            for i, v in zip(batch["idx"], batch["val"]):
-                i, v = np.asarray(i), np.asarray(v, dtype=np.float32)
-                out[i] += v[:, None] * (v @ b[i])[None, :]
+
+def _product(passages: DataFrame, weight: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """A^T (A basis) over the stored passages as weighted rows of length 1: partial sums per task, added up per range of features."""
+    sent = passages.sparkSession.sparkContext.broadcast((weight, np.vstack([basis * weight[:, None], np.zeros((1, basis.shape[1]))]).astype(np.float32)))
+    wide = 256
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (weight, table), out = sent.value, None
+        power = np.append(np.square(weight), 0)
+        for ids in _read(batches):
+            out = np.zeros((table.shape[1], FEATURES + 1)) if out is None else out
+            x = added(table, ids) / power[ids].sum(1)[:, None]
+            flat = ids.ravel()
+            for total, v in zip(out, x.T):
+                total += np.bincount(flat, np.repeat(v, WIDE), FEATURES + 1)
         if out is not None:
-            ranges = out.reshape(-1, wide * b.shape[1])
-            yield pd.DataFrame({"part": np.arange(len(ranges)), "v": [r.tobytes() for r in ranges]})
+            ranges = (out[:, :-1] * weight).T.astype(np.float32).reshape(-1, wide * len(out))
+            yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(ranges)), pa.int32()), "v": pa.array([r.tobytes() for r in ranges], pa.binary())})
 
     def add(g: pd.DataFrame) -> pd.DataFrame:
         total = np.sum([np.frombuffer(v, dtype=np.float32) for v in g.v], axis=0, dtype=np.float32)
         return pd.DataFrame({"part": g.part.iloc[:1], "v": [total.tobytes()]})
 
     schema = "part int, v binary"
-    got = sample.mapInPandas(part, schema).groupBy("part").applyInPandas(add, schema).collect()
+    with batched(passages.sparkSession, STORED_ROWS):
+        got = passages.mapInArrow(part, schema).groupBy("part").applyInPandas(add, schema).collect()
     out = np.zeros((FEATURES // wide, wide * basis.shape[1]), dtype=np.float32)
     for r in got:
         out[r.part] = np.frombuffer(r.v, dtype=np.float32)
     return out.reshape(basis.shape)
 
 
-def _frequencies(docs: DataFrame, rows: int = 256) -> tuple[int, np.ndarray]:
-    """How many passages of all documents there are, and how many hold each feature."""
+def _frequencies(passages: DataFrame) -> tuple[int, np.ndarray]:
+    """How many stored passages there are, and how many hold each feature."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.zeros(FEATURES + 1, dtype=np.int64)
-        for b in batches:
-            for lo in range(0, b.num_rows, rows):
-                for t in b.column(0).slice(lo, rows).to_pylist():
-                    ids = hashed(tokens(t))
-                    if len(ids):
-                        key = np.unique(np.arange(len(ids)) // (2 * BLOCK) * FEATURES + ids)
-                        np.add.at(out, key & (FEATURES - 1), 1)
-                        out[FEATURES] += -(-len(ids) // (2 * BLOCK))
+        for ids in _read(batches):
+            out += np.bincount(ids.ravel(), minlength=FEATURES + 1) * (np.arange(FEATURES + 1) < FEATURES)
+            out[FEATURES] += len(ids)
         f = np.flatnonzero(out)
         yield pa.RecordBatch.from_pydict({"f": pa.array(f, pa.int64()), "n": pa.array(out[f], pa.int64())})
 
-    got = docs.select("text").mapInArrow(part, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()  # at most FEATURES rows and one
+    with batched(passages.sparkSession, STORED_ROWS):
+        got = passages.mapInArrow(part, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).collect()  # at most FEATURES rows and one
     out = np.zeros(FEATURES + 1)
     for r in got:
         out[r.f] = r.n
     return int(out[FEATURES]), out[:FEATURES]
 
 
-def build(docs: DataFrame, benchmark: DataFrame, rank: int = 64, sample_docs: int = 1024, sample_words: int = 1024, max_items: int = 100_000) -> tuple:
-    """What ``Index`` is made of: idf from all documents and the items, the latent space from the items and the first ``sample_words`` words of ``sample_docs`` documents drawn by hash."""
+def build(docs: DataFrame, benchmark: DataFrame, rank: int = 64, max_items: int = 100_000) -> tuple:
+    """What ``Index`` is made of: idf and the latent space, both from every passage of all documents and from the items."""
     named = "answer" in benchmark.columns
     items = benchmark.where("text is not null").select("item_id", "text", *(["answer"] if named else [])).orderBy("item_id", "text").limit(max_items + 1).collect()
     if len(items) > max_items:
@@ -272,46 +310,25 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = 64, sample_docs: in
     items = [r for r, w in zip(items, words) if w]
     words = [w for w in words if w]
     answers = [tokens(r.answer) if named and r.answer else [] for r in items]
-
-    def passages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for t in b.text:
-                ids = hashed(tokens(t)[:sample_words])
-                out += [ids[i : i + 2 * BLOCK] for i in range(0, len(ids), 2 * BLOCK)]
-            if out:  # a frame without rows has no Arrow type
-                yield pd.DataFrame({"ids": out})
-
-    some = drawn(docs.select("doc_id", "text"), ["doc_id", "text"], 23, sample_docs).repartition(8)
-    sample = some.select("text").mapInPandas(passages, "ids array<long>")
-    own = docs.sparkSession.createDataFrame([([int(i) for i in hashed(w)],) for w in words], "ids array<long>")
-    sample = store(sample.unionAll(own), "lsi-passages")
-    n, df = _frequencies(docs)
+    passages = store(_passages(docs), "lsi-passages", TEXT_ROWS)
+    n, df = _frequencies(passages)
     for w in words:
         df[np.unique(hashed(w))] += 1
     n += len(words)
     idf = np.log((n + 1) / (df + 1)) + 0.1
-    weight = docs.sparkSession.sparkContext.broadcast(idf)
-
-    def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            idx = [np.unique(np.asarray(i)) for i in b.ids]
-            vals = [weight.value[i] for i in idx]
-            yield pd.DataFrame({"idx": idx, "val": [v / max(1e-9, np.linalg.norm(v)) for v in vals]})
-
-    vec = store(sample.mapInPandas(vectors, "idx array<long>, val array<double>"), "lsi-vectors")
-    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((FEATURES, rank)))[0]
+    passages = passages.unionAll(store(_passages(benchmark), "lsi-items", TEXT_ROWS))
+    # only the half of the space that is the corpus's: columns behind it would never reach it
+    basis = np.linalg.qr(np.random.default_rng(7).standard_normal((FEATURES, rank // 2)))[0]
     for _ in range(2):  # random range, then one power step
-        basis = np.linalg.qr(_product(vec, basis).astype(np.float64))[0]
+        basis = np.linalg.qr(_product(passages, idf, basis).astype(np.float64))[0]
     # the items' own directions count most: what retrieval must not lose
     return [r.item_id for r in items], words, answers, idf, _with_items(basis, words, idf, rank).astype(np.float32)
 
 
-def _with_items(basis: np.ndarray, words: list[list[bytes]], idf: np.ndarray, rank: int) -> np.ndarray:
+def _with_items(half: np.ndarray, words: list[list[bytes]], idf: np.ndarray, rank: int) -> np.ndarray:
     """Half of the space from the corpus, half from the items' remainder (a second small randomised SVD)."""
-    half = basis[:, : rank // 2]
     if not words:
-        return basis
+        return half
 
     def times(m: np.ndarray) -> np.ndarray:
         out = np.zeros_like(m)
@@ -322,7 +339,7 @@ def _with_items(basis: np.ndarray, words: list[list[bytes]], idf: np.ndarray, ra
             out[i] += v[:, None] * (v @ m[i])[None, :]
         return out - half @ (half.T @ out)
 
-    own = np.random.default_rng(8).standard_normal((FEATURES, rank - rank // 2))
+    own = np.random.default_rng(8).standard_normal((FEATURES, rank - half.shape[1]))
     for _ in range(3):
         own = np.linalg.qr(times(own))[0]
     return np.linalg.qr(np.hstack([half, own]))[0]
