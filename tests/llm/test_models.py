@@ -124,6 +124,17 @@ def test_brown_model(spark, make, on_disk):
     assert brown_lm.score_documents(make(rows).where("false")).collect() == []
 
 
+def test_every_training_word_has_its_own_class(make):
+    """Two kinds of words take turns, all with one ending and most of them beyond the heads and the known words."""
+    first, second = ([f"{k}{i}zz" for i in range(60)] for k in "ab")
+    rows = [(i, " ".join(RNG.choice((first, second)[k % 2]) for k in range(40))) for i in range(600)] + [(None, ""), (5000, None), (5001, "unseen zz"), (5001, "unseen zz")]
+    got = brown_lm.score_documents(make(rows), classes=4, head_words=20, known_words=50).collect()
+    assert len(got) == len(rows)
+    out = [r for r in got if r.held_out and (r.doc_id or 5000) < 5000]
+    assert len(out) > 30 and sum(r.score - r.base_score for r in out) > 0.2 * sum(r.n_tokens for r in out)
+    assert all(r.score < 0 for r in got)
+
+
 def test_exchange_finds_the_classes():
     pairs = np.zeros((9, 9))
     for a in range(4):

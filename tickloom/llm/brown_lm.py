@@ -1,15 +1,16 @@
 """Brown class-based bigram language model.
 
-Units are the ``head_words`` most frequent training words and, for all other words, their last two letters (the
-most frequent endings; one unit for the rest; so unseen words have a unit too). Exchange clustering moves units
-between classes until the likelihood of the class bigrams no longer grows. A word's probability is that of its
-class after the class before, times the unit's share of its class, times the word's share of its unit; all
-three are smoothed and sum to one, so a document's probability is its perplexity to the power of its tokens.
+Every training word has a class of its own choice. The ``head_words`` most frequent words and, for all others, their last two
+letters (the most frequent endings; one unit for the rest) are the units that exchange clustering moves between classes on the driver until
+the likelihood of the class bigrams no longer grows. Then Spark counts the classes around every word that is no head, and
+each moves to the class where the likelihood gains most by its occurrences, to first order and all at once, as distributed exchange does. Only
+words that training never saw keep the class of their ending. A word's probability is that of its class after the class before, times its
+share of its class; both are smoothed and sum to one, so a document's probability is its perplexity to the power of its tokens.
 
 Word counts are those of all training texts and stay in Spark: at most ``known_words`` of the most frequent are
-sent to the tasks, the counts of the others are joined by word. The matrix of unit pairs is counted over all training
-texts by Spark and has at most units squared entries, whatever the corpus; the clustering runs on that
-matrix on the driver.
+sent to the tasks with their classes, counts and classes of the others are joined by word. The matrix of unit pairs is counted over all training
+texts by Spark and has at most units squared entries, whatever the corpus; the classes' bigrams are counted over all training texts again when
+every word has its class.
 
 Null and empty texts are one end token. Rows with equal ids are scored one by one. Without training rows every
 count is 0. An empty table gives no rows. Texts are read whole, however long; columns beyond ``doc_id`` and ``text`` are not read.
@@ -26,10 +27,11 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import crc_text, store
+from .common import batched, crc_text, store
 
 END = b""
 ROWS = 512  # texts read at a time: bounds what a task holds
+BATCH_ROWS = 2048  # rows a Python function gets at a time
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -147,8 +149,97 @@ def unit_pairs(texts: DataFrame, parts: tuple, units: int) -> np.ndarray:
     return out.reshape(units, units)
 
 
+def contexts(texts: DataFrame, parts: tuple, of: np.ndarray, classes: int) -> DataFrame:
+    """(id among the known words or -1, word if it is none of them, k, n) of words that are no heads: n times after class k, or before class k - ``classes``."""
+    sent = texts.sparkSession.sparkContext.broadcast((parts, of))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, of = sent.value
+        u = Units(*parts)
+        first = len(u.at)
+        for b in batches:
+            for lo in range(0, len(b), ROWS):
+                _, word, unit, cold, others = u.read(b.text.iloc[lo : lo + ROWS])
+                number, names = pd.factorize(np.array(others, dtype=object))
+                word[cold] = first + number
+                tail = np.flatnonzero((unit >= u.heads) & (unit < u.end))  # never the last: an end token is
+                line = word[tail] * 2 * classes
+                key, n = np.unique(np.append(line + np.append(of[u.end], of[unit[:-1]])[tail], line + classes + of[unit[tail + 1]]), return_counts=True)
+                word, k = np.divmod(key, 2 * classes)
+                other = word >= first
+                name = np.full(len(key), "", dtype=object)
+                name[other] = names[word[other] - first]
+                if len(key):  # a frame without rows has no Arrow type
+                    yield pd.DataFrame({"id": np.where(other, -1, word), "word": name, "k": k, "n": n})
+
+    with batched(texts.sparkSession, BATCH_ROWS):
+        found = texts.select("text").mapInPandas(count, "id long, word string, k long, n long")
+        return store(found.groupBy("id", "word", "k").agg(F.sum("n").alias("n")), "contexts", BATCH_ROWS)
+
+
+def chosen(seen: DataFrame, n: np.ndarray, used: np.ndarray) -> DataFrame:
+    """(id, word, c, class): the class in which an occurrence of the word adds most to the likelihood of the class bigrams ``n``, summed over its occurrences."""
+    classes = len(n)
+    after, before = n.sum(1), n.sum(0)  # a class as the first and as the second of a bigram
+    left = np.log(n + 0.5) - np.log(before + 0.5 * classes)[None, :]
+    right = np.log(n.T + 0.5) - np.log(after + 0.5 * classes)[None, :]
+    gain = np.round(np.vstack([left, right]) * (1 << 16))  # whole numbers: sums do not depend on their order
+    open_ = used.copy()
+    open_[0] = False  # the end's own
+    places = np.flatnonzero(open_)
+
+    @F.arrow_udf("long")
+    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            out = np.zeros(len(b), dtype=np.int64)
+            for lo in range(0, len(b), 4096):
+                part = b.slice(lo, 4096)
+                flat = part.flatten()
+                counts = np.zeros((len(part), 2 * classes))
+                counts[np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False)), flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+                out[lo : lo + len(part)] = places[np.argmax(counts @ gain[:, places], axis=1)]
+            yield pa.array(out, pa.int64())
+
+    per = seen.groupBy("id", "word").agg(F.collect_list(F.struct("k", "n")).alias("seen"), F.sum(F.when(F.col("k") < classes, F.col("n"))).alias("c"))  # at most two numbers a class
+    return store(per.select("id", "word", "c", best("seen").alias("class")), "word-classes")
+
+
+def joined(path: pa.Array, found: pa.Array) -> pa.Array:
+    """Class paths (a byte a token) with the classes found for words put in their places."""
+    if not len(path):
+        return path
+    sizes = np.array([len(p) for p in path.to_pylist()], dtype=np.int64)
+    flat = np.frombuffer(b"".join(path.to_pylist()), dtype=np.uint8).copy()
+    ends = np.cumsum(sizes)
+    many = found.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    got = found.flatten()
+    flat[np.repeat(ends - sizes, many) + got.field(0).to_numpy()] = got.field(1).to_numpy()
+    whole = flat.tobytes()
+    return pa.array([whole[i:k] for i, k in zip((ends - sizes).tolist(), ends.tolist())], pa.binary())
+
+
+def class_pairs(paths: DataFrame, end: int, classes: int) -> np.ndarray:
+    """Counts of neighbouring classes over all paths; the end's class also stands before the first word."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(classes * classes, dtype=np.int64)
+        for b in batches:
+            cls = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.uint8).astype(np.int64)
+            total += np.bincount(np.append(end, cls[:-1]) * classes + cls, minlength=len(total)) if len(cls) else 0
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"pair": pa.array(at, pa.int64()), "n": pa.array(total[at], pa.int64())})
+
+    got = paths.select("path").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(classes * classes)
+    for r in got:
+        out[r.pair] = r.n
+    return out.reshape(classes, classes)
+
+
 def score_documents(docs: DataFrame, folds: int = 10, classes: int = 48, head_words: int = 768, endings: int = 254, known_words: int = 131_072, mu: float = 20.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
+    if not 2 <= classes <= 256:
+        raise ValueError("2 to 256 classes: a path holds a byte a token")
     rows = docs.select("doc_id", "text", (crc_text(F.col("doc_id")) % folds == 0).alias("held_out"))
     train = rows.where(~F.col("held_out"))
     vocab = store(vocabulary(train), "vocabulary")
@@ -164,9 +255,8 @@ def score_documents(docs: DataFrame, folds: int = 10, classes: int = 48, head_wo
     end_count = vocab.where("word = ''").agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0]
     head = docs.sparkSession.createDataFrame([(w,) for w in known[:heads]], "word string")
     tail = vocab.where("word <> ''").join(F.broadcast(head), "word", "left_anti")
-    per = tail.groupBy(F.expr("right(word, 2)").alias("e")).agg(F.sum("c").alias("c"), F.count("*").alias("v"))
+    per = tail.groupBy(F.expr("right(word, 2)").alias("e")).agg(F.sum("c").alias("c"))
     common = per.orderBy(F.desc("c"), "e").limit(endings).collect()
-    rest = tail.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count("*").alias("v")).first()
     parts = (known, heads, [r.e for r in common])
     units = Units(*parts)
     pairs = unit_pairs(train, parts, units.count)
@@ -174,54 +264,81 @@ def score_documents(docs: DataFrame, folds: int = 10, classes: int = 48, head_wo
 
     hot = np.zeros((units.count, classes))
     hot[np.arange(units.count), of] = 1
-    n = hot.T @ pairs @ hot
     used = hot.sum(0) > 0
-    prior = np.where(used, n.sum(0) + 1, 0)
-    step = np.log10(np.where(used[None, :], (n + mu * prior[None, :] / prior.sum()) / (n.sum(1, keepdims=True) + mu), 1.0))
-    freq = pairs.sum(0)
-    emit = np.log10((freq + 0.1) / ((hot.T @ (freq + 0.1))[of]))
-    # a word's share of its unit: (c + 0.1) / (unit's tokens + 0.1 (unit's types + 1)); heads and end are their units
-    token, types = np.zeros(units.count), np.zeros(units.count)
-    for k, r in enumerate(common):
-        token[heads + k], types[heads + k] = r.c, r.v
-    token[units.other], types[units.other] = rest.c - token.sum(), rest.v - types.sum()
-    shared = np.zeros(units.count, dtype=bool)
-    shared[heads : units.end] = True
-    emit = np.where(shared, emit - np.log10(token + 0.1 * (types + 1)), emit)
+    own = chosen(contexts(train, parts, of, classes), hot.T @ pairs @ hot, used)
+    of_word = np.append(of[units.unit_of[:-1]], 0)  # known words, end, others (joined later)
+    for r in own.where("id >= 0").select("id", "class").collect():
+        of_word[r.id] = r["class"]
+    types = np.bincount(of[:heads], minlength=classes).astype(float)
+    for r in own.groupBy("class").count().collect():
+        types[r["class"]] += r["count"]
     log_c = np.append(np.log10(np.append(counts, end_count) + 0.1), 0.0)  # known words, end, others (looked up later)
     ended = end_count > 0
-    sent = docs.sparkSession.sparkContext.broadcast((parts, of, step, emit, log_c))
+    sent = docs.sparkSession.sparkContext.broadcast((parts, of, of_word.astype(np.uint8), log_c))
 
-    fields = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("cold", pa.list_(pa.string()))]
+    fields = [("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("path", pa.binary()), ("place", pa.list_(pa.int32())), ("cold", pa.list_(pa.string()))]
 
-    @F.arrow_udf("struct<n_tokens:long,n_known:long,base:double,model:double,cold:array<string>>")
+    @F.arrow_udf("struct<n_tokens:long,n_known:long,base:double,path:binary,place:array<int>,cold:array<string>>")
     def read(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        parts, of, step, emit, log_c = sent.value
+        parts, of, of_word, log_c = sent.value
         u = Units(*parts)
         for whole in batches:
             out: list[list] = [[] for _ in fields]
             for lo in range(0, len(whole), ROWS):
                 sizes, at, unit, cold, others = u.read(whole.slice(lo, ROWS).to_pylist())
                 ends = np.cumsum(sizes)
-                starts, cls = ends - sizes, of[unit]
-                known = log_c[at]
-                model = step[np.append(of[u.end], cls[:-1]), cls] + emit[unit] + np.where((unit >= u.heads) & (unit < u.end), known, 0)
-                cut = np.searchsorted(cold, ends)
+                starts, known = ends - sizes, log_c[at]
+                path = of_word[at]
+                path[cold] = of[unit[cold]]
+                path, cut = path.tobytes(), np.searchsorted(cold, ends)
+                cuts = list(zip([0, *cut[:-1].tolist()], cut.tolist()))
                 # the end token is known only if some training text has been read
                 n_known = np.add.reduceat((at >= 0).astype(np.int64), starts) - (0 if ended else 1)
-                of_text = [others[i:k] for i, k in zip([0, *cut[:-1].tolist()], cut.tolist())]
-                for column, values in zip(out, (sizes, n_known, np.add.reduceat(known, starts), np.add.reduceat(model, starts), of_text)):
-                    column.extend(values)
+                values = (sizes, n_known, np.add.reduceat(known, starts), [path[i:k] for i, k in zip(starts.tolist(), ends.tolist())])
+                places = [cold[i:k] - first for (i, k), first in zip(cuts, starts)]
+                for column, v in zip(out, (*values, places, [others[i:k] for i, k in cuts])):
+                    column.extend(v)
             yield pa.StructArray.from_arrays([pa.array(v, k) for v, (_, k) in zip(out, fields)], [n for n, _ in fields])
 
     read_rows = rows.select("doc_id", "held_out", read("text").alias("r")).select("doc_id", "held_out", "r.*")
-    read_rows = store(read_rows.withColumn("_row", F.monotonically_increasing_id()), "lm-rows")
-    cold = read_rows.select("_row", F.explode("cold").alias("word"))
-    cold = cold.join(vocab, "word", "left").groupBy("_row").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("log_c"), F.count("c").alias("more"))
-    got = read_rows.drop("cold").join(cold, "_row", "left")
-    extra = F.coalesce("log_c", F.lit(0.0))
+    read_rows = store(read_rows.withColumn("_row", F.monotonically_increasing_id()), "lm-rows", BATCH_ROWS)
+    cold = read_rows.select("_row", F.explode(F.arrays_zip("place", "cold")).alias("w")).select("_row", "w.place", F.col("w.cold").alias("word"))
+    cold = cold.join(own.where("id < 0").select("word", "c", "class"), "word", "left").groupBy("_row").agg(
+        F.sum(F.log10(F.coalesce("c", F.lit(0)) + 0.1)).alias("log_c"), F.count("c").alias("more"),
+        F.collect_list(F.when(F.col("class").isNotNull(), F.struct("place", "class"))).alias("found"),
+    )
+
+    @F.arrow_udf("binary")
+    def put(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for b in batches:
+            yield joined(b.field("path"), b.field("found"))
+
+    got = read_rows.drop("cold", "place").join(cold, "_row", "left")
+    got = store(got.withColumn("path", put(F.struct("path", "found"))).drop("found", "_row"), "lm-paths", BATCH_ROWS)
+    end = int(of[units.end])
+    n = class_pairs(got.where(~F.col("held_out")), end, classes)
+    prior = np.where(used, n.sum(0) + 1, 0)
+    step = np.log10(np.where(used[None, :], (n + mu * prior[None, :] / prior.sum()) / (n.sum(1, keepdims=True) + mu), 1.0))
+    # a word's share of its class: (c + 0.1) / (class's tokens + 0.1 (class's types + 1)); the end is its class
+    share = np.log10(n.sum(0) + 0.1 * (types + 1))
+    share[end] = log_c[-2]
+    weight = docs.sparkSession.sparkContext.broadcast(step - share[None, :])
+
+    @F.arrow_udf("double")
+    def steps(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        w = weight.value
+        for b in batches:
+            out: list[float] = []
+            for lo in range(0, len(b), ROWS):
+                paths = b.slice(lo, ROWS).to_pylist()
+                cls = np.frombuffer(b"".join(paths), dtype=np.uint8).astype(np.int64)
+                starts = np.cumsum([0, *map(len, paths)])[:-1]
+                out += np.add.reduceat(w[np.append(end, cls[:-1]), cls], starts).tolist()
+            yield pa.array(out, pa.float64())
+
+    total = F.col("base") + F.coalesce("log_c", F.lit(0.0))
     norm = float(np.log10(n_all + 0.1 * (v_all + 1)))
     return got.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(int(n_all)).cast("long").alias("train_tokens"),
-        (F.col("base") + extra - F.col("n_tokens") * norm).alias("base_score"), (F.col("model") + extra).alias("score"),
+        (total - F.col("n_tokens") * norm).alias("base_score"), (total + steps("path")).alias("score"),
     )
