@@ -84,3 +84,31 @@ def test_columns_with_clashing_names(spark, make, on_disk):
     assert sorted(got.columns) == sorted(["doc_id", "text", "lang", "source", "n_chars", "size", "shard", "slot", "text_crc32", *extra])
     kept = got.collect()
     assert kept and all(r[c] == (1 if c == "with space" else 7) for r in kept for c in extra)
+
+
+def test_fingerprints_come_first_and_links_are_those_of_the_shingles(make, monkeypatch):
+    """The stage goes through the fingerprint operator; equal fingerprints of different texts are no link, and links beyond 3 bits are found."""
+    rng = random.Random(5)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    refrain = fresh(9) * 40
+    texts = [" ".join(refrain + fresh(60)) for _ in range(4)]  # one sentence 40 times, 60 words of their own
+    for k in range(30):
+        words = fresh(100 + k)
+        texts += [" ".join(words), " ".join(words + fresh(1 + k % 15)), " ".join(words[: 60 + k])]
+    rows = list(enumerate(texts)) + [(500, texts[0]), (500, texts[0]), (None, texts[1]), (600, None), (601, "")]
+    assert len({simhash.fingerprint(t, 5) for t in texts[:4]}) == 1
+    calls = []
+    plain = simhash.near_duplicates
+    monkeypatch.setattr(simhash, "near_duplicates", lambda *a, **k: calls.append(k) or plain(*a, **k))
+    got = sorted(r.doc_id for r in simhash.first_of_group(make(rows)).collect())
+    assert len(calls) == 1
+    sets = [set(zip(*(t.split()[k:] for k in range(5)))) for t in texts]
+    root = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = root[i], root[j]
+                root = [min(a, b) if r in (a, b) else r for r in root]
+    assert got == sorted({*root, 600}) and set(root) >= {0, 1, 2, 3}
+    far = [(i, r) for i, r in enumerate(root) if i != r and (simhash.fingerprint(texts[i], 5) ^ simhash.fingerprint(texts[r], 5)).__and__(2**64 - 1).bit_count() > 3]
+    assert far

@@ -33,7 +33,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import batched, store
+from .common import batched, release, store, stored
 
 BLOCK = 16
 WIDE = 2 * BLOCK  # words of a passage
@@ -310,6 +310,7 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = 64, max_items: int
     items = [r for r, w in zip(items, words) if w]
     words = [w for w in words if w]
     answers = [tokens(r.answer) if named and r.answer else [] for r in items]
+    mark = stored()
     passages = store(_passages(docs), "lsi-passages", TEXT_ROWS)
     n, df = _frequencies(passages)
     for w in words:
@@ -321,6 +322,7 @@ def build(docs: DataFrame, benchmark: DataFrame, rank: int = 64, max_items: int
     basis = np.linalg.qr(np.random.default_rng(7).standard_normal((FEATURES, rank // 2)))[0]
     for _ in range(2):  # random range, then one power step
         basis = np.linalg.qr(_product(passages, idf, basis).astype(np.float64))[0]
+    release(docs.sparkSession, mark)
     # the items' own directions count most: what retrieval must not lose
     return [r.item_id for r in items], words, answers, idf, _with_items(basis, words, idf, rank).astype(np.float32)
 

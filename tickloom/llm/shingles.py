@@ -24,7 +24,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import components, store
+from .common import batched, components, release, store, stored
 
 WIDTH = 5
 BATCH_ROWS = 1024  # texts a Python function gets at a time: bounds what a task holds
@@ -66,7 +66,8 @@ def common_shingles(docs: DataFrame, texts: int = 8192, times: int = 4, most: in
     n, h = docs.count(), F.xxhash64("text")
     some = docs.select("text").where(F.pmod(h, F.lit(1 << 30)) < int((1 << 30) * min(1.0, texts / max(1, n)))).dropDuplicates(["text"])
     seen = some.select(F.explode(sets(F.col("text"))).alias("x")).groupBy("x").count().where(F.col("count") >= times)
-    return np.array(sorted(r.x for r in seen.orderBy(F.desc("count"), "x").limit(most).collect()), dtype=np.int64)
+    with batched(docs.sparkSession, BATCH_ROWS):
+        return np.array(sorted(r.x for r in seen.orderBy(F.desc("count"), "x").limit(most).collect()), dtype=np.int64)
 
 
 def prints(docs: DataFrame, last: np.ndarray, rows: int = 256) -> DataFrame:
@@ -121,8 +122,11 @@ def forest(ids: list[int], held: list[np.ndarray], left: np.ndarray) -> tuple[li
     return a, b
 
 
-def links(docs: DataFrame, nodes: DataFrame, hot: int = 64, tile: int = 256, sent_rows: int = 1_000_000) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of similar nodes; ``nodes`` is (node, h, n, low)."""
+def links(docs: DataFrame, nodes: DataFrame, hot: int = 64, tile: int = 256, sent_rows: int = 1_000_000, first: DataFrame | None = None) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs of similar nodes; ``nodes`` is (node, h, n, low).
+
+    ``first`` (node_a, node_b) are candidates of another method: verified like the others, before them."""
+    mark = stored()
     posts = nodes.where("n > 0").select("node", F.explode("low").alias("x"))
     # most prefix shingles are held by one node and link nothing: counted first (combined before the exchange), only the others are kept
     held = posts.groupBy("x").agg(F.count("*").cast("int").alias("m")).where("m > 1")
@@ -144,8 +148,10 @@ def links(docs: DataFrame, nodes: DataFrame, hot: int = 64, tile: int = 256, sen
     # shingles held by the same nodes are one cell
     cells = full.groupBy("m", "who").agg(F.min("x").alias("x")).select("x", F.ceil(F.col("m") / tile).cast("int").alias("t"))
     crowd = store(posts.where(f"m > {hot}").select("x", "node").join(cells, "x").select("x", "t", "node"), "crowds")
-    wanted = pairs.select(F.explode(F.array("node_a", "node_b")).alias("node")).unionAll(crowd.select("node")).distinct()
+    known = pairs if first is None else pairs.unionAll(first)
+    wanted = known.select(F.explode(F.array("node_a", "node_b")).alias("node")).unionAll(crowd.select("node")).distinct()
     wanted = store(nodes.select("node", "h").join(wanted, "node"), "wanted-texts")
+    release(docs.sparkSession, mark, mark + 3)  # prefixes have been read for the last time
     # 16 bytes a row: sent to the tasks while it is small, so that only the wanted texts are exchanged
     few = F.broadcast(wanted) if wanted.count() <= sent_rows else wanted
     texts = docs.select("text", F.xxhash64("text").alias("h")).join(few, "h").dropDuplicates(["h"])
@@ -159,6 +165,8 @@ def links(docs: DataFrame, nodes: DataFrame, hot: int = 64, tile: int = 256, sen
 
     # one candidate per node first; what these links connect already needs no further look, and whole sets are moved for few pairs
     plain = similar(pairs.groupBy("node_b").agg(F.min("node_a").alias("node_a")))
+    if first is not None:
+        plain = plain.unionAll(similar(first))
     root = components(plain)
     at = lambda k: root.select(F.col("node").alias(f"node_{k}"), F.col("root").alias(f"root_{k}"))
     apart = pairs.join(at("a"), "node_a", "left").join(at("b"), "node_b", "left")
@@ -177,11 +185,16 @@ def links(docs: DataFrame, nodes: DataFrame, hot: int = 64, tile: int = 256, sen
     return plain.unionAll(tiles.join(whole, "node").groupBy("x", "i", "j").applyInPandas(run, "a long, b long"))
 
 
-def grouped(docs: DataFrame, hot: int = 64, tile: int = 256) -> DataFrame:
-    """(doc_id, h, root) of every row; root names the component of similar texts."""
+def grouped(docs: DataFrame, hot: int = 64, tile: int = 256, first: DataFrame | None = None) -> DataFrame:
+    """(doc_id, h, root) of every row; root names the component of similar texts. ``first`` (h, group) names texts that may be similar."""
     rows = store(prints(docs, common_shingles(docs)), "shingle-prints", BATCH_ROWS)
     nodes = rows.groupBy("node").agg(F.min(F.struct("h", "n", "low")).alias("one")).select("node", "one.*")
     nodes = store(nodes, "shingle-nodes")
-    roots = store(components(links(docs, nodes, hot, tile)), "shingle-roots")
+    if first is not None:  # a group's texts against the smallest of them
+        of = rows.where("n > 0").select("h", "node").distinct().join(first, "h").select("group", "node").distinct()
+        least = of.groupBy("group").agg(F.min("node").alias("node_a"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
+        first = of.join(least, "group").where("node <> node_a").select("node_a", F.col("node").alias("node_b")).distinct()
+        first = store(first, "first-candidates")
+    roots = store(components(links(docs, nodes, hot, tile, first=first)), "shingle-roots")
     named = rows.select("doc_id", "h", "node").join(roots, "node", "left")
     return named.select("doc_id", "h", F.coalesce("root", "node").alias("root"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import shingles
-from .common import components, packed, store
+from .common import components, packed, release, store, stored
 
 LOW_HALF, TWO_BITS = 0xFFFFFFFF, 0x55555555
 
@@ -123,7 +123,7 @@ def links(fps: DataFrame, bits: int = 3, hot: int = 64, tile: int = 1024) -> Dat
 
 def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame:
     """(doc_id, h, fp, root, component_id) of every row; root is the component's smallest fingerprint."""
-    prints = store(fingerprints(docs, width), "fingerprints")
+    prints = store(fingerprints(docs, width), "fingerprints", shingles.BATCH_ROWS)
     distinct = store(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     roots = store(components(links(distinct.select("fp"), bits)), "roots")
     named = distinct.join(roots.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
@@ -131,13 +131,35 @@ def near_duplicates(docs: DataFrame, bits: int = 3, width: int = 3) -> DataFrame
     return prints.join(named.select("fp", "root").join(best, "root"), "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
-def first_of_group(docs: DataFrame) -> DataFrame:
-    """One row of each component of similar texts (see ``shingles``), all columns: the one with the smallest id (null last), then text hash."""
-    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best")
-    chosen = shingles.grouped(docs).groupBy("root").agg(best).select(F.col("best.doc_id").alias("_id"), F.col("best.h").alias("_h")).distinct()
+def copies(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, root) of every row; root names the component of texts with a five-word Jaccard similarity of 0.8 or more.
+
+    The components of ``near_duplicates`` on five-word fingerprints are the first candidates, verified on whole sets of shingles: texts
+    that repeat one sentence have equal fingerprints and little else in common. The exact join of ``shingles`` finds the links beyond 3 bits.
+    """
+    mark = stored()
+    near = near_duplicates(docs, width=shingles.WIDTH).groupBy("h").agg(F.min("root").alias("group"))
+    near = store(near, "fingerprint-groups")
+    release(docs.sparkSession, mark, stored() - 1)  # cells and links of the fingerprints have been read for the last time
+    return shingles.grouped(docs, first=near)
+
+
+def first_of_group(docs: DataFrame, sent_rows: int = 1_000_000) -> DataFrame:
+    """One row of each component of similar texts (see ``copies``), all columns: the one with the smallest id (null last), then text hash.
+
+    Of repeated rows of that id and text one stays; only such rows are exchanged to choose it.
+    """
+    mark = stored()
+    times = copies(docs).groupBy("doc_id", "h").agg(F.count("*").alias("times"), F.min("root").alias("root"))
+    chosen = times.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "times")).alias("best"))
+    chosen = store(chosen.select(F.col("best.doc_id").alias("_id"), F.col("best.h").alias("_h"), F.col("best.times").alias("_times")), "chosen")
+    release(docs.sparkSession, mark, stored() - 1)  # all else has been read for the last time
+    # 24 bytes a row: sent to the tasks while it is small
+    few = F.broadcast(chosen) if chosen.count() <= sent_rows else chosen
     rows = packed(docs, "doc_id", "text").select("doc_id", F.xxhash64("text").alias("_hash"), "row")
-    same = rows["doc_id"].eqNullSafe(chosen["_id"]) & (rows["_hash"] == chosen["_h"])
-    return rows.join(chosen, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).select("row.*")
+    rows = rows.join(few, rows["doc_id"].eqNullSafe(few["_id"]) & (rows["_hash"] == few["_h"]))
+    again = rows.where("_times > 1").dropDuplicates(["doc_id", "_hash"])
+    return rows.where("_times = 1").select("row.*").unionAll(again.select("row.*"))
 
 
 def hex64(fp: Column) -> Column:
