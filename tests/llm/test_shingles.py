@@ -1,7 +1,8 @@
 import random
 import re
+import time
 
-from tickloom.llm import shingles, simhash
+from tickloom.llm import common, shingles, simhash
 from tickloom.llm.common import WORD
 
 
@@ -70,3 +71,28 @@ def test_groups_equal_brute_force(make):
 def test_rewritten_copies_leave_the_corpus(make):
     rows = corpus()
     assert sorted(r.doc_id for r in simhash.first_of_group(make(rows)).collect()) == [g[0] for g in brute_groups(rows)[0]]
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+
+def test_stored_tables_leave_nothing_exchanged(spark, make):
+    """What the jobs of stored tables exchange goes with them; a table that is read again, and the session's setting, stay as they are."""
+    before, plain = shuffle_files(spark), spark.conf.get(common.CLEANUP)
+    many = spark.range(100_000).selectExpr("id % 5003 as k", "id").groupBy("k").count()
+    once, twice = common.store(many, "test"), common.store(many, "test")
+    time.sleep(2)  # files are deleted in the background
+    assert shuffle_files(spark) <= before
+    assert once.count() == twice.count() == many.count() == 5003
+    assert spark.conf.get(common.CLEANUP) == plain
+
+
+def test_prefixes_are_stored_once(spark, make):
+    """Of the tables that hold prefixes only the one by nodes stays while links are sought."""
+    rows = corpus()[:60]
+    mark = common.stored()
+    shingles.grouped(make(rows)).count()
+    held = [p for p in common._STORED[mark:] if {"low", "h"} <= set(spark.read.parquet(p).columns)]
+    assert len(held) == 1

@@ -187,9 +187,12 @@ def links(docs: DataFrame, nodes: DataFrame, hot: int = 64, tile: int = 256, sen
 
 def grouped(docs: DataFrame, hot: int = 64, tile: int = 256, first: DataFrame | None = None) -> DataFrame:
     """(doc_id, h, root) of every row; root names the component of similar texts. ``first`` (h, group) names texts that may be similar."""
-    rows = store(prints(docs, common_shingles(docs)), "shingle-prints", BATCH_ROWS)
-    nodes = rows.groupBy("node").agg(F.min(F.struct("h", "n", "low")).alias("one")).select("node", "one.*")
+    mark = stored()
+    whole = store(prints(docs, common_shingles(docs)), "shingle-prints", BATCH_ROWS)
+    rows = store(whole.select("doc_id", "h", "node", "n"), "shingle-rows")
+    nodes = whole.groupBy("node").agg(F.min(F.struct("h", "n", "low")).alias("one")).select("node", "one.*")
     nodes = store(nodes, "shingle-nodes")
+    release(docs.sparkSession, mark, mark + 1)  # prefixes are with the nodes from here on
     if first is not None:  # a group's texts against the smallest of them
         of = rows.where("n > 0").select("h", "node").distinct().join(first, "h").select("group", "node").distinct()
         least = of.groupBy("group").agg(F.min("node").alias("node_a"), F.count("*").alias("texts")).where("texts > 1").drop("texts")
