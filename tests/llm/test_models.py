@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 
 from tickloom.llm import brown_lm, decontaminate, quality, queries, toxicity
-from tickloom.llm.common import WORD
+from tickloom.llm.common import WORD, batched
 
 RNG = random.Random(3)
 VOCAB = [f"{a}{b}" for a in "ba ne lo ti su ra mi ko".split() for b in "ran den lum tis gor pel".split()]
@@ -135,6 +135,48 @@ def test_every_training_word_has_its_own_class(make):
     assert all(r.score < 0 for r in got)
 
 
+def test_contexts_are_added_up_before_they_are_exchanged(spark, make):
+    """A word is one row of a task, whatever classes it has around it; sums and classes are those of a plain count."""
+    rng = random.Random(8)
+    known, others = [f"k{i}" for i in range(12)], [f"Öx{i}" for i in range(30)]
+    rows = [(i, " ".join(rng.choice(known + others) for _ in range(rng.randint(0, 30)))) for i in range(200)] + [(300, None), (300, None), (None, "")]
+    parts, classes = (known, 4, ["x1"]), 5
+    u = brown_lm.Units(*parts)
+    of = np.array([0 if k == u.end else 1 + k % 4 for k in range(u.count)])
+    want = Counter()
+    for _, t in rows:
+        w = (t or "").split()
+        unit = [known.index(x) if x in known[:4] else u.of_ending(x) for x in w]
+        cls = [of[u.end], *of[unit], of[u.end]]
+        for i, x in enumerate(w):
+            if x not in known[:4]:
+                key = (known.index(x), "") if x in known else (-1, x)
+                want.update([(*key, cls[i]), (*key, classes + cls[i + 2])])
+    n = np.random.default_rng(3).integers(1, 50, (classes, classes)).astype(float)
+    docs, found = make(rows), []
+    for held in (1 << 21, 1):
+        seen = brown_lm.contexts(docs, parts, of, classes, held)
+        got = seen.collect()
+        sums = Counter()
+        for r in got:
+            for k, m in np.frombuffer(r.seen, dtype=brown_lm.SEEN).tolist():
+                sums[r.id, r.word, k] += m
+        assert sums == want
+        if held > 1:
+            assert len(got) <= docs.rdd.getNumPartitions() * len({k[:2] for k in want}) < len(want)
+        with batched(spark, 7):  # words go on in the next batch
+            best = brown_lm.chosen(seen, n, np.ones(classes, dtype=bool)).collect()
+        found.append(sorted((r.id, r.word, r.c, r["class"]) for r in best))
+    assert found[0] == found[1] and len(found[0]) == len({k[:2] for k in want})
+    left = np.log(n + 0.5) - np.log(n.sum(0) + 0.5 * classes)[None, :]
+    right = np.log(n.T + 0.5) - np.log(n.sum(1) + 0.5 * classes)[None, :]
+    gain = np.round(np.vstack([left, right]) * (1 << 16))[:, 1:]
+    for i, w, c, cls in found[0]:
+        counts = np.array([want[i, w, k] for k in range(2 * classes)])
+        assert (c, cls) == (counts[:classes].sum(), 1 + np.argmax(counts @ gain))
+    assert brown_lm.chosen(brown_lm.contexts(docs.where("false"), parts, of, classes), n, np.ones(classes, dtype=bool)).collect() == []
+
+
 def test_exchange_finds_the_classes():
     pairs = np.zeros((9, 9))
     for a in range(4):

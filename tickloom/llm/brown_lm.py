@@ -25,13 +25,15 @@ from itertools import repeat
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import batched, crc_text, store
+from .common import crc_text, store
 
 END = b""
 ROWS = 512  # texts read at a time: bounds what a task holds
 BATCH_ROWS = 2048  # rows a Python function gets at a time
+SEEN = np.dtype([("k", "<u2"), ("n", "<u4")])  # a context and how often a word has it
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -149,32 +151,55 @@ def unit_pairs(texts: DataFrame, parts: tuple, units: int) -> np.ndarray:
     return out.reshape(units, units)
 
 
-def contexts(texts: DataFrame, parts: tuple, of: np.ndarray, classes: int) -> DataFrame:
-    """(id among the known words or -1, word if it is none of them, k, n) of words that are no heads: n times after class k, or before class k - ``classes``."""
+def contexts(texts: DataFrame, parts: tuple, of: np.ndarray, classes: int, held: int = 1 << 21) -> DataFrame:
+    """(id among the known words or -1, word if it is none of them, seen) of words that are no heads, equal words next to each other in
+    their partition: ``seen`` packs pairs (k, n), n times after class k, or before class k - ``classes``.
+
+    A task adds up about ``held`` contexts at a time, so what is exchanged are a word's sums and not its occurrences.
+    """
     sent = texts.sparkSession.sparkContext.broadcast((parts, of))
+    span = 2 * classes
+
+    def added(keys: list[np.ndarray], others: list[str], first: int) -> pa.RecordBatch:
+        number, names = pd.factorize(np.array(others, dtype=object))
+        word, k = np.divmod(np.concatenate(keys), span)
+        other = word >= first
+        word[other] = first + number[word[other] - first]
+        key, n = np.unique(word * span + k, return_counts=True)
+        word, k = np.divmod(key, span)
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        seen = np.empty(len(key), dtype=SEEN)
+        seen["k"], seen["n"] = k, n
+        ends = (np.append(starts, len(key)) * SEEN.itemsize).astype(np.int32)
+        word = word[starts]
+        other = word >= first
+        name = np.full(len(word), "", dtype=object)
+        name[other] = names[word[other] - first]
+        seen = pa.Array.from_buffers(pa.binary(), len(word), [None, pa.py_buffer(ends), pa.py_buffer(seen.tobytes())])
+        return pa.RecordBatch.from_arrays([pa.array(np.where(other, -1, word), pa.int64()), pa.array(name, pa.string()), seen], ["id", "word", "seen"])
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, of = sent.value
         u = Units(*parts)
         first = len(u.at)
+        keys: list[np.ndarray] = []
+        names: list[str] = []
         for b in batches:
             for lo in range(0, len(b), ROWS):
-                _, word, unit, cold, others = u.read(b.text.iloc[lo : lo + ROWS])
-                number, names = pd.factorize(np.array(others, dtype=object))
-                word[cold] = first + number
+                _, word, unit, cold, others = u.read(b.column(0).slice(lo, ROWS).to_pylist())
+                word[cold] = first + len(names) + np.arange(len(cold))
+                names += others
                 tail = np.flatnonzero((unit >= u.heads) & (unit < u.end))  # never the last: an end token is
-                line = word[tail] * 2 * classes
-                key, n = np.unique(np.append(line + np.append(of[u.end], of[unit[:-1]])[tail], line + classes + of[unit[tail + 1]]), return_counts=True)
-                word, k = np.divmod(key, 2 * classes)
-                other = word >= first
-                name = np.full(len(key), "", dtype=object)
-                name[other] = names[word[other] - first]
-                if len(key):  # a frame without rows has no Arrow type
-                    yield pd.DataFrame({"id": np.where(other, -1, word), "word": name, "k": k, "n": n})
+                line = word[tail] * span
+                keys += [line + np.append(of[u.end], of[unit[:-1]])[tail], line + classes + of[unit[tail + 1]]]
+                if sum(map(len, keys)) >= held:
+                    yield added(keys, names, first)
+                    keys, names = [], []
+        if any(map(len, keys)):
+            yield added(keys, names, first)
 
-    with batched(texts.sparkSession, BATCH_ROWS):
-        found = texts.select("text").mapInPandas(count, "id long, word string, k long, n long")
-        return store(found.groupBy("id", "word", "k").agg(F.sum("n").alias("n")), "contexts", BATCH_ROWS)
+    found = texts.select("text").mapInArrow(count, "id long, word string, seen binary")
+    return found.repartition("id", "word").sortWithinPartitions(F.xxhash64("id", "word"), "id", "word")
 
 
 def chosen(seen: DataFrame, n: np.ndarray, used: np.ndarray) -> DataFrame:
@@ -187,21 +212,35 @@ def chosen(seen: DataFrame, n: np.ndarray, used: np.ndarray) -> DataFrame:
     open_ = used.copy()
     open_[0] = False  # the end's own
     places = np.flatnonzero(open_)
+    gain = gain[:, places]
+
+    def rows(ids: np.ndarray, words: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+        columns = [pa.array(ids, pa.int64()), words, pa.array(counts[:, :classes].sum(1), pa.int64()), pa.array(places[np.argmax(counts @ gain, axis=1)], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "word", "c", "class"])
 
-    @F.arrow_udf("long")
-    def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None  # a batch's last word may go on in the next batch
         for b in batches:
-            out = np.zeros(len(b), dtype=np.int64)
-            for lo in range(0, len(b), 4096):
-                part = b.slice(lo, 4096)
-                flat = part.flatten()
-                counts = np.zeros((len(part), 2 * classes))
-                counts[np.repeat(np.arange(len(part)), part.value_lengths().to_numpy(zero_copy_only=False)), flat.field(0).to_numpy()] = flat.field(1).to_numpy()
-                out[lo : lo + len(part)] = places[np.argmax(counts @ gain[:, places], axis=1)]
-            yield pa.array(out, pa.int64())
-
-    per = seen.groupBy("id", "word").agg(F.collect_list(F.struct("k", "n")).alias("seen"), F.sum(F.when(F.col("k") < classes, F.col("n"))).alias("c"))  # at most two numbers a class
-    return store(per.select("id", "word", "c", best("seen").alias("class")), "word-classes")
+            if not len(b):
+                continue
+            ids, words, seen = b.column(0).to_numpy(), b.column(1), b.column(2).to_pylist()
+            start = np.append(True, (ids[1:] != ids[:-1]) | pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False))
+            flat = np.frombuffer(b"".join(seen), dtype=SEEN)
+            row = np.repeat(np.cumsum(start) - 1, np.fromiter(map(len, seen), dtype=np.int64, count=len(seen)) // SEEN.itemsize)
+            at = np.flatnonzero(start)
+            ids, words = ids[at], words.take(pa.array(at))
+            counts = np.bincount(row * 2 * classes + flat["k"], flat["n"], len(at) * 2 * classes).reshape(len(at), -1)
+            if last and last[0][0] == ids[0] and last[1][0] == words[0]:
+                counts[0] += last[2][0]
+            elif last:
+                yield rows(*last)
+            if len(at) > 1:
+                yield rows(ids[:-1], words[:-1], counts[:-1])
+            last = ids[-1:], words.slice(len(at) - 1), counts[-1:].copy()
+        if last:
+            yield rows(*last)
+
+    return store(seen.mapInArrow(best, "id long, word string, c long, class long"), "word-classes", BATCH_ROWS)
 
 
 def joined(path: pa.Array, found: pa.Array) -> pa.Array:
