@@ -2,6 +2,8 @@ import random
 import re
 import time
 
+import numpy as np
+
 from tickloom.llm import common, shingles, simhash
 from tickloom.llm.common import WORD
 
@@ -96,3 +98,30 @@ def test_prefixes_are_stored_once(spark, make):
     shingles.grouped(make(rows)).count()
     held = [p for p in common._STORED[mark:] if {"low", "h"} <= set(spark.read.parquet(p).columns)]
     assert len(held) == 1
+
+
+def test_bits_differ_in_no_more_places_than_sets(spark):
+    rng = np.random.default_rng(4)
+    for size in (0, 1, 30, 400, 5000):
+        for changed in (0, 1, size // 20, size // 9, size):
+            a = np.unique(rng.integers(0, 1 << 62, size))
+            b = np.union1d(a[min(changed, len(a)) :], rng.integers(0, 1 << 62, changed))
+            bits = shingles.places([shingles.parities(a), shingles.parities(b)])
+            apart, common_ = int(np.bitwise_count(bits[0] ^ bits[1]).sum()), len(np.intersect1d(a, b))
+            assert apart <= len(a) + len(b) - 2 * common_
+            if common_ * 9 >= 4 * (len(a) + len(b)):
+                assert shingles.near(apart, len(a) + len(b))
+
+
+def test_few_whole_sets_are_read(spark, make):
+    """Texts that share a long passage, too little for a link, are ruled out by their bits: in pairs and in crowds."""
+    rng = random.Random(2)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, twin = prose(60), prose(200)
+    rows = [(i, f"{passage} {prose(60)}") for i in range(120)] + [(500, twin), (501, f"{twin} end")]
+    for hot in (64, 10**9):
+        mark = common.stored()
+        got = shingles.grouped(make(rows), hot=hot, tile=50).collect()
+        assert len({r.root for r in got}) == 121 and len({r.root for r in got if r.doc_id >= 500}) == 1
+        sets = [p for p in common._STORED[mark:] if "/llm-sets-" in p]
+        assert len(sets) == 1 and spark.read.parquet(sets[0]).count() == 2

@@ -4,10 +4,13 @@ A text is the set of its shingles' hashes. If two sets of n and m shingles reach
 all shingles puts a common one among the first ``n - ceil(s n) + 1`` of one and the first ``m - ceil(s m) + 1`` of the
 other. So only these prefixes are joined; the order puts shingles that many texts of a sample hold last, which makes
 prefixes rare and changes no result. Shingles missing from a prefix that ends first are missing from the other
-set, which rules out most candidates; the rest are compared on their whole sets.
+set, which rules out many candidates. A set also has ``BITS`` bits, each the parity of the shingles that fall on it: one shingle in one
+set only moves one bit, so the bits differ in no more places than the sets have such shingles, and candidates that differ in
+more than a pair at s can are dropped. The rest are compared on their whole sets.
 
 Equal sets are one node, so copies cost nothing. A prefix shingle of more than ``hot`` nodes is not joined pair by
-pair: its nodes are cut into tiles, and a tile returns a spanning forest of its links found on whole sets.
+pair: its nodes are cut into tiles, nodes without a partner by their bits leave their tile, and a tile returns a spanning forest of
+its links found on whole sets.
 
 A text of fewer words than ``WIDTH`` is one shingle; texts without words, null ones too, have the same empty set and are one group.
 Repeated rows share their text's node. Texts are read whole, however long; columns beyond ``doc_id`` and ``text`` are not read. An empty table has
@@ -28,6 +31,7 @@ from .common import batched, components, release, store, stored
 
 WIDTH = 5
 BATCH_ROWS = 1024  # texts a Python function gets at a time: bounds what a task holds
+BITS = 1024
 #: The least similarity is PART / OF.
 PART, OF = 4, 5
 
@@ -51,6 +55,29 @@ def close(common: Column, sizes: Column) -> Column:
     return common * (PART + OF) >= sizes * PART
 
 
+def parities(x: np.ndarray) -> bytes:
+    """For each of ``BITS`` places whether an odd number of the shingles fall on it."""
+    return np.packbits(np.bincount(x % BITS, minlength=BITS) & 1, bitorder="little").astype(np.uint8).tobytes()
+
+
+def places(bits: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(bits), dtype=np.uint64).reshape(len(bits), BITS // 64)
+
+
+def near(differing, sizes):
+    """Whether sets of so many shingles added up can be similar enough if so many of their bits differ; arrays or columns."""
+    return differing * (PART + OF) <= sizes * (OF - PART)
+
+
+def differing(a: Column, b: Column) -> Column:
+    @F.arrow_udf("int")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for a, b in batches:
+            yield pa.array(np.bitwise_count(places(a.to_pylist()) ^ places(b.to_pylist())).sum(1), pa.int32())
+
+    return run(a, b)
+
+
 def sets(text: Column, rows: int = 256) -> Column:
     @F.arrow_udf("array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -71,9 +98,9 @@ def common_shingles(docs: DataFrame, texts: int = 8192, times: int = 4, most: in
 
 
 def prints(docs: DataFrame, last: np.ndarray, rows: int = 256) -> DataFrame:
-    """(doc_id, h hash of the text, node, n shingles, low prefix in the order): cold shingles are negative, common ones not."""
+    """(doc_id, h hash of the text, node, n shingles, bits, low prefix in the order): cold shingles are negative, common ones not."""
     sent = docs.sparkSession.sparkContext.broadcast(last)
-    kind = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("low", pa.list_(pa.int64()))])
+    kind = pa.struct([("node", pa.int64()), ("n", pa.int64()), ("bits", pa.binary()), ("low", pa.list_(pa.int64()))])
 
     def row(text: str | None, late: np.ndarray) -> dict:
         x = shingles(text)
@@ -81,9 +108,9 @@ def prints(docs: DataFrame, last: np.ndarray, rows: int = 256) -> DataFrame:
         at = np.searchsorted(late, x)
         held = late[np.minimum(at, len(late) - 1)] == x if len(late) else np.zeros(len(x), dtype=bool)
         size = len(x) - -(-PART * len(x) // OF) + 1 if len(x) else 0
-        return {"node": node, "n": len(x), "low": np.sort(np.where(held, x, x + np.iinfo(np.int64).min))[:size]}
+        return {"node": node, "n": len(x), "bits": parities(x), "low": np.sort(np.where(held, x, x + np.iinfo(np.int64).min))[:size]}
 
-    @F.arrow_udf("struct<node:long,n:long,low:array<long>>")
+    @F.arrow_udf("struct<node:long,n:long,bits:binary,low:array<long>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
             yield pa.concat_arrays([pa.array([row(t, sent.value) for t in b.slice(lo, rows).to_pylist()], kind) for lo in range(0, len(b), rows)] or [pa.array([], kind)])
@@ -123,7 +150,7 @@ def forest(ids: list[int], held: list[np.ndarray], left: np.ndarray) -> tuple[li
 
 
 def links(docs: DataFrame, nodes: DataFrame, hot: int = 64, tile: int = 256, sent_rows: int = 1_000_000, first: DataFrame | None = None) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs of similar nodes; ``nodes`` is (node, h, n, low).
+    """Links (a, b) whose components are those of all pairs of similar nodes; ``nodes`` is (node, h, n, bits, low).
 
     ``first`` (node_a, node_b) are candidates of another method: verified like the others, before them."""
     mark = stored()
@@ -133,7 +160,7 @@ def links(docs: DataFrame, nodes: DataFrame, hot: int = 64, tile: int = 256, sen
     posts = store(posts.join(held, "x"), "shared-prefixes")
     full = posts.where(f"m > {hot}").groupBy("x", "m").agg(F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("who"))
     full = store(full, "hot-shingles")
-    cold = posts.where(f"m <= {hot}").join(nodes.select("node", "n", F.element_at("low", -1).alias("top")), "node")
+    cold = posts.where(f"m <= {hot}").join(nodes.where("n > 0").select("node", "n", F.element_at("low", -1).alias("top")), "node")
     cold = store(cold.select("x", "node", "n", "top"), "cold-prefixes")
     a = cold.select("x", *[F.col(c).alias(f"{c}_a") for c in ("node", "n", "top")])
     b = cold.select("x", *[F.col(c).alias(f"{c}_b") for c in ("node", "n", "top")])
@@ -143,13 +170,39 @@ def links(docs: DataFrame, nodes: DataFrame, hot: int = 64, tile: int = 256, sen
     # of the prefix that ends first, what is not common is in no place of the other set; n - length of the prefix is ceil(s n) - 1
     rest = lambda n: F.ceil(n * PART / OF) - 1
     n = F.when(F.col("top_a") <= F.col("top_b"), rest(F.col("n_a"))).otherwise(rest(F.col("n_b")))
-    pairs = store(pairs.where(close(n + F.col("both"), F.col("n_a") + F.col("n_b"))).select("node_a", "node_b"), "candidates")
+    pairs = pairs.where(close(n + F.col("both"), F.col("n_a") + F.col("n_b"))).select("node_a", "node_b")
+
+    def possible(some: DataFrame) -> DataFrame:
+        bits = lambda k: nodes.select(F.col("node").alias(f"node_{k}"), F.col("n").alias(f"n_{k}"), F.col("bits").alias(f"bits_{k}"))
+        both = some.join(bits("a"), "node_a").join(bits("b"), "node_b").where(near(differing(F.col("bits_a"), F.col("bits_b")), F.col("n_a") + F.col("n_b")))
+        return store(both.select("node_a", "node_b"), "candidates", BATCH_ROWS)
+
+    pairs = possible(pairs)
+    first = None if first is None else possible(first)
 
     # shingles held by the same nodes are one cell
     cells = full.groupBy("m", "who").agg(F.min("x").alias("x")).select("x", F.ceil(F.col("m") / tile).cast("int").alias("t"))
-    crowd = store(posts.where(f"m > {hot}").select("x", "node").join(cells, "x").select("x", "t", "node"), "crowds")
+    crowd = posts.where(f"m > {hot}").select("x", "node").join(cells, "x")
+    part = F.pmod(F.xxhash64("node"), F.col("t")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("t") - 1))
+    tiles = crowd.select("x", "t", "node", part.alias("p")).select("x", "node", "p", other.alias("k"))
+    tiles = tiles.select("x", "node", F.least("p", "k").alias("i"), F.greatest("p", "k").alias("j"), (F.col("p") <= F.col("k")).alias("left"))
+
+    def partnered(g: pd.DataFrame) -> pd.DataFrame:
+        left, n, bits = g.left.to_numpy(dtype=bool), g.n.to_numpy(), places(g.bits.tolist())
+        seen = np.zeros(len(g), dtype=bool)
+        other = np.flatnonzero(~left) if not left.all() else np.arange(len(g))
+        for k in np.flatnonzero(left).tolist():
+            found = other[near(np.bitwise_count(bits[other] ^ bits[k]).sum(1, dtype=np.int64), n[other] + n[k])]
+            found = found[found != k]
+            seen[found] = True
+            seen[k] |= len(found) > 0
+        return g.loc[seen, ["x", "node", "i", "j", "left"]]
+
+    tiles = tiles.join(nodes.select("node", "n", "bits"), "node").groupBy("x", "i", "j").applyInPandas(partnered, "x long, node long, i int, j int, left boolean")
+    tiles = store(tiles, "crowds")
     known = pairs if first is None else pairs.unionAll(first)
-    wanted = known.select(F.explode(F.array("node_a", "node_b")).alias("node")).unionAll(crowd.select("node")).distinct()
+    wanted = known.select(F.explode(F.array("node_a", "node_b")).alias("node")).unionAll(tiles.select("node")).distinct()
     wanted = store(nodes.select("node", "h").join(wanted, "node"), "wanted-texts")
     release(docs.sparkSession, mark, mark + 3)  # prefixes have been read for the last time
     # 16 bytes a row: sent to the tasks while it is small, so that only the wanted texts are exchanged
@@ -164,20 +217,14 @@ def links(docs: DataFrame, nodes: DataFrame, hot: int = 64, tile: int = 256, sen
         return store(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "links")
 
     # one candidate per node first; what these links connect already needs no further look, and whole sets are moved for few pairs
-    plain = similar(pairs.groupBy("node_b").agg(F.min("node_a").alias("node_a")))
-    if first is not None:
-        plain = plain.unionAll(similar(first))
+    some = pairs.groupBy("node_b").agg(F.min("node_a").alias("node_a")).select("node_a", "node_b")
+    plain = similar(some if first is None else some.unionAll(first).distinct())
     root = components(plain)
     at = lambda k: root.select(F.col("node").alias(f"node_{k}"), F.col("root").alias(f"root_{k}"))
     apart = pairs.join(at("a"), "node_a", "left").join(at("b"), "node_b", "left")
     apart = apart.where(F.coalesce("root_a", "node_a") != F.coalesce("root_b", "node_b")).select("node_a", "node_b")
     plain = plain.unionAll(similar(apart))
 
-    part = F.pmod(F.xxhash64("node"), F.col("t")).cast("int")
-    crowd = crowd.select("x", "t", "node", part.alias("p"))
-    other = F.explode(F.sequence(F.lit(0), F.col("t") - 1))
-    tiles = crowd.select("x", "node", "p", other.alias("k")).select("x", "node", F.least("p", "k").alias("i"), F.greatest("p", "k").alias("j"), (F.col("p") <= F.col("k")).alias("left"))
-
     def run(g: pd.DataFrame) -> pd.DataFrame:
         a, b = forest(g.node.tolist(), [np.asarray(x, dtype=np.int64) for x in g["set"]], g.left.to_numpy(dtype=bool))
         return pd.DataFrame({"a": a, "b": b}, dtype="int64")
@@ -190,7 +237,7 @@ def grouped(docs: DataFrame, hot: int = 64, tile: int = 256, first: DataFrame |
     mark = stored()
     whole = store(prints(docs, common_shingles(docs)), "shingle-prints", BATCH_ROWS)
     rows = store(whole.select("doc_id", "h", "node", "n"), "shingle-rows")
-    nodes = whole.groupBy("node").agg(F.min(F.struct("h", "n", "low")).alias("one")).select("node", "one.*")
+    nodes = whole.groupBy("node").agg(F.min(F.struct("h", "n", "bits", "low")).alias("one")).select("node", "one.*")
     nodes = store(nodes, "shingle-nodes")
     release(docs.sparkSession, mark, mark + 1)  # prefixes are with the nodes from here on
     if first is not None:  # a group's texts against the smallest of them
