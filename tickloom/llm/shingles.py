@@ -209,9 +209,11 @@ def links(docs: DataFrame, nodes: DataFrame, hot: int = 64, tile: int = 256, sen
     few = F.broadcast(wanted) if wanted.count() <= sent_rows else wanted
     texts = docs.select("text", F.xxhash64("text").alias("h")).join(few, "h").dropDuplicates(["h"])
     whole = store(texts.select("node", sets(F.col("text")).alias("set")), "sets", BATCH_ROWS)
-    of = lambda k: whole.select(F.col("node").alias(f"node_{k}"), F.col("set").alias(f"set_{k}"))
 
     def similar(some: DataFrame) -> DataFrame:
+        ids = some.select(F.explode(F.array("node_a", "node_b")).alias("node")).distinct()
+        own = whole.join(F.broadcast(ids) if ids.count() <= sent_rows else ids, "node", "left_semi")  # other sets are not exchanged
+        of = lambda k: own.select(F.col("node").alias(f"node_{k}"), F.col("set").alias(f"set_{k}"))
         both = some.join(of("a"), "node_a").join(of("b"), "node_b")
         both = both.where(close(F.size(F.array_intersect("set_a", "set_b")), F.size("set_a") + F.size("set_b")))
         return store(both.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")), "links")
