@@ -125,3 +125,33 @@ def test_few_whole_sets_are_read(spark, make):
         assert len({r.root for r in got}) == 121 and len({r.root for r in got if r.doc_id >= 500}) == 1
         sets = [p for p in common._STORED[mark:] if "/llm-sets-" in p]
         assert len(sets) == 1 and spark.read.parquet(sets[0]).count() == 2
+
+
+def test_bits_rule_out_long_texts(spark, make):
+    """Long texts with too much of their own are ruled out by their bits; bits of different widths are compared at the narrower one."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passage, twin = prose(3600), prose(5000)
+    rows = [(1, f"{passage} {prose(2400)}"), (2, f"{passage} {prose(2400)}"), (3, twin), (4, f"{twin} {prose(900)}")]
+    mark = common.stored()
+    got = {r.doc_id: r.root for r in shingles.grouped(make(rows)).collect()}
+    assert got[1] != got[2] and got[3] == got[4] and len(set(got.values())) == 3
+    sets = [p for p in common._STORED[mark:] if "/llm-sets-" in p]
+    assert len(sets) == 1 and spark.read.parquet(sets[0]).count() == 2
+    x = np.unique(np.random.default_rng(6).integers(0, 1 << 62, 1100))
+    wide, narrow = shingles.parities(x), shingles.parities(x[:1000])
+    assert (len(wide), len(narrow)) == (256, 128)
+    assert shingles.apart([wide, narrow], [narrow, narrow]).tolist() == [int(np.count_nonzero(np.bincount(x[1000:] % 1024, minlength=1024) & 1)), 0]
+
+
+def test_connected_crowds_are_not_compared_again(spark, make):
+    """Near copies of one text, all within reach of each other, leave no tile; one outside them is compared with all of them and linked."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(100)]
+    texts = [" ".join([*base[:k], f"new{k}", *base[k + 1 :]]) for k in range(0, 96)]
+    mark = common.stored()
+    assert len({r.root for r in shingles.grouped(make(list(enumerate(texts))), hot=8, tile=16).collect()}) == 1
+    tiles = [p for p in common._STORED[mark:] if {"i", "j"} <= set(spark.read.parquet(p).columns)]
+    assert len(tiles) == 1 and spark.read.parquet(tiles[0]).count() == 0
+    found = shingles.partners(np.array([100, 120, 100, 100]), [shingles.parities(np.arange(n)) for n in (100, 120, 100, 100)], np.array([True, False, False, False]), np.array([1, 2, 1, 3]))
+    assert found.tolist() == [True, True, False, True]
