@@ -6,7 +6,7 @@ from collections import Counter
 
 import numpy as np
 
-from tickloom.llm import brown_lm, decontaminate, quality, queries, toxicity
+from tickloom.llm import brown_lm, common, decontaminate, quality, queries, toxicity
 from tickloom.llm.common import WORD, batched
 
 RNG = random.Random(3)
@@ -71,6 +71,21 @@ def test_toxicity_is_learned_and_neutral_mentions_are_spared(spark, make):
     assert toxicity.train(docs, table.where("false")).scores(["x"])[0] < 0.01
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, make):
+    """Words of three labelled rows each, among more rows than a sample would hold, all count; tasks and driver fit the same model."""
+    ids = [i for i in range(13_000) if zlib.crc32(str(i).encode()) % 5][:10_000]
+    rare = [f"rare{chr(97 + k)}{chr(97 + 7 * k % 26)}" for k in range(20)]
+    text = {i: f"plain {VOCAB[k % len(VOCAB)]}" for k, i in enumerate(ids)}
+    bad = {i: rare[k // 50] if k % 50 < 3 else "" for k, i in enumerate(ids[::10])}
+    rows = [(i, f"{t} {bad.get(i, '')} {'woman' if i % 7 == 0 else ''}") for i, t in text.items()]
+    docs, table = make(rows), spark.createDataFrame([(i, int(i in bad)) for i in ids], "doc_id long, toxic int")
+    mark = len(common._STORED)
+    model, tasks = (toxicity.train(docs, table, steps=8, here=n) for n in (10**9, 0))
+    assert all(model.weights.get(w, 0) > 0 for w in rare)
+    assert model.weights.keys() == tasks.weights.keys() and all(abs(model.weights[f] - tasks.weights[f]) < 1e-6 for f in model.weights) and abs(model.intercept - tasks.intercept) < 1e-6
+    assert len(common._STORED) == mark
+
+
 def test_decontamination(spark, make):
     prose = lambda n: " ".join(RNG.choice(VOCAB) + RNG.choice(VOCAB) for _ in range(n))
     items = [(k, prose(RNG.randint(15, 60))) for k in range(40)] + [(98, None), (99, "")]

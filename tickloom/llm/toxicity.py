@@ -6,8 +6,8 @@ the two classes; a logistic regression is fitted to them. In each labelled text
 people are swapped for another group's; the penalty is the squared change of the score, so that the
 model gives such terms no weight of their own and neutral mentions stay below the threshold.
 
-The fit uses at most ``sample_rows`` labelled rows, drawn by a hash of the id (all of them where there are
-fewer), rows of a fold kept out; the driver runs it on the feature numbers of that bounded sample. Scoring
+The fit uses every labelled row outside the fold that is kept out. Its texts become packed feature numbers, stored once; each step adds up their
+slopes in tasks, or on the driver while the numbers are few (``here``), and the driver moves the weights, of which there are at most ``features``. Scoring
 covers every row and its whole text, row by row. With labels of one class only, every score is next to that
 class; without labels it is next to 0. Null and empty texts have no features and get the intercept's score. Rows of documents with equal
 ids are scored one by one; repeated labels of an id count once (the largest). An empty table gives no rows. Columns beyond ``doc_id``,
@@ -18,15 +18,16 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_text, drawn, store
+from .common import batched, crc_text, release, store, stored
 
 #: Terms that name groups of people, by kind: fixed values. A term is swapped for another of its kind.
 IDENTITY = {
@@ -38,6 +39,7 @@ IDENTITY = {
 }
 SWAP = {t: (g, i) for g, ts in IDENTITY.items() for i, t in enumerate(ts)}
 ROWS = 512  # texts decoded at a time: bounds what a task holds
+TEXT_ROWS, PACKED_ROWS, COUNTED = 1024, 16, 100_000  # texts, packed rows a Python function gets at a time, features it counts before it sends them on
 TERM = re.compile(r"\w[\w'’-]*")
 
 
@@ -51,9 +53,10 @@ def swapped(text: str) -> str:
     return TERM.sub(other, text)
 
 
-def word_features(word: str) -> list[str]:
+@lru_cache(maxsize=50_000)
+def word_features(word: str) -> tuple[str, ...]:
     w = word.strip(".,;:!?\"'()[]{}*_-#$%&|<>")
-    return [w, *(f"{w[:k]}~" for k in (4, 5, 6, 7) if len(w) >= k)] if w else []
+    return (w, *(f"{w[:k]}~" for k in (4, 5, 6, 7) if len(w) >= k)) if w else ()
 
 
 def text_features(text: str) -> set[str]:
@@ -88,74 +91,131 @@ class Model:
         return out
 
 
-def fit(y: np.ndarray, texts: list[list[int]], twins: list[tuple[list[int], list[int]]], features: list[str], penalty: float = 5.0, l2: float = 1e-4, steps: int = 200) -> Model:
-    """Logistic loss + l2 |w|^2 / 2 + penalty * mean squared change of the logit from a text to its twin, by Adam."""
-    n, k, pos = len(y), len(features), float(y.sum())
-    sparse = lambda sets: (np.repeat(np.arange(len(sets)), [len(c) for c in sets]), np.array([i for c in sets for i in c], dtype=int))
-    rows, cols = sparse(texts)
-    (r1, c1), (r2, c2) = sparse([a for a, _ in twins]), sparse([b for _, b in twins])
-    d_rows, d_cols, d_sign = np.concatenate([r1, r2]), np.concatenate([c1, c2]), np.concatenate([np.ones(len(r1)), -np.ones(len(r2))])
+PACKED = pa.schema([("y", pa.binary()), ("size", pa.binary()), ("own", pa.binary()), ("moved", pa.binary()), ("at", pa.binary()), ("sign", pa.binary())])
+
+
+def pack(y: list[int], own: list[list[int]], twins: list[tuple[list[int], list[int]]]) -> dict[str, list[bytes]]:
+    """Texts as one row of arrays: classes, numbers of features, features; of texts with a twin the numbers of features lost or gained, these, 1 or -1."""
+    lost, gained = [sorted({*a} - {*b}) for a, b in twins], [sorted({*b} - {*a}) for a, b in twins]
+    moved = [[(f, 1) for f in x] + [(f, -1) for f in z] for x, z in zip(lost, gained)]
+    parts = (y, [*map(len, own)], [f for x in own for f in x], [*map(len, moved)], [f for x in moved for f, _ in x], [d for x in moved for _, d in x])
+    return {n: [np.array(x, dtype="<i4").tobytes()] for n, x in zip(PACKED.names, parts)}
+
+
+def slopes(rows: Iterable[dict[str, bytes]], w: np.ndarray, b: float) -> np.ndarray:
+    """Sums over packed texts: slopes of the loss by weight, by intercept, then half the slopes of the squared changes of the logit from texts to twins by weight."""
+    k = len(w)
+    out = np.zeros(2 * k + 1)
+    for r in rows:
+        y, size, own, moved, at, sign = (np.frombuffer(r[c], dtype="<i4") for c in PACKED.names)
+        row = np.repeat(np.arange(len(y)), size)
+        off = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[own], len(y)), -30, 30))) - y
+        out[:k] += np.bincount(own, off[row], k)
+        out[k] += off.sum()
+        row = np.repeat(np.arange(len(moved)), moved)
+        change = np.bincount(row, sign * w[at], len(moved))
+        out[k + 1 :] += np.bincount(at, sign * change[row], k)
+    return out
+
+
+def fit(added: Callable[[np.ndarray, float], np.ndarray], n: int, pos: int, twins: int, features: list[str], penalty: float = 5.0, l2: float = 1e-4, steps: int = 200) -> Model:
+    """Logistic loss + l2 |w|^2 / 2 + penalty * mean squared change of the logit from a text to its twin, by Adam; ``added`` gives the ``slopes`` of all texts."""
+    k = len(features)
     w, b = np.zeros(k), float(np.log(pos / (n - pos)))
     m, v = np.zeros(k + 1), np.zeros(k + 1)
     for step in range(1, steps + 1):
-        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(rows, w[cols], n), -30, 30)))
-        g = np.append(np.bincount(cols, (p - y)[rows], k) / n + l2 * w, (p - y).mean())
-        if twins:
-            change = np.bincount(d_rows, d_sign * w[d_cols], len(twins))
-            g[:-1] += 2 * penalty / len(twins) * np.bincount(d_cols, d_sign * change[d_rows], k)
+        s = added(w, b)
+        g = s[: k + 1] / n
+        g[:-1] += l2 * w + 2 * penalty / max(1, twins) * s[k + 1 :]
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return Model(float(b), {f: float(w[i]) for i, f in enumerate(features) if abs(w[i]) > 1e-3})
 
 
-def train(docs: DataFrame, labels: DataFrame, fold: int = 5, sample_rows: int = 8192, features: int = 8192, **options) -> Model:
-    """The model of at most ``sample_rows`` labelled rows outside fold 0 (by crc32 of the id).
+def spread(rows: DataFrame, w: np.ndarray, b: float) -> np.ndarray:
+    """The ``slopes`` of packed texts added up by tasks: one vector each goes to the driver."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = slopes((r for x in batches for r in x.to_pylist()), w, b)
+        yield pa.RecordBatch.from_pydict({"v": pa.array([total.tobytes()], pa.binary())})
+
+    with batched(rows.sparkSession, PACKED_ROWS):
+        got = rows.mapInArrow(part, "v binary").collect()
+    return np.sum([np.frombuffer(r.v) for r in got], axis=0) if got else np.zeros(2 * len(w) + 1)
 
-    Features are counted and chosen by Spark; the driver gets at most ``features`` of them and their numbers
-    in each row of the sample, no texts.
+
+def train(docs: DataFrame, labels: DataFrame, fold: int = 5, features: int = 8192, here: int = 2_000_000, sent_rows: int = 1_000_000, **options) -> Model:
+    """The model of all labelled rows outside fold 0 (by crc32 of the id).
+
+    Features are counted and chosen by Spark; the driver gets at most ``features`` of them, no texts, and the numbers
+    in the rows only if they are ``here`` at most, else sums of them by task. What is stored on the way is deleted.
     """
+    mark = stored()
+    try:
+        return _trained(docs, labels, fold, features, here, sent_rows, options)
+    finally:
+        release(docs.sparkSession, mark)
+
+
+def _trained(docs: DataFrame, labels: DataFrame, fold: int, features: int, here: int, sent_rows: int, options: dict) -> Model:
     outside = crc_text(F.col("doc_id")) % fold != 0
-    known = labels.where(F.col("toxic").isNotNull() & outside).groupBy("doc_id").agg(F.max("toxic").alias("_toxic"))
-    ids = store(drawn(known, ["doc_id"], 11, sample_rows), "toxic-ids")
-    rows = drawn(docs.select("doc_id", "text").where(outside).join(F.broadcast(ids), "doc_id"), ["doc_id", "text"], 11, sample_rows)
-    rows = rows.select("doc_id", "text", (F.col("_toxic") > 0).cast("int").alias("y")).repartition(16, "doc_id", "text")
-    sample = store(rows, "toxic-sample")
-    n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    known = labels.where(F.col("toxic").isNotNull() & outside).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("y"))
+    ids = store(known, "toxic-ids")
+    # 12 bytes a row: sent to the tasks while it is small
+    few = F.broadcast(ids) if ids.count() <= sent_rows else ids
+    rows = docs.select("doc_id", "text").where(outside).join(few, "doc_id")
+    texts = store(rows.repartition("doc_id", "text").sortWithinPartitions("doc_id", "text"), "toxic-texts").select("text", "y")
+    n, pos = texts.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < pos < n:
         return Model(30.0 if pos else -30.0)
     neg = n - pos
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+        hit: Counter = Counter()
+
+        def sums() -> pd.DataFrame:
+            return pd.DataFrame({"f": list(seen), "n": list(seen.values()), "hit": [hit[f] for f in seen]})
+
         for b in batches:
-            seen: Counter = Counter()
-            hit: Counter = Counter()
             for t, y in zip(b.text, b.y):
                 fs = text_features(t)
                 seen.update(fs)
                 if y:
                     hit.update(fs)
-            if seen:  # texts without a word give no frame: one without rows has no Arrow type
-                yield pd.DataFrame({"f": list(seen), "n": list(seen.values()), "hit": [hit[f] for f in seen]})
-
-    per = sample.mapInPandas(count, "f string, n long, hit long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).where("n >= 3")
+                if len(seen) > COUNTED:
+                    yield sums()
+                    seen.clear()
+                    hit.clear()
+        if seen:  # texts without a word give no frame: one without rows has no Arrow type
+            yield sums()
+
+    per = texts.mapInPandas(count, "f string, n long, hit long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).where("n >= 3")
     share = F.col("n") / n
     z = F.abs(F.col("hit") / pos - (F.col("n") - F.col("hit")) / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
-    best = per.where(z > 3).select("f", z.alias("z")).orderBy(F.desc("z"), "f").limit(features).collect()
-    chosen = [r.f for r in best]
+    best = store(per.where(z > 3).select("f", z.alias("z")).orderBy(F.desc("z"), "f").limit(features), "toxic-features", TEXT_ROWS).collect()
+    chosen = [r.f for r in sorted(best, key=lambda r: (-r.z, r.f))]
     chosen += [t for t in sorted(SWAP) if t not in set(chosen)]
     sent = docs.sparkSession.sparkContext.broadcast({f: i for i, f in enumerate(chosen)})
 
-    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = sent.value
         ids = lambda t: sorted(at[f] for f in text_features(t) if f in at)
         for b in batches:
-            named = [any(m.lower() in SWAP for m in TERM.findall(t or "")) for t in b.text]
-            yield pd.DataFrame({"doc_id": b.doc_id, "y": b.y, "own": [ids(t) for t in b.text], "twin": [ids(swapped(t)) if x else None for t, x in zip(b.text, named)]})
-
-    got = [(r.doc_id, r.y, r.own, r.twin) for r in sample.mapInPandas(number, "doc_id long, y int, own array<int>, twin array<int>").collect()]
-    got.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
-    return fit(np.array([r[1] for r in got], dtype=float), [r[2] for r in got], [(r[2], r[3]) for r in got if r[3] is not None], chosen, **options)
+            for lo in range(0, b.num_rows, ROWS):
+                text, y = (c.to_pylist() for c in b.slice(lo, ROWS).columns)
+                own = [ids(t) for t in text]
+                twins = [(x, ids(swapped(t))) for t, x in zip(text, own) if any(m.lower() in SWAP for m in TERM.findall(t or ""))]
+                yield pa.RecordBatch.from_pydict({"numbers": [sum(map(len, own))], "twins": [len(twins)], **pack(y, own, twins)}, schema=pa.schema([("numbers", pa.int64()), ("twins", pa.int64()), *PACKED]))
+
+    packed = store(texts.mapInArrow(number, "numbers long, twins long, " + ", ".join(f"{c} binary" for c in PACKED.names)), "toxic-numbers", TEXT_ROWS)
+    numbers, twins = packed.agg(F.sum("numbers"), F.sum("twins")).first()
+    packed = packed.select(*PACKED.names)
+    if numbers > here:
+        return fit(lambda w, b: spread(packed, w, b), n, pos, twins, chosen, **options)
+    held = [r.asDict() for r in packed.collect()]
+    return fit(lambda w, b: slopes(held, w, b), n, pos, twins, chosen, **options)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], column: str = "score") -> DataFrame:
