@@ -18,12 +18,10 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Container, Iterable, Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -39,7 +37,8 @@ IDENTITY = {
 }
 SWAP = {t: (g, i) for g, ts in IDENTITY.items() for i, t in enumerate(ts)}
 ROWS = 512  # texts decoded at a time: bounds what a task holds
-TEXT_ROWS, PACKED_ROWS, COUNTED = 1024, 16, 100_000  # texts, packed rows a Python function gets at a time, features it counts before it sends them on
+TEXT_ROWS, PACKED_ROWS, COUNTED = 1024, 16, 200_000  # texts, packed rows a Python function gets at a time, features it counts before it sends them on
+IN_TASK = 5_000_000  # numbers that a task of a step adds up: fewer would cost less than the task's start
 TERM = re.compile(r"\w[\w'’-]*")
 
 
@@ -53,14 +52,24 @@ def swapped(text: str) -> str:
     return TERM.sub(other, text)
 
 
-@lru_cache(maxsize=50_000)
-def word_features(word: str) -> tuple[str, ...]:
-    w = word.strip(".,;:!?\"'()[]{}*_-#$%&|<>")
-    return (w, *(f"{w[:k]}~" for k in (4, 5, 6, 7) if len(w) >= k)) if w else ()
+def counted(text: str | None, known: Container[str] | None = None) -> Counter:
+    """By how many distinct words of the text each feature is held (only those of ``known``, where given)."""
+    own = (lambda fs: fs) if known is None else (lambda fs: filter(known.__contains__, fs))
+    ws = [w.strip(".,;:!?\"'()[]{}*_-#$%&|<>") for w in set((text or "").lower().split())]
+    n = Counter(own(ws))
+    n.pop("", None)
+    for k in (4, 5, 6, 7):
+        ws = [w for w in ws if len(w) >= k]
+        n.update(own([w[:k] + "~" for w in ws]))
+    return n
 
 
-def text_features(text: str) -> set[str]:
-    n = Counter(f for w in set((text or "").lower().split()) for f in word_features(w))
+def bases(features: Iterable[str]) -> set[str]:
+    """Features that words must hold for any of these to count."""
+    return {g for f in features for g in (f, f[:-1] if f[-1:] in ("2", "3") else f)}
+
+
+def text_features(n: Counter) -> set[str]:
     return {*n, *(f"{f}2" for f, k in n.items() if k >= 2), *(f"{f}3" for f, k in n.items() if k >= 3)}
 
 
@@ -69,24 +78,20 @@ class Model:
     intercept: float
     weights: dict[str, float] = field(default_factory=dict)
 
-    def scores(self, texts, memo: dict | None = None) -> list[float]:
-        """``memo`` keeps the known features of words; it is emptied when it grows beyond 50,000 words."""
-        memo = {} if memo is None else memo
-        weights, get = self.weights, memo.get
+    def table(self) -> dict[str, tuple[float, float, float]]:
+        """The weights of a feature that one, two, three words hold."""
+        get = self.weights.get
+        return {f: (get(f, 0.0), get(f + "2", 0.0), get(f + "3", 0.0)) for f in bases(self.weights)}
+
+    def scores(self, texts, table: dict[str, tuple[float, float, float]] | None = None) -> list[float]:
+        """``table`` saves making it in each of several calls."""
+        table = self.table() if table is None else table
         out = []
         for t in texts:
-            z, seen = self.intercept, []
-            for w in set((t or "").lower().split()):
-                fs = get(w)
-                if fs is None:
-                    if len(memo) > 50_000:
-                        memo.clear()
-                    fs = memo[w] = tuple(f for f in word_features(w) if f in weights or f + "2" in weights or f + "3" in weights)
-                if fs:
-                    seen += fs
-            n = Counter(seen)
+            z, n = self.intercept, counted(t, table)
             for f in sorted(n):
-                z += weights.get(f, 0.0) + (n[f] >= 2) * weights.get(f + "2", 0.0) + (n[f] >= 3) * weights.get(f + "3", 0.0)
+                one, two, three = table[f]
+                z += one + (n[f] >= 2) * two + (n[f] >= 3) * three
             out.append(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
         return out
 
@@ -108,9 +113,10 @@ def slopes(rows: Iterable[dict[str, bytes]], w: np.ndarray, b: float) -> np.ndar
     out = np.zeros(2 * k + 1)
     for r in rows:
         y, size, own, moved, at, sign = (np.frombuffer(r[c], dtype="<i4") for c in PACKED.names)
-        row = np.repeat(np.arange(len(y)), size)
-        off = 1 / (1 + np.exp(-np.clip(b + np.bincount(row, w[own], len(y)), -30, 30))) - y
-        out[:k] += np.bincount(own, off[row], k)
+        z, some = np.full(len(y), b), np.flatnonzero(size)
+        z[some] += np.add.reduceat(w[own], (np.cumsum(size) - size)[some]) if len(some) else 0.0
+        off = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
+        out[:k] += np.bincount(own, np.repeat(off, size), k)
         out[k] += off.sum()
         row = np.repeat(np.arange(len(moved)), moved)
         change = np.bincount(row, sign * w[at], len(moved))
@@ -171,27 +177,27 @@ def _trained(docs: DataFrame, labels: DataFrame, fold: int, features: int, here:
         return Model(30.0 if pos else -30.0)
     neg = n - pos
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         hit: Counter = Counter()
 
-        def sums() -> pd.DataFrame:
-            return pd.DataFrame({"f": list(seen), "n": list(seen.values()), "hit": [hit[f] for f in seen]})
+        def sums() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"f": pa.array(seen, pa.string()), "n": pa.array(seen.values(), pa.int64()), "hit": pa.array([hit[f] for f in seen], pa.int64())})
 
         for b in batches:
-            for t, y in zip(b.text, b.y):
-                fs = text_features(t)
-                seen.update(fs)
-                if y:
-                    hit.update(fs)
-                if len(seen) > COUNTED:
-                    yield sums()
-                    seen.clear()
-                    hit.clear()
-        if seen:  # texts without a word give no frame: one without rows has no Arrow type
-            yield sums()
-
-    per = texts.mapInPandas(count, "f string, n long, hit long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).where("n >= 3")
+            for lo in range(0, b.num_rows, ROWS):
+                for t, y in zip(*(c.to_pylist() for c in b.slice(lo, ROWS).columns)):
+                    fs = text_features(counted(t))
+                    seen.update(fs)
+                    if y:
+                        hit.update(fs)
+                    if len(seen) > COUNTED:
+                        yield sums()
+                        seen.clear()
+                        hit.clear()
+        yield sums()
+
+    per = texts.mapInArrow(count, "f string, n long, hit long").groupBy("f").agg(F.sum("n").alias("n"), F.sum("hit").alias("hit")).where("n >= 3")
     share = F.col("n") / n
     z = F.abs(F.col("hit") / pos - (F.col("n") - F.col("hit")) / neg) / F.sqrt(share * (1 - share) * (1 / pos + 1 / neg) + 1e-12)
     best = store(per.where(z > 3).select("f", z.alias("z")).orderBy(F.desc("z"), "f").limit(features), "toxic-features", TEXT_ROWS).collect()
@@ -201,18 +207,20 @@ def _trained(docs: DataFrame, labels: DataFrame, fold: int, features: int, here:
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = sent.value
-        ids = lambda t: sorted(at[f] for f in text_features(t) if f in at)
+        known = bases(at)
+        ids = lambda t: sorted(at[f] for f in text_features(counted(t, known)) if f in at)
         for b in batches:
             for lo in range(0, b.num_rows, ROWS):
                 text, y = (c.to_pylist() for c in b.slice(lo, ROWS).columns)
                 own = [ids(t) for t in text]
-                twins = [(x, ids(swapped(t))) for t, x in zip(text, own) if any(m.lower() in SWAP for m in TERM.findall(t or ""))]
+                twins = [(x, ids(swapped(t))) for t, x in zip(text, own) if not SWAP.keys().isdisjoint(map(str.lower, TERM.findall(t or "")))]
                 yield pa.RecordBatch.from_pydict({"numbers": [sum(map(len, own))], "twins": [len(twins)], **pack(y, own, twins)}, schema=pa.schema([("numbers", pa.int64()), ("twins", pa.int64()), *PACKED]))
 
     packed = store(texts.mapInArrow(number, "numbers long, twins long, " + ", ".join(f"{c} binary" for c in PACKED.names)), "toxic-numbers", TEXT_ROWS)
     numbers, twins = packed.agg(F.sum("numbers"), F.sum("twins")).first()
     packed = packed.select(*PACKED.names)
     if numbers > here:
+        packed = packed.coalesce(-(-numbers // IN_TASK))
         return fit(lambda w, b: spread(packed, w, b), n, pos, twins, chosen, **options)
     held = [r.asDict() for r in packed.collect()]
     return fit(lambda w, b: slopes(held, w, b), n, pos, twins, chosen, **options)
@@ -224,9 +232,9 @@ def score(docs: DataFrame, model: Model, keep: list[str], column: str = "score")
 
     @F.arrow_udf("double")
     def probability(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        memo: dict = {}
         own = Model(*known.value)
+        table = own.table()
         for b in batches:
-            yield pa.array([s for lo in range(0, len(b), ROWS) for s in own.scores(b.slice(lo, ROWS).to_pylist(), memo)], pa.float64())
+            yield pa.array([s for lo in range(0, len(b), ROWS) for s in own.scores(b.slice(lo, ROWS).to_pylist(), table)], pa.float64())
 
     return docs.select(*keep, probability("text").alias(column))
